@@ -7,12 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from juralake.llm import bpe, budget, mixing, ranking
+from juralake.llm import bpe, budget, mixing, neardup, ranking
 from juralake.sources.tables import table
 
 VOCAB = bpe.vocabulary()
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.NearDuplicates(table(spark, d, "chunks"), "id", "content", n=3, threshold=0.6, least_words=30).pairs()
+
+
+def p1_groups(spark: SparkSession, d: str) -> DataFrame:
+    return neardup.NearDuplicates(table(spark, d, "chunks"), "id", "content").groups()
+
+
 def p5_budget(spark: SparkSession, d: str) -> DataFrame:
     return budget.token_budget(table(spark, d, "chunks"), table(spark, d, "label_aliases"), VOCAB)
 
