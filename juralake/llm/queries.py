@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from juralake.llm import bpe, budget, mixing, neardup, ranking
+from juralake.llm import bpe, budget, knn, mixing, neardup, ranking
 from juralake.sources.tables import table
 
 VOCAB = bpe.vocabulary()
@@ -21,6 +21,14 @@ def p1_groups(spark: SparkSession, d: str) -> DataFrame:
     return neardup.NearDuplicates(table(spark, d, "chunks"), "id", "content").groups()
 
 
+def p3_nearest(spark: SparkSession, d: str) -> DataFrame:
+    return knn.nearest(table(spark, d, "chunks"), table(spark, d, "embedding_models"))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return knn.similar_pairs(p3_nearest(spark, d), 0.85)
+
+
 def p5_budget(spark: SparkSession, d: str) -> DataFrame:
     return budget.token_budget(table(spark, d, "chunks"), table(spark, d, "label_aliases"), VOCAB)
 
