@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from juralake.llm import bpe, budget, knn, mixing, neardup, ranking
+from juralake.llm import bpe, budget, knn, mixing, neardup, ranking, split
 from juralake.sources.tables import table
 
 VOCAB = bpe.vocabulary()
@@ -29,6 +29,15 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return knn.similar_pairs(p3_nearest(spark, d), 0.85)
 
 
+def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
+    texts = split.oversized(table(spark, d, "chunks"))
+    return split.piece_texts(texts, split.pieces(texts))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return split.how_cut(split.pieces(split.oversized(table(spark, d, "chunks"))))
+
+
 def p5_budget(spark: SparkSession, d: str) -> DataFrame:
     return budget.token_budget(table(spark, d, "chunks"), table(spark, d, "label_aliases"), VOCAB)
 
@@ -84,6 +93,9 @@ def oracle_sql() -> dict[str, str]:
                list_max(list_filter(sentence_scores, lambda x: x IS NOT NULL AND NOT isnan(x))) AS s
         FROM (SELECT *, row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY created_at) AS n FROM colbert_results) WHERE n = 1"""
     return {
+        "p4_found": """
+            SELECT DISTINCT id, CASE WHEN regexp_matches(content, '[A-Za-z0-9+/=_-]{1000}[A-Za-z0-9+/=_-]{1000}[A-Za-z0-9+/=_-]') THEN 'forced' ELSE 'natural' END AS cut
+            FROM chunks WHERE length(content) > 2000""",
         "p5_found": f"""
             SELECT DISTINCT {_canonical("source", "s")} AS source, {_canonical("lang", "l")} AS lang, {_canonical("domain", "d")} AS domain
             FROM (SELECT DISTINCT {_label("source")} AS s, {_label("language")} AS l, {_label("domain")} AS d FROM chunks)""",
