@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from juralake.llm import bpe, budget, knn, mixing, neardup, ranking, split
+from juralake.llm import bpe, budget, knn, mixing, neardup, ranking, sentences, split
 from juralake.sources.tables import table
 
 VOCAB = bpe.vocabulary()
@@ -21,6 +21,10 @@ def p1_groups(spark: SparkSession, d: str) -> DataFrame:
     return neardup.NearDuplicates(table(spark, d, "chunks"), "id", "content").groups()
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return sentences.sentence_units(split.oversized(table(spark, d, "chunks")))
+
+
 def p3_nearest(spark: SparkSession, d: str) -> DataFrame:
     return knn.nearest(table(spark, d, "chunks"), table(spark, d, "embedding_models"))
 
