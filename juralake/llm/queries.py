@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from juralake.llm import bpe, budget, knn, mixing, neardup, ranking, sentences, split
+from juralake.llm import bpe, budget, knn, langid, mixing, neardup, ranking, sentences, split
 from juralake.sources.tables import table
 
 VOCAB = bpe.vocabulary()
@@ -78,6 +78,14 @@ def p8_mix(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(sized, table(spark, d, "mix_targets"))
 
 
+def p9_segments(spark: SparkSession, d: str) -> DataFrame:
+    return langid.language_segments(table(spark, d, "documents"), table(spark, d, "label_aliases"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return langid.mislabelled(table(spark, d, "documents"), table(spark, d, "label_aliases"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {n: f for n, f in globals().items() if n[0] == "p" and n[1:2].isdigit()}
 
