@@ -30,6 +30,8 @@ from juralake.llm.sentences import Field, trained, units
 FIT_DOCS = 160
 DICT_BYTES = 56_000
 LEVEL = 3
+#: Characters under which a sentence enters a dictionary with its document, as headings look alike in kindred languages.
+HEADING = 40
 #: A sentence's own language is certain if the next best is larger by so many bytes and by so large a part of the smallest.
 MARGIN_BYTES = 4
 MARGIN_SHARE = 0.07
@@ -201,7 +203,8 @@ def make(labelled: list[tuple[str, str]], dict_bytes: int = DICT_BYTES) -> Dicti
             for _, _, z in found:
                 total.update({k: max(z.values()) - n + 1 for k, n in z.items()})
             if max(total, key=lambda k: (total[k], k)) == lang:
-                kept[lang] += [plain(text[s:e]) for s, e, z in found if lang in z and certain(z)[0] in (lang, "")]
+                own = ((plain(text[s:e]), z) for s, e, z in found if lang in z)
+                kept[lang] += [x for x, z in own if z[lang] == min(z.values()) or len(x) < HEADING]
         content = {}
         for lang in LANGUAGES:
             own = sorted(set(kept[lang]))

@@ -37,6 +37,8 @@ AMOUNT = regex.compile(r"\p{N}+\s+\p{Ll}")
 NEXT_WORD = regex.compile(r"[\p{L}\p{M}]+")
 
 _LEX = {w: k for k, words in (("open", seed.OPEN), ("inner", seed.INNER), ("counted", seed.COUNTED), ("title", seed.TITLES)) for w in words}
+#: Abbreviations as they stand in texts in capitals.
+_SHOUTED = {w.upper(): k for w, k in _LEX.items()}
 _PARTS, _MONTHS = set(seed.PARTS), set(seed.MONTHS)
 
 
@@ -75,7 +77,7 @@ def _token_class(before: str, unit_start: bool) -> tuple[str, str]:
         return ("closer" if before[-1:] in CLOSERS else "space" if before[-1:].isspace() else "sign"), before_class
     if not bare[-1:].isalnum():
         return "percent" if bare[-1:] in "%°‰" else "sign", before_class
-    known = _LEX.get(bare) or _LEX.get(token)
+    known = _LEX.get(bare) or _LEX.get(token) or (_SHOUTED.get(bare) if len(bare) > 1 else None)
     if known:
         return f"{known}:{bare}" if bare in ("h", "H", "г", "f", "p", "B") else known, before_class
     if NUMBER.fullmatch(bare):
