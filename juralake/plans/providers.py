@@ -1,0 +1,121 @@
+"""Calls to models behind batched providers, with offline stand-ins that are deterministic.
+
+The stand-ins let every plan run and be checked without a network; what they score says nothing of a model's quality.
+"""
+
+from __future__ import annotations
+
+import random
+import re
+import zlib
+from collections.abc import Callable, Iterator, Sequence
+from typing import Protocol
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+#: Texts in one call.
+BATCH = 64
+# Prices of unknown models, for 1000 tokens in and out.
+DEFAULT_PRICE = (0.001, 0.002)
+
+
+class Embedder(Protocol):
+    """Vectors of texts; ``task`` tells documents from queries."""
+
+    dimensions: int
+
+    def embed(self, texts: Sequence[str], task: str) -> np.ndarray: ...
+
+
+class Completer(Protocol):
+    """Replies to prompts."""
+
+    def complete(self, prompts: Sequence[str]) -> list[str]: ...
+
+
+class HashedWords:
+    """A bag of hashed words as a unit vector; a text without words is all zero."""
+
+    def __init__(self, dimensions: int = 64) -> None:
+        self.dimensions = dimensions
+
+    def embed(self, texts: Sequence[str], task: str = "document") -> np.ndarray:
+        out = np.zeros((len(texts), self.dimensions), np.float32)
+        for i, t in enumerate(texts):
+            for w in re.findall(r"\w+", t.lower()):
+                h = zlib.crc32(w.encode("utf-8", "surrogatepass"))
+                out[i, h % self.dimensions] += 1 if h >> 31 else -1
+        norm = np.linalg.norm(out, axis=1, keepdims=True)
+        return out / np.where(norm > 0, norm, 1)
+
+
+class TemplateCompleter:
+    """Replies ``template`` with {prompt} filled in."""
+
+    def __init__(self, template: str = "{prompt}") -> None:
+        self.template = template
+
+    def complete(self, prompts: Sequence[str]) -> list[str]:
+        return [self.template.replace("{prompt}", p) for p in prompts]
+
+
+def backoff(attempt: int, seed: int = 0, most: float = 60.0) -> float:
+    """Seconds to wait before an attempt (from 0): doubling up to ``most``, varied by a quarter."""
+    base = min(2.0**attempt, most)
+    return base + base * 0.25 * (2 * random.Random(seed * 1009 + attempt).random() - 1)
+
+
+def embedded(df: DataFrame, text: str, make: Callable[[], Embedder], name: str = "embedding", task: str = "document") -> DataFrame:
+    """``df`` with ``name`` (ARRAY<FLOAT>): the vectors of ``text``; NULL texts have NULL. One provider a task, BATCH texts a call."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        provider = make()
+        for b in batches:
+            texts = b.column(b.num_columns - 1).to_pylist()
+            held = [i for i, t in enumerate(texts) if t is not None]
+            out: list = [None] * len(texts)
+            for at in range(0, len(held), BATCH):
+                part = held[at : at + BATCH]
+                for i, v in zip(part, provider.embed([texts[i] for i in part], task), strict=True):
+                    out[i] = v
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(out, pa.list_(pa.float32()))], names=[*b.schema.names[:-1], name])
+
+    plain = df.select("*", F.col(text).alias("__text"))
+    return plain.mapInArrow(run, df.schema.add(name, "array<float>"))
+
+
+def completed(df: DataFrame, prompt: str, make: Callable[[], Completer], name: str = "reply") -> DataFrame:
+    """``df`` with ``name``: the replies to ``prompt``; NULL prompts have NULL."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        provider = make()
+        for b in batches:
+            prompts = b.column(b.num_columns - 1).to_pylist()
+            held = [i for i, p in enumerate(prompts) if p is not None]
+            out: list = [None] * len(prompts)
+            for at in range(0, len(held), BATCH):
+                part = held[at : at + BATCH]
+                for i, r in zip(part, provider.complete([prompts[i] for i in part]), strict=True):
+                    out[i] = r
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(out, pa.string())], names=[*b.schema.names[:-1], name])
+
+    plain = df.select("*", F.col(prompt).alias("__prompt"))
+    return plain.mapInArrow(run, df.schema.add(name, "string"))
+
+
+def cost(usage: DataFrame, prices: Sequence[tuple[str, float, float]]) -> DataFrame:
+    """(model, calls, tokens_in, tokens_out, cost): usage (model, tokens_in, tokens_out) by model; unknown ones at DEFAULT_PRICE."""
+    table = usage.sparkSession.createDataFrame([*prices], "model string, price_in double, price_out double")
+    sums = usage.groupBy("model").agg(F.count("*").alias("calls"), F.sum("tokens_in").alias("tokens_in"), F.sum("tokens_out").alias("tokens_out"))
+    priced = sums.join(table, "model", "left")
+    total = F.col("tokens_in") / 1000 * F.coalesce("price_in", F.lit(DEFAULT_PRICE[0])) + F.col("tokens_out") / 1000 * F.coalesce("price_out", F.lit(DEFAULT_PRICE[1]))
+    return priced.select("model", "calls", "tokens_in", "tokens_out", F.round(total, 6).alias("cost"))
+
+
+def hypothetical(df: DataFrame, query: str, make: Callable[[], Completer], name: str = "expanded") -> DataFrame:
+    """``df`` with ``name``: a hypothetical passage that answers ``query``; queries under 10 characters stay as they are."""
+    asked = df.withColumn("__ask", F.when(F.length(query) >= 10, F.col(query)))
+    return completed(asked, "__ask", make, "__reply").withColumn(name, F.coalesce(F.nullif("__reply", F.lit("")), F.col(query))).drop("__ask", "__reply")
