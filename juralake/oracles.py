@@ -1,7 +1,232 @@
-"""The engine's queries in DuckDB's SQL, formulated on their own."""
+"""The engine's queries in DuckDB's SQL, formulated on their own rather than after the plans they check."""
 
 from __future__ import annotations
 
+from juralake.functions import classify, extract, text
+
+#: White space that patterns mean.
+S = r"[ \t\n\r\f]"
+W = r"[\p{L}\p{M}\p{N}_]"
+ONCE = "(SELECT id, any_value(collection_id) AS collection_id, any_value(content) AS content FROM chunks WHERE id IS NOT NULL GROUP BY id)"
+LOW = "replace(lower({}), 'ς', 'σ')"
+COS = "round(list_cosine_similarity({}::DOUBLE[], {}::DOUBLE[]), 6)"
+
+
+def _re(pattern: str) -> str:
+    """A pattern as an SQL literal."""
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+def _keywords(c: str) -> str:
+    stop = ", ".join(f"'{w}'" for w in text.KEYWORD_STOPWORDS)
+    return f"list_filter(regexp_extract_all({LOW.format(c)}, '{W}+'), lambda w: length(w) > 3 AND NOT list_contains([{stop}], w))[1:3]"
+
+
+SYN = """
+    concat('Article ', doc_id % 200 + 1, ' of Regulation ', doc_id % 37, ' applies since ', doc_id % 28 + 1, ' March 2', lpad((doc_id % 30)::VARCHAR, 3, '0'),
+        CASE WHEN doc_id % 3 = 0 THEN concat('. The Court and the defendant cite (', 1950 + doc_id % 60, ') ', doc_id % 9 + 1, ' QB ', doc_id % 400) ELSE '. The commission noted no. 7' END,
+        CASE WHEN doc_id % 4 = 0 THEN concat('. See ', doc_id % 90 + 10, ' F.3d ', doc_id % 700 + 1, CASE WHEN doc_id % 8 = 0 THEN concat(', ', doc_id % 700 + 5) ELSE '' END, ' (2d Cir. ', 1980 + doc_id % 40, ') and ', doc_id % 50 + 1, ' U.S.C. § ', doc_id % 999 + 1) ELSE '' END,
+        CASE doc_id % 5 WHEN 0 THEN '. This agreement binds the parties' WHEN 1 THEN '. GDPR privacy policy' WHEN 2 THEN '. A federal merger case' ELSE '' END, '. ', coalesce(text, ''))"""
+SEEDED = f"(SELECT doc_id, docket, {SYN} AS syn FROM documents)"
+CANDS = "(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY created_at) AS n_th FROM colbert_results) WHERE n_th = 1)"
+BY_SCORE = f"(SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY original_score DESC, chunk_id) AS rank FROM {CANDS} WHERE original_score IS NOT NULL AND NOT isnan(original_score))"
+LISTS = f"""(
+    SELECT query_id, 0 AS l, row_number() OVER (PARTITION BY query_id ORDER BY original_score DESC, chunk_id) - 1 AS r, document, 'original_score' AS asked FROM {CANDS} WHERE NOT isnan(original_score)
+    UNION ALL SELECT query_id, 1, row_number() OVER (PARTITION BY query_id ORDER BY colbert_score DESC, chunk_id) - 1, document, 'colbert_score' FROM {CANDS} WHERE NOT isnan(colbert_score))"""
+
+
+def _fused(chars: int, limit: int) -> str:
+    return f"""
+        SELECT query_id, key, round(sum(1 / (61.0::DOUBLE + r)), 10) AS rrf_score, min(l) AS first_list, arg_min(r, l * 1000000 + r) AS first_rank,
+               row_number() OVER (PARTITION BY query_id ORDER BY round(sum(1 / (61.0::DOUBLE + r)), 10) DESC, min(l * 1000000 + r), key) AS place
+        FROM (SELECT *, left(coalesce(document, ''), {chars}) AS key FROM {LISTS}) GROUP BY query_id, key QUALIFY place <= {limit}"""
+
+
+def _search(base: str, k: int, keep: str = "true") -> str:
+    """Each hundredth vector against ``base``."""
+    return f"""
+        SELECT query_id, rank, vec_id, similarity FROM (
+            SELECT q.vec_id AS query_id, b.vec_id, {COS.format("b.embedding", "q.embedding")} AS similarity, row_number() OVER (PARTITION BY q.vec_id ORDER BY {COS.format("b.embedding", "q.embedding")} DESC, b.vec_id) AS rank
+            FROM embeddings q JOIN {base} b ON true WHERE q.vec_id % 100 = 0 AND {COS.format("b.embedding", "q.embedding")} > 0)
+        WHERE rank <= {k} AND {keep}"""
+
+
+def _usable(c: str) -> str:
+    return f"len({c}) = len(list_filter({c}, lambda x: x IS NOT NULL AND NOT isnan(x) AND NOT isinf(x))) AND len(list_filter({c}, lambda x: x <> 0)) > 0"
+
+
+def _match(model: str, column: str) -> str:
+    return f"""
+        SELECT '{model}' AS model, row_number() OVER (ORDER BY s DESC, id) AS rank, id, s AS similarity FROM (
+            SELECT b.id, {COS.format("b.e", "q.e")} AS s FROM (SELECT DISTINCT id, {column} AS e FROM chunks WHERE {_usable(column)} AND len({column}) = (SELECT stored_dims FROM embedding_models WHERE vector_column = '{column}')) b,
+                (SELECT {column} AS e FROM chunks WHERE {_usable(column)} AND len({column}) = (SELECT stored_dims FROM embedding_models WHERE vector_column = '{column}') ORDER BY id LIMIT 1) q)
+        WHERE s > 0 QUALIFY rank <= 5"""
+
+
+def _scores(patterns: tuple[str, ...], each: float = 1.0) -> str:
+    return " + ".join(f"CASE WHEN regexp_matches(q, {_re(p)}) THEN {each} ELSE 0 END" for p in patterns)
+
+
+ASKED = """(
+    SELECT query_id, unnest([query, concat('what is the meaning of ', query), concat('how does Article 5 of the directive limit a ruling on ', query, ' generally?'),
+        concat('compare the effects of ', query, ' and of fines, or penalties? And if not, why must it be so unless provided?'), concat('"', query, '"'), '  ']) AS raw FROM search_queries)"""
+N_WORDS = "len(list_filter(regexp_split_to_array({}, '[ \t\n\r\f\x0b]+'), lambda w: w <> ''))"
+
+
+def _query_class() -> str:
+    return f"""
+        WITH t AS (SELECT query_id, raw, regexp_replace(lower(translate(raw, chr(160) || chr(12288), '  ')), '^[ \t\n\r\f\x0b]+|[ \t\n\r\f\x0b]+$', '', 'g') AS q FROM {ASKED}),
+        n AS (SELECT *, {N_WORDS.format("q")} AS w FROM t),
+        s AS (SELECT *, {_scores(classify.FACTUAL)} + CASE WHEN w <= 6 THEN 0.5 ELSE 0 END AS f, {_scores(classify.KEYWORD)} + CASE WHEN w <= 3 THEN 1.5 ELSE 0 END + CASE WHEN w = 1 THEN 1 ELSE 0 END AS k,
+                {_scores(classify.COMPLEX)} + CASE WHEN w > 15 THEN 1 ELSE 0 END + CASE WHEN w > 25 THEN 1 ELSE 0 END AS x,
+                {_scores(classify.CONCEPTUAL)} + CASE WHEN w BETWEEN 5 AND 15 AND regexp_matches(q, '^(how|why)') THEN 0.5 ELSE 0 END AS c, least(1.0, {_scores(classify.LEGAL, 0.3)}) AS boost FROM n),
+        b AS (SELECT *, CASE WHEN coalesce(q, '') = '' THEN 'factual' ELSE list_extract(['factual', 'keyword', 'complex', 'conceptual'], list_position([f, k, x, c], greatest(f, k, x, c))) END AS kind FROM s),
+        r AS (SELECT *, CASE kind WHEN 'factual' THEN 5 WHEN 'keyword' THEN 3 WHEN 'complex' THEN 10 ELSE 8 END AS base, coalesce(q, '') <> '' AND boost > 0.5 AS legal FROM b)
+        SELECT query_id, raw AS q, kind, CASE WHEN coalesce(q, '') = '' THEN 0.5 ELSE round(least(0.95, greatest(f, k, x, c)::DOUBLE / CASE WHEN f + k + x + c > 0 THEN f + k + x + c ELSE 1 END + 0.1), 6) END AS confidence,
+               CASE WHEN legal THEN least(base + 2, 12) ELSE base END AS n_results, legal OR kind IN ('complex', 'conceptual') AS use_reranking FROM r"""
+
+
+def _first(patterns: dict[str, tuple[str, ...]]) -> str:
+    return "CASE " + " ".join(f"WHEN {' OR '.join(f'regexp_matches(h, {_re(p)})' for p in each)} THEN '{name}'" for name, each in patterns.items()) + " END"
+
+
+def _pack(overlap: int, sentences: str) -> str:
+    """Greedy packing by recursion over sentences: the state is where the open range began and what it holds."""
+    return rf"""
+        WITH RECURSIVE s AS (SELECT doc_id, {sentences} AS a FROM documents WHERE text IS NOT NULL),
+        t AS (SELECT doc_id, list_transform(a, lambda x: length(x) // 4) AS n FROM s WHERE len(a) > 0),
+        walk(doc_id, n, i, start, held, out_first, out_last) AS (
+            SELECT doc_id, n, 0, 0, 0::BIGINT, -1, -1 FROM t
+            UNION ALL
+            SELECT doc_id, n, i + 1,
+                CASE WHEN v > 256 THEN i + 1 WHEN full_ THEN back ELSE start END,
+                CASE WHEN v > 256 THEN 0 WHEN full_ THEN coalesce(list_sum(n[back + 1:i]), 0) + v ELSE held + v END,
+                CASE WHEN (v > 256 AND i > start) OR (v <= 256 AND full_) THEN start ELSE -1 END,
+                CASE WHEN (v > 256 AND i > start) OR (v <= 256 AND full_) THEN i - 1 ELSE -1 END
+            FROM (SELECT *, CASE WHEN full_ THEN coalesce(list_min(list_filter(range(start + 1, i + 1), lambda j: coalesce(list_sum(n[j + 1:i]), 0) <= {overlap})), i) ELSE start END AS back
+                  FROM (SELECT *, n[i + 1] AS v, held + n[i + 1] > 256 AND i > start AS full_ FROM walk WHERE i < len(n)))
+        ),
+        ends AS (SELECT doc_id, start AS first, i - 1 AS last FROM walk WHERE i = len(n) AND start < len(n))
+        SELECT doc_id, out_first::INT AS first, out_last::INT AS last FROM walk WHERE out_first >= 0 UNION ALL SELECT doc_id, first::INT, last::INT FROM ends"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    abbreviations = "|".join(sorted(set(text.ABBREVIATIONS), key=lambda w: (-len(w), w)))
+    mark = text.ABBREV_DOT
+    protected = rf"regexp_replace(regexp_replace(syn, '(^|[^\p{{L}}\p{{M}}\p{{N}}_])({abbreviations})\.', '\1\2{mark}', 'gi'), '(^|[^\p{{L}}\p{{M}}\p{{N}}_])({abbreviations})\.', '\1\2{mark}', 'gi')"
+    cut = rf"string_split(regexp_replace({{}}, '([.!?]){S}+([A-Z])', '\1' || chr(1) || '\2', 'g'), chr(1))"
+    trim = f"regexp_replace({{}}, '^{S}+|{S}+$', '', 'g')"
+
+    def parts(c: str) -> str:
+        return f"list_filter(list_transform({cut.format(c)}, lambda x: {trim.format('x')}), lambda x: x <> '')"
+
+    shielded = f"list_transform({parts(protected.replace('syn', 'text', 1))}, lambda x: replace(x, '{mark}', '.'))"
+
+    def group(pattern: str, i: int) -> str:
+        return f"regexp_extract_all(syn, {_re(pattern)}, {i})"
+
+    date_day = _re(r"(?i)([0-9]{1,2}[ \t\n\r\f]+(?:" + extract.MONTH + r")[ \t\n\r\f]+[0-9]{4})")
+    refs = f"list_transform(list_zip({group(extract.ARTICLE_REF, 1)}, {group(extract.ARTICLE_REF, 2)}), lambda m: m[1] || ' ' || m[2])[1:5]"
+    dates = f"list_transform(list_zip({group(extract.DATE, 1)}, {group(extract.DATE, 2)}), lambda m: m[1] || ', ' || m[2])[1:3]"
+    cites = f"list_transform(list_zip({', '.join(group(extract.REPORT_CITATION, i) for i in range(1, 5))}), lambda m: '(' || m[1] || ') ' || m[2] || ' ' || m[3] || ' ' || m[4])[1:3]"
+    found = f"list_transform({group(extract.ENTITY, 1)}, lambda x: lower(x))"
+    entities = f"list_transform(list_filter(list_zip({found}, range(1, len({found}) + 1)), lambda m: list_position({found}, m[1]) = m[2]), lambda m: m[1])[1:5]"
+    defaults = {"search_mode": "'hybrid'", "reranking_enabled": "true", "legal_tokenization": "true", "sac_enabled": "false", "hyde_enabled": "false", "query_decomposition_enabled": "false", "agentic_enabled": "false", "colbert_enabled": "false"}
+    return {
+        "vector_topk": f"SELECT b.vec_id, {COS.format('b.embedding', 'q.embedding')} AS similarity FROM embeddings b, (SELECT embedding FROM embeddings WHERE vec_id = 0) q WHERE {COS.format('b.embedding', 'q.embedding')} > 0 ORDER BY 2 DESC, 1 LIMIT 10",
+        "vector_topk_batch": _search("embeddings", 5),
+        "vector_filtered": _search("(SELECT * FROM embeddings WHERE label BETWEEN 0 AND 5 AND (label = 3 OR (label = 5 AND vec_id % 2 = 0) OR vec_id % 2 = 1))", 10),
+        "threshold_gate": _search("embeddings", 5, "similarity >= 0.3"),
+        "vector_match_models": " UNION ALL ".join(_match(m, c) for m, c in (("lexvec-small", "embedding_1536"), ("lexvec-multi", "embedding_1024"), ("lexvec-deep", "embedding_1792"))),
+        "maxsim_labels": f"SELECT query_id, label, max(s) AS score, arg_max(vec_id, (s, -vec_id)) AS best FROM (SELECT q.vec_id AS query_id, b.label, b.vec_id, {COS.format('b.embedding', 'q.embedding')} AS s FROM embeddings q, embeddings b WHERE q.vec_id % 100 = 0) GROUP BY 1, 2",
+        "rrf_fusion": _fused(500, 10),
+        "rrf_agentic": f"""
+            WITH f AS ({_fused(200, 8)}), e AS (SELECT DISTINCT query_id, left(coalesce(document, ''), 200) AS key, l, asked FROM {LISTS})
+            SELECT f.*, string_agg(e.l::VARCHAR, ',' ORDER BY e.l) AS lists_found, string_agg(e.asked, ',' ORDER BY e.l) AS labels_found FROM f JOIN e USING (query_id, key) GROUP BY ALL""",
+        "hybrid_merge": f"""
+            WITH k AS (SELECT query_id, unnest(range(0, len(w))) AS pos, unnest(w) AS keyword FROM (SELECT query_id, {_keywords("query")} AS w FROM search_queries)),
+            h AS (SELECT keyword, id FROM (SELECT k.keyword, c.id, row_number() OVER (PARTITION BY k.keyword ORDER BY c.id) AS n FROM (SELECT DISTINCT keyword FROM k) k JOIN {ONCE} c ON contains({LOW.format("c.content")}, k.keyword)) WHERE n <= 10),
+            a AS (SELECT query_id, chunk_id AS id, 1 AS origin, rank FROM {BY_SCORE} WHERE rank <= 30 UNION ALL SELECT query_id, id, 2, min(pos) FROM k JOIN h USING (keyword) GROUP BY ALL),
+            u AS (SELECT *, row_number() OVER (PARTITION BY query_id, id ORDER BY origin) AS seen FROM a)
+            SELECT query_id, id, origin, row_number() OVER (PARTITION BY query_id ORDER BY origin, rank, id) AS place FROM u WHERE seen = 1 QUALIFY place <= 8""",
+        "colbert_rerank": f"""
+            SELECT query_id, chunk_id, rank AS original_rank, s AS rerank_score, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, rank) AS reranked_position
+            FROM (SELECT query_id, chunk_id, rank, round(coalesce(list_max(list_filter(sentence_scores, lambda x: x IS NOT NULL AND NOT isnan(x))), CASE WHEN original_score < 1 THEN 1 - original_score ELSE 0.5 END), 4) AS s FROM {BY_SCORE} WHERE rank <= 20)
+            QUALIFY reranked_position <= 8""",
+        "rerank_lexical": f"""
+            WITH p AS (SELECT c.query_id, chunk_id, rank, list_distinct(regexp_extract_all({LOW.format("q.query")}, '{W}+')) AS a, list_distinct(regexp_extract_all({LOW.format("c.document")}, '{W}+')) AS b
+                       FROM {BY_SCORE} c JOIN search_queries q USING (query_id) WHERE rank <= 30),
+            s AS (SELECT query_id, chunk_id, rank, CASE WHEN len(a) + len(b) > 0 THEN round(len(list_intersect(a, b)) / (len(a) + len(b) - len(list_intersect(a, b))), 6) ELSE 0 END AS s FROM p)
+            SELECT query_id, chunk_id, rank AS original_rank, coalesce(s, 0) AS rerank_score, row_number() OVER (PARTITION BY query_id ORDER BY coalesce(s, 0) DESC, rank) AS reranked_position FROM s QUALIFY reranked_position <= 5""",
+        "keyword_search": f"""
+            SELECT keyword, id FROM (SELECT k.keyword, c.id, row_number() OVER (PARTITION BY k.keyword ORDER BY c.id) AS n
+                FROM (SELECT DISTINCT unnest({_keywords("query")}) AS keyword FROM search_queries) k JOIN {ONCE} c ON contains({LOW.format("c.content")}, k.keyword)) WHERE n <= 10""",
+        "bm25_topk": f"""
+            WITH d AS (SELECT id, regexp_extract_all({LOW.format("content")}, '{W}+') AS w FROM {ONCE} WHERE content IS NOT NULL),
+            m AS (SELECT count(*) AS texts, avg(len(w)) AS mean FROM d WHERE len(w) > 0),
+            t AS (SELECT query_id, unnest(list_distinct(regexp_extract_all({LOW.format("query")}, '{W}+'))) AS term FROM search_queries),
+            p AS (SELECT id, len(w) AS size, unnest(w) AS term FROM d), f AS (SELECT id, size, term, count(*) AS tf FROM p WHERE term IN (SELECT term FROM t) GROUP BY ALL),
+            n AS (SELECT term, count(*) AS df FROM f GROUP BY term),
+            s AS (SELECT query_id, id, round(sum(ln(1 + (texts - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / mean))), 6) AS score FROM t JOIN f USING (term) JOIN n USING (term), m GROUP BY 1, 2)
+            SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s QUALIFY rank <= 5""",
+        "keywords": f"SELECT doc_id, coalesce(array_to_string({_keywords('text')}, ' ; '), '') AS keywords FROM documents",
+        "sentences": f"SELECT doc_id, unnest(range(0, len(a)))::INT AS pos, unnest(a) AS sentence FROM (SELECT doc_id, {parts('text')} AS a FROM documents WHERE text IS NOT NULL)",
+        "sentences_protected": f"SELECT doc_id, len(a) AS n, a[2] AS second FROM (SELECT doc_id, list_transform({parts(protected)}, lambda x: replace(x, '{mark}', '.')) AS a FROM {SEEDED})",
+        "words": f"SELECT doc_id, len(w) AS n, coalesce(w[1], '') AS first, coalesce(w[-1], '') AS last FROM (SELECT doc_id, regexp_extract_all(text, '{W}+') AS w FROM documents WHERE text IS NOT NULL)",
+        "abbrev_protect": f"SELECT doc_id, {protected} AS protected FROM {SEEDED}",
+        "normalize_text": f"SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace('see SECTION 4 and  article 5 ' || text, '{S}+', ' ', 'g'), '(^|[^{W[1:-1]}])section ', '\\1Section ', 'gi'), '(^|[^{W[1:-1]}])article ', '\\1Article ', 'gi'), '(^|[^{W[1:-1]}])paragraph ', '\\1Paragraph ', 'gi'), '(^|[^{W[1:-1]}])clause ', '\\1Clause ', 'gi'), ' ') AS normal FROM documents WHERE text IS NOT NULL",
+        "sanitize": r"SELECT doc_id, regexp_replace(concat('abc', text), '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x{9F}\x{FFFD}\x{FEFF}\x{FFFE}\x{E000}-\x{F8FF}]', '', 'g') AS clean FROM documents",
+        "token_stats": "SELECT source, count(*) AS n, sum(coalesce(length(text), 0) // 4)::BIGINT AS tokens, max(coalesce(length(text), 0) // 4) AS most, count(*) FILTER (WHERE coalesce(length(text), 0) // 4 < 25) AS short FROM documents GROUP BY source",
+        "previews": "SELECT doc_id, CASE WHEN length(text) > 500 THEN left(text, 500) || '...' ELSE text END AS preview FROM documents",
+        "enhance": "SELECT doc_id, CASE WHEN length(text) >= 50 THEN '[CONTEXT: about ' || coalesce(doc_type, '?') || ']' || chr(10) || chr(10) || text ELSE text END AS enhanced FROM documents",
+        "template_fill": "SELECT query_id, 'Dear ' || query_id || ', on ' || coalesce(query, '') || ' in ' || coalesce(collection_id, '') || ': {{missing}}' AS filled FROM search_queries",
+        "chunk_pack": _pack(0, shielded),
+        "chunk_overlap": _pack(50, shielded),
+        "chunk_sections": f"""
+            WITH x AS (SELECT doc_id, 'Preamble. ' || syn || ' Section 9 ends.' || CASE WHEN doc_id % 2 = 0 THEN ' Chapter 10 too.' ELSE '' END AS t FROM {SEEDED}),
+            p AS (SELECT doc_id, unnest(string_split(regexp_replace(t, '((?:Article|Section|Chapter|Part|Title){S}+[0-9]+)', chr(1) || '\\1', 'gi'), chr(1))[2:]) AS s FROM x)
+            SELECT doc_id, regexp_extract(s, '(?i)^((?:Article|Section|Chapter|Part|Title){S}+[0-9]+)', 1) AS head, length({trim.format("s")}) AS size FROM p""",
+        "legal_refs": f"SELECT doc_id, array_to_string({refs}, ' ; ') AS refs FROM {SEEDED}",
+        "legal_dates": f"SELECT doc_id, array_to_string({dates}, ' ; ') AS dates FROM {SEEDED}",
+        "legal_citations": f"SELECT doc_id, array_to_string({cites}, ' ; ') AS cites FROM {SEEDED}",
+        "legal_entities": f"SELECT doc_id, array_to_string({entities}, ' ; ') AS entities FROM {SEEDED}",
+        "citations": f"""
+            WITH c AS (SELECT doc_id, list_zip({", ".join(group(extract.CASE_CITATION, i) for i in range(1, 7))}) AS a, list_zip({group(extract.STATUTE, 1)}, {group(extract.STATUTE, 2)}) AS b FROM {SEEDED}),
+            e AS (SELECT doc_id, unnest(range(0, len(a)))::INT AS pos, 'case' AS kind, unnest(a) AS m, NULL AS s FROM c UNION ALL SELECT doc_id, (len(a) + unnest(range(0, len(b))))::INT, 'statute', NULL, unnest(b) FROM c)
+            SELECT doc_id, pos, kind, coalesce(m[1], s[1]) AS volume, coalesce(m[3], s[2]) AS page, m[6] AS year,
+                   CASE kind WHEN 'case' THEN m[1] || ' ' || m[2] || ' ' || m[3] || CASE WHEN m[4] <> '' THEN ', ' || m[4] ELSE '' END || ' (' || m[5] || ' ' || m[6] || ')' ELSE s[1] || ' U.S.C. § ' || s[2] END AS normal FROM e""",
+        "context_prefix": f"""
+            SELECT doc_id, '[' || concat_ws(' | ', CASE WHEN docket IS NOT NULL THEN 'Document: ' || translate(docket, '_-', '  ') || ' a b' END, 'Type: Legal provision',
+                CASE WHEN len(r) > 0 THEN 'References: ' || array_to_string(r[1:3], ', ') END, CASE WHEN len(e) > 0 THEN 'Entities: ' || array_to_string(e[1:3], ', ') END,
+                CASE WHEN len(d) > 0 THEN 'Dates: ' || d[1] END, CASE WHEN len(c) > 0 THEN 'Cites: ' || c[1] END) || '] ' AS prefix
+            FROM (SELECT doc_id, docket, {refs} AS r, {entities} AS e, {dates} AS d, {cites} AS c FROM {SEEDED})""",
+        "metadata_heuristic": f"""
+            WITH x AS (SELECT doc_id, left(syn, 150) AS t, lower(left(syn, 150)) AS h FROM {SEEDED}),
+            y AS (SELECT *, regexp_extract(t, '([0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}})', 1) AS iso, regexp_extract(t, {date_day}, 1) AS dmy FROM x)
+            SELECT doc_id, {_first(extract.DOCUMENT_TYPES)} AS document_type, {_first(extract.JURISDICTIONS)} AS jurisdiction, {_first(extract.PRACTICE_AREAS)} AS practice_area,
+                   CASE WHEN iso <> '' THEN iso WHEN dmy <> '' THEN regexp_replace(dmy, '{S}+', '-', 'g') END AS date,
+                   CASE WHEN iso <> '' THEN iso WHEN dmy <> '' THEN strftime(try_strptime(regexp_replace(dmy, '{S}+', '-', 'g'), '%d-%B-%Y'), '%Y-%m-%d') END AS date_iso FROM y""",
+        "metadata_normal": "SELECT doc_id, replace(lower(doc_type), ' ', '_') AS doc_type, CASE WHEN doc_id % 2 = 0 THEN 'EU' ELSE jurisdiction END AS jurisdiction FROM documents",
+        "query_class": _query_class(),
+        "decompose_gate": f"SELECT query_id, raw AS q, coalesce(length(raw) >= 20 AND ({' OR '.join(f'regexp_matches(raw, {_re("(?i)" + p)})' for p in classify.DECOMPOSE)} OR {N_WORDS.format('raw')} > 20), false) AS decompose FROM {ASKED}",
+        "collection_counts": "SELECT c.id, c.name, count(DISTINCT k.id) AS n_chunks FROM collections c LEFT JOIN chunks k ON k.collection_id = c.id GROUP BY 1, 2",
+        "settings_merge": "SELECT id, " + ", ".join(f"coalesce(retrieval_settings.{k}, {v}) AS {k}" for k, v in defaults.items()) + " FROM collections",
+        "legal_sources": "SELECT id, name FROM collections WHERE json_valid(metadata) AND metadata->>'$.source_type' = 'legal_source'",
+        "get_documents": "SELECT DISTINCT id, collection_id, length(content)::INT AS size FROM chunks WHERE id IN (SELECT chunk_id FROM colbert_results)",
+        "delete_documents": "SELECT DISTINCT id FROM chunks c WHERE NOT EXISTS (SELECT 1 FROM colbert_results r WHERE r.chunk_id = c.id)",
+        "incremental_anti": "SELECT doc_id::VARCHAR AS id FROM documents WHERE doc_id NOT IN (SELECT query_id FROM colbert_results)",
+        "model_registry": "WITH u AS (SELECT id, CASE WHEN json_valid(metadata) THEN metadata->>'$.embedding_model' END AS m FROM collections) SELECT u.id, e.model, e.vector_column, e.stored_dims, e.max_tokens FROM u JOIN embedding_models e ON e.model = CASE WHEN u.m IN (SELECT model FROM embedding_models) THEN u.m ELSE 'lexvec-small' END",
+        "history_latest": "SELECT collection_id, arg_max(query, (issued_at, query_id)) AS query, max(issued_at) AS issued_at FROM search_queries WHERE query <> '' GROUP BY 1",
+        "llm_cost": """
+            WITH u AS (SELECT coalesce(doc_type, 'unknown') AS model, coalesce(length(text), 0) // 4 AS i FROM documents)
+            SELECT model, count(*) AS calls, sum(i)::BIGINT AS tokens_in, (count(*) * 100)::BIGINT AS tokens_out,
+                   round(sum(i)::DOUBLE / 1000 * CASE model WHEN 'case_law' THEN 0.0025 WHEN 'contract' THEN 0.00014 ELSE 0.001 END + count(*) * 100.0::DOUBLE / 1000 * CASE model WHEN 'case_law' THEN 0.01 WHEN 'contract' THEN 0.00028 ELSE 0.002 END, 6) AS cost FROM u GROUP BY model""",
+        "workflow_levels": """
+            WITH RECURSIVE e(a, b) AS (VALUES ('start', 'route'), ('start', 'count'), ('route', 'long'), ('long', 'both'), ('count', 'both')),
+            w(node, level) AS (SELECT 'start', 0 UNION ALL SELECT b, level + 1 FROM w JOIN e ON a = node) SELECT node, max(level) AS level FROM w GROUP BY node""",
+        "workflow_route": """
+            SELECT doc_id, 'completed' AS status, CASE WHEN n_chars > 500 THEN 'long ' || coalesce(lang, '') || ' text of ' || n_chars ELSE '' END || ': ' || coalesce((n_chars // 4)::VARCHAR, '') || ' tokens' AS output FROM documents""",
+        "session_count": """
+            WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 1 HOUR THEN 0 ELSE 1 END AS fresh FROM events WHERE ts IS NOT NULL)
+            SELECT user_id, sum(fresh)::BIGINT AS sessions, count(*) AS events FROM g GROUP BY user_id""",
+    }
