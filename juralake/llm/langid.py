@@ -42,18 +42,24 @@ LEAST_LETTERS = dict.fromkeys(SCRIPTS, 10) | {"Latin": 24, "Kana": 6, "Han": 6}
 LANGUAGES = tuple(sorted({x for v in SCRIPTS.values() for x in v}))
 
 TAG = regex.compile(r"<[^<>]{0,200}>|&\w{2,8};")
-NUMBERS = {ord(c): None for c in "0123456789+/|\\#*=~^_§№°%<>$€£-–—٠١٢٣٤٥٦٧٨٩०१२३४५६७८९๐๑๒๓๔๕๖๗๘๙"}
+NUMBERS = b"0123456789+/|\\#*=~^_%<>$-"
+MARKS = b" .,;:()'\"!?[]{}@`"
 ENDS = re.compile("[.!?…。！？।؟]+[\"”»’」』）)]*[ \u00a0\u202f]?[»]?|\n\\s*\n")
 LETTERS = regex.compile(r"\p{L}+")
 RUNS = {s: regex.compile(r"[\p{Hiragana}\p{Katakana}]+" if s == "Kana" else rf"\p{{{s}}}+") for s in SCRIPTS}
 
 
 def plain(text: str) -> str:
-    """What is compressed: compatibility forms unified, lower case, without markup and numbers."""
+    """Compatibility forms unified, lower case, without markup."""
     text = TAG.sub(" ", text) if "<" in text or "&" in text else text
-    if not text.isascii():
+    if not text.isascii() and not unicodedata.is_normalized("NFKC", text):
         text = unicodedata.normalize("NFKC", text)
-    return " ".join(text.lower().translate(NUMBERS).split())
+    return text.lower()
+
+
+def compressible(bare: str) -> bytes:
+    """The bytes of a plain text without ASCII numbers and symbols, white space collapsed."""
+    return b" ".join(bare.encode("utf-8", "replace").translate(None, NUMBERS).split())
 
 
 def rough_sentences(text: str) -> Iterator[tuple[int, int]]:
@@ -83,20 +89,24 @@ def _count(pattern: regex.Pattern, text: str) -> int:
     return sum(map(len, pattern.findall(text)))
 
 
-def main_script(text: str) -> tuple[str, int]:
-    """The script of most of a text's letters ("" without any), and how many letters it has. Han with a tenth of kana, or more, is Kana."""
-    if text.isascii():
-        letters = len(text) - text.count(" ")
-        return ("Latin" if letters and (letters > 40 or LETTERS.search(text)) else ""), letters
+def main_script(text: str, raw: bytes) -> tuple[str, int]:
+    """The script of most of a plain text's letters ("" without any), and how many letters it has, about, where they are Latin.
+
+    ``raw`` is what ``compressible`` makes of it. Han with a tenth of kana, or more, is Kana.
+    """
+    try:
+        text.encode("cp1252")  # a quick way to know that all letters are Latin
+    except UnicodeEncodeError:
+        pass
+    else:
+        n = len(raw.translate(None, MARKS))
+        return ("Latin" if n and (n > 40 or LETTERS.search(text)) else ""), n
+    count = {"Latin": _count(RUNS["Latin"], text)}
     letters = _count(LETTERS, text)
-    if not letters:
-        return "", 0
-    latin = _count(RUNS["Latin"], text)
-    if latin * 2 > letters:
-        return "Latin", letters
-    count = {s: _count(r, text) for s, r in RUNS.items() if s != "Latin"} | {"Latin": latin}
-    if count["Kana"] and count["Kana"] * 10 >= count["Kana"] + count["Han"]:
-        count["Kana"] += count["Han"]
+    if count["Latin"] * 2 <= letters:
+        count |= {s: _count(r, text) for s, r in RUNS.items() if s != "Latin"}
+        if count["Kana"] and count["Kana"] * 10 >= count["Kana"] + count["Han"]:
+            count["Kana"] += count["Han"]
     best = max(count, key=count.__getitem__)
     return (best if count[best] else ""), letters
 
@@ -112,9 +122,8 @@ class Dictionaries:
             d.precompute_compress(level=LEVEL)
             self.of[lang] = zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False)
 
-    def sizes(self, text: str, langs: tuple[str, ...]) -> dict[str, int]:
-        """The compressed size of ``text`` with each language's dictionary."""
-        raw = text.encode("utf-8", "replace")
+    def sizes(self, raw: bytes, langs: tuple[str, ...]) -> dict[str, int]:
+        """The compressed size of ``raw`` with each language's dictionary."""
         return {k: len(self.of[k].compress(raw)) for k in langs if k in self.of}
 
 
@@ -127,10 +136,11 @@ def sentences(text: str, dicts: Dictionaries, cut: Iterable[tuple[int, int]]) ->
     out = []
     for start, end in cut:
         bare = plain(text[start:end])
-        script, letters = main_script(bare)
+        raw = compressible(bare)
+        script, letters = main_script(bare, raw)
         if script and letters >= LEAST_LETTERS[script]:
             langs = SCRIPTS[script]
-            out.append((start, end, dicts.sizes(bare, langs) if len(langs) > 1 else {langs[0]: len(bare)}))
+            out.append((start, end, dicts.sizes(raw, langs) if len(langs) > 1 else {langs[0]: len(bare)}))
     return out
 
 
@@ -138,7 +148,9 @@ def certain(sizes: dict[str, int]) -> tuple[str, float]:
     """The language of a sentence and its confidence, from 0 to 1; no language where the margin is narrow."""
     if len(sizes) == 1:
         return next(iter(sizes)), 1.0
-    (best, a), (_, b) = sorted(sizes.items(), key=lambda x: (x[1], x[0]))[:2]
+    best = min(sizes, key=sizes.__getitem__)  # of equals the first by name, but then the margin is narrow anyway
+    a = sizes[best]
+    b = min(n for k, n in sizes.items() if k != best)
     margin = (b - a) / max(a, 1)
     sure = b - a >= MARGIN_BYTES and margin >= MARGIN_SHARE
     return (best if sure else ""), min(1.0, margin / (4 * MARGIN_SHARE))
@@ -152,17 +164,18 @@ def stretches(text: str, dicts: Dictionaries, field: Field) -> list[tuple[int, i
     Sentences are cut roughly; where they speak for several languages, they are cut anew with ``field``.
     """
     found = sentences(text, dicts, rough_sentences(text))
-    if len({certain(z)[0] for _, _, z in found} - {""}) > 1:
+    said = [(s, e, *certain(z)) for s, e, z in found]
+    if len({x[2] for x in said} - {""}) > 1:
         found = sentences(text, dicts, units(text, field))
+        said = [(s, e, *certain(z)) for s, e, z in found]
     if not found:
         bare = plain(text)
-        script, _ = main_script(bare)
+        script, _ = main_script(bare, compressible(bare))
         if not script:
             return []
-        sizes = dicts.sizes(bare, SCRIPTS[script])
+        sizes = dicts.sizes(compressible(bare), SCRIPTS[script])
         best = min(sizes, key=lambda k: (sizes[k], k))
         return [(0, len(text), best, 0.0, False)]
-    said = [(s, e, *certain(z)) for s, e, z in found]
     if not any(x[2] for x in said):
         total: Counter = Counter()
         for _, _, z in found:
@@ -186,7 +199,7 @@ def stretches(text: str, dicts: Dictionaries, field: Field) -> list[tuple[int, i
 @functools.cache
 def _seed_dictionaries() -> Dictionaries:
     fill = regex.compile(r"\{\w\}")
-    return Dictionaries({k: plain(fill.sub("", v.replace("|", " "))).encode() for k, v in sentence_seed.SEED.items()})
+    return Dictionaries({k: compressible(plain(fill.sub("", v.replace("|", " ")))) for k, v in sentence_seed.SEED.items()})
 
 
 def make(labelled: list[tuple[str, str]], dict_bytes: int = DICT_BYTES) -> Dictionaries:
@@ -194,7 +207,7 @@ def make(labelled: list[tuple[str, str]], dict_bytes: int = DICT_BYTES) -> Dicti
     labelled = sorted(labelled)
     dicts = _seed_dictionaries()
     for _ in range(2):
-        kept: dict[str, list[str]] = defaultdict(list)
+        kept: dict[str, list[bytes]] = defaultdict(list)
         for lang, text in labelled:
             found = sentences(text, dicts, rough_sentences(text)) if lang in LANGUAGES else []
             if not found:
@@ -203,19 +216,19 @@ def make(labelled: list[tuple[str, str]], dict_bytes: int = DICT_BYTES) -> Dicti
             for _, _, z in found:
                 total.update({k: max(z.values()) - n + 1 for k, n in z.items()})
             if max(total, key=lambda k: (total[k], k)) == lang:
-                own = ((plain(text[s:e]), z) for s, e, z in found if lang in z)
+                own = ((compressible(plain(text[s:e])), z) for s, e, z in found if lang in z)
                 kept[lang] += [x for x, z in own if z[lang] == min(z.values()) or len(x) < HEADING]
         content = {}
         for lang in LANGUAGES:
             own = sorted(set(kept[lang]))
             random.Random(3).shuffle(own)
-            size, take = len(_seed_dictionaries().content[lang]), [_seed_dictionaries().content[lang].decode()]
+            size, take = len(_seed_dictionaries().content[lang]), [_seed_dictionaries().content[lang]]
             for x in own:
                 if size > dict_bytes:
                     break
                 take.append(x)
-                size += len(x.encode()) + 1
-            content[lang] = "\n".join(take).encode()
+                size += len(x) + 1
+            content[lang] = b"\n".join(take)
         dicts = Dictionaries(content)
     return dicts
 
@@ -241,7 +254,12 @@ def language_stretches(documents: DataFrame, dicts: Dictionaries) -> DataFrame:
         field.weights, field.pairs = weights
         t = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string()), ("confidence", pa.float64()), ("own", pa.bool_())]))
         for b in batches:
-            rows = [[dict(zip(("start", "end", "lang", "confidence", "own"), x, strict=True)) for x in stretches(text or "", d, field)] for text in b.column(2).to_pylist()]
+            known: dict[str, list] = {}  # a text filed several times is read once a batch
+            rows = []
+            for text in b.column(2).to_pylist():
+                if text not in known:
+                    known[text] = [dict(zip(("start", "end", "lang", "confidence", "own"), x, strict=True)) for x in stretches(text or "", d, field)]
+                rows.append(known[text])
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(rows, t)], names=["doc_id", "raw", "stretches"])
 
     return documents.select("doc_id", F.col("lang").alias("raw"), "text").mapInArrow(run, f"doc_id bigint, raw string, stretches {kind}")
