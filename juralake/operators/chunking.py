@@ -125,7 +125,7 @@ def contract_pieces(text: str, most: int = 1000, overlap: int = 100) -> list[tup
         spans.append((None, "Document", 0, text))
     elif text[: heads[0].start()].strip():
         spans.append((None, "Preamble", 0, text[: heads[0].start()].strip()))
-    for m, after in zip(heads, [*heads[1:], None], strict=True):
+    for m, after in zip(heads, [*heads[1:], None], strict=False):
         spans.append((m.group(1), m.group(2).strip(), m.start(), text[m.start() : after.start() if after else len(text)].strip()))
     out: list[tuple[str, str, str | None, str, int, int]] = []
     for number, title, start, body in spans:

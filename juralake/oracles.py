@@ -25,7 +25,7 @@ def _keywords(c: str) -> str:
 SYN = """
     concat('Article ', doc_id % 200 + 1, ' of Regulation ', doc_id % 37, ' applies since ', doc_id % 28 + 1, ' March 2', lpad((doc_id % 30)::VARCHAR, 3, '0'),
         CASE WHEN doc_id % 3 = 0 THEN concat('. The Court and the defendant cite (', 1950 + doc_id % 60, ') ', doc_id % 9 + 1, ' QB ', doc_id % 400) ELSE '. The commission noted no. 7' END,
-        CASE WHEN doc_id % 4 = 0 THEN concat('. See ', doc_id % 90 + 10, ' F.3d ', doc_id % 700 + 1, CASE WHEN doc_id % 8 = 0 THEN concat(', ', doc_id % 700 + 5) ELSE '' END, ' (2d Cir. ', 1980 + doc_id % 40, ') and ', doc_id % 50 + 1, ' U.S.C. § ', doc_id % 999 + 1) ELSE '' END,
+        CASE WHEN doc_id % 4 = 0 THEN concat('. See ', doc_id % 90 + 10, ' F. Supp. ', doc_id % 700 + 1, CASE WHEN doc_id % 8 = 0 THEN concat(', ', doc_id % 700 + 5) ELSE '' END, ' (2d Cir. ', 1980 + doc_id % 40, ') and ', doc_id % 50 + 1, ' U.S.C. § ', doc_id % 999 + 1) ELSE '' END,
         CASE doc_id % 5 WHEN 0 THEN '. This agreement binds the parties' WHEN 1 THEN '. GDPR privacy policy' WHEN 2 THEN '. A federal merger case' ELSE '' END, '. ', coalesce(text, ''))"""
 SEEDED = f"(SELECT doc_id, docket, {SYN} AS syn FROM documents)"
 CANDS = "(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY created_at) AS n_th FROM colbert_results) WHERE n_th = 1)"
@@ -103,7 +103,7 @@ def _pack(overlap: int, sentences: str) -> str:
                 CASE WHEN v > 256 THEN 0 WHEN full_ THEN coalesce(list_sum(n[back + 1:i]), 0) + v ELSE held + v END,
                 CASE WHEN (v > 256 AND i > start) OR (v <= 256 AND full_) THEN start ELSE -1 END,
                 CASE WHEN (v > 256 AND i > start) OR (v <= 256 AND full_) THEN i - 1 ELSE -1 END
-            FROM (SELECT *, CASE WHEN full_ THEN coalesce(list_min(list_filter(range(start + 1, i + 1), lambda j: coalesce(list_sum(n[j + 1:i]), 0) <= {overlap})), i) ELSE start END AS back
+            FROM (SELECT *, CASE WHEN full_ THEN coalesce(list_min(list_filter(range(start, i + 1), lambda j: coalesce(list_sum(n[j + 1:i]), 0) <= {overlap})), i) ELSE start END AS back
                   FROM (SELECT *, n[i + 1] AS v, held + n[i + 1] > 256 AND i > start AS full_ FROM walk WHERE i < len(n)))
         ),
         ends AS (SELECT doc_id, start AS first, i - 1 AS last FROM walk WHERE i = len(n) AND start < len(n))

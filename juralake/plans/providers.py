@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType, StringType, StructField, StructType
 
 #: Texts in one call.
 BATCH = 64
@@ -84,7 +85,7 @@ def embedded(df: DataFrame, text: str, make: Callable[[], Embedder], name: str =
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(out, pa.list_(pa.float32()))], names=[*b.schema.names[:-1], name])
 
     plain = df.select("*", F.col(text).alias("__text"))
-    return plain.mapInArrow(run, df.schema.add(name, "array<float>"))
+    return plain.mapInArrow(run, StructType([*df.schema.fields, StructField(name, ArrayType(FloatType()))]))
 
 
 def completed(df: DataFrame, prompt: str, make: Callable[[], Completer], name: str = "reply") -> DataFrame:
@@ -103,7 +104,7 @@ def completed(df: DataFrame, prompt: str, make: Callable[[], Completer], name: s
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(out, pa.string())], names=[*b.schema.names[:-1], name])
 
     plain = df.select("*", F.col(prompt).alias("__prompt"))
-    return plain.mapInArrow(run, df.schema.add(name, "string"))
+    return plain.mapInArrow(run, StructType([*df.schema.fields, StructField(name, StringType())]))
 
 
 def cost(usage: DataFrame, prices: Sequence[tuple[str, float, float]]) -> DataFrame:

@@ -21,7 +21,7 @@ def _seeded(docs: DataFrame) -> DataFrame:
     syn = F.concat(
         F.lit("Article "), (i % 200 + 1).cast("string"), F.lit(" of Regulation "), (i % 37).cast("string"), F.lit(" applies since "), (i % 28 + 1).cast("string"), F.lit(" March 2"), F.lpad((i % 30).cast("string"), 3, "0"),
         F.when(i % 3 == 0, F.concat(F.lit(". The Court and the defendant cite ("), (F.lit(1950) + i % 60).cast("string"), F.lit(") "), (i % 9 + 1).cast("string"), F.lit(" QB "), (i % 400).cast("string"))).otherwise(F.lit(". The commission noted no. 7")),
-        F.when(i % 4 == 0, F.concat(F.lit(". See "), (i % 90 + 10).cast("string"), F.lit(" F.3d "), (i % 700 + 1).cast("string"), F.when(i % 8 == 0, F.concat(F.lit(", "), (i % 700 + 5).cast("string"))).otherwise(F.lit("")), F.lit(" (2d Cir. "), (F.lit(1980) + i % 40).cast("string"), F.lit(") and "), (i % 50 + 1).cast("string"), F.lit(" U.S.C. § "), (i % 999 + 1).cast("string"))).otherwise(F.lit("")),
+        F.when(i % 4 == 0, F.concat(F.lit(". See "), (i % 90 + 10).cast("string"), F.lit(" F. Supp. "), (i % 700 + 1).cast("string"), F.when(i % 8 == 0, F.concat(F.lit(", "), (i % 700 + 5).cast("string"))).otherwise(F.lit("")), F.lit(" (2d Cir. "), (F.lit(1980) + i % 40).cast("string"), F.lit(") and "), (i % 50 + 1).cast("string"), F.lit(" U.S.C. § "), (i % 999 + 1).cast("string"))).otherwise(F.lit("")),
         F.when(i % 5 == 0, F.lit(". This agreement binds the parties")).when(i % 5 == 1, F.lit(". GDPR privacy policy")).when(i % 5 == 2, F.lit(". A federal merger case")).otherwise(F.lit("")),
         F.lit(". "), F.coalesce("text", F.lit("")),
     )

@@ -132,7 +132,7 @@ def scan_files(spark: SparkSession, folder: str, pattern: str = "*.txt", parser:
     A file that can't be read as text keeps its row, with error set.
     """
     raw = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder)
-    text = (parser or (lambda c: F.try_to_binary(c.cast("string"), F.lit("utf-8")).cast("string")))(F.col("content"))
+    text = (parser or (lambda c: c.cast("string")))(F.col("content"))
     good = F.try_validate_utf8(text)
     return raw.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("source"), good.alias("content"), F.when(good.isNull(), F.lit("not valid UTF-8")).alias("error"))
 
