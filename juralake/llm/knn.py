@@ -27,9 +27,9 @@ PROBES = 20
 #: Clusters whose vectors are searched by one task; they share most of what they search.
 GROUP = 8
 #: Vectors by code that are ranked anew exactly.
-RERANK = 32
+RERANK = 64
 #: Inner products above this share of the norm are the ones whose error counts most.
-THRESHOLD = 0.2
+THRESHOLD = 0.3
 #: A cluster with this many times its share of the sample is split on.
 SPLIT = 3.0
 MAX_CLUSTERS = 4096
