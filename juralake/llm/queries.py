@@ -104,7 +104,24 @@ def oracle_sql() -> dict[str, str]:
         SELECT query_id, chunk_id, CASE WHEN NOT isnan(original_score) THEN original_score END AS o, CASE WHEN NOT isnan(colbert_score) THEN colbert_score END AS c,
                list_max(list_filter(sentence_scores, lambda x: x IS NOT NULL AND NOT isnan(x))) AS s
         FROM (SELECT *, row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY created_at) AS n FROM colbert_results) WHERE n = 1"""
+    nearest = " UNION ALL ".join(
+        f"""SELECT a.id, b.id AS other, list_cosine_similarity(a.v::DOUBLE[], b.v::DOUBLE[]) AS c FROM v{i} a JOIN v{i} b ON a.id <> b.id
+            QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY list_cosine_similarity(a.v::DOUBLE[], b.v::DOUBLE[]) DESC, b.id) <= 5"""
+        for i in (1536, 1024, 1792)
+    )
+    vectors = ", ".join(
+        f"""v{i} AS (SELECT DISTINCT id, embedding_{i} AS v FROM chunks WHERE len(embedding_{i}) = (SELECT stored_dims FROM embedding_models WHERE vector_column = 'embedding_{i}')
+            AND len(list_filter(embedding_{i}, lambda x: x IS NOT NULL AND NOT isnan(x) AND NOT isinf(x))) = len(embedding_{i}) AND len(list_filter(embedding_{i}, lambda x: x <> 0)) > 0)"""
+        for i in (1536, 1024, 1792)
+    )
     return {
+        "p1_found": r"""
+            WITH w AS (SELECT id, regexp_extract_all(lower(regexp_replace(content, '(\p{L})Σ([^\p{L}]|$)', '\1ς\2', 'g')), '[\p{L}\p{N}]+') AS w FROM (SELECT DISTINCT id, content FROM chunks) WHERE content IS NOT NULL),
+            t AS (SELECT DISTINCT id, unnest(list_zip(w[:-3], w[2:-2], w[3:])) AS t FROM w WHERE len(w) >= 30),
+            n AS (SELECT id, count(*) AS n FROM t GROUP BY id),
+            b AS (SELECT x.id AS id_a, y.id AS id_b, count(*) AS shared FROM t x JOIN t y ON x.t = y.t AND x.id < y.id GROUP BY ALL)
+            SELECT id_a, id_b FROM b JOIN n p ON p.id = id_a JOIN n q ON q.id = id_b WHERE shared >= 0.6 * (p.n + q.n - shared)""",
+        "p3_found": f"WITH {vectors}, k AS ({nearest}) SELECT DISTINCT least(id, other) AS id_a, greatest(id, other) AS id_b FROM k WHERE c >= 0.85",
         "p4_found": """
             SELECT DISTINCT id, CASE WHEN regexp_matches(content, '[A-Za-z0-9+/=_-]{1000}[A-Za-z0-9+/=_-]{1000}[A-Za-z0-9+/=_-]') THEN 'forced' ELSE 'natural' END AS cut
             FROM chunks WHERE length(content) > 2000""",
