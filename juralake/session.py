@@ -12,6 +12,9 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows in an Arrow batch.
+BATCH_ROWS = 2000
+
 
 def local_session(cores: int | str = 8, shuffle_partitions: int = 8, app: str = "juralake") -> SparkSession:
     """A local session for tests and bench; a cluster brings its own session."""
@@ -55,8 +58,13 @@ def materialise(df: DataFrame, name: str = "stage") -> DataFrame:
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Give the executors this package, once per application; Spark's file server carries it to them."""
+    """Give the executors this package, once per application; Spark's file server carries it to them.
+
+    Arrow batches are held to BATCH_ROWS rows, as a batch of whole texts must fit into a worker.
+    """
     sc = spark.sparkContext
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     if not getattr(sc, "_juralake_shipped", False):
         root = Path(__file__).resolve().parent
         tmp = tempfile.mkdtemp(prefix="juralake-")  # the driver serves the file from here until it ends
