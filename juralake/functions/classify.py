@@ -49,24 +49,26 @@ def classification(query: Column) -> Column:
     most. Legal terms add 0.3 each up to 1; above 0.5 two more results are fetched, 12 at most, and reranked.
     """
     q = F.regexp_replace(F.lower(query), r"^\s+|\s+$", "")
-    s = scores(q)
-    best = F.greatest(*s.values())
-    kind = F.lit("conceptual")
-    for name in reversed([*s][:-1]):
-        kind = F.when(s[name] == best, F.lit(name)).otherwise(kind)
-    total = sum(s.values(), F.lit(0.0))
-    blank = q.isNull() | (q == "")
-    boost = F.least(F.lit(1.0), hits(q, LEGAL, 0.3))
-    base = F.create_map(*(F.lit(x) for kv in BASE_RESULTS.items() for x in kv))
-    sure = F.least(F.lit(0.95), best / F.when(total > 0, total).otherwise(F.lit(1.0)) + 0.1)
-    name = F.when(blank, F.lit("factual")).otherwise(kind)
-    n = base[name]
-    legal = ~blank & (boost > 0.5)
-    return F.struct(
-        name.alias("kind"), F.when(blank, F.lit(0.5)).otherwise(sure).alias("confidence"),
-        F.when(legal, F.least(n + 2, F.lit(12))).otherwise(n).alias("n_results"),
-        (legal | name.isin("complex", "conceptual")).alias("use_reranking"),
-    )
+    each = scores(q)
+    values = F.struct(*(v.alias(k) for k, v in each.items()), F.least(F.lit(1.0), hits(q, LEGAL, 0.3)).alias("boost"), (q.isNull() | (q == "")).alias("blank"))
+
+    def told(s: Column) -> Column:
+        best = F.greatest(*(s[k] for k in each))
+        kind = F.lit([*each][-1])
+        for name in reversed([*each][:-1]):
+            kind = F.when(s[name] == best, F.lit(name)).otherwise(kind)
+        total = sum((s[k] for k in each), F.lit(0.0))
+        sure = F.least(F.lit(0.95), best / F.when(total > 0, total).otherwise(F.lit(1.0)) + 0.1)
+        name = F.when(s["blank"], F.lit("factual")).otherwise(kind)
+        n = F.create_map(*(F.lit(x) for kv in BASE_RESULTS.items() for x in kv))[name]
+        legal = ~s["blank"] & (s["boost"] > 0.5)
+        return F.struct(
+            name.alias("kind"), F.when(s["blank"], F.lit(0.5)).otherwise(sure).alias("confidence"),
+            F.when(legal, F.least(n + 2, F.lit(12))).otherwise(n).alias("n_results"),
+            (legal | name.isin("complex", "conceptual")).alias("use_reranking"),
+        )
+
+    return F.transform(F.array(values), told)[0]  # bound once, else every pattern is tried at every mention
 
 
 def should_decompose(query: Column) -> Column:

@@ -47,8 +47,9 @@ def token_count(c: Column) -> Column:
 
 def protect_abbreviations(c: Column) -> Column:
     """``c`` with ``<ABBREV_DOT>`` for the full stop after every known abbreviation, longest first, whatever its case."""
-    words = "|".join(sorted(set(ABBREVIATIONS), key=lambda w: (-len(w), w)))
-    return F.regexp_replace(c, rf"(?iu)(?<![\p{{L}}\p{{M}}\p{{N}}_])({words})\.", f"$1{ABBREV_DOT}")
+    words = sorted(set(ABBREVIATIONS), key=lambda w: (-len(w), w))
+    soon = rf"(?=\p{{L}}{{1,{len(words[0])}}}\.)"  # a short word and its full stop, else no abbreviation need be tried
+    return F.regexp_replace(c, rf"(?iu)(?<![\p{{L}}\p{{M}}\p{{N}}_]){soon}({'|'.join(words)})\.", f"$1{ABBREV_DOT}")
 
 
 def restore_abbreviations(c: Column) -> Column:

@@ -66,11 +66,11 @@ def bm25(texts: DataFrame, queries: DataFrame, k: int = 5, k1: float = 1.2, b: f
     Only postings of terms that a query has go on, so a term's frequency is the count of its postings; text numbers and mean
     sizes are over all texts with words. Repeated terms of a query count once. Scores are rounded to 6 places.
     """
-    index = postings(texts, ident, text)
     totals = texts.select(F.size(words(lowered(F.col(text)))).alias("n")).where("n > 0").agg(F.count("*").alias("texts"), F.avg("n").alias("mean"))
     asked = queries.select("query_id", F.explode(F.array_distinct(words(lowered(F.col("query"))))).alias("term"))
     terms = asked.select("term").distinct()
-    held = index.join(terms, "term")  # as the terms asked for are few, this cuts the index before anything else
+    split = texts.select(F.col(ident).alias("id"), words(lowered(F.col(text))).alias("w")).select("id", F.size("w").alias("size"), F.explode("w").alias("term"))
+    held = split.join(terms, "term").groupBy("id", "term", "size").agg(F.count("*").alias("tf"))  # words that none asks for go before the shuffle
     df = held.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.ln(1 + (F.col("texts") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("size") / F.col("mean")))

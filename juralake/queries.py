@@ -12,7 +12,7 @@ from juralake.functions import classify, extract, text
 from juralake.operators import chunking, fusion, lexical, rerank, vector
 from juralake.plans import workflow
 from juralake.sources import store
-from juralake.sources.tables import delivered_once, table
+from juralake.sources.tables import delivered_once, spread, table
 
 
 def _seeded(docs: DataFrame) -> DataFrame:
@@ -36,6 +36,11 @@ def _docs(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents")
 
 
+def _spread(spark: SparkSession, d: str) -> DataFrame:
+    """Documents for work that takes long on each."""
+    return spread(table(spark, d, "documents"))
+
+
 def _chunks(spark: SparkSession, d: str, *columns: str) -> DataFrame:
     return delivered_once(table(spark, d, "chunks"), *columns)
 
@@ -166,21 +171,21 @@ def keywords(spark: SparkSession, d: str) -> DataFrame:
 
 
 def sentences(spark: SparkSession, d: str) -> DataFrame:
-    return _docs(spark, d).select("doc_id", F.posexplode(text.split_sentences(F.col("text"), protect=False)).alias("pos", "sentence"))
+    return _spread(spark, d).select("doc_id", F.posexplode(text.split_sentences(F.col("text"), protect=False)).alias("pos", "sentence"))
 
 
 def sentences_protected(spark: SparkSession, d: str) -> DataFrame:
-    s = _seeded(_docs(spark, d)).select("doc_id", text.split_sentences(F.col("syn")).alias("s"))
+    s = _seeded(_spread(spark, d)).select("doc_id", text.split_sentences(F.col("syn")).alias("s"))
     return s.select("doc_id", F.size("s").alias("n"), F.get("s", F.lit(1)).alias("second"))
 
 
 def words(spark: SparkSession, d: str) -> DataFrame:
-    w = _docs(spark, d).where("text IS NOT NULL").select("doc_id", text.words(F.col("text")).alias("w"))
+    w = _spread(spark, d).where("text IS NOT NULL").select("doc_id", text.words(F.col("text")).alias("w"))
     return w.select("doc_id", F.size("w").alias("n"), F.coalesce(F.get("w", F.lit(0)), F.lit("")).alias("first"), F.coalesce(F.element_at("w", F.when(F.size("w") > 0, -1)), F.lit("")).alias("last"))
 
 
 def abbrev_protect(spark: SparkSession, d: str) -> DataFrame:
-    return _seeded(_docs(spark, d)).select("doc_id", text.protect_abbreviations(F.col("syn")).alias("protected"))
+    return _seeded(_spread(spark, d)).select("doc_id", text.protect_abbreviations(F.col("syn")).alias("protected"))
 
 
 def normalize_text(spark: SparkSession, d: str) -> DataFrame:
@@ -198,7 +203,7 @@ def token_stats(spark: SparkSession, d: str) -> DataFrame:
 
 
 def colbert_sentences(spark: SparkSession, d: str) -> DataFrame:
-    s = _docs(spark, d).where("text IS NOT NULL").select("doc_id", text.colbert_sentences(F.col("text")).alias("s"))
+    s = _spread(spark, d).where("text IS NOT NULL").select("doc_id", text.colbert_sentences(F.col("text")).alias("s"))
     return s.select("doc_id", F.size("s").alias("n"), F.sha2(F.array_join("s", "|"), 256).alias("digest"))
 
 
@@ -220,20 +225,20 @@ def template_fill(spark: SparkSession, d: str) -> DataFrame:
 
 
 def chunk_pack(spark: SparkSession, d: str) -> DataFrame:
-    return chunking.packed_chunks(_docs(spark, d), "doc_id", "text", 256, 0).where("kind = 'packed'").select("doc_id", "first", "last")
+    return chunking.packed_chunks(_spread(spark, d), "doc_id", "text", 256, 0).where("kind = 'packed'").select("doc_id", "first", "last")
 
 
 def chunk_overlap(spark: SparkSession, d: str) -> DataFrame:
-    return chunking.packed_chunks(_docs(spark, d), "doc_id", "text", 256, 50).where("kind = 'packed'").select("doc_id", "first", "last")
+    return chunking.packed_chunks(_spread(spark, d), "doc_id", "text", 256, 50).where("kind = 'packed'").select("doc_id", "first", "last")
 
 
 def chunk_sections(spark: SparkSession, d: str) -> DataFrame:
-    docs = _seeded(_docs(spark, d)).select("doc_id", F.concat(F.lit("Preamble. "), "syn", F.lit(" Section 9 ends."), F.when(F.col("doc_id") % 2 == 0, F.lit(" Chapter 10 too.")).otherwise(F.lit(""))).alias("t"))
+    docs = _seeded(_spread(spark, d)).select("doc_id", F.concat(F.lit("Preamble. "), "syn", F.lit(" Section 9 ends."), F.when(F.col("doc_id") % 2 == 0, F.lit(" Chapter 10 too.")).otherwise(F.lit(""))).alias("t"))
     return chunking.sections(docs, "doc_id", "t").select("doc_id", "head", F.length("section").alias("size"))
 
 
 def structured_chunks(spark: SparkSession, d: str) -> DataFrame:
-    out = chunking.structured_chunks(_docs(spark, d), "doc_id", "text")
+    out = chunking.structured_chunks(_spread(spark, d), "doc_id", "text")
     return out.groupBy("type").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("docs"))
 
 
@@ -246,35 +251,35 @@ def contract_chunks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def legal_refs(spark: SparkSession, d: str) -> DataFrame:
-    return _seeded(_docs(spark, d)).select("doc_id", _joined(extract.article_refs(F.col("syn"))).alias("refs"))
+    return _seeded(_spread(spark, d)).select("doc_id", _joined(extract.article_refs(F.col("syn"))).alias("refs"))
 
 
 def legal_dates(spark: SparkSession, d: str) -> DataFrame:
-    return _seeded(_docs(spark, d)).select("doc_id", _joined(extract.dates(F.col("syn"))).alias("dates"))
+    return _seeded(_spread(spark, d)).select("doc_id", _joined(extract.dates(F.col("syn"))).alias("dates"))
 
 
 def legal_citations(spark: SparkSession, d: str) -> DataFrame:
-    return _seeded(_docs(spark, d)).select("doc_id", _joined(extract.report_citations(F.col("syn"))).alias("cites"))
+    return _seeded(_spread(spark, d)).select("doc_id", _joined(extract.report_citations(F.col("syn"))).alias("cites"))
 
 
 def legal_entities(spark: SparkSession, d: str) -> DataFrame:
-    return _seeded(_docs(spark, d)).select("doc_id", _joined(extract.entities(F.col("syn"))).alias("entities"))
+    return _seeded(_spread(spark, d)).select("doc_id", _joined(extract.entities(F.col("syn"))).alias("entities"))
 
 
 def citations(spark: SparkSession, d: str) -> DataFrame:
-    c = _seeded(_docs(spark, d)).select("doc_id", F.posexplode(extract.citations(F.col("syn"))).alias("pos", "c"))
+    c = _seeded(_spread(spark, d)).select("doc_id", F.posexplode(extract.citations(F.col("syn"))).alias("pos", "c"))
     return c.select("doc_id", "pos", "c.kind", "c.volume", "c.page", "c.year", "c.normal")
 
 
 def context_prefix(spark: SparkSession, d: str) -> DataFrame:
-    s = _seeded(_docs(spark, d))
+    s = _seeded(_spread(spark, d))
     x = F.col("syn")
     p = extract.context_prefix(F.concat(F.col("docket"), F.lit("_a-b.pdf")), F.lit(None).cast("string"), F.lit("legal_section"), extract.article_refs(x), extract.entities(x), extract.dates(x), extract.report_citations(x))
     return s.select("doc_id", p.alias("prefix"))
 
 
 def metadata_heuristic(spark: SparkSession, d: str) -> DataFrame:
-    return _seeded(_docs(spark, d)).select("doc_id", extract.heuristic_metadata(F.substring("syn", 1, 150)).alias("m")).select("doc_id", "m.*")
+    return _seeded(_spread(spark, d)).select("doc_id", extract.heuristic_metadata(F.substring("syn", 1, 150)).alias("m")).select("doc_id", "m.*")
 
 
 def metadata_normal(spark: SparkSession, d: str) -> DataFrame:
@@ -288,7 +293,7 @@ def metadata_normal(spark: SparkSession, d: str) -> DataFrame:
 
 def _asked(spark: SparkSession, d: str) -> DataFrame:
     """The queries, each also asked in five other ways."""
-    q = table(spark, d, "search_queries").select("query_id", F.explode(F.array(
+    q = spread(table(spark, d, "search_queries")).select("query_id", F.explode(F.array(
         F.col("query"), F.concat(F.lit("what is the meaning of "), "query"), F.concat(F.lit("how does Article 5 of the directive limit a ruling on "), "query", F.lit(" generally?")),
         F.concat(F.lit("compare the effects of "), "query", F.lit(" and of fines, or penalties? And if not, why must it be so unless provided?")), F.concat(F.lit('"'), "query", F.lit('"')), F.lit("  "),
     )).alias("q"))

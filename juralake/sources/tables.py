@@ -17,3 +17,13 @@ def delivered_once(chunks: DataFrame, *columns: str) -> DataFrame:
     as nothing could be reported for them. Hashing by id also evens out partitions of very uneven content sizes.
     """
     return chunks.where("id IS NOT NULL").select("id", *columns).dropDuplicates(["id"])
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """``scan`` over at least as many partitions as the session has cores, for work that takes long on each row.
+
+    A table of few files, as on one machine, is dealt out anew; one that is large enough comes in many partitions and isn't
+    shuffled. ``scan`` must be a plain read, whose partitions are known without running it.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan._jdf.queryExecution().toRdd().getNumPartitions() >= cores else scan.repartition(cores)
