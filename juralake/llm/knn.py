@@ -85,24 +85,28 @@ class Index:
 
     def encode(self, v: np.ndarray, cluster: np.ndarray, passes: int = 2) -> np.ndarray:
         """Four-bit codes (vectors, subspaces) that minimise the anisotropic loss, one subspace after another."""
-        x = self.pad(v).reshape(len(v), -1, 2)
-        t = x - self.pad(self.centres)[cluster].reshape(x.shape)
-        code = np.empty(x.shape[:2], np.uint8)
-        for m in range(x.shape[1]):
-            code[:, m] = ((t[:, m, None] - self.books[m]) ** 2).sum(-1).argmin(axis=1)
-        sub = np.arange(x.shape[1])
-        along = ((t - self.books[sub, code]) * x).sum(-1)
-        total = along.sum(axis=1)
+        x = np.ascontiguousarray(self.pad(v).T)  # by coordinate, as sums over pairs of coordinates are written out
+        t = x - self.pad(self.centres)[cluster].T
+        n_sub = len(self.books)
+        code = np.empty((n_sub, len(v)), np.uint8)
+        along = np.empty((n_sub, len(v)), np.float32)
+        for m in range(n_sub):
+            r0, r1 = t[2 * m, :, None] - self.books[m, :, 0], t[2 * m + 1, :, None] - self.books[m, :, 1]
+            code[m] = (r0 * r0 + r1 * r1).argmin(axis=1)
+            b = self.books[m, code[m]]
+            along[m] = (t[2 * m] - b[:, 0]) * x[2 * m] + (t[2 * m + 1] - b[:, 1]) * x[2 * m + 1]
+        total = along.sum(axis=0)
+        every = np.arange(len(v))
         for _ in range(passes):
-            for m in range(x.shape[1]):
-                rest = total - along[:, m]
-                r = t[:, m, None] - self.books[m]
-                own = (r * x[:, m, None]).sum(-1)
-                loss = (r**2).sum(-1) + (self.weight - 1) * (rest[:, None] + own) ** 2
-                code[:, m] = loss.argmin(axis=1)
-                along[:, m] = own[np.arange(len(v)), code[:, m]]
-                total = rest + along[:, m]
-        return code
+            for m in range(n_sub):
+                rest = total - along[m]
+                r0, r1 = t[2 * m, :, None] - self.books[m, :, 0], t[2 * m + 1, :, None] - self.books[m, :, 1]
+                own = r0 * x[2 * m, :, None] + r1 * x[2 * m + 1, :, None]
+                loss = r0 * r0 + r1 * r1 + (self.weight - 1) * (rest[:, None] + own) ** 2
+                code[m] = loss.argmin(axis=1)
+                along[m] = own[every, code[m]]
+                total = rest + along[m]
+        return code.T
 
     def decode(self, code: np.ndarray, cluster: np.ndarray) -> np.ndarray:
         """The vectors that codes stand for: each subspace's table looked up."""

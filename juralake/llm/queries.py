@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from juralake.llm import bpe, budget, knn, langid, mixing, neardup, ranking, sentences, split
-from juralake.sources.tables import table
+from juralake.sources.tables import spread, table
 
 VOCAB = bpe.vocabulary()
 
@@ -61,11 +61,11 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
-    return bpe.encode_ids(table(spark, d, "documents"), "doc_id", "text", VOCAB)
+    return bpe.encode_ids(spread(table(spark, d, "documents")), "doc_id", "text", VOCAB)
 
 
 def p8_shares(spark: SparkSession, d: str) -> DataFrame:
-    sized = mixing.sized_documents(table(spark, d, "documents"), table(spark, d, "label_aliases"), VOCAB)
+    sized = mixing.sized_documents(spread(table(spark, d, "documents")), table(spark, d, "label_aliases"), VOCAB)
     return mixing.mix_shares(sized, table(spark, d, "mix_targets"))
 
 
@@ -74,16 +74,16 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_mix(spark: SparkSession, d: str) -> DataFrame:
-    sized = mixing.mixture_inputs(table(spark, d, "documents"), table(spark, d, "label_aliases"), VOCAB)
+    sized = mixing.mixture_inputs(spread(table(spark, d, "documents")), table(spark, d, "label_aliases"), VOCAB)
     return mixing.mix(sized, table(spark, d, "mix_targets"))
 
 
 def p9_segments(spark: SparkSession, d: str) -> DataFrame:
-    return langid.language_segments(table(spark, d, "documents"), table(spark, d, "label_aliases"))
+    return langid.language_segments(spread(table(spark, d, "documents")), table(spark, d, "label_aliases"))
 
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    return langid.mislabelled(table(spark, d, "documents"), table(spark, d, "label_aliases"))
+    return langid.mislabelled(spread(table(spark, d, "documents")), table(spark, d, "label_aliases"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
