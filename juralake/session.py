@@ -49,11 +49,15 @@ def shared_dir(spark: SparkSession) -> str:
 def materialise(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write ``df`` once as Parquet into the shared folder and read it back.
 
-    Cuts the lineage without executor-local state: a lost executor costs nothing but the tasks it was running.
+    Cuts the lineage without executor-local state: a lost executor costs nothing but the tasks it was running. The files go
+    when the application ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    sc = spark.sparkContext
+    place = sc._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(place)
     return spark.read.parquet(path)
 
 
