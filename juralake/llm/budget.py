@@ -77,33 +77,33 @@ def with_features(df: DataFrame, text: str) -> DataFrame:
     return plain.mapInArrow(run, fields)
 
 
-def labelled_chunks(chunks: DataFrame, aliases: DataFrame) -> DataFrame:
-    """(id, content, source, lang, domain): every chunk id once, with canonical labels or ``unknown``.
+def labelled_chunks(chunks: DataFrame, aliases: DataFrame, *columns: str) -> DataFrame:
+    """(id, columns, source, lang, domain): every chunk id once, with canonical labels or ``unknown``.
 
     The keys source, language and domain stand at the metadata's top level or in its object provenance. NULL metadata,
     text that isn't valid JSON and values that are missing, null or not found give ``unknown``.
     """
-    once = delivered_once(chunks, "content", "metadata")
+    once = delivered_once(chunks, *columns, "metadata")
     v = once.withColumn("__v", F.try_parse_json("metadata"))
     for name, key in zip(LABELS, ("source", "language", "domain"), strict=True):
         v = v.withColumn(f"raw_{name}", F.coalesce(F.try_variant_get("__v", f"$.{key}", "string"), F.try_variant_get("__v", f"$.provenance.{key}", "string")))
     v = v.drop("__v", "metadata")
     for name in LABELS:
         v = resolve(v, aliases, name, f"raw_{name}", name)
-    return v.select("id", "content", *LABELS)
+    return v.select("id", *columns, *LABELS)
 
 
-def fit(labelled: DataFrame, text: str, vocab: str, fit_rows: int = FIT_ROWS, holdout_rows: int = HOLDOUT_ROWS) -> dict[str, tuple[np.ndarray, float]]:
+def fit(chunks: DataFrame, aliases: DataFrame, vocab: str, fit_rows: int = FIT_ROWS, holdout_rows: int = HOLDOUT_ROWS) -> dict[str, tuple[np.ndarray, float]]:
     """Per language the weights of FEATURES and the bias correction; "" holds those of all languages together.
 
-    Sampled are the rows with the smallest hash of the id in each language, at most fit_rows + holdout_rows; the driver gets
-    their counts alone. A language with fewer than 30 rows takes the model of all.
+    Sampled are the rows with the smallest hash of the id in each language, at most fit_rows + holdout_rows. They are chosen
+    by id and label alone; only then are their contents read. The driver gets their counts. A language with fewer than 30
+    rows takes the model of all.
     """
     w = W.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    sample = (
-        labelled.where(F.length(text) > 0).withColumn("n", F.row_number().over(w)).where(F.col("n") <= fit_rows + holdout_rows)
-        .select("lang", "n", F.col(text).alias("t1"), F.col(text).alias("t2"))
-    )
+    chosen = labelled_chunks(chunks, aliases).select("id", "lang", F.row_number().over(w).alias("n")).where(F.col("n") <= fit_rows + holdout_rows)
+    once = delivered_once(chunks.select("id", "content").join(chosen, "id"), "content", "lang", "n").where(F.length("content") > 0)
+    sample = once.select("lang", "n", F.col("content").alias("t1"), F.col("content").alias("t2"))
     rows = with_features(count_tokens(sample, "t1", vocab), "t2").collect()
     return fit_rows_of([(r["lang"], r["n"] > fit_rows, [r[f] for f in FEATURES], r["n_tokens"]) for r in rows])
 
@@ -146,9 +146,8 @@ def token_budget(chunks: DataFrame, aliases: DataFrame, vocab: str) -> DataFrame
 
     Every chunk id counts once with its whole content; NULL and empty contents have no tokens but their slice stands.
     """
-    labelled = labelled_chunks(chunks, aliases)
-    models = fit(labelled, "content", vocab)
-    counted = with_features(labelled.drop("id"), "content")
+    models = fit(chunks, aliases, vocab)
+    counted = with_features(labelled_chunks(chunks, aliases, "content").drop("id"), "content")
     return (
         estimate(counted, models).groupBy(*LABELS)
         .agg(F.count("*").alias("n_chunks"), F.sum("bytes").alias("n_bytes"), F.round(F.sum("est_tokens")).cast("bigint").alias("est_tokens"))

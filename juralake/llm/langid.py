@@ -234,10 +234,14 @@ def make(labelled: list[tuple[str, str]], dict_bytes: int = DICT_BYTES) -> Dicti
 
 
 def fit(documents: DataFrame, aliases: DataFrame, fit_docs: int = FIT_DOCS) -> Dictionaries:
-    """Dictionaries from at most ``fit_docs`` labelled documents of each language, those with the smallest hashes of doc_id."""
-    labelled = resolve(documents.select("doc_id", "text", "lang").where("text IS NOT NULL"), aliases, "lang", "lang", "label").where(F.col("label") != UNKNOWN)
+    """Dictionaries from at most ``fit_docs`` labelled documents of each language, those with the smallest hashes of doc_id.
+
+    They are chosen by id and label alone; only then are their texts read.
+    """
+    labelled = resolve(documents.select("doc_id", "lang"), aliases, "lang", "lang", "label").where(F.col("label") != UNKNOWN)
     w = W.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id")
-    rows = labelled.withColumn("n", F.row_number().over(w)).where(F.col("n") <= fit_docs).select("label", "text").collect()
+    chosen = labelled.select("doc_id", "label", F.row_number().over(w).alias("n")).where(F.col("n") <= fit_docs)
+    rows = documents.select("doc_id", "text").where("text IS NOT NULL").join(chosen, "doc_id").select("label", "text").collect()
     return make([(r["label"], r["text"]) for r in rows])
 
 
