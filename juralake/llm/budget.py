@@ -102,7 +102,8 @@ def fit(chunks: DataFrame, aliases: DataFrame, vocab: str, fit_rows: int = FIT_R
     """
     w = W.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
     chosen = labelled_chunks(chunks, aliases).select("id", "lang", F.row_number().over(w).alias("n")).where(F.col("n") <= fit_rows + holdout_rows)
-    once = delivered_once(chunks.select("id", "content").join(chosen, "id"), "content", "lang", "n").where(F.length("content") > 0)
+    # As many rows as the alias table has languages, and one more, times the rows of each: small enough to be sent to all.
+    once = delivered_once(chunks.select("id", "content").join(F.broadcast(chosen), "id"), "content", "lang", "n").where(F.length("content") > 0)
     sample = once.select("lang", "n", F.col("content").alias("t1"), F.col("content").alias("t2"))
     rows = with_features(count_tokens(sample, "t1", vocab), "t2").collect()
     return fit_rows_of([(r["lang"], r["n"] > fit_rows, [r[f] for f in FEATURES], r["n_tokens"]) for r in rows])

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from juralake.functions.labels import UNKNOWN, resolve
+from juralake.functions.labels import resolve
 from juralake.llm import sentence_seed
 from juralake.llm.sentences import Field, trained, units
 
@@ -238,10 +238,10 @@ def fit(documents: DataFrame, aliases: DataFrame, fit_docs: int = FIT_DOCS) -> D
 
     They are chosen by id and label alone; only then are their texts read.
     """
-    labelled = resolve(documents.select("doc_id", "lang"), aliases, "lang", "lang", "label").where(F.col("label") != UNKNOWN)
+    labelled = resolve(documents.select("doc_id", "lang"), aliases, "lang", "lang", "label").where(F.col("label").isin(*LANGUAGES))
     w = W.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id")
     chosen = labelled.select("doc_id", "label", F.row_number().over(w).alias("n")).where(F.col("n") <= fit_docs)
-    rows = documents.select("doc_id", "text").where("text IS NOT NULL").join(chosen, "doc_id").select("label", "text").collect()
+    rows = documents.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(chosen), "doc_id").select("label", "text").collect()  # fit_docs rows a language at most
     return make([(r["label"], r["text"]) for r in rows])
 
 
