@@ -65,7 +65,7 @@ def classification(query: Column) -> Column:
         return F.struct(
             name.alias("kind"), F.when(s["blank"], F.lit(0.5)).otherwise(sure).alias("confidence"),
             F.when(legal, F.least(n + 2, F.lit(12))).otherwise(n).alias("n_results"),
-            (legal | name.isin("complex", "conceptual")).alias("use_reranking"),
+            (legal | (name != "keyword")).alias("use_reranking"),
         )
 
     return F.transform(F.array(values), told)[0]  # bound once, else every pattern is tried at every mention

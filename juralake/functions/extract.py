@@ -17,7 +17,17 @@ ENTITY = (
 CASE_CITATION = r"([0-9]+)[ \t\n\r\f]+([A-Z][A-Za-z. \t\n\r\f]+?)[ \t\n\r\f]+([0-9]+)(?:,[ \t\n\r\f]*([0-9]+))?[ \t\n\r\f]*\(([^)]+)[ \t\n\r\f]+([0-9]{4})\)"
 STATUTE = r"(?i)([0-9]+)[ \t\n\r\f]+U\.S\.C\.[ \t\n\r\f]*§[ \t\n\r\f]*([0-9]+[a-z]?(?:\([a-z0-9]+\))?)"
 # Reporters and their abbreviations.
-REPORTERS = {"U.S.": "United States Reports", "S.Ct.": "Supreme Court Reporter", "L.Ed.": "Lawyers Edition", "F.2d": "Federal Reporter 2d", "F.3d": "Federal Reporter 3d", "F.Supp.": "Federal Supplement", "F.Supp.2d": "Federal Supplement 2d", "F.Supp.3d": "Federal Supplement 3d", "A.2d": "Atlantic Reporter 2d"}
+REPORTERS = {
+    "U.S.": "United States Reports",
+    "S.Ct.": "Supreme Court Reporter",
+    "L.Ed.": "Lawyers' Edition",
+    "F.2d": "Federal Reporter, Second Series",
+    "F.3d": "Federal Reporter, Third Series",
+    "F.4th": "Federal Reporter, Fourth Series",
+    "F.Supp.": "Federal Supplement",
+    "F.Supp.2d": "Federal Supplement, Second Series",
+    "F.Supp.3d": "Federal Supplement, Third Series",
+}
 # Patterns of document types, jurisdictions and practice areas, the first that matches wins.
 DOCUMENT_TYPES = {
     "contract": (r"\b(agreement|contract|terms|covenant)\b", r"\b(parties?|undersigned)\b.*\b(agree|enter)\b"),

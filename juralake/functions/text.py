@@ -27,7 +27,7 @@ KEYWORD_STOPWORDS = ("what", "when", "where", "which", "that", "this", "with", "
 WORD = r"[\p{L}\p{M}\p{N}_]+"
 SPACE = r"[ \t\n\r\f]"
 #: What storage can't hold: controls but tab and line ends, replacement characters, byte order marks, private use, surrogates.
-UNSTORABLE = "[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F-\\x9F\\x{FFFD}\\x{FEFF}\\x{FFFE}\\x{E000}-\\x{F8FF}\\x{D800}-\\x{DFFF}]"
+UNSTORABLE = "[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x{FFFD}\\x{FEFF}\\x{FFFE}\\x{E000}-\\x{F8FF}\\x{D800}-\\x{DFFF}]"
 
 
 def strip(c: Column) -> Column:

@@ -92,7 +92,7 @@ def packed_chunks(docs: DataFrame, key: str, text: str, most: int = 256, overlap
 
 
 # The head of a section: a keyword and a number.
-SECTION_HEAD = r"(?i)(?:Article|Section|Chapter|Part|Title)[ \t\n\r\f]+[0-9]+"
+SECTION_HEAD = r"(?i)(?:Article|Section|Regulation|§|Chapter|Part|Title|Rule)[ \t\n\r\f]+[0-9]+[.0-9]*[0-9A-Za-z_]*"
 
 
 def sections(docs: DataFrame, key: str, text: str, keep_preamble: bool = False) -> DataFrame:
@@ -109,6 +109,7 @@ def sections(docs: DataFrame, key: str, text: str, keep_preamble: bool = False)
     return kept.select(key, F.col("pos").alias("section_index"), "head", "section")
 
 
+# Fixed value: the numbered head of a contract's section.
 CONTRACT_HEAD = regex.compile(r"^(\d+(?:\.\d+)*)\s*[.\-–]\s*(.+?)(?=\n)", regex.MULTILINE)
 
 

@@ -83,7 +83,7 @@ def _query_class() -> str:
         b AS (SELECT *, CASE WHEN coalesce(q, '') = '' THEN 'factual' ELSE list_extract(['factual', 'keyword', 'complex', 'conceptual'], list_position([f, k, x, c], greatest(f, k, x, c))) END AS kind FROM s),
         r AS (SELECT *, CASE kind WHEN 'factual' THEN 5 WHEN 'keyword' THEN 3 WHEN 'complex' THEN 10 ELSE 8 END AS base, coalesce(q, '') <> '' AND boost > 0.5 AS legal FROM b)
         SELECT query_id, raw AS q, kind, CASE WHEN coalesce(q, '') = '' THEN 0.5 ELSE round(least(0.95, greatest(f, k, x, c)::DOUBLE / CASE WHEN f + k + x + c > 0 THEN f + k + x + c ELSE 1 END + 0.1), 6) END AS confidence,
-               CASE WHEN legal THEN least(base + 2, 12) ELSE base END AS n_results, legal OR kind IN ('complex', 'conceptual') AS use_reranking FROM r"""
+               CASE WHEN legal THEN least(base + 2, 12) ELSE base END AS n_results, legal OR kind <> 'keyword' AS use_reranking FROM r"""
 
 
 def _first(patterns: dict[str, tuple[str, ...]]) -> str:
@@ -175,7 +175,7 @@ def oracle_sql() -> dict[str, str]:
         "words": f"SELECT doc_id, len(w) AS n, coalesce(w[1], '') AS first, coalesce(w[-1], '') AS last FROM (SELECT doc_id, regexp_extract_all(text, '{W}+') AS w FROM documents WHERE text IS NOT NULL)",
         "abbrev_protect": f"SELECT doc_id, {protected} AS protected FROM {SEEDED}",
         "normalize_text": f"SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace('see SECTION 4 and  article 5 ' || text, '{S}+', ' ', 'g'), '(^|[^{W[1:-1]}])section ', '\\1Section ', 'gi'), '(^|[^{W[1:-1]}])article ', '\\1Article ', 'gi'), '(^|[^{W[1:-1]}])paragraph ', '\\1Paragraph ', 'gi'), '(^|[^{W[1:-1]}])clause ', '\\1Clause ', 'gi'), ' ') AS normal FROM documents WHERE text IS NOT NULL",
-        "sanitize": r"SELECT doc_id, regexp_replace(concat('abc', text), '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x{9F}\x{FFFD}\x{FEFF}\x{FFFE}\x{E000}-\x{F8FF}]', '', 'g') AS clean FROM documents",
+        "sanitize": r"SELECT doc_id, regexp_replace(concat('abc', text), '[\x00-\x08\x0B\x0C\x0E-\x1F\x{FFFD}\x{FEFF}\x{FFFE}\x{E000}-\x{F8FF}]', '', 'g') AS clean FROM documents",
         "token_stats": "SELECT source, count(*) AS n, sum(coalesce(length(text), 0) // 4)::BIGINT AS tokens, max(coalesce(length(text), 0) // 4) AS most, count(*) FILTER (WHERE coalesce(length(text), 0) // 4 < 25) AS short FROM documents GROUP BY source",
         "previews": "SELECT doc_id, CASE WHEN length(text) > 500 THEN left(text, 500) || '...' ELSE text END AS preview FROM documents",
         "enhance": "SELECT doc_id, CASE WHEN length(text) >= 50 THEN '[CONTEXT: about ' || coalesce(doc_type, '?') || ']' || chr(10) || chr(10) || text ELSE text END AS enhanced FROM documents",
@@ -184,8 +184,8 @@ def oracle_sql() -> dict[str, str]:
         "chunk_overlap": _pack(50, shielded),
         "chunk_sections": f"""
             WITH x AS (SELECT doc_id, 'Preamble. ' || syn || ' Section 9 ends.' || CASE WHEN doc_id % 2 = 0 THEN ' Chapter 10 too.' ELSE '' END AS t FROM {SEEDED}),
-            p AS (SELECT doc_id, unnest(string_split(regexp_replace(t, '((?:Article|Section|Chapter|Part|Title){S}+[0-9]+)', chr(1) || '\\1', 'gi'), chr(1))[2:]) AS s FROM x)
-            SELECT doc_id, regexp_extract(s, '(?i)^((?:Article|Section|Chapter|Part|Title){S}+[0-9]+)', 1) AS head, length({trim.format("s")}) AS size FROM p""",
+            p AS (SELECT doc_id, unnest(string_split(regexp_replace(t, '((?:Article|Section|Regulation|§|Chapter|Part|Title|Rule){S}+[0-9]+[.0-9]*[0-9A-Za-z_]*)', chr(1) || '\\1', 'gi'), chr(1))[2:]) AS s FROM x)
+            SELECT doc_id, regexp_extract(s, '(?i)^((?:Article|Section|Regulation|§|Chapter|Part|Title|Rule){S}+[0-9]+[.0-9]*[0-9A-Za-z_]*)', 1) AS head, length({trim.format("s")}) AS size FROM p""",
         "legal_refs": f"SELECT doc_id, array_to_string({refs}, ' ; ') AS refs FROM {SEEDED}",
         "legal_dates": f"SELECT doc_id, array_to_string({dates}, ' ; ') AS dates FROM {SEEDED}",
         "legal_citations": f"SELECT doc_id, array_to_string({cites}, ' ; ') AS cites FROM {SEEDED}",

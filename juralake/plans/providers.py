@@ -21,6 +21,8 @@ from pyspark.sql.types import ArrayType, FloatType, StringType, StructField, Str
 BATCH = 64
 # Prices of unknown models, for 1000 tokens in and out.
 DEFAULT_PRICE = (0.001, 0.002)
+# Prices of known models, for 1000 tokens in and out.
+PRICES = (("gpt-3.5-turbo", 0.0005, 0.0015), ("gpt-4o-mini", 0.00015, 0.0006), ("deepseek-chat", 0.00014, 0.00028), ("claude-3-haiku", 0.00025, 0.00125), ("open-mistral-nemo", 0.00015, 0.00015), ("mistral-small-latest", 0.0001, 0.0003))
 
 
 class Embedder(Protocol):

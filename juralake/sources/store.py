@@ -21,7 +21,7 @@ EMBEDDING_MODELS = (
     ("embed-v3", "cohere", 1024, 512, 384, 75),
     ("kanon-2-embedder", "isaacus", 1792, 4096, 512, 100),
     ("voyage-3-large", "voyage", 1024, 32000, 384, 75),
-    ("bge-m3", "openrouter", 1024, 8192, 256, 50),
+    ("qwen3-embedding-8b", "openrouter", 1024, 8192, 256, 50),
 )
 
 
