@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from juralake.llm import bpe, budget, knn, langid, mixing, neardup, ranking, sentences, split
+from juralake.session import materialise
 from juralake.sources.tables import spread, table
 
 VOCAB = bpe.vocabulary()
@@ -55,8 +56,8 @@ def p6_ranking(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    scores = list(ranking.WEIGHTS)
-    held = ranking.best_in_each(ranking.candidates(table(spark, d, "colbert_results")), "query_id", "chunk_id", scores, 5)
+    rows = materialise(p6_ranking(spark, d), "ranking")  # read four times
+    held = ranking.best_in_each(rows, "query_id", "chunk_id", list(ranking.WEIGHTS), 5)
     return held.select("query_id", "chunk_id")
 
 

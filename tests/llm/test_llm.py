@@ -244,6 +244,14 @@ def test_best_in_each(spark):
     assert got == {"c7", "c6", "c5", "c4"}  # c3 and its tie come fifth by one score, but sixth where the row without the other score stands
 
 
+def test_p6_found_takes_its_rows_from_the_ranking(spark, sf, monkeypatch):
+    every = {tuple(r) for r in queries.p6_found(spark, sf).collect()}
+    out = min(every)
+    whole = ranking.one_ranking
+    monkeypatch.setattr(ranking, "one_ranking", lambda results: whole(results).where((F.col("query_id") != out[0]) | (F.col("chunk_id") != out[1])))
+    assert out not in {tuple(r) for r in queries.p6_found(spark, sf).collect()}
+
+
 # Encoding
 
 
