@@ -161,13 +161,10 @@ def stretches(text: str, dicts: Dictionaries, field: Field) -> list[tuple[int, i
 
     Sentences with narrow margins go with the certain one before them (the first ones with the one after). A text without
     a certain sentence is one stretch in the language that makes all of it smallest. A text without words has none.
-    Sentences are cut roughly; where they speak for several languages, they are cut anew with ``field``.
+    Every text is cut by the sentence model ``field``, as a rougher cut may hide a sentence among its neighbours.
     """
-    found = sentences(text, dicts, rough_sentences(text))
+    found = sentences(text, dicts, units(text, field))
     said = [(s, e, *certain(z)) for s, e, z in found]
-    if len({x[2] for x in said} - {""}) > 1:
-        found = sentences(text, dicts, units(text, field))
-        said = [(s, e, *certain(z)) for s, e, z in found]
     if not found:
         bare = plain(text)
         script, _ = main_script(bare, compressible(bare))

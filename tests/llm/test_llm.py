@@ -318,6 +318,18 @@ def test_languages(spark):
     assert langid.mislabelled(df.limit(0), aliases).count() == 0
 
 
+def test_sentence_after_a_number_or_date_keeps_its_language():
+    dicts = langid._seed_dictionaries()
+    field = sentences.trained()
+    foreign = "「賃貸人は委員会が再び開かれる前に許可書の写しを保管しなければならない。」"
+    for end in ("CHF 444,864.02.", "2020-02-26."):
+        text = f"The lessor shall keep a copy of the licence before the board meets again on {end} {foreign}"
+        assert {x[2] for x in langid.stretches(text, dicts, field)} == {"en", "ja"}
+    thai = "ผู้ให้เช่าอนุมัติสัญญาเช่า ผู้เช่าชำระค่าเช่าตามสัญญา"
+    text = f"The lessor shall keep a copy of the licence before the board meets again in the large hall of the old town on 2020-02-26. {thai}"
+    assert {x[2] for x in langid.stretches(text, dicts, field)} == {"en", "th"}
+
+
 # Queries
 
 
