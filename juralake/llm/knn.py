@@ -139,6 +139,7 @@ def train(v: np.ndarray, n_vectors: int, seed: int = 7) -> Index:
             break
         parts = [_k_means(v[a == j], int(min(math.ceil(size[j] * k / len(v)), size[j])), rng) for j in big]
         centres = np.concatenate([np.delete(centres, big, axis=0), *parts])
+    centres = centres[np.unique((v @ centres.T).argmax(axis=1))]  # an empty one, or one equal to another, would take up a probe
     groups = max(1, round(len(centres) / GROUP))
     if groups > 1:
         heads = _k_means(centres, groups, rng)
@@ -270,7 +271,7 @@ def nearest(chunks: DataFrame, models: DataFrame, k: int = 5) -> DataFrame:
     copied = slim.join(entry.where("c > 1"), ["col", "same"])
     spare = copied.where("n <> entry").select("n")
     entries = v.join(spare, "n", "left_anti")
-    links = materialise(search(entries, train_all(v, dims), k), "neighbours")
+    links = materialise(search(entries, train_all(entries, dims), k), "neighbours")
     copies = copied.select("entry", "col", "id").distinct()
     first = W.partitionBy("entry").orderBy("id")
     some = copies.withColumn("r", F.row_number().over(first)).where(F.col("r") <= k + 1).select("entry", F.col("id").alias("neighbour"))

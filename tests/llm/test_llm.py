@@ -138,6 +138,26 @@ def test_nearest_recall_and_copies(spark):
     assert all(abs(c - s[int(a[1:]), int(b[1:])]) < 1e-5 for a, x in got.items() for b, c in x.items() if {a, b} != {"v003", "v007"})
 
 
+def test_index_has_no_equal_or_empty_centres():
+    rng = np.random.default_rng(9)
+    v = rng.normal(size=(900, 16)).astype(np.float32)
+    v[:300] = v[0]
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    index = knn.train(v, 40_000)
+    assert len(np.unique(index.centres, axis=0)) == len(index.centres) == len(np.unique(index.assign(v)))
+
+
+def test_index_is_trained_on_distinct_vectors(spark, monkeypatch):
+    rng = np.random.default_rng(10)
+    rows = [(f"v{i:03}", (rng.normal(size=8) if i >= 40 else np.ones(8)).tolist()) for i in range(120)]
+    df = spark.createDataFrame(rows, "id string, e8 array<float>")
+    models = spark.createDataFrame([("a", "e8", 8)], "model string, vector_column string, stored_dims int")
+    seen, whole = [], knn.train
+    monkeypatch.setattr(knn, "train", lambda v, n: seen.append((len(v), len(np.unique(v, axis=0)), n)) or whole(v, n))
+    assert len({r.id for r in knn.nearest(df, models).collect()}) == 120
+    assert seen == [(81, 81, 81)]
+
+
 def test_nearest_of_nothing(spark):
     models = spark.createDataFrame([("b", "e2", 2)], "model string, vector_column string, stored_dims int")
     assert knn.nearest(spark.createDataFrame([], "id string, e2 array<float>"), models).count() == 0
