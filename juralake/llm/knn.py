@@ -21,10 +21,14 @@ from juralake.session import materialise
 
 #: Vectors of each column that the index is trained on; every vector is indexed.
 TRAIN_ROWS = 16_000
-#: Clusters per square root of the vectors, and the clusters that each cluster's vectors search.
+#: Clusters per square root of the vectors, and the clusters that each cluster's vectors search at least.
 CLUSTERS = 0.5
 PROBES = 20
-#: Clusters whose vectors are searched by one task; they share most of what they search.
+#: Part of the five nearest of sample vectors, by brute force in the sample, that must lie in the clusters searched, and
+#: how many sample vectors are asked. More clusters are searched until they do.
+RECALL = 0.98
+ASKED = 1000
+#: Clusters whose vectors are searched by one task, for PROBES; they share most of what they search.
 GROUP = 8
 #: Vectors by code that are ranked anew exactly.
 RERANK = 64
@@ -125,6 +129,23 @@ def _k_means(v: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) -
     return c
 
 
+def _probes(v: np.ndarray, centres: np.ndarray, rng: np.random.Generator, k: int = 5) -> np.ndarray:
+    """The clusters that each cluster searches, nearest first: so many that the sample's own neighbours are found (RECALL)."""
+    order = np.argsort(-(centres @ centres.T), axis=1, kind="stable")
+    place = np.argsort(order, axis=1)
+    cluster = (v @ centres.T).argmax(axis=1)
+    asked = rng.choice(len(v), min(ASKED, len(v)), replace=False)
+    need = []
+    for i in range(0, len(asked) if len(v) > k else 0, 250):
+        q = asked[i : i + 250]
+        s = v[q] @ v.T
+        s[np.arange(len(q)), q] = -np.inf
+        near = np.argpartition(-s, k - 1, axis=1)[:, :k]
+        need.append(place[cluster[q][:, None], cluster[near]].ravel())
+    most = int(np.quantile(np.concatenate(need), RECALL, method="higher")) + 1 if need else 1
+    return order[:, : max(PROBES, most)]
+
+
 def train(v: np.ndarray, n_vectors: int, seed: int = 7) -> Index:
     """The index of a column from a sample ``v`` of its ``n_vectors`` unit vectors."""
     rng = np.random.default_rng(seed)
@@ -140,13 +161,13 @@ def train(v: np.ndarray, n_vectors: int, seed: int = 7) -> Index:
         parts = [_k_means(v[a == j], int(min(math.ceil(size[j] * k / len(v)), size[j])), rng) for j in big]
         centres = np.concatenate([np.delete(centres, big, axis=0), *parts])
     centres = centres[np.unique((v @ centres.T).argmax(axis=1))]  # an empty one, or one equal to another, would take up a probe
-    groups = max(1, round(len(centres) / GROUP))
+    probes = _probes(v, centres, np.random.default_rng(seed + 1))
+    groups = max(1, round(len(centres) * PROBES / (GROUP * max(PROBES, probes.shape[1]))))
     if groups > 1:
         heads = _k_means(centres, groups, rng)
         group = (centres @ heads.T).argmax(axis=1)
     else:
         group = np.zeros(len(centres), np.int64)
-    probes = np.argsort(-(centres @ centres.T), axis=1, kind="stable")[:, :PROBES]
     subspaces = (dim + 1) // 2
     index = Index(dim, centres, probes, group, np.zeros((subspaces, 16, 2), np.float32))
     cluster = index.assign(v)

@@ -158,6 +158,18 @@ def test_index_is_trained_on_distinct_vectors(spark, monkeypatch):
     assert seen == [(81, 81, 81)]
 
 
+def test_probes_grow_with_the_clusters():
+    v = np.random.default_rng(11).normal(size=(4000, 24)).astype(np.float32)  # without structure: neighbours lie in many clusters
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    index = knn.train(v, 160_000)
+    cluster = index.assign(v)
+    s = v[:400] @ v.T
+    s[np.arange(400), np.arange(400)] = -2
+    near = np.argsort(-s, axis=1)[:, :5]
+    found = (index.probes[cluster[:400]][:, None, :] == cluster[near][:, :, None]).any(axis=2).mean()
+    assert len(index.centres) > 150 and found >= 0.96
+
+
 def test_nearest_of_nothing(spark):
     models = spark.createDataFrame([("b", "e2", 2)], "model string, vector_column string, stored_dims int")
     assert knn.nearest(spark.createDataFrame([], "id string, e2 array<float>"), models).count() == 0
