@@ -243,8 +243,8 @@ def structured_chunks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def contract_chunks(spark: SparkSession, d: str) -> DataFrame:
-    t = F.concat(F.lit("Between the parties\n1. Scope\n"), F.coalesce(F.substring("text", 1, 400), F.lit("")), F.lit("\n2.1 - Term\nTwo years.\n\n3. End\nNever."))
-    return chunking.contract_chunks(_docs(spark, d).select("doc_id", t.alias("t")), "doc_id", "t", most=100_000)
+    t = F.concat(F.lit("Between the parties\n1. Scope\n"), F.coalesce("text", F.lit("")), F.lit("\n2.1 - Term\nTwo years.\n\n3. End\nNever."))
+    return chunking.contract_chunks(_docs(spark, d).select("doc_id", t.alias("t")), "doc_id", "t")
 
 
 # Extraction

@@ -3,6 +3,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from juralake import queries
 from juralake.operators import fusion, lexical, rerank, running, vector
 
 V = "id string, embedding array<float>"
@@ -99,3 +100,11 @@ def test_running_sum_over_a_hot_group(spark):
         sums[r.g] = sums.get(r.g, 0) + r.x
         assert r.total == sums[r.g]
     assert len(got) == 1000
+
+
+def test_contract_chunks_reads_whole_texts(spark, sf):
+    size = {r.doc_id: r.n for r in spark.read.parquet(f"{sf}/documents.parquet").selectExpr("doc_id", "length(trim(text)) AS n").where("n > 1000").collect()}
+    held = {}
+    for r in queries.contract_chunks(spark, sf).collect():
+        held[r.doc_id] = held.get(r.doc_id, 0) + len(r.content)
+    assert size and all(held[k] > 0.8 * n for k, n in size.items())
