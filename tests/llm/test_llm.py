@@ -59,6 +59,16 @@ def test_hot_copies_are_tied_to_one(spark):
     assert len(pairs) == 299 and {r.id_a for r in pairs} == {"c0000"}
 
 
+def test_common_shingles_dont_hide_a_pair(spark):
+    rng = random.Random(12)
+    head = " ".join(f"b{i}" for i in range(100))
+    own = lambda n: " ".join(f"x{rng.randrange(10**9)}" for _ in range(n))
+    rows = [(f"k{i:03}", f"{head} {own(25)}") for i in range(40)] + [(f"o{i:03}", own(60)) for i in range(80)]
+    df = spark.createDataFrame(rows, "id string, content string")
+    got = {(r.id_a, r.id_b) for r in neardup.NearDuplicates(df, "id", "content", n=3, threshold=0.6).pairs().collect()}
+    assert all(a[0] == b[0] == "k" for a, b in got) and len(got) >= 0.95 * 780  # each pair of the 40 shares 98 of 148
+
+
 def test_weighted_samples_estimate_similarity():
     rng = np.random.default_rng(1)
     code = rng.integers(0, 2**32, 400, dtype=np.uint32)
