@@ -97,6 +97,20 @@ def mix(sized: DataFrame, targets: DataFrame, block_tokens: int = BLOCK_TOKENS,
     )
 
 
+def given_shares(sized: DataFrame, targets: DataFrame) -> DataFrame:
+    """``mix_shares`` with given_tokens, repeats and actual_share as counted in the rows of ``mix``, not as planned."""
+    own = materialise(mix(sized, targets).groupBy("source").agg(F.sum("n_tokens").alias("n")), "given")  # a row per source
+    plan = mix_shares(sized, targets).drop("given_tokens", "repeats", "actual_share")
+    rows = plan.join(own, "source", "left").crossJoin(own.agg(F.sum("n").alias("all_given")))
+    given = F.coalesce("n", F.lit(0)).cast("double")
+    return rows.select(
+        "source", "target_share", "max_repeats", "supply_tokens", "target_tokens", given.alias("given_tokens"),
+        F.when(F.col("supply_tokens") > 0, given / F.col("supply_tokens")).otherwise(F.lit(0.0)).alias("repeats"),
+        "reached",
+        F.when(F.col("all_given") > 0, given / F.col("all_given")).otherwise(F.lit(0.0)).alias("actual_share"),
+    )
+
+
 def _schedule(spark, weights: list[tuple[str, int]]) -> DataFrame:
     """(source, block, slot): an even interleaving of each source's blocks 0, 1, ...
 

@@ -66,8 +66,8 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_shares(spark: SparkSession, d: str) -> DataFrame:
-    sized = mixing.sized_documents(spread(table(spark, d, "documents")), table(spark, d, "label_aliases"), VOCAB)
-    return mixing.mix_shares(sized, table(spark, d, "mix_targets"))
+    sized = mixing.mixture_inputs(spread(table(spark, d, "documents")), table(spark, d, "label_aliases"), VOCAB)
+    return mixing.given_shares(sized, table(spark, d, "mix_targets"))
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:

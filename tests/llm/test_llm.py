@@ -341,6 +341,20 @@ def test_mixture(spark):
     assert mixing.mix(sized.limit(0), targets).count() == 0
 
 
+def test_given_shares_are_those_of_the_mixture(spark):
+    sized = spark.createDataFrame([(i, "long", 1000) for i in range(9)] + [(100 + i, "short", 10) for i in range(100)], "doc_id bigint, source string, n_tokens bigint")
+    targets = spark.createDataFrame([("long", 0.25, 2), ("short", 0.7, 20), ("absent", 0.05, 3)], "source string, target_share double, max_repeats int")
+    got = {r.source: r for r in mixing.given_shares(sized, targets).collect()}
+    assert (got["long"].given_tokens, got["short"].given_tokens, got["absent"].given_tokens) == (3000, 7000, 0)  # planned are 2,500 and 7,000
+    assert got["long"].actual_share == 0.3 and got["long"].repeats == 3000 / 9000 and [got[s].reached for s in ("long", "short", "absent")] == [True, True, False]
+
+
+def test_p8_shares_are_counted_in_the_mixture(spark, sf, monkeypatch):
+    whole = mixing.mix
+    monkeypatch.setattr(mixing, "mix", lambda sized, targets: whole(sized, targets).limit(0))
+    assert all(r.given_tokens == 0 for r in queries.p8_shares(spark, sf).collect())
+
+
 # Languages
 
 
