@@ -1,9 +1,11 @@
 """Languages of documents and of the stretches of mixed ones.
 
 A sentence is compressed by zstandard once per language that is written in its script, each time with that language's text
-as a raw-content dictionary; the language whose dictionary makes it smallest wins, unless the margin is narrow. The
-dictionaries are made here, from labelled documents; as labels may be wrong, a sentence enters only if dictionaries of a
-few annotated sentences, and then those of the first round, agree with its document's label.
+as a raw-content dictionary, and once with a background dictionary, of the languages of other scripts. The language whose
+dictionary makes it smallest wins, unless the margin to the next one, or to the background, is narrow: then the sentence is
+uncertain, and a text without a certain sentence is rejected unless all of it is certain. The dictionaries are made here,
+from labelled documents; as labels may be wrong and texts mixed, a document enters only if dictionaries of a few annotated
+sentences, and then those of the rounds before, find it in its label's language alone.
 """
 
 from __future__ import annotations
@@ -15,7 +17,9 @@ import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import zstandard
 from pyspark.sql import DataFrame
@@ -24,27 +28,39 @@ from pyspark.sql import functions as F
 
 from juralake.functions.labels import resolve
 from juralake.llm import sentence_seed
-from juralake.llm.sentences import Field, trained, units
+from juralake.llm.sentences import Field, trained, units_of
 
 #: Labelled documents of each language that dictionaries are made from, at most, and bytes of a dictionary.
 FIT_DOCS = 160
 DICT_BYTES = 56_000
 LEVEL = 3
-#: Characters under which a sentence enters a dictionary with its document, as headings look alike in kindred languages.
+#: Characters under which what has no final mark counts as a heading: it isn't a sentence, and headings look alike in
+#: kindred languages.
 HEADING = 40
 #: A sentence's own language is certain if the next best is larger by so many bytes and by so large a part of the smallest.
 MARGIN_BYTES = 4
 MARGIN_SHARE = 0.07
+#: It must also be smaller, by this part, than with the background dictionary. Of sentences in languages that there is a
+#: dictionary of, over 99 % save more; of those in kindred languages without one (Ukrainian, Persian, Polish) next to none.
+LEAST_GAIN = 0.12
+#: The margins for a whole text, where none of its sentences is certain on its own.
+WHOLE_BYTES = 2
+WHOLE_SHARE = 0.03
+#: The language of what is rejected.
+REJECTED = "und"
+#: Bytes of the background dictionary from each language.
+BACKGROUND_BYTES = 8000
 #: The scripts that languages are written in. A sentence is tried in the languages of its main script.
 SCRIPTS = {"Latin": ("de", "en", "es", "fr", "pt"), "Cyrillic": ("ru",), "Greek": ("el",), "Arabic": ("ar",), "Devanagari": ("hi",), "Thai": ("th",), "Kana": ("ja",), "Han": ("ja", "zh")}
-#: Letters that a sentence needs; what is shorter, such as a heading or a name, tells no language.
-LEAST_LETTERS = dict.fromkeys(SCRIPTS, 10) | {"Latin": 24, "Kana": 6, "Han": 6}
+#: Letters that a sentence needs; what is shorter, such as a number or a name, tells no language on its own.
+LEAST_LETTERS = dict.fromkeys(SCRIPTS, 10) | {"Latin": 12, "Kana": 6, "Han": 6}
 LANGUAGES = tuple(sorted({x for v in SCRIPTS.values() for x in v}))
 
 TAG = regex.compile(r"<[^<>]{0,200}>|&\w{2,8};")
 NUMBERS = b"0123456789+/|\\#*=~^_%<>$-"
 MARKS = b" .,;:()'\"!?[]{}@`"
 ENDS = re.compile("[.!?…。！？।؟]+[\"”»’」』）)]*[ \u00a0\u202f]?[»]?|\n\\s*\n")
+FINAL = re.compile("[.!?…。！？।؟;]+[\"”»’」』）)]*\\s*$")
 LETTERS = regex.compile(r"\p{L}+")
 RUNS = {s: regex.compile(r"[\p{Hiragana}\p{Katakana}]+" if s == "Kana" else rf"\p{{{s}}}+") for s in SCRIPTS}
 
@@ -112,23 +128,26 @@ def main_script(text: str, raw: bytes) -> tuple[str, int]:
 
 
 class Dictionaries:
-    """A compressor per language."""
+    """A compressor per language, and per script one of the languages that aren't written in it."""
 
     def __init__(self, content: dict[str, bytes]) -> None:
         self.content = content
-        self.of = {}
-        for lang, raw in content.items():
-            d = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            d.precompute_compress(level=LEVEL)
-            self.of[lang] = zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False)
+        self.of = {lang: self._compressor(raw) for lang, raw in content.items()}
+        self.background = {s: self._compressor(b"\n".join(raw[:BACKGROUND_BYTES] for lang, raw in sorted(content.items()) if lang not in own)) for s, own in SCRIPTS.items()}
+
+    @staticmethod
+    def _compressor(raw: bytes) -> zstandard.ZstdCompressor:
+        d = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        d.precompute_compress(level=LEVEL)
+        return zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False)
 
     def sizes(self, raw: bytes, langs: tuple[str, ...]) -> dict[str, int]:
         """The compressed size of ``raw`` with each language's dictionary."""
         return {k: len(self.of[k].compress(raw)) for k in langs if k in self.of}
 
 
-#: A sentence: start, end, sizes by language.
-Sentence = tuple[int, int, dict[str, int]]
+#: A sentence: start, end, sizes by language, size with the background dictionary.
+Sentence = tuple[int, int, dict[str, int], int]
 
 
 def sentences(text: str, dicts: Dictionaries, cut: Iterable[tuple[int, int]]) -> list[Sentence]:
@@ -138,51 +157,48 @@ def sentences(text: str, dicts: Dictionaries, cut: Iterable[tuple[int, int]]) ->
         bare = plain(text[start:end])
         raw = compressible(bare)
         script, letters = main_script(bare, raw)
-        if script and letters >= LEAST_LETTERS[script]:
-            langs = SCRIPTS[script]
-            out.append((start, end, dicts.sizes(raw, langs) if len(langs) > 1 else {langs[0]: len(bare)}))
+        if script and letters >= LEAST_LETTERS[script] and (end - start >= HEADING or FINAL.search(bare)):
+            out.append((start, end, dicts.sizes(raw, SCRIPTS[script]), len(dicts.background[script].compress(raw))))
     return out
 
 
-def certain(sizes: dict[str, int]) -> tuple[str, float]:
-    """The language of a sentence and its confidence, from 0 to 1; no language where the margin is narrow."""
-    if len(sizes) == 1:
-        return next(iter(sizes)), 1.0
+def certain(sizes: dict[str, int], background: int, least_bytes: int = MARGIN_BYTES, least_share: float = MARGIN_SHARE) -> tuple[str, float]:
+    """The language of a sentence and its confidence, from 0 to 1; no language ("") where a margin is narrow.
+
+    The confidence is the smaller margin, to the next language or to the background, in parts of four times what is asked.
+    """
     best = min(sizes, key=sizes.__getitem__)  # of equals the first by name, but then the margin is narrow anyway
     a = sizes[best]
-    b = min(n for k, n in sizes.items() if k != best)
-    margin = (b - a) / max(a, 1)
-    sure = b - a >= MARGIN_BYTES and margin >= MARGIN_SHARE
-    return (best if sure else ""), min(1.0, margin / (4 * MARGIN_SHARE))
-
-
-def stretches(text: str, dicts: Dictionaries, field: Field) -> list[tuple[int, int, str, float, bool]]:
-    """(start, end, lang, confidence, own) of the stretches in one language; ``own`` if a sentence of it is certain.
-
-    Sentences with narrow margins go with the certain one before them (the first ones with the one after). A text without
-    a certain sentence is one stretch in the language that makes all of it smallest. A text without words has none.
-    Every text is cut by the sentence model ``field``, as a rougher cut may hide a sentence among its neighbours.
+    gain = 1 - a / max(background, 1)
+    sure = gain >= LEAST_GAIN
+    confidence = gain / (4 * LEAST_GAIN)
+    if len(sizes) > 1:
+        b = min(n for k, n in sizes.items() if k != best)
+        margin = (b - a) / max(a, 1)
+        sure = sure and b - a >= least_bytes and margin >= least_share
+        confidence = min(confidence, margin / (4 * MARGIN_SHARE))
+    return (best if sure else ""), min(1.0, max(0.0, confidence))
+
+
+def stretches(text: str, dicts: Dictionaries, cut: Iterable[tuple[int, int]]) -> list[tuple[int, int, str, float]]:
+    """(start, end, lang, confidence) of the stretches in one language, in the sentences ``cut`` of ``text``.
+
+    Sentences with narrow margins go with the certain one before them (the first ones with the one after), and lower the
+    confidence. A text without a certain sentence is one stretch, in the language that the whole of it is certain in, or
+    REJECTED. A text without words has none.
     """
-    found = sentences(text, dicts, units(text, field))
-    said = [(s, e, *certain(z)) for s, e, z in found]
-    if not found:
+    found = sentences(text, dicts, cut)
+    said = [(s, e, *certain(z, g)) for s, e, z, g in found]
+    lead = next((x[2] for x in said if x[2]), "")
+    if not lead:
         bare = plain(text)
-        script, _ = main_script(bare, compressible(bare))
+        raw = compressible(bare)
+        script, _ = main_script(bare, raw)
         if not script:
             return []
-        sizes = dicts.sizes(compressible(bare), SCRIPTS[script])
-        best = min(sizes, key=lambda k: (sizes[k], k))
-        return [(0, len(text), best, 0.0, False)]
-    if not any(x[2] for x in said):
-        total: Counter = Counter()
-        for _, _, z in found:
-            worst = max(z.values())
-            total.update({k: worst - n for k, n in z.items()})
-        best = min((k for _, _, z in found for k in z), key=lambda k: (-total[k], k))
-        rest = sorted(total.values())[-2] if len(total) > 1 else 0
-        return [(0, len(text), best, min(1.0, (total[best] - rest) / max(1, sum(min(z.values()) for _, _, z in found)) / (4 * MARGIN_SHARE)), False)]
+        best, sure = certain(dicts.sizes(raw, SCRIPTS[script]), len(dicts.background[script].compress(raw)), WHOLE_BYTES, WHOLE_SHARE)
+        return [(0, len(text), best or REJECTED, sure)]
     out: list[list] = []
-    lead = next(x[2] for x in said if x[2])
     for s, e, lang, sure in said:
         lang = lang or (out[-1][2] if out else lead)
         if out and out[-1][2] == lang:
@@ -190,44 +206,62 @@ def stretches(text: str, dicts: Dictionaries, field: Field) -> list[tuple[int, i
             out[-1][3].append(sure)
         else:
             out.append([s, e, lang, [sure]])
-    return [(s, e, lang, sum(c) / len(c), True) for s, e, lang, c in out]
+    return [(s, e, lang, sum(c) / len(c)) for s, e, lang, c in out]
+
+
+def every_stretch(texts: list[str], dicts: Dictionaries, model: Field) -> list[list[tuple[int, int, str, float]]]:
+    """The stretches of each of ``texts``, which the sentence model cuts all at once."""
+    row, start, end = units_of(texts, model)
+    bounds = np.searchsorted(row, np.arange(len(texts) + 1))
+    cuts = list(zip(start.tolist(), end.tolist(), strict=True))
+    return [stretches(t, dicts, cuts[a:b]) for t, a, b in zip(texts, bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
 
 
 @functools.cache
 def _seed_dictionaries() -> Dictionaries:
     fill = regex.compile(r"\{\w\}")
-    return Dictionaries({k: compressible(plain(fill.sub("", v.replace("|", " ")))) for k, v in sentence_seed.SEED.items()})
+    return Dictionaries({k: compressible(plain(fill.sub("", v.replace("|", " ")) + sentence_seed.FREQUENT.get(k, ""))) for k, v in sentence_seed.SEED.items()})
 
 
 def make(labelled: list[tuple[str, str]], dict_bytes: int = DICT_BYTES) -> Dictionaries:
-    """Dictionaries from (language, text) of labelled documents, of which some labels may be wrong."""
-    labelled = sorted(labelled)
-    dicts = _seed_dictionaries()
-    for _ in range(2):
-        kept: dict[str, list[bytes]] = defaultdict(list)
-        for lang, text in labelled:
-            found = sentences(text, dicts, rough_sentences(text)) if lang in LANGUAGES else []
-            if not found:
-                continue
+    """Dictionaries from (language, text) of labelled documents, of which some labels may be wrong.
+
+    The sentences of a document enter if most of it is in its language and none of them is certain in another, judged by
+    dictionaries that it isn't in itself: first those of the annotated sentences, then those of the other half of the documents.
+    """
+    labelled = sorted(x for x in labelled if x[0] in LANGUAGES)
+    cuts = [list(rough_sentences(text)) for _, text in labelled]
+    halves = [_seed_dictionaries()] * 2
+    for last in (False, False, False, True):
+        kept: list[dict[str, list[bytes]]] = [defaultdict(list), defaultdict(list)]
+        for i, ((lang, text), cut) in enumerate(zip(labelled, cuts, strict=True)):
+            found = sentences(text, halves[(i + 1) % 2], cut)
             total: Counter = Counter()
-            for _, _, z in found:
+            for _, _, z, _ in found:
                 total.update({k: max(z.values()) - n + 1 for k, n in z.items()})
-            if max(total, key=lambda k: (total[k], k)) == lang:
-                own = ((compressible(plain(text[s:e])), z) for s, e, z in found if lang in z)
-                kept[lang] += [x for x, z in own if z[lang] == min(z.values()) or len(x) < HEADING]
-        content = {}
-        for lang in LANGUAGES:
-            own = sorted(set(kept[lang]))
-            random.Random(3).shuffle(own)
-            size, take = len(_seed_dictionaries().content[lang]), [_seed_dictionaries().content[lang]]
-            for x in own:
-                if size > dict_bytes:
-                    break
-                take.append(x)
-                size += len(x) + 1
-            content[lang] = b"\n".join(take)
-        dicts = Dictionaries(content)
-    return dicts
+            if found and max(total, key=lambda k: (total[k], k)) == lang and all(certain(z, g)[0] in ("", lang) for _, _, z, g in found):
+                kept[i % 2][lang] += [compressible(plain(text[s:e])) for s, e in cut]
+        if last:
+            return Dictionaries(_content(kept, dict_bytes))
+        halves = [Dictionaries(_content(kept[k : k + 1], dict_bytes)) for k in (0, 1)]
+    raise AssertionError
+
+
+def _content(kept: list[dict[str, list[bytes]]], dict_bytes: int) -> dict[str, bytes]:
+    """Each language's dictionary: the annotated sentences, then as many of its own, in random order, as there is room for."""
+    content = {}
+    for lang in LANGUAGES:
+        own = sorted({x for part in kept for x in part[lang] if x})
+        random.Random(3).shuffle(own)
+        take = [_seed_dictionaries().content[lang]]
+        size = len(take[0])
+        for x in own:
+            if size > dict_bytes:
+                break
+            take.append(x)
+            size += len(x) + 1
+        content[lang] = b"\n".join(take)
+    return content
 
 
 def fit(documents: DataFrame, aliases: DataFrame, fit_docs: int = FIT_DOCS) -> Dictionaries:
@@ -243,42 +277,38 @@ def fit(documents: DataFrame, aliases: DataFrame, fit_docs: int = FIT_DOCS) -> D
 
 
 def language_stretches(documents: DataFrame, dicts: Dictionaries) -> DataFrame:
-    """(doc_id, raw, stretches): one row per document; ``raw`` is its label as given, ``stretches`` an array of (start, end, lang, confidence, own).
+    """(doc_id, raw, stretches): one row per document; ``raw`` is its label as given, ``stretches`` an array of (start, end, lang, confidence).
 
     The whole text is read. NULL, empty and wordless texts have an empty array. Documents are independent: no shuffle.
     """
-    content, weights = dicts.content, (trained().weights, trained().pairs)
-    kind = "array<struct<start:bigint,end:bigint,lang:string,confidence:double,own:boolean>>"
+    content, model = dicts.content, trained()
+    kind = "array<struct<start:bigint,end:bigint,lang:string,confidence:double>>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        d, field = Dictionaries(content), Field()
-        field.weights, field.pairs = weights
-        t = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string()), ("confidence", pa.float64()), ("own", pa.bool_())]))
+        d = Dictionaries(content)
+        t = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string()), ("confidence", pa.float64())]))
         for b in batches:
-            known: dict[str, list] = {}  # a text filed several times is read once a batch
-            rows = []
-            for text in b.column(2).to_pylist():
-                if text not in known:
-                    known[text] = [dict(zip(("start", "end", "lang", "confidence", "own"), x, strict=True)) for x in stretches(text or "", d, field)]
-                rows.append(known[text])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(rows, t)], names=["doc_id", "raw", "stretches"])
+            one = pc.dictionary_encode(pc.fill_null(b.column(2), ""))  # a text filed several times is read once a batch
+            found = [[dict(zip(("start", "end", "lang", "confidence"), x, strict=True)) for x in own] for own in every_stretch(one.dictionary.to_pylist(), d, model)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, t).take(one.indices)], names=["doc_id", "raw", "stretches"])
 
     return documents.select("doc_id", F.col("lang").alias("raw"), "text").mapInArrow(run, f"doc_id bigint, raw string, stretches {kind}")
 
 
 def language_segments(documents: DataFrame, aliases: DataFrame) -> DataFrame:
-    """(doc_id, start, end, lang, confidence): every stretch in one language of every document with words."""
+    """(doc_id, start, end, lang, confidence): every stretch in one language of every document with words; REJECTED ones too."""
     found = language_stretches(documents, fit(documents, aliases))
-    return found.select("doc_id", F.inline("stretches")).drop("own")
+    return found.select("doc_id", F.inline("stretches"))
 
 
 def mislabelled(documents: DataFrame, aliases: DataFrame) -> DataFrame:
     """(doc_id, lang): a row per language of each document whose label is missing or wrong, or whose text mixes languages.
 
-    A text's languages are those of its stretches. A label is missing if NULL or not resolved, right if it resolves to the
-    text's only language.
+    A text's languages are those of its stretches; of a REJECTED text nothing is said. A label is missing if NULL or not
+    resolved, right if it resolves to the text's only language.
     """
-    found = language_stretches(documents, fit(documents, aliases)).withColumn("langs", F.array_distinct(F.transform("stretches", lambda x: x["lang"])))
+    langs = F.array_except(F.array_distinct(F.transform("stretches", lambda x: x["lang"])), F.array(F.lit(REJECTED)))
+    found = language_stretches(documents, fit(documents, aliases)).withColumn("langs", langs)
     labelled = resolve(found.where(F.size("langs") > 0), aliases, "lang", "raw", "label")
     case = (F.size("langs") > 1) | (F.col("label") != F.col("langs")[0])
     return labelled.where(case).select("doc_id", F.explode("langs").alias("lang"))

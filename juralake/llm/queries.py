@@ -23,7 +23,9 @@ def p1_groups(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return sentences.sentence_units(split.oversized(table(spark, d, "chunks")))
+    chunks = table(spark, d, "chunks")
+    model = sentences.adapted(sentences.trained(), sentences.fit_texts(chunks))
+    return sentences.sentence_units(split.oversized(chunks), model)
 
 
 def p3_nearest(spark: SparkSession, d: str) -> DataFrame:

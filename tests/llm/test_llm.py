@@ -109,11 +109,75 @@ def test_sentence_units(text, told):
     assert [text[a:b] for a, b in sentences.units(text, field)] == told
 
 
-def test_sentence_model_on_held_out_documents():
-    examples = sentences.training_examples(documents=20, seed_number=99)
-    field = sentences.trained()
-    right = sum(n for (chain, place), n in examples.items() if field.decode(chain) == place)
-    assert right / sum(examples.values()) > 0.995
+#: Sentences that the seed doesn't hold, with their units; other subjects, other words.
+HELD_OUT = (
+    ["Prof. Adler left at 7.45 p.m. for Kiel.", "Did Ms. Orr reply?", "She cited Smyth v. Dunn, No. 12, p. 4.", "“It rains.”", "3. The baker pays."],
+    ["Le pont ferme à 18 h.", "M. Petit a lu l'art. 7, al. 2, hier.", "« Où est la gare ? »", "Voici la clef !"],
+    ["Am 3. März sprach Dr. Vogel mit Hr. Lang.", "Die Rechnung Nr. 88 zahlt die Huber & Co. KG.", "Wirklich?", "„Er kommt morgen.“"],
+    ["Проф. Серов приехал в 1998 г. из Перми.", "См. рис. 4 и табл. 5 на стр. 7.", "«Мы готовы».", "Кто там?"],
+    ["Ποιος χτύπησε την πόρτα;", "Ο κ. Νίκου διάβασε το κεφ. 3 του βιβλίου.", "«Καλή μέρα.»"],
+    ["河水上涨了3.5米。", "“我们走吧！”", "你看见他的帽子了吗？"],
+    ["列車は5.2分遅れた。", "「もう帰ろう。」", "誰が来るのか？"],
+    ["وصل القطار متأخرا.", "هل رأيت الكتاب؟", "كتب د. سامي رسالة رقم 5."],
+    ["नदी में पानी बढ़ गया।", "क्या तुमने चिट्ठी पढ़ी?", "डॉ. राव घर गए।"],
+    ["เรือออกจากท่าแล้ว", "เด็กเล่นน้ำ 3 คน", "ฝนยังไม่หยุด"],
+)
+
+
+def test_sentence_model_on_other_sentences():
+    found = told = both = 0
+    for every in HELD_OUT:
+        for gap in (" ", "\n", "\n\n") if "เรือออกจากท่าแล้ว" not in every else (" ", "\n\n"):
+            text, own = "", set()
+            for u in every * 2:
+                own.add((len(text), len(text) + len(u)))
+                text += u + gap
+            got = set(sentences.units(text, sentences.trained()))
+            found, told, both = found + len(got), told + len(own), both + len(got & own)
+    assert both / told >= 0.9 and both / found >= 0.9
+
+
+@pytest.mark.parametrize("table", ["documents", "chunks"])
+def test_no_phrase_of_the_seed_stands_in_the_tables(sf, table):
+    import pyarrow.parquet as pq
+    import regex
+
+    column = "text" if table == "documents" else "content"
+    sf = sf.replace("sf0.001", "sf0.01")
+    every = "\n".join(t for t in pq.read_table(f"{sf}/{table}.parquet", columns=[column]).column(0).to_pylist() if t).lower()
+    from juralake.llm import sentence_seed
+
+    parts = [p.strip().lower() for v in sentence_seed.SEED.values() for p in regex.split(r"\{\w\}|[|\n]", v)]
+    wide = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}]")
+    assert [p for p in parts if len(p) >= (6 if wide.search(p) else 14) and p in every] == []
+
+
+def test_text_without_marks_is_cut_by_its_characters():
+    model = sentences.trained()
+    docs = list(sentences.stripped_documents({k: [sentences._filled(u, k, random.Random(77)) for u in sentences.annotated(k)] for k in ("zh", "ja", "th")}, documents=60, seed_number=5))
+    right = found = told = 0
+    for text, ends in docs:
+        got, own = {e for _, e in sentences.units(text, model)} - {len(text)}, ends - {len(text)}
+        right, found, told = right + len(got & own), found + len(got), told + len(own)
+    assert right >= 0.7 * told and right >= 0.9 * found
+    fitted = sentences.adapted(model, ["甲方交货。乙方付款。甲方开票。乙方验收。丙方见证。" for _ in range(5)] + ["乙方付款。丙方见证。甲方交货。"])
+    assert len(sentences.units("甲方交货乙方付款甲方开票乙方验收丙方见证", fitted)) >= 4
+    assert np.array_equal(fitted.weights[: sentences.HALF], model.weights[: sentences.HALF])
+
+
+def test_long_paragraphs_cost_in_proportion():
+    import time
+
+    model = sentences.trained()
+
+    def seconds(n):
+        text = "He said “yes (no [never” to A. and “went. ” ( [ “Off. " * n
+        began = time.perf_counter()
+        assert sentences.units(text, model)
+        return time.perf_counter() - began
+
+    seconds(100)
+    assert seconds(20_000) < 25 * max(seconds(2000), 0.02)  # a paragraph of a million characters
 
 
 def test_sentences_cover_whole_texts(spark):
@@ -380,10 +444,23 @@ def test_sentence_after_a_number_or_date_keeps_its_language():
     foreign = "「賃貸人は委員会が再び開かれる前に許可書の写しを保管しなければならない。」"
     for end in ("CHF 444,864.02.", "2020-02-26."):
         text = f"The lessor shall keep a copy of the licence before the board meets again on {end} {foreign}"
-        assert {x[2] for x in langid.stretches(text, dicts, field)} == {"en", "ja"}
+        assert {x[2] for x in langid.every_stretch([text], dicts, field)[0]} == {"en", "ja"}
     thai = "ผู้ให้เช่าอนุมัติสัญญาเช่า ผู้เช่าชำระค่าเช่าตามสัญญา"
     text = f"The lessor shall keep a copy of the licence before the board meets again in the large hall of the old town on 2020-02-26. {thai}"
-    assert {x[2] for x in langid.stretches(text, dicts, field)} == {"en", "th"}
+    assert {x[2] for x in langid.every_stretch([text], dicts, field)[0]} == {"en", "th"}
+
+
+def test_languages_without_a_dictionary_are_rejected(sf):
+    import pyarrow.parquet as pq
+
+    rows = pq.read_table(f"{sf}/documents.parquet", columns=["lang", "text"]).to_pylist()
+    dicts = langid.make([(r["lang"].strip().lower(), r["text"]) for r in rows if r["lang"] and r["text"]])
+    texts = [
+        "Уряд ухвалив рішення про підвищення податків. Мій брат живе у Львові й працює лікарем.", "دولت تصمیم گرفت مالیات را افزایش دهد. برادر من در تهران زندگی می‌کند و پزشک است.",
+        "Rząd podjął decyzję o podwyższeniu podatków. Mój brat mieszka w Krakowie i pracuje jako lekarz.", "", "12 / 7",
+    ]
+    got = langid.every_stretch(texts, dicts, sentences.trained())
+    assert [[x[2] for x in s] for s in got] == [["und"], ["und"], ["und"], [], []]
 
 
 # Queries
