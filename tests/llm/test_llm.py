@@ -439,8 +439,9 @@ def test_languages(spark):
 
 
 def test_sentence_after_a_number_or_date_keeps_its_language():
-    dicts = langid._seed_dictionaries()
     field = sentences.trained()
+    own = {"en": "The lessor shall keep a copy of the licence before the board meets again", "ja": "賃貸人は委員会が再び開かれる前に許可書の写しを保管しなければならない。", "th": "ผู้ให้เช่าอนุมัติสัญญาเช่า ผู้เช่าชำระค่าเช่าตามสัญญา"}
+    dicts = langid.Dictionaries({k: v + b" " + langid.compressible(langid.plain(own.get(k, ""))) for k, v in langid._seed_dictionaries().content.items()})
     foreign = "「賃貸人は委員会が再び開かれる前に許可書の写しを保管しなければならない。」"
     for end in ("CHF 444,864.02.", "2020-02-26."):
         text = f"The lessor shall keep a copy of the licence before the board meets again on {end} {foreign}"
