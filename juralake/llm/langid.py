@@ -35,7 +35,7 @@ FIT_DOCS = 160
 DICT_BYTES = 56_000
 LEVEL = 3
 #: Characters under which what has no final mark counts as a heading: it isn't a sentence, and headings look alike in
-#: kindred languages.
+#: kindred languages. Thai has no final marks.
 HEADING = 40
 #: A sentence's own language is certain if the next best is larger by so many bytes and by so large a part of the smallest.
 MARGIN_BYTES = 4
@@ -157,7 +157,7 @@ def sentences(text: str, dicts: Dictionaries, cut: Iterable[tuple[int, int]]) ->
         bare = plain(text[start:end])
         raw = compressible(bare)
         script, letters = main_script(bare, raw)
-        if script and letters >= LEAST_LETTERS[script] and (end - start >= HEADING or FINAL.search(bare)):
+        if script and letters >= LEAST_LETTERS[script] and (end - start >= HEADING or script == "Thai" or FINAL.search(bare)):
             out.append((start, end, dicts.sizes(raw, SCRIPTS[script]), len(dicts.background[script].compress(raw))))
     return out
 

@@ -683,7 +683,7 @@ def training_documents(documents: int = 160, seed_number: int = 11) -> Iterator[
         own = [(u, lang) for u in annotated(lang)]
         for k in range(documents):
             every = own
-            if k % 4 == 0:  # some texts go on in another language
+            if k % 3 == 0:  # some texts go on in another language
                 other = rng.choice(langs)
                 every = own + [(u, other) for u in annotated(other)]
             text, ends, glued = "", set(), False
