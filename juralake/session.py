@@ -36,29 +36,46 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, app: str =
 def shared_dir(spark: SparkSession) -> str:
     """The folder that every executor shares, as ``spark.checkpoint.dir`` names it.
 
-    Only where the setting is absent (tests on one machine) a temporary folder is made and set.
+    Only where the setting is absent on a local master (tests on one machine) a temporary folder is made and set; on a cluster,
+    whose executors would each write to a disk of their own, it must be named.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
-        held = spark.sparkContext.getCheckpointDir()
-        named = held or "file://" + tempfile.mkdtemp(prefix="juralake-")
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        named = "file://" + tempfile.mkdtemp(prefix="juralake-")
+        atexit.register(shutil.rmtree, named.removeprefix("file://"), ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", named)
     return named
 
 
+def _place(spark: SparkSession, path: str):
+    """The file system of ``path`` and the path in it."""
+    sc = spark.sparkContext
+    place = sc._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(sc._jsc.hadoopConfiguration()), place
+
+
 def materialise(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write ``df`` once as Parquet into the shared folder and read it back.
 
     Cuts the lineage without executor-local state: a lost executor costs nothing but the tasks it was running. The files go
-    when the application ends.
+    when ``discard`` is told so, else when the application ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    sc = spark.sparkContext
-    place = sc._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return spark.read.parquet(path)
+    files, place = _place(spark, path)
+    files.deleteOnExit(place)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._juralake_stage = path
+    return out
+
+
+def discard(stage: DataFrame) -> None:
+    """Delete the files of what ``materialise`` gave, once nothing that is still to run reads them."""
+    files, place = _place(stage.sparkSession, stage._juralake_stage)
+    files.delete(place, True)
 
 
 def ship(spark: SparkSession) -> SparkSession:

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from juralake.session import materialise
 
 
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
@@ -19,6 +22,21 @@ def delivered_once(chunks: DataFrame, *columns: str) -> DataFrame:
     return chunks.where("id IS NOT NULL").select("id", *columns).dropDuplicates(["id"])
 
 
+def first_deliveries(chunks: DataFrame, *columns: str) -> DataFrame:
+    """``delivered_once`` for large columns: the rows of a plain scan, without those that repeat an id, and without shuffling them.
+
+    A first pass reads ids alone and notes, for each id that came more than once, where its first row stands in the files;
+    that small table is written, so that Spark knows its size when it chooses how to join, and broadcasts it only if it is
+    under the session's threshold.
+    """
+    at = F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    placed = chunks.where("id IS NOT NULL").select("id", *columns, at.alias("__at"))
+    twice = placed.groupBy("id").agg(F.min("__at").alias("__first"), F.count("*").alias("__n")).where("__n > 1")
+    known = materialise(twice.select(F.col("id").alias("__id"), "__first"), "twice")
+    kept = placed.join(known, F.col("id") == F.col("__id"), "left").where("__first IS NULL OR __first = __at")
+    return kept.select("id", *columns)
+
+
 def spread(scan: DataFrame) -> DataFrame:
     """``scan`` over at least as many partitions as the session has cores, for work that takes long on each row.
 
