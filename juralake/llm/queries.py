@@ -14,8 +14,24 @@ from juralake.sources.tables import spread, table
 VOCAB = bpe.vocabulary()
 
 
+#: Pairs of exact copies that p1_found writes out for a class, or two linked ones, at most; p1_links and p1_members have all at any size.
+P1_EXPAND = 4096
+
+
+def _p1(spark: SparkSession, d: str) -> neardup.NearDuplicates:
+    return neardup.NearDuplicates(table(spark, d, "chunks"), "id", "content", n=3, threshold=0.6, least_words=30)
+
+
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return neardup.NearDuplicates(table(spark, d, "chunks"), "id", "content", n=3, threshold=0.6, least_words=30).pairs()
+    return _p1(spark, d).pairs(P1_EXPAND)
+
+
+def p1_links(spark: SparkSession, d: str) -> DataFrame:
+    return _p1(spark, d).named_links()
+
+
+def p1_members(spark: SparkSession, d: str) -> DataFrame:
+    return _p1(spark, d).membership()
 
 
 def p1_groups(spark: SparkSession, d: str) -> DataFrame:

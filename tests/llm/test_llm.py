@@ -37,26 +37,70 @@ def test_near_duplicates_against_brute_force(spark):
     texts = [t for _ in range(12) for t in family(rng, 4)] + [family(rng, 1)[0] for _ in range(20)]
     rows = [(f"k{i:03}", t, 7) for i, t in enumerate(texts)] + [("dup", texts[0].upper(), 7), ("dup", texts[0].upper(), 7), ("none", None, 1), ("empty", "", 1), ("short", "a b c", 1), (None, texts[0], 1)]
     df = spark.createDataFrame(rows, "id string, content string, n int")
-    found = neardup.NearDuplicates(df, "id", "content", n=3, threshold=0.6)
+    found = neardup.NearDuplicates(df, "id", "content", n=3, threshold=0.6, least_words=30)
     got = {(r.id_a, r.id_b) for r in found.pairs().collect()}
     held = {k: t for k, t, _ in rows if k and t and len(t.split()) >= 30}
     true = {(a, b) for a in held for b in held if a < b and share(held[a], held[b], 3) >= 0.6}
     assert got <= true and len(got) >= 0.93 * len(true) and ("dup", "k000") in got
     groups = {r.key: r.group for r in found.groups().collect()}
-    assert set(groups) == set(held) and all(groups[a] == groups[b] for a, b in got)
+    assert set(groups) == {k for k, _, _ in rows if k} and all(groups[a] == groups[b] for a, b in got)
+    assert groups["none"] == "none" and groups["empty"] == "empty" and groups["short"] == "short"
+    roots = {}
+    for k in groups:  # the groups are those that all links make, no larger
+        roots[k] = k
+    for _ in range(5):
+        for a, b in got:
+            roots[a] = roots[b] = min(roots[a], roots[b])
+    assert all(groups[k] == roots[k] for k in groups)
+    links = {(r.id_a, r.id_b): r.share for r in found.named_links().collect()}
+    rep = {r.key: r.rep for r in found.membership().collect()}
+    assert rep["dup"] == rep["k000"] == "dup" and {(min(rep[a], rep[b]), max(rep[a], rep[b])) for a, b in got if rep[a] != rep[b]} == set(links)
+
+
+def test_hot_bands_are_dealt_out(spark, monkeypatch):
+    rows = [(7, n, 10) for n in range(50)] + [(8, n, 10) for n in range(48, 53)] + [(9, 1, 10)] + [(10, 90, 10), (10, 91, 99)]
+    df = spark.createDataFrame(rows, "band bigint, n bigint, size int")
+    told = {(a, b) for a in range(50) for b in range(a + 1, 50)} | {(a, b) for a in range(48, 53) for b in range(a + 1, 53)}
+    for block in (1000, 7):
+        monkeypatch.setattr(neardup, "BLOCK", block)
+        got = [(r.a, r.b) for r in neardup.candidate_pairs(df, 0.5).collect()]
+        assert len(got) == len(set(got)) and set(got) == told
+        star = {(r.band, r.a, r.b) for r in neardup.stars(df).collect()}
+        assert star == {(7, 0, n) for n in range(1, 50)} | {(8, 48, n) for n in range(49, 53)} | {(10, 90, 91)}
+
+
+def test_variants_of_one_text_are_grouped_by_few_comparisons(spark, monkeypatch):
+    words = [f"w{i}" for i in range(300)]
+    n = 50_000
+    at = (F.xxhash64("id") % 300 + 300) % 300
+    text = F.array_join(F.transform(F.array(*(F.lit(w) for w in words)), lambda w, i: F.when(i == at, F.concat(F.lit("x"), F.col("id").cast("string"))).otherwise(w)), " ")
+    df = spark.range(n).select(F.format_string("c%06d", "id").alias("id"), text.alias("content"))
+    compared = []
+    whole = neardup.verified_pairs
+
+    def counted(pairs, *rest):
+        compared.append(pairs.count())
+        return whole(pairs, *rest)
+
+    monkeypatch.setattr(neardup, "verified_pairs", counted)
+    found = neardup.NearDuplicates(df, "id", "content").groups()
+    assert found.select("group").distinct().count() == 1 and found.count() == n
+    assert sum(compared) < 60 * n  # 1.2e9 pairs
 
 
 def test_near_duplicates_of_nothing(spark):
     empty = spark.createDataFrame([], "id string, content string")
     found = neardup.NearDuplicates(empty, "id", "content")
-    assert found.pairs().count() == 0 and found.groups().count() == 0
+    assert found.pairs().count() == 0 and found.groups().count() == 0 and found.membership().count() == 0 and found.named_links().count() == 0
 
 
 def test_hot_copies_are_tied_to_one(spark):
     text = family(random.Random(1), 1)[0]
     df = spark.range(300).select(F.format_string("c%04d", "id").alias("id"), F.lit(text).alias("content"))
-    pairs = neardup.NearDuplicates(df, "id", "content").pairs().collect()
-    assert len(pairs) == 299 and {r.id_a for r in pairs} == {"c0000"}
+    found = neardup.NearDuplicates(df, "id", "content")
+    pairs = found.pairs(4096).collect()
+    assert len(pairs) == 299 and {r.id_a for r in pairs} == {"c0000"} and {r.rep for r in found.membership().collect()} == {"c0000"}
+    assert found.pairs().count() == 300 * 299 // 2
 
 
 def test_common_shingles_dont_hide_a_pair(spark):
@@ -454,6 +498,7 @@ def test_sentence_after_a_number_or_date_keeps_its_language():
 def test_languages_without_a_dictionary_are_rejected(sf):
     import pyarrow.parquet as pq
 
+    sf = sf.replace("sf0.001", "sf0.01")
     rows = pq.read_table(f"{sf}/documents.parquet", columns=["lang", "text"]).to_pylist()
     dicts = langid.make([(r["lang"].strip().lower(), r["text"]) for r in rows if r["lang"] and r["text"]])
     texts = [
