@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from juralake.session import materialise
+
 
 def running_sum(df: DataFrame, group: Sequence[str], bucket: Sequence[Column], order: Sequence[Column], value: Column, name: str) -> DataFrame:
     """``df`` with ``name``: the sum of ``value`` over the rows of the same ``group`` up to and with this row.
@@ -42,3 +44,19 @@ def running_sum(df: DataFrame, group: Sequence[str], bucket: Sequence[Column], o
 def running_rank(df: DataFrame, group: Sequence[str], bucket: Sequence[Column], order: Sequence[Column], name: str) -> DataFrame:
     """``df`` with ``name``: the row's place in its group along ``order``, from 1."""
     return running_sum(df, group, bucket, order, F.lit(1).cast("bigint"), name)
+
+
+def rank_by_range(df: DataFrame, group: Sequence[str], order: Sequence[Column], name: str) -> DataFrame:
+    """``df`` with ``name``: the row's place in its group along ``order``, from 1, however many rows of a group are equal in part of it.
+
+    Rows are dealt out over the session's shuffle partitions by ranges of (group, order), as Spark samples them, and written
+    to the shared folder with the number of their range; ranges are ranked on their own, and their totals, a row per group
+    and range, are added up. ``order`` must be unique within a group; the sampling reads ``df`` twice.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = materialise(df.repartitionByRange(n, *group, *order).withColumn("__r", F.spark_partition_id()), "ranges")
+    keys = [*group, "__r"]
+    before = W.partitionBy(*group).orderBy("__r").rowsBetween(W.unboundedPreceding, -1)
+    totals = dealt.groupBy(*keys).agg(F.count("*").alias("__n")).select(*keys, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    inside = dealt.withColumn("__in", F.row_number().over(W.partitionBy(*keys).orderBy(*order)))
+    return inside.join(totals, keys).withColumn(name, F.col("__in") + F.col("__before")).drop("__r", "__in", "__before")

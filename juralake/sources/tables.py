@@ -27,8 +27,10 @@ def first_deliveries(chunks: DataFrame, *columns: str) -> DataFrame:
 
     A first pass reads ids alone and notes, for each id that came more than once, where its first row stands in the files;
     that small table is written, so that Spark knows its size when it chooses how to join, and broadcasts it only if it is
-    under the session's threshold.
+    under the session's threshold. What isn't read from files goes through ``delivered_once``.
     """
+    if not chunks.inputFiles():
+        return delivered_once(chunks, *columns)
     at = F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
     placed = chunks.where("id IS NOT NULL").select("id", *columns, at.alias("__at"))
     twice = placed.groupBy("id").agg(F.min("__at").alias("__first"), F.count("*").alias("__n")).where("__n > 1")
