@@ -15,7 +15,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Where the public vocabularies lie; every query and operator takes it as a parameter.
@@ -27,6 +28,8 @@ NONE = np.int32(2**31 - 1)
 #: A worker's word memory is emptied beyond so many words or ids; a matter of speed alone.
 MEMORY_WORDS = 400_000
 MEMORY_IDS = 4_000_000
+#: Ids in a batch that goes back to Spark, at most, but for a single text's.
+MOST_IDS = 1 << 28
 #: Characters encoded at a time.
 SLICE_CHARS = 1_000_000
 
@@ -248,8 +251,18 @@ def _byte_letters() -> list[str]:
 
 @functools.lru_cache(maxsize=4)
 def encoder(path: str) -> BytePairEncoder:
-    """One encoder per worker process."""
-    return BytePairEncoder(path)
+    """One encoder per process; a worker without the file at ``path`` takes the one that ``sent`` has given it."""
+    return BytePairEncoder(path if os.path.exists(path) else SparkFiles.get(os.path.basename(path)))
+
+
+def sent(spark: SparkSession, vocab: str) -> str:
+    """``vocab``, with its file given to all executors by Spark's file server, once per application."""
+    sc = spark.sparkContext
+    held = sc.__dict__.setdefault("_juralake_files", set())
+    if vocab not in held:
+        sc.addFile(vocab)
+        held.add(vocab)
+    return vocab
 
 
 def vocabulary(folder: str = TOKENIZERS, name: str = "byte_bpe_50k") -> str:
@@ -267,9 +280,15 @@ def encode_ids(df: DataFrame, key: str, text: str, vocab: str) -> DataFrame:
         bpe = encoder(vocab)
         for b in batches:
             ids, offsets = bpe.encode(b.column(1).to_pylist())
-            lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))
-            yield pa.RecordBatch.from_arrays([b.column(0), lists], names=["key", "ids"])
-
+            at = 0
+            while at < b.num_rows:  # offsets of a list column have 32 bits
+                end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + MOST_IDS, side="right")) - 1)
+                part = offsets[at : end + 1] - offsets[at]
+                lists = pa.ListArray.from_arrays(pa.array(part.astype(np.int32)), pa.array(ids[offsets[at] : offsets[end]]))
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, end - at), lists], names=["key", "ids"])
+                at = end
+
+    vocab = sent(df.sparkSession, vocab)
     kind = df.select(F.col(key)).schema[0].dataType.simpleString()
     plain = df.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     return plain.mapInArrow(run, f"key {kind}, ids array<int>").withColumnRenamed("key", key)
@@ -286,6 +305,7 @@ def count_tokens(df: DataFrame, text: str, vocab: str, name: str = "n_tokens") -
             _, offsets = bpe.encode(b.column(b.num_columns - 1).to_pylist())
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(np.diff(offsets))], names=[*rest, name])
 
+    vocab = sent(df.sparkSession, vocab)
     plain = df.select(*(F.col(f"`{c}`") for c in rest), F.coalesce(F.col(text), F.lit("")).alias("__text"))
     fields = plain.drop("__text").schema.add(name, "long")
     return plain.mapInArrow(run, fields)

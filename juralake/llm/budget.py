@@ -1,28 +1,32 @@
 """Token budget per source, language and domain.
 
 Tokens are predicted from counts of bytes, words, digits, punctuation and scripts by one linear model per language, fitted
-on a bounded tokenized sample and corrected by the ratio of real to predicted tokens on a tokenized holdout.
+on a bounded tokenized sample and corrected by the ratio of real to predicted tokens on a tokenized holdout. A further
+tokenized sample, which neither has seen, tells the error that remains.
 """
 
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from juralake.functions.labels import resolve
 from juralake.llm.bpe import count_tokens
-from juralake.sources.tables import delivered_once
+from juralake.sources.tables import delivered_once, first_deliveries
 
-#: Rows of each language that are tokenized to fit its model, and those held out to correct its bias.
+#: Rows of each language that are tokenized to fit its model, those held out to correct its bias, and those that tell its error.
 FIT_ROWS = 300
 HOLDOUT_ROWS = 100
+TEST_ROWS = 100
 #: Classes of characters that are counted, each a feature.
 CLASSES = (
     (r"\s+", "space"), (r"\p{N}+", "digit"), (r"[\p{P}\p{S}]+", "punct"), (r"\p{Latin}+", "latin"), (r"\p{Greek}+", "greek"), (r"\p{Cyrillic}+", "cyrillic"),
@@ -83,7 +87,7 @@ def labelled_chunks(chunks: DataFrame, aliases: DataFrame, *columns: str) -> Dat
     The keys source, language and domain stand at the metadata's top level or in its object provenance. NULL metadata,
     text that isn't valid JSON and values that are missing, null or not found give ``unknown``.
     """
-    once = delivered_once(chunks, *columns, "metadata")
+    once = first_deliveries(chunks, *columns, "metadata")
     v = once.withColumn("__v", F.try_parse_json("metadata"))
     for name, key in zip(LABELS, ("source", "language", "domain"), strict=True):
         v = v.withColumn(f"raw_{name}", F.coalesce(F.try_variant_get("__v", f"$.{key}", "string"), F.try_variant_get("__v", f"$.provenance.{key}", "string")))
@@ -93,25 +97,33 @@ def labelled_chunks(chunks: DataFrame, aliases: DataFrame, *columns: str) -> Dat
     return v.select("id", *columns, *LABELS)
 
 
-def fit(chunks: DataFrame, aliases: DataFrame, vocab: str, fit_rows: int = FIT_ROWS, holdout_rows: int = HOLDOUT_ROWS) -> dict[str, tuple[np.ndarray, float]]:
-    """Per language the weights of FEATURES and the bias correction; "" holds those of all languages together.
+class Model(NamedTuple):
+    """A language's weights of FEATURES, its bias correction, and the error of its total on the test rows, NaN without any."""
 
-    Sampled are the rows with the smallest hash of the id in each language, at most fit_rows + holdout_rows. They are chosen
-    by id and label alone; only then are their contents read. The driver gets their counts. A language with fewer than 30
-    rows takes the model of all.
+    beta: np.ndarray
+    bias: float
+    error: float
+
+
+def fit(chunks: DataFrame, aliases: DataFrame, vocab: str, fit_rows: int = FIT_ROWS, holdout_rows: int = HOLDOUT_ROWS, test_rows: int = TEST_ROWS) -> dict[str, Model]:
+    """A model per language; "" holds that of all languages together.
+
+    Sampled are the rows with the smallest hash of the id in each language, at most fit_rows + holdout_rows + test_rows. They
+    are chosen by id and label alone; only then are their contents read. The driver gets their counts. A language with fewer
+    than 30 rows takes the model of all.
     """
     w = W.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    chosen = labelled_chunks(chunks, aliases).select("id", "lang", F.row_number().over(w).alias("n")).where(F.col("n") <= fit_rows + holdout_rows)
+    chosen = labelled_chunks(chunks, aliases).select("id", "lang", F.row_number().over(w).alias("n")).where(F.col("n") <= fit_rows + holdout_rows + test_rows)
     # As many rows as the alias table has languages, and one more, times the rows of each: small enough to be sent to all.
     once = delivered_once(chunks.select("id", "content").join(F.broadcast(chosen), "id"), "content", "lang", "n").where(F.length("content") > 0)
     sample = once.select("lang", "n", F.col("content").alias("t1"), F.col("content").alias("t2"))
     rows = with_features(count_tokens(sample, "t1", vocab), "t2").collect()
-    return fit_rows_of([(r["lang"], r["n"] > fit_rows, [r[f] for f in FEATURES], r["n_tokens"]) for r in rows])
+    return fit_rows_of([(r["lang"], int(r["n"] > fit_rows) + int(r["n"] > fit_rows + holdout_rows), [r[f] for f in FEATURES], r["n_tokens"]) for r in rows])
 
 
-def fit_rows_of(rows: list[tuple[str, bool, list[int], int]]) -> dict[str, tuple[np.ndarray, float]]:
-    """The models of sampled rows (language, held out, features, tokens)."""
-    models: dict[str, tuple[np.ndarray, float]] = {}
+def fit_rows_of(rows: list[tuple[str, int, list[int], int]]) -> dict[str, Model]:
+    """The models of sampled rows (language, 0 to fit, 1 held out, 2 to test, features, tokens)."""
+    models: dict[str, Model] = {}
     for lang in ["", *sorted({r[0] for r in rows})]:
         own = [r for r in rows if r[0] == lang or not lang]
         if lang and len(own) < 30:
@@ -122,34 +134,58 @@ def fit_rows_of(rows: list[tuple[str, bool, list[int], int]]) -> dict[str, tuple
         weight = 1 / np.sqrt(np.maximum(y, 1))  # relative errors count, else long texts rule the fit
         a = x / scale * weight[:, None]
         beta = np.linalg.solve(a.T @ a + 1e-6 * len(y) * np.eye(len(scale)) + 1e-12 * np.eye(len(scale)), a.T @ (y * weight)) / scale if len(y) else np.full(len(scale), 0.0)
-        held = [r for r in own if r[1]]
-        guess = sum(max(0.0, float(np.dot(beta, r[2]))) for r in held)
-        models[lang] = beta, sum(r[3] for r in held) / guess if guess > 0 else 1.0
-    return models
 
+        def totals(part: int, own=own, beta=beta) -> tuple[float, float]:
+            held = [r for r in own if r[1] == part]
+            return float(sum(r[3] for r in held)), sum(max(0.0, float(np.dot(beta, r[2]))) for r in held)
 
-def estimate(counted: DataFrame, models: dict[str, tuple[np.ndarray, float]], name: str = "est_tokens") -> DataFrame:
-    """``counted`` (with ``lang`` and FEATURES) with the estimated tokens of each row, as a plain expression of its counts."""
+        real, guess = totals(1)
+        bias = real / guess if guess > 0 else 1.0
+        real, guess = totals(2)
+        models[lang] = Model(beta, bias, abs(bias * guess - real) / real if real else math.nan)
+    return models
 
-    def of(model: tuple[np.ndarray, float]):
-        beta, bias = model
-        return F.greatest(F.lit(0.0), sum((F.col(f) * float(b * bias) for f, b in zip(FEATURES, beta, strict=True)), F.lit(0.0)))
 
-    guess = of(models[""])
+def _of_language(models: dict[str, Model], value: Callable[[Model], Column]) -> Column:
+    """``value`` of the model of each row's language."""
+    out = value(models[""])
     for lang, m in models.items():
         if lang:
-            guess = F.when(F.col("lang") == lang, of(m)).otherwise(guess)
-    return counted.withColumn(name, guess)
+            out = F.when(F.col("lang") == lang, value(m)).otherwise(out)
+    return out
+
+
+def estimate(counted: DataFrame, models: dict[str, Model], name: str = "est_tokens") -> DataFrame:
+    """``counted`` (with ``lang`` and FEATURES) with the estimated tokens of each row, as a plain expression of its counts."""
+
+    def of(m: Model) -> Column:
+        return F.greatest(F.lit(0.0), sum((F.col(f) * float(b * m.bias) for f, b in zip(FEATURES, m.beta, strict=True)), F.lit(0.0)))
+
+    return counted.withColumn(name, _of_language(models, of))
 
 
 def token_budget(chunks: DataFrame, aliases: DataFrame, vocab: str) -> DataFrame:
-    """(source, lang, domain, n_chunks, n_bytes, est_tokens): one row per slice that chunk ids fall in.
+    """(source, lang, domain, n_chunks, n_bytes, est_tokens, test_error): one row per slice that chunk ids fall in.
 
     Every chunk id counts once with its whole content; NULL and empty contents have no tokens but their slice stands.
+    test_error is the error of the total of the language's test rows, as a share of it; NaN where there are none.
     """
     models = fit(chunks, aliases, vocab)
     counted = with_features(labelled_chunks(chunks, aliases, "content").drop("id"), "content")
-    return (
+    slices = (
         estimate(counted, models).groupBy(*LABELS)
         .agg(F.count("*").alias("n_chunks"), F.sum("bytes").alias("n_bytes"), F.round(F.sum("est_tokens")).cast("bigint").alias("est_tokens"))
     )
+    return slices.withColumn("test_error", _of_language(models, lambda m: F.lit(m.error)))
+
+
+def budget_errors(chunks: DataFrame, aliases: DataFrame, vocab: str) -> DataFrame:
+    """(source, lang, domain, n_chunks, est_tokens, real_tokens, error): every slice's estimate beside the tokens of all its chunks.
+
+    It tokenizes the whole corpus, which the estimate is there to spare; error is |est - real| / real, NULL without tokens.
+    """
+    models = fit(chunks, aliases, vocab)
+    twice = labelled_chunks(chunks, aliases, "content").select(*LABELS, F.col("content").alias("t1"), F.col("content").alias("t2"))
+    both = estimate(with_features(count_tokens(twice, "t1", vocab), "t2"), models)
+    sums = both.groupBy(*LABELS).agg(F.count("*").alias("n_chunks"), F.round(F.sum("est_tokens")).cast("bigint").alias("est_tokens"), F.sum("n_tokens").alias("real_tokens"))
+    return sums.withColumn("error", F.when(F.col("real_tokens") > 0, F.abs(F.col("est_tokens") - F.col("real_tokens")) / F.col("real_tokens")))

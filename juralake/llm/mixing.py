@@ -122,15 +122,18 @@ def _schedule(spark, weights: list[tuple[str, int]]) -> DataFrame:
     point = F.col("id") * F.lit(GOLDEN)
     point = point - F.floor(point)
     source, until = F.lit(weights[-1][0]), 0
+    name_of, begin_of = F.lit(weights[-1][0]), F.lit(total - weights[-1][1])
     cuts = []
     for name, n in weights[:-1]:
+        cuts.append((name, until, until + n))
         until += n
-        cuts.append((name, until / total))
-    for name, end in reversed(cuts):
-        source = F.when(point < end, F.lit(name)).otherwise(source)
+    for name, begin, end in reversed(cuts):  # a chain over the sources of the target table
+        source = F.when(point < end / total, F.lit(name)).otherwise(source)
+        name_of = F.when(F.col("id") < end, F.lit(name)).otherwise(name_of)
+        begin_of = F.when(F.col("id") < end, F.lit(begin)).otherwise(begin_of)
     slots = spark.range(total).select(F.col("id").alias("slot"), source.alias("source"))
     ranked = running_rank(slots, ["source"], [F.shiftright("slot", 16)], [F.col("slot")], "nth")
-    blocks = spark.createDataFrame(weights, "source string, n_blocks bigint").select("source", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)).alias("block"))
+    blocks = spark.range(total).select(name_of.alias("source"), (F.col("id") - begin_of).alias("block"))
     return (
         blocks.join(ranked.withColumn("block", F.col("nth") - 1), ["source", "block"], "left")
         .select("source", "block", F.coalesce("slot", F.lit(total) + F.col("block")).alias("slot"))

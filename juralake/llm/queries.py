@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from juralake.llm import bpe, budget, knn, langid, mixing, neardup, ranking, sentences, split
 from juralake.session import materialise
-from juralake.sources.tables import spread, table
+from juralake.sources.tables import first_deliveries, spread, table
 
 VOCAB = bpe.vocabulary()
 
@@ -41,7 +41,7 @@ def p1_groups(spark: SparkSession, d: str) -> DataFrame:
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     chunks = table(spark, d, "chunks")
     model = sentences.adapted(sentences.trained(), sentences.fit_texts(chunks))
-    return sentences.sentence_units(split.oversized(chunks), model)
+    return sentences.sentence_units(first_deliveries(chunks, "content"), model)
 
 
 def p3_nearest(spark: SparkSession, d: str) -> DataFrame:
@@ -66,7 +66,11 @@ def p5_budget(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return p5_budget(spark, d).select("source", "lang", "domain")
+    return p5_budget(spark, d).where("est_tokens >= 0").select("source", "lang", "domain")  # a slice is one that has an estimate
+
+
+def p5_errors(spark: SparkSession, d: str) -> DataFrame:
+    return budget.budget_errors(table(spark, d, "chunks"), table(spark, d, "label_aliases"), VOCAB)
 
 
 def p6_ranking(spark: SparkSession, d: str) -> DataFrame:

@@ -354,6 +354,9 @@ def test_budget(spark):
     assert set(got) == {("a", "en", "tax"), ("a", "unknown", "unknown"), ("unknown", "unknown", "unknown")}
     main = got["a", "en", "tax"]
     true = sum(np.diff(bpe.encoder(VOCAB).encode([r[1] for r in rows[:200]])[1]))
+    assert 0 <= main.test_error < 0.05 or main.test_error != main.test_error  # 200 rows are all for fitting
+    errors = {(r.source, r.lang, r.domain): r for r in budget.budget_errors(df, aliases, VOCAB).collect()}
+    assert errors["a", "en", "tax"].error < 0.03 and errors["a", "unknown", "unknown"].error is None
     assert main.n_chunks == 200 and abs(main.est_tokens - true) < 0.03 * true and got["unknown", "unknown", "unknown"].n_chunks == 3
     assert budget.token_budget(df.limit(0), aliases, VOCAB).count() == 0
 
@@ -388,6 +391,14 @@ def test_ranking_isnt_ruled_by_range(spark):
     assert ranking.one_ranking(results(spark, rows).limit(0)).count() == 0
 
 
+def test_any_number_of_equal_scores_is_ranked(spark):
+    rows = [(q, f"c{i:04}", 1.0 if i % 7 else 2.0, 1.0, [1.0]) for q in (1, 2) for i in range(700 if q == 1 else 3)]
+    got = {(r.query_id, r.chunk_id): r.place for r in ranking.one_ranking(results(spark, rows)).collect()}
+    for q in (1, 2):
+        own = sorted((k for k in got if k[0] == q), key=lambda k: (int(k[1][1:]) % 7 != 0, k[1]))
+        assert [got[k] for k in own] == list(range(1, len(own) + 1))
+
+
 def test_best_in_each(spark):
     rows = [(1, f"c{i}", float(i), float(i), [float(i)]) for i in range(8)] + [(1, "tie", 3.0, 3.0, [3.0]), (1, "no", 99.0, None, [99.0])]
     got = {r.chunk_id for r in ranking.best_in_each(ranking.candidates(results(spark, rows)), "query_id", "chunk_id", ["original", "colbert", "sentence"], 5).collect()}
