@@ -53,8 +53,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
-    texts = split.oversized(table(spark, d, "chunks"))
-    return split.piece_texts(texts, split.pieces(texts))
+    return split.piece_texts(split.oversized(table(spark, d, "chunks")))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:

@@ -1,8 +1,11 @@
 """Splitting oversized texts at natural boundaries.
 
-A text is worked on as ranges of bytes: each worker decodes its range with a halo on both sides, counts its code points and
-lists the cuts that it offers; lengths are summed along the ranges to give each cut its place in the text; the pieces are
-chosen from that small table, and their text is taken from the ranges by offset. No task needs a whole giant text.
+A text, in a file or in a cell, is worked on as ranges of bytes. Each worker reads its range alone, and the three bytes of halo
+that may end its last character. It counts code points and lists the cuts that the range offers; what a cut means may hang on
+any length of white space or brackets before it, so ranges hand on a state: the last character that counts, the line ends
+since, and the like. States and lengths are stitched along the ranges, which gives each cut its level and its place. Pieces are
+chosen from the table of cuts, in segments that begin at cuts, and their text is taken from the ranges by offset. No task needs
+a whole giant text, and the pieces don't depend on where ranges lie.
 """
 
 from __future__ import annotations
@@ -11,15 +14,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.fs as pafs
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
-from juralake.sources.tables import delivered_once
+from juralake.session import materialise
+from juralake.sources.tables import first_deliveries
 
-#: Bytes in a range, and of its neighbours that a worker sees on either side.
+#: Bytes in a range, and beyond it that may belong to its last character.
 RANGE_BYTES = 1 << 20
-HALO_BYTES = 64
+HALO_BYTES = 3
+#: Code points of a segment, in which pieces are chosen on their own. It begins at a natural cut; where there is none, it goes on.
+SEGMENT = 1 << 19
 #: Code points of a piece at most, and shared by consecutive pieces.
 LIMIT = 2000
 OVERLAP = 200
@@ -31,6 +39,7 @@ _FINAL = np.array([ord(c) for c in ".!?…。！？．؟।॥"], np.uint32)
 _WIDE_FINAL = np.array([ord(c) for c in "。！？．।॥"], np.uint32)
 _CLOSING = np.array([ord(c) for c in "\"')]}”’»」』）】›"], np.uint32)
 _CLAUSE = np.array([ord(c) for c in ",;:，；：、،؛·"], np.uint32)
+_LINE, _SPACE = np.array([10], np.uint32), np.array([32], np.uint32)
 
 
 def _among(cp: np.ndarray, chars: np.ndarray) -> np.ndarray:
@@ -87,15 +96,45 @@ def offered_cuts(level: np.ndarray, cell: int) -> np.ndarray:
     return at[np.unique(np.r_[first, last, best])]
 
 
-def chosen_pieces(size: int, at: np.ndarray, level: np.ndarray, limit: int, overlap: int) -> list[tuple[int, int, str]]:
-    """Pieces (start, end, how the end was cut) of a text of ``size`` code points, given its offered cuts in order.
+def tail_state(cp: np.ndarray) -> tuple[int, int, int, int]:
+    """What a range hands on: its last character that is neither white space nor closing, its last that isn't white space, the line
+    ends after that, and its last character; -1 where it has none."""
+    space = _among(cp, _SPACES)
+    solid = np.flatnonzero(~space)
+    bare = np.flatnonzero(~space & ~_among(cp, _CLOSING))
+    last = int(solid[-1]) if len(solid) else -1
+    return int(cp[bare[-1]]) if len(bare) else -1, int(cp[last]) if last >= 0 else -1, int((cp[last + 1 :] == 10).sum()), int(cp[-1]) if len(cp) else -1
+
+
+def led_levels(cp: np.ndarray, bare: int, solid: int, breaks: int, last: int) -> np.ndarray:
+    """``cut_levels`` of a range, given the state of the text before it, from a few characters that make the same state."""
+    lead = [np.array([c], np.uint32) for c in ([bare] if bare >= 0 and bare != solid else []) + ([solid] if solid >= 0 else [])]
+    if last != solid:
+        lead += [_LINE] * min(breaks, 2) if breaks else []
+        lead.append(np.array([last], np.uint32) if last != 10 else _SPACE[:0])
+    lead = np.concatenate(lead) if lead else np.empty(0, np.uint32)
+    return cut_levels(np.concatenate([lead, cp]))[len(lead) :]
+
+
+def chosen_pieces(size: int, at: np.ndarray, level: np.ndarray, limit: int, overlap: int, begin: int = 0) -> list[tuple[int, int, str]]:
+    """Pieces (start, end, how the end was cut) of a text up to code point ``size``, given its offered cuts in order.
+
+    The text before ``begin``, which is 0 or a cut, has its pieces already.
 
     Of the cuts in the second half of a piece the last of the highest level is taken, else the last before it. Where there is
     none since the last cut, the cut is forced at the limit. A piece begins ``overlap`` before the last cut, or less far back
     where it could otherwise not reach the next natural cut.
     """
     out: list[tuple[int, int, str]] = []
-    start = cut = 0
+
+    def after(cut: int, start: int) -> int:
+        nxt = np.searchsorted(at, cut, side="right")
+        reach = int(at[nxt]) if nxt < len(at) else size
+        start = max(cut - overlap, start + 1)
+        return max(start, reach - limit) if reach - cut <= limit else start
+
+    cut = begin
+    start = after(cut, -1) if begin else 0
     while size - start > limit:
         end = start + limit
         lo, hi = np.searchsorted(at, max(cut, start), side="right"), np.searchsorted(at, end, side="right")
@@ -106,94 +145,238 @@ def chosen_pieces(size: int, at: np.ndarray, level: np.ndarray, limit: int, over
         else:
             cut, how = end, "forced"
         out.append((start, cut, how))
-        nxt = np.searchsorted(at, cut, side="right")
-        reach = int(at[nxt]) if nxt < len(at) else size
-        start = max(cut - overlap, start + 1)
-        if reach - cut <= limit:
-            start = max(start, reach - limit)
+        start = after(cut, start)
     out.append((start, size, "end"))
     return out
 
 
-def _ranges(texts: DataFrame, range_bytes: int) -> DataFrame:
-    """(id, r, lead, body): each text's ranges of UTF-8 bytes with halos; ``lead`` are the bytes of the halo before."""
-    whole = texts.select("id", F.encode("content", "UTF-8").alias("bytes")).withColumn("n", F.octet_length("bytes"))
-    each = whole.withColumn("r", F.explode(F.sequence(F.lit(0), F.expr(f"cast((n - 1) div {range_bytes} as int)"))))
-    begin = F.col("r") * range_bytes
-    lead = F.least(begin, F.lit(HALO_BYTES))
-    return each.select("id", "r", lead.alias("lead"), F.expr(f"substring(bytes, r * {range_bytes} - least(r * {range_bytes}, {HALO_BYTES}) + 1, least(r * {range_bytes}, {HALO_BYTES}) + {range_bytes + HALO_BYTES})").alias("body")).repartition("id", "r")
+class Cells:
+    """Texts in the cells of a table (id, content), one row per id: ranges are cut from the cell. NULL contents have none."""
+
+    def __init__(self, texts: DataFrame) -> None:
+        self.texts = texts.select("id", "content")
+
+    def ranges(self, limit: int, range_bytes: int) -> DataFrame:
+        """(id, r, body): the ranges of texts of more than ``limit`` code points, with their halos."""
+        over = self.texts.where(F.length("content") > limit).select("id", F.encode("content", "UTF-8").alias("bytes"))
+        each = over.withColumn("r", F.explode(F.expr(f"sequence(0, cast((octet_length(bytes) - 1) div {range_bytes} as int))")))
+        return each.select("id", "r", F.expr(f"substring(bytes, r * {range_bytes} + 1, {range_bytes + HALO_BYTES})").alias("body")).repartition("id", "r")
+
+    def bodies(self, rows: DataFrame, range_bytes: int) -> DataFrame:
+        """``rows`` (id, r, ...) with the ``body`` of their range."""
+        held = rows.join(self.texts, "id").withColumn("bytes", F.encode("content", "UTF-8"))
+        return held.withColumn("body", F.expr(f"substring(bytes, r * {range_bytes} + 1, {range_bytes + HALO_BYTES})")).drop("bytes", "content")
+
+
+class Files:
+    """Texts in UTF-8 files, each named by its path: ranges are (path, offset, length), and every worker reads its own alone."""
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        listed = spark.read.format("binaryFile").load(path)
+        self.files = listed.select(F.col("path").alias("id"), F.col("length").alias("size"))  # names and sizes; contents aren't read
+
+    def ranges(self, limit: int, range_bytes: int) -> DataFrame:
+        """(id, r, body): the ranges of files of more than ``limit`` bytes; shorter ones can't have more code points."""
+        n = F.expr(f"cast((size - 1) div {range_bytes} as int)")
+        each = self.files.where(F.col("size") > limit).select("id", F.explode(F.sequence(F.lit(0), n)).alias("r")).repartition("id", "r")
+        return self.bodies(each, range_bytes)
+
+    def bodies(self, rows: DataFrame, range_bytes: int) -> DataFrame:
+        """``rows`` (id, r, ...) with the ``body`` of their range, read by offset."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                ids, r = b.column(b.schema.get_field_index("id")).to_pylist(), b.column(b.schema.get_field_index("r")).to_pylist()
+                for i, (path, k) in enumerate(zip(ids, r, strict=True)):  # a row at a time, so that no batch holds many ranges
+                    body = pa.array([read_range(path, k * range_bytes, range_bytes + HALO_BYTES)], pa.binary())
+                    yield pa.RecordBatch.from_arrays([*b.slice(i, 1).columns, body], names=[*b.schema.names, "body"])
 
+        fields = StructType([*rows.schema.fields, StructField("body", BinaryType())])
+        return rows.mapInArrow(run, fields)
 
-def _decoded(body: bytes, lead: int, range_bytes: int) -> tuple[np.ndarray, int, int]:
-    """Code points of a range with its halos, and which of them (from, until) begin within the range."""
+
+def read_range(path: str, begin: int, size: int) -> bytes:
+    """``size`` bytes of a file from ``begin`` on, or as many as it has; the file system goes by the path's scheme."""
+    scheme, _, rest = path.partition(":")
+    files, name = (pafs.LocalFileSystem(), "/" + rest.lstrip("/")) if scheme == "file" else pafs.FileSystem.from_uri(path)
+    with files.open_input_file(name) as f:
+        return f.read_at(min(size, max(0, f.size() - begin)), begin)
+
+
+def _decoded(body: bytes, range_bytes: int) -> np.ndarray:
+    """Code points of the characters that begin within a range; bytes that aren't UTF-8 stand as one replacement each."""
     raw = np.frombuffer(body, np.uint8)
-    heads = np.flatnonzero((raw & 0xC0) != 0x80)
-    if not len(heads):
-        return np.empty(0, np.uint32), 0, 0
-    text = bytes(raw[heads[0] :]).decode("utf-8", "ignore")  # a broken last character lies in the halo
-    cp = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-    heads = heads[: len(cp)]
-    return cp, int(np.searchsorted(heads, lead)), int(np.searchsorted(heads, lead + range_bytes))
+    begin = int(np.argmax(np.r_[(raw & 0xC0) != 0x80, True]))
+    end = len(raw)
+    if end > range_bytes:  # the last character that begins within the range ends before the next one begins
+        end = range_bytes + int(np.argmax(np.r_[(raw[range_bytes:] & 0xC0) != 0x80, True]))
+    return np.frombuffer(bytes(raw[min(begin, end) : end]).decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
 
 
-def cut_table(texts: DataFrame, limit: int, range_bytes: int = RANGE_BYTES) -> DataFrame:
-    """(id, r, n_chars, at, level): the cuts that each range offers, by code points from the range's begin."""
+def cut_table(source: Cells | Files, limit: int, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """(id, r, n_chars, offset, cuts): each range's length, its place, and the places in the text of the cuts that it offers, with
+    their levels.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    A first pass over all ranges gives lengths and states, and the cuts of first ranges; a second one reads the others again, now
+    that the state before each is known. Both tables lie in the shared folder.
+    """
+    state = ("bare", "solid", "breaks", "last")
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, at, level = [], [], []
-            for lead, body in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                cp, lo, hi = _decoded(body, lead, range_bytes)
-                every = cut_levels(cp)[lo:hi]
-                own = offered_cuts(every, max(1, limit // 8))
-                n.append(hi - lo)
-                at.append(own)
-                level.append(every[own])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(at, pa.list_(pa.int64())), pa.array(level, pa.list_(pa.int8()))], names=["id", "r", "n_chars", "at", "level"])
+            rows = []
+            for r, body in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                cp = _decoded(body, range_bytes)
+                rows.append((len(cp), tail_state(cp), _levels_by_place(cut_levels(cp), 0, limit) if not r else None))
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), b.column(1), pa.array([x[0] for x in rows], pa.int64()), *(pa.array([x[1][i] for x in rows], pa.int32()) for i in range(4)), pa.array([x[2] for x in rows], _CUTS)],
+                names=["id", "r", "n_chars", *state, "cuts"],
+            )
+
+    ranges = source.ranges(limit, range_bytes)
+    kind = "array<struct<at:bigint,level:tinyint>>"
+    table = materialise(ranges.mapInArrow(first, f"id string, r int, n_chars bigint, bare int, solid int, breaks int, last int, cuts {kind}"), "ranges")
+    along = W.partitionBy("id").orderBy("r").rowsBetween(W.unboundedPreceding, -1)
 
-    return _ranges(texts, range_bytes).mapInArrow(run, "id string, r int, n_chars bigint, at array<bigint>, level array<tinyint>")
+    def known(c: str):
+        return F.when(F.col(c) >= 0, F.col(c))
 
+    total = F.coalesce(F.sum("breaks").over(along), F.lit(0))
+    placed = table.withColumn("offset", F.coalesce(F.sum("n_chars").over(along), F.lit(0))).withColumn("total", total)
+    at_solid = F.last(F.when(F.col("solid") >= 0, F.col("total")), ignorenulls=True).over(along)
+    led = placed.withColumns(
+        {f"led_{c}": F.coalesce(F.last(known(c), ignorenulls=True).over(along), F.lit(-1)) for c in ("bare", "solid", "last")} | {"led_breaks": (F.col("total") - F.coalesce(at_solid, F.lit(0))).cast("bigint")}
+    )
 
-def pieces(texts: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP, range_bytes: int = RANGE_BYTES) -> DataFrame:
-    """(id, piece, start, end, cut): the pieces of every text of more than ``limit`` code points.
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            of = {n: b.column(i).to_pylist() for i, n in enumerate(b.schema.names)}
+            cuts = []
+            for i, body in enumerate(of["body"]):
+                levels = led_levels(_decoded(body, range_bytes), of["led_bare"][i], of["led_solid"][i], of["led_breaks"][i], of["led_last"][i])
+                cuts.append(_levels_by_place(levels, of["offset"][i], limit))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), b.column(3), pa.array(cuts, _CUTS)], names=["id", "r", "n_chars", "offset", "cuts"])
+
+    out = f"id string, r int, n_chars bigint, offset bigint, cuts {kind}"
+    later = led.where("r > 0").select("id", "r", "n_chars", "offset", "led_bare", "led_solid", "led_breaks", "led_last")
+    return led.where("r = 0").select("id", "r", "n_chars", "offset", "cuts").unionByName(source.bodies(later, range_bytes).mapInArrow(again, out))
+
+
+_CUTS = pa.list_(pa.struct([("at", pa.int64()), ("level", pa.int8())]))
 
-    ``texts`` has (id, content), one row per id. start counts from 0, end is exclusive, cut says how the piece's end was found: natural,
-    forced or end. Pieces have at most ``limit`` code points and cover the text. NULL, empty and shorter texts have no rows.
+
+def _levels_by_place(levels: np.ndarray, offset: int, limit: int) -> list[dict[str, int]]:
+    """The cuts that matter of a range at ``offset``, by their places in the text.
+
+    Of every limit / 8 places of the text the first cut, the last, and the last of the highest level; a range that ends within
+    such a cell gives those of its part, which the choice sees as well.
     """
-    if not 0 <= overlap < limit:
-        raise ValueError("overlap must be at least 0 and under limit")
-    over = texts.where(F.length("content") > limit)
-    along = W.partitionBy("id").orderBy("r").rowsBetween(W.unboundedPreceding, -1)
-    placed = cut_table(over, limit, range_bytes).withColumn("offset", F.coalesce(F.sum("n_chars").over(along), F.lit(0)))
+    cell = max(1, limit // 8)
+    lead = offset % cell
+    at = offered_cuts(np.concatenate([np.full(lead, -1, np.int8), levels]), cell) - lead
+    return [{"at": int(a) + offset, "level": int(levels[a])} for a in at]
+
+
+def _merged(at: np.ndarray, level: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """The cuts that matter of whole cells, where two ranges may each have given those of its part."""
+    if not len(at):
+        return at, level
+    full = np.full(int(at[-1] - at[0] // max(1, limit // 8) * max(1, limit // 8)) + 1, -1, np.int8)
+    base = int(at[0] // max(1, limit // 8) * max(1, limit // 8))
+    full[at - base] = level
+    kept = offered_cuts(full, max(1, limit // 8))
+    return kept + base, full[kept]
 
-    def choose(group: pa.Table) -> pa.Table:
-        group = group.sort_by("r")
-        offset, n = group.column("offset").to_numpy(), group.column("n_chars").to_numpy()
-        at = np.concatenate([np.asarray(x, np.int64) + o for x, o in zip(group.column("at").to_pylist(), offset, strict=True)])
-        level = np.concatenate([np.asarray(x, np.int8) for x in group.column("level").to_pylist()])
-        rows = chosen_pieces(int(n.sum()), at, level, limit, overlap)
-        start, end, how = zip(*rows, strict=True)
-        return pa.table({"id": pa.array([group.column("id")[0].as_py()] * len(rows)), "piece": pa.array(range(len(rows)), pa.int32()), "start": pa.array(start, pa.int64()), "end": pa.array(end, pa.int64()), "cut": pa.array(how)})
 
-    return placed.groupBy("id").applyInArrow(choose, "id string, piece int, start bigint, end bigint, cut string")
+def pieces(source: DataFrame | Cells | Files, limit: int = LIMIT, overlap: int = OVERLAP, range_bytes: int = RANGE_BYTES, segment: int = SEGMENT) -> DataFrame:
+    """(id, piece, start, end, cut): the pieces of every text of more than ``limit`` code points.
 
+    ``source`` is Files, or a table of (id, content), one row per id. start counts from 0, end is exclusive, cut says how the piece's
+    end was found: natural, forced or end. Pieces have at most ``limit`` code points, cover the text, and are numbered in their
+    order. NULL, empty and shorter texts have no rows. A text of more than ``segment`` code points is chosen in segments, each of
+    which begins at the best natural cut of the last limit / 2 places before a multiple of ``segment``, if there is one.
+    """
+    return _pieces(cut_table(source if not isinstance(source, DataFrame) else Cells(source), limit, range_bytes), limit, overlap, segment)
+
+
+def _pieces(table: DataFrame, limit: int, overlap: int, segment: int) -> DataFrame:
+    if not 0 <= overlap < limit or segment < 4 * limit:
+        raise ValueError("overlap must be at least 0 and under limit, a segment at least four times limit")
+    table = materialise(table, "cuts")
+    size = table.groupBy("id").agg(F.sum("n_chars").alias("size")).where(F.col("size") > limit)
+    cuts = table.select("id", F.inline("cuts")).withColumn("seg", F.floor(F.col("at") / segment))
+    # Where a segment ends: the last cut of the highest level in the window before its border, no row where there is none.
+    border = (F.col("seg") + 1) * segment
+    anchors = cuts.where(F.col("at") > border - limit // 2).groupBy("id", "seg").agg(F.max_by("at", F.struct("level", "at")).alias("anchor"))
+    anchors = anchors.join(size, "id").where(F.col("anchor") + limit < F.col("size")).select("id", "seg", "anchor")
+    along = W.partitionBy("id").orderBy("seg")
+    runs = anchors.select("id", "seg", "anchor", F.row_number().over(along).alias("run"), F.lead("anchor").over(along).alias("stop"))
+    # Each run: from its anchor (run 0: the begin) to the next one or the end of the text.
+    heads = size.join(runs.where("run = 1").select("id", F.col("anchor").alias("stop")), "id", "left").select("id", F.lit(0).cast("int").alias("run"), F.lit(0).cast("bigint").alias("begin"), F.coalesce("stop", "size").alias("stop"), F.col("stop").isNull().alias("ends"))
+    rest = runs.join(size, "id").select("id", "run", F.col("anchor").alias("begin"), F.coalesce("stop", "size").alias("stop"), F.col("stop").isNull().alias("ends"))
+    every = heads.unionByName(rest)
+    known = runs.select("id", F.col("seg").alias("own_seg"), F.col("run").alias("own_run"), "anchor")
+    before = W.partitionBy("id").orderBy("seg").rangeBetween(W.unboundedPreceding, -1)
+    segs = cuts.select("id", "seg").distinct()
+    passed = segs.join(known, (segs["id"] == known["id"]) & (segs["seg"] == known["own_seg"]), "left").select(segs["id"], segs["seg"], "own_run", "anchor")
+    passed = passed.withColumn("passed", F.coalesce(F.max("own_run").over(before), F.lit(0)))
+    in_run = cuts.join(passed, ["id", "seg"]).withColumn("run", F.col("passed") + (F.col("anchor").isNotNull() & (F.col("at") > F.col("anchor"))).cast("int"))
+    held = in_run.groupBy("id", "run").agg(F.sort_array(F.collect_list(F.struct("at", "level"))).alias("cuts"))  # bounded by a segment's cells
+    ready = every.join(held, ["id", "run"], "left").select("id", "run", "begin", "stop", "ends", "cuts")
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            of = {n: b.column(i).to_pylist() for i, n in enumerate(b.schema.names)}
+            for i, own in enumerate(of["cuts"]):
+                at = np.array([c["at"] for c in own or []], np.int64)
+                level = np.array([c["level"] for c in own or []], np.int8)
+                at, level = _merged(at, level, limit)
+                held = (at > of["begin"][i]) & (at < of["stop"][i]) if not of["ends"][i] else at > of["begin"][i]
+                rows = chosen_pieces(of["stop"][i], at[held], level[held], limit, overlap, of["begin"][i])
+                start, end, how = zip(*rows, strict=True)
+                how = [*how[:-1], how[-1] if of["ends"][i] else "natural"]
+                n = len(rows)
+                yield pa.RecordBatch.from_arrays([pa.array([of["id"][i]] * n), pa.array([of["run"][i]] * n, pa.int32()), pa.array(range(n), pa.int32()), pa.array(start, pa.int64()), pa.array(end, pa.int64()), pa.array(how)], names=["id", "run", "nth", "start", "end", "cut"])
+
+    chosen = ready.mapInArrow(choose, "id string, run int, nth int, start bigint, end bigint, cut string")
+    if_many = materialise(chosen, "pieces")
+    counts = if_many.groupBy("id", "run").agg(F.count("*").alias("n"))
+    ahead = W.partitionBy("id").orderBy("run").rowsBetween(W.unboundedPreceding, -1)
+    numbered = counts.select("id", "run", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("ahead"))
+    return if_many.join(numbered, ["id", "run"]).select("id", (F.col("ahead") + F.col("nth")).cast("int").alias("piece"), "start", "end", "cut")
+
+
+def piece_texts(source: DataFrame | Cells | Files, limit: int = LIMIT, overlap: int = OVERLAP, range_bytes: int = RANGE_BYTES, segment: int = SEGMENT) -> DataFrame:
+    """``pieces`` with ``text``: each range is read once more and gives, by offset, its part of the pieces that touch it."""
+    source = source if not isinstance(source, DataFrame) else Cells(source)
+    table = materialise(cut_table(source, limit, range_bytes), "cuts")
+    chosen = materialise(_pieces(table, limit, overlap, segment), "pieces")
+    cell = max(limit, range_bytes // 4)  # a range holds at least a quarter of its bytes in code points
+    spans = table.where("n_chars > 0").select("id", "r", "offset", "n_chars", F.explode(F.expr(f"sequence(offset div {cell}, (offset + n_chars - 1) div {cell})")).alias("cell"))
+    touch = chosen.select("*", F.explode(F.expr(f"sequence(start div {cell}, (end - 1) div {cell})")).alias("cell"))
+    both = touch.join(spans, ["id", "cell"]).where("start < offset + n_chars AND end > offset")
+    parts = both.select("id", "r", F.struct("piece", "start", "end", "cut", (F.greatest("start", "offset") - F.col("offset")).alias("lo"), (F.least("end", F.col("offset") + F.col("n_chars")) - F.col("offset")).alias("hi")).alias("p"))
+    wanted = parts.groupBy("id", "r").agg(F.collect_set("p").alias("wanted"))  # bounded by the pieces of a range
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ("piece", "start", "end", "cut")
+        kinds = (pa.int32(), pa.int64(), pa.int64(), pa.string())
+        for b in batches:
+            of = {n: b.column(i).to_pylist() for i, n in enumerate(b.schema.names)}
+            for i, body in enumerate(of["body"]):
+                cp = _decoded(body, range_bytes)
+                rows = of["wanted"][i]
+                texts = [cp[p["lo"] : p["hi"]].tobytes().decode("utf-32-le", "surrogatepass") for p in rows]
+                yield pa.RecordBatch.from_arrays([pa.array([of["id"][i]] * len(rows)), *(pa.array([p[n] for p in rows], k) for n, k in zip(names, kinds, strict=True)), pa.array([of["r"][i]] * len(rows), pa.int32()), pa.array(texts)], names=["id", *names, "r", "part"])
 
-def piece_texts(texts: DataFrame, chosen: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """``chosen`` with ``text``: taken from blocks of ``limit`` code points that the piece touches, three at most."""
-    over = texts.where(F.length("content") > limit)
-    blocks = over.select("id", F.posexplode(F.regexp_extract_all("content", F.lit(rf"(?s).{{1,{limit}}}"), F.lit(0))).alias("block", "part"))
-    touched = chosen.withColumn("block", F.explode(F.sequence(F.expr(f"cast(start div {limit} as int)"), F.expr(f"cast((end - 1) div {limit} as int)"))))
-    held = touched.join(blocks, ["id", "block"])
-    lo = F.greatest(F.col("start") - F.col("block") * limit, F.lit(0))
-    hi = F.least(F.col("end") - F.col("block") * limit, F.lit(limit))
-    cut = held.withColumn("part", F.substring("part", (lo + 1).cast("int"), (hi - lo).cast("int")))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "part"))), lambda x: x["part"]), "")
-    return cut.groupBy("id", "piece", "start", "end", "cut").agg(joined.alias("text"))
+    held = source.bodies(wanted, range_bytes).mapInArrow(cut, "id string, piece int, start bigint, end bigint, cut string, r int, part string")
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "part"))), lambda x: x["part"]), "")
+    return held.groupBy("id", "piece", "start", "end", "cut").agg(joined.alias("text"))
 
 
 def oversized(chunks: DataFrame) -> DataFrame:
     """(id, content) of every chunk id, once."""
-    return delivered_once(chunks, "content")
+    return first_deliveries(chunks, "content")
 
 
 def how_cut(chosen: DataFrame) -> DataFrame:

@@ -323,18 +323,48 @@ def test_split_whatever_the_ranges(spark):
     rows = [(k, v) for k, v in texts.items()] + [("null", None), ("empty", "")]
     df = spark.createDataFrame(rows, "id string, content string")
     outs = []
-    for size in (1 << 20, 257):
+    for size in (1 << 20, 257, 16):
         chosen = split.pieces(df, limit=200, overlap=40, range_bytes=size).orderBy("id", "piece").collect()
-        outs.append({(r.id, r.start, r.end, r.cut) for r in chosen})
+        outs.append({(r.id, r.piece, r.start, r.end, r.cut) for r in chosen})
         assert {r.id for r in chosen} == {k for k, v in texts.items() if len(v) > 200}
         for k in {r.id for r in chosen}:
             split_ok(texts[k], [r for r in chosen if r.id == k], 200, 40)
         forced = {r.id for r in chosen if r.cut == "forced"}
         assert forced == {"run", "mixed"}
-    full = split.piece_texts(df, split.pieces(df, 200, 40), 200).collect()
+    assert outs[0] == outs[1] == outs[2]
+    full = split.piece_texts(df, 200, 40, 257).collect()
     assert all(r.text == texts[r.id][r.start : r.end] for r in full) and len(full) == len(outs[0])
 
 
+def test_state_is_carried_over_ranges():
+    rng = random.Random(9)
+    alphabet = ["a", "b", ".", " ", " ", "\n", "”", ")", "。", ",", "é", "\n   \n", " " * 30, "”)" * 9]
+    for _ in range(60):
+        cp = np.frombuffer("".join(rng.choice(alphabet) for _ in range(rng.randrange(2, 60))).encode("utf-32-le"), np.uint32)
+        told = split.cut_levels(cp)
+        cut = rng.randrange(1, len(cp))
+        bare, solid, breaks, last = split.tail_state(cp[:cut])
+        assert np.array_equal(split.led_levels(cp[cut:], bare, solid, breaks, last), told[cut:])
+
+
+def test_files_are_split_by_byte_ranges(spark, tmp_path):
+    rng = random.Random(3)
+    text = "".join(rng.choice(["Ein Satz mit Wörtern. ", "请求续展。", "line\n", "\n\n" + " " * 300, "x" * 90 + " ", "😀, "]) for _ in range(900))
+    (tmp_path / "big.txt").write_text(text, encoding="utf-8")
+    (tmp_path / "small.txt").write_text("short", encoding="utf-8")
+    (tmp_path / "empty.txt").write_text("", encoding="utf-8")
+    outs = []
+    for size in (1 << 20, 101):
+        rows = split.piece_texts(split.Files(spark, f"file://{tmp_path}"), 200, 40, size, 1600).orderBy("piece").collect()
+        assert {r.id.rsplit("/", 1)[-1] for r in rows} == {"big.txt"} and [r.piece for r in rows] == list(range(len(rows)))
+        assert all(r.text == text[r.start : r.end] for r in rows)
+        split_ok(text, rows, 200, 40)
+        outs.append([(r.start, r.end, r.cut) for r in rows])
+    cells = spark.createDataFrame([("c", text)], "id string, content string")
+    outs.append([(r.start, r.end, r.cut) for r in split.pieces(cells, 200, 40, 5000, 1600).orderBy("piece").collect()])
+    assert outs[0] == outs[1] == outs[2] and outs[0][-1][2] == "end" and all(x[2] == "natural" for x in outs[0][:-1])
+
+
 def test_split_prefers_higher_boundaries():
     cp = np.frombuffer("One two.\n\nThree four, five. Six\nseven".encode("utf-32-le"), np.uint32)
     level = split.cut_levels(cp)
