@@ -68,13 +68,18 @@ def _flat(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
     return column.flatten().to_numpy(zero_copy_only=False).view(np.uint32), np.diff(offsets)
 
 
+def _keys(code: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Per text its distinct shingles in rising order, as text number times 2**32 plus shingle, and the frequency of each."""
+    key = (np.repeat(np.arange(len(count), dtype=np.uint64), count) << np.uint64(32)) | code
+    key.sort()
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, np.int64)
+    return key[first], np.diff(np.r_[first, len(key)])
+
+
 def _distinct(code: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Per text its distinct shingles in rising order: text number, shingle and frequency."""
-    text = np.repeat(np.arange(len(count)), count)
-    order = np.lexsort((code, text))
-    code, text = code[order], text[order]
-    first = np.flatnonzero(np.r_[True, (code[1:] != code[:-1]) | (text[1:] != text[:-1])]) if len(code) else np.empty(0, np.int64)
-    return text[first], code[first], np.diff(np.r_[first, len(code)])
+    key, tf = _keys(code, count)
+    return (key >> np.uint64(32)).astype(np.int64), key.astype(np.uint32), tf
 
 
 def common_shingles(texts: DataFrame, n_texts: int) -> tuple[np.ndarray, np.ndarray]:
@@ -281,21 +286,28 @@ def verified_pairs(pairs: DataFrame, texts: DataFrame, weights: Weights, thresho
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (b.slice(i, SLICE) for b in batches for i in range(0, b.num_rows, SLICE)):
-            a_text, a_code, a_tf = _distinct(*_flat(b.column(2)))
-            b_text, b_code, b_tf = _distinct(*_flat(b.column(3)))
-            text = np.r_[a_text, b_text]
-            code = np.r_[a_code, b_code]
-            w = np.r_[weights.of(a_code, a_tf), weights.of(b_code, b_tf)].astype(float)
-            order = np.lexsort((code, text))
-            text, code, w = text[order], code[order], w[order]
-            twin = np.flatnonzero((text[1:] == text[:-1]) & (code[1:] == code[:-1]))
+            (a, a_tf), (c, c_tf) = _keys(*_flat(b.column(2))), _keys(*_flat(b.column(3)))
             m = b.num_rows
-            both = np.bincount(text[twin], minlength=m)
-            either = np.bincount(text, minlength=m) - both
-            low = np.bincount(text[twin], weights=np.minimum(w[twin], w[twin + 1]), minlength=m)
-            weighted = low / np.maximum(np.bincount(text, weights=w, minlength=m) - low, 1e-9)
-            share = both / np.maximum(either, 1)
-            keep = pa.array(share >= threshold)
+            size_a, size_c = (np.bincount((x >> np.uint64(32)).astype(np.int64), minlength=m) for x in (a, c))
+            at = np.searchsorted(a, c) if len(a) < len(c) else np.searchsorted(c, a)
+            less, more = (a, c) if len(a) < len(c) else (c, a)
+            twin = np.flatnonzero(less[np.minimum(at, len(less) - 1)] == more) if len(less) else np.empty(0, np.int64)
+            pair = (more[twin] >> np.uint64(32)).astype(np.int64)
+            both = np.bincount(pair, minlength=m)
+            share = both / np.maximum(size_a + size_c - both, 1)
+            near = share >= threshold
+            # Weights of those pairs alone.
+            total = np.zeros(m)
+            for key, tf in ((a, a_tf), (c, c_tf)):
+                own = near[(key >> np.uint64(32)).astype(np.int64)]
+                total += np.bincount((key[own] >> np.uint64(32)).astype(np.int64), weights=weights.of(key[own].astype(np.uint32), tf[own]), minlength=m)
+            twin, pair = twin[near[pair]], pair[near[pair]]
+            in_less, in_more = at[twin], twin
+            tf_less, tf_more = (a_tf, c_tf) if len(a) < len(c) else (c_tf, a_tf)
+            code = more[twin].astype(np.uint32)
+            low = np.bincount(pair, weights=np.minimum(weights.of(code, tf_less[in_less]), weights.of(code, tf_more[in_more])), minlength=m)
+            weighted = low / np.maximum(total - low, 1e-9)
+            keep = pa.array(near)
             yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep), pa.array(weighted).filter(keep), pa.array(share).filter(keep)], names=["a", "b", "weighted", "share"])
 
     own = texts.select("n", "shingles")
