@@ -78,3 +78,14 @@ def should_decompose(query: Column) -> Column:
         found = found | query.rlike("(?i)" + p)
     n = F.size(F.filter(F.split(query, r"\s+"), lambda w: w != ""))
     return F.coalesce((F.length(query) >= 20) & (found | (n > 20)), F.lit(False))
+
+
+def adaptive_parameters(query: Column, search_mode: Column, reranking: Column) -> Column:
+    """Struct (use_hybrid, use_reranking, n_results): a collection's settings, with as many results as the query's kind asks for.
+
+    Settings that are NULL are hybrid and reranked.
+    """
+    return F.struct(
+        (F.coalesce(search_mode, F.lit("hybrid")) == "hybrid").alias("use_hybrid"), F.coalesce(reranking, F.lit(True)).alias("use_reranking"),
+        classification(query)["n_results"].alias("n_results"),
+    )

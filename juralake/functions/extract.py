@@ -176,3 +176,65 @@ def json_array_in(reply: Column, original: Column) -> Column:
     listed = F.from_json(F.nullif(F.regexp_extract(reply, r"(?s)(\[.*?\])", 1), F.lit("")), "array<string>")
     lines = F.filter(F.transform(F.split(reply, "\n"), lambda s: F.regexp_replace(s, r"""^[\s\-*•0-9.)"']+|["'\s]+$""", "")), lambda s: F.length(s) > 10)
     return F.when(F.size(listed) > 0, listed).when(F.size(lines) > 0, lines).otherwise(F.array(original))
+
+
+def json_or_text(reply: Column) -> Column:
+    """Struct (json VARIANT, text): a model's reply without code fences where that is valid JSON, else its text as it came."""
+    bare = F.trim(F.regexp_replace(reply, "```(?:json)?", ""))
+    parsed = F.try_parse_json(F.nullif(bare, F.lit("")))
+    return F.struct(parsed.alias("json"), F.when(parsed.isNull(), reply).alias("text"))
+
+
+def unfenced(reply: Column) -> Column:
+    """A reply that begins with a code fence without its first and last line; any other as it is, trimmed."""
+    body = F.trim(reply)
+    return F.when(body.startswith("```"), F.regexp_replace(body, r"(?s)^[^\n]*\n|\n?[^\n]*$", "")).otherwise(body)
+
+
+def search_plan(reply: Column, query: Column) -> Column:
+    """The search queries that a model's plan lists; the query itself where the reply isn't a JSON object, none where it lists none."""
+    v = F.try_parse_json(F.nullif(unfenced(reply), F.lit("")))
+    return F.when(v.isNull(), F.array(query)).otherwise(F.coalesce(F.try_variant_get(v, "$.search_queries", "array<string>"), F.expr("array()").cast("array<string>")))
+
+
+def judgement(reply: Column) -> Column:
+    """Struct (sufficient, relevance, next_query) of a model's judgement; sufficient at 0.5 where the reply isn't a JSON object."""
+    v = F.try_parse_json(F.nullif(unfenced(reply), F.lit("")))
+    field = lambda name, kind: F.try_variant_get(v, f"$.{name}", kind)
+    return F.struct(
+        F.when(v.isNull(), True).otherwise(F.coalesce(field("sufficient", "boolean"), F.lit(False))).alias("sufficient"),
+        F.when(v.isNull(), 0.5).otherwise(F.coalesce(field("relevance_score", "double"), F.lit(0.0))).alias("relevance"), field("next_query", "string").alias("next_query"),
+    )
+
+
+def normal_metadata(raw: Column) -> Column:
+    """Struct (document_type, jurisdiction, date, parties, practice_area, key_provisions) of a metadata VARIANT, in one form.
+
+    Types and areas are lower case with underscores, jurisdictions have short names, a date must begin in ISO form and keeps ten
+    characters, lists keep ten items, and a single text stands for a list of one. What is missing or empty is NULL.
+    """
+    field = lambda name: F.nullif(F.try_variant_get(raw, f"$.{name}", "string"), F.lit(""))
+
+    def listed(name: str) -> Column:
+        many = F.try_variant_get(raw, f"$.{name}", "array<string>")
+        return F.slice(F.coalesce(many, F.when(field(name).isNotNull(), F.array(field(name)))), 1, 10)
+
+    date = field("date")
+    return F.struct(
+        normal_label(field("document_type")).alias("document_type"), normal_jurisdiction(field("jurisdiction")).alias("jurisdiction"),
+        F.when(date.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}"), F.substring(date, 1, 10)).alias("date"), listed("parties").alias("parties"),
+        normal_label(field("practice_area")).alias("practice_area"), listed("key_provisions").alias("key_provisions"),
+    )
+
+
+def enabled_fields(fields: dict[str, Column], enabled: dict[str, bool]) -> Column:
+    """A map of those of ``fields`` that are enabled and were found."""
+    held = [(k, v) for k, v in fields.items() if enabled.get(k)]
+    every = F.map_from_arrays(F.array(*(F.lit(k) for k, _ in held)).cast("array<string>"), F.array(*(v.cast("string") for _, v in held)).cast("array<string>"))
+    return F.map_filter(every, lambda _, v: v.isNotNull())
+
+
+def reporter_name(short: Column) -> Column:
+    """The name of a reporter by its abbreviation, white space aside; NULL for an unknown one."""
+    table = F.create_map(*(F.lit(x) for kv in REPORTERS.items() for x in kv))
+    return F.try_element_at(table, F.regexp_replace(short, r"[ \t\n\r\f]", ""))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -68,10 +70,16 @@ def split_sentences(c: Column, protect: bool = True) -> Column:
 
 
 def words(c: Column) -> Column:
-    """All words of ``c`` in order; abbreviations give the word without its full stop."""
+    """All words of ``c`` in order, as searches compare them: abbreviations give the word without its full stop."""
     return F.regexp_extract_all(c, F.lit(WORD), F.lit(0))
 
 
+def legal_words(c: Column) -> Column:
+    """All words of ``c`` in order; known abbreviations keep their full stop."""
+    held = F.regexp_extract_all(protect_abbreviations(c), F.lit(f"{WORD}(?:<ABBREV_DOT>)?"), F.lit(0))
+    return F.transform(held, restore_abbreviations)
+
+
 def normalize_legal_text(c: Column) -> Column:
     """``c`` with white space collapsed and the heads section, article, paragraph and clause in title case; trimmed."""
     out = F.regexp_replace(c, rf"{SPACE}+", " ")
@@ -121,9 +129,31 @@ def enhance_with_summary(text: Column, summary: Column) -> Column:
     return F.when(F.length(summary) > 0, F.concat(F.lit("[CONTEXT: "), summary, F.lit("]\n\n"), text)).otherwise(text)
 
 
-def fill_template(template: Column, values: dict[str, Column]) -> Column:
-    """``template`` with each {{key}} replaced by its value, '' for NULL; placeholders of other keys stay."""
-    out = template
-    for key, value in values.items():
-        out = F.replace(out, F.lit("{{" + key + "}}"), F.coalesce(value.cast("string"), F.lit("")))
-    return out
+def fill_template(template: Column, values: Mapping[str, Column | Mapping]) -> Column:
+    """``template`` with each {{key}}, or {{key.inner}}, replaced by its value, in one pass.
+
+    ``values`` may hold mappings of values. NULL gives '', and so does a last key that its mapping lacks; a placeholder that asks
+    for something within what isn't a mapping, or is missing itself, stays as it is. White space around keys doesn't count.
+    """
+    leaves: dict[str, Column] = {}
+    inner = [""]
+
+    def walk(prefix: str, part: Mapping) -> None:
+        for k, v in part.items():
+            if isinstance(v, Mapping):
+                inner.append(f"{prefix}{k}")
+                walk(f"{prefix}{k}.", v)
+            else:
+                leaves[f"{prefix}{k}"] = v
+
+    walk("", values)
+
+    def filled(part: Column) -> Column:
+        key = F.trim(F.regexp_extract(part, r"^\{\{(.+?)\}\}$", 1))
+        out = F.when(key == "", part)
+        for name, value in leaves.items():
+            out = out.when(key == name, F.coalesce(value.cast("string"), F.lit("")))
+        holder = F.regexp_replace(key, r"\.?[^.]*$", "")
+        return out.when(holder.isin(*inner), F.lit("")).otherwise(part)
+
+    return F.array_join(F.transform(F.split(template, r"(?=\{\{.+?\}\})|(?<=\}\})"), filled), "")

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from juralake.functions.text import split_sentences, strip, token_count
@@ -44,53 +45,102 @@ def pack_ranges(tokens: list[int], most: int, overlap: int) -> list[tuple[int, i
     return out
 
 
-def split_words(text: str, most: int, overlap: int) -> list[str]:
-    """Pieces of an oversize sentence: words packed up to ``most`` tokens, the last few repeated in the next piece.
+def word_ranges(sizes: list[int], most: int, overlap: int) -> list[tuple[int, int, int]]:
+    """(first, last, tokens) ranges of the words of an oversize sentence, given their lengths.
 
-    Of a piece of n words max(1, n * overlap // most) are repeated. A word beyond ``most`` alone stays whole.
+    Each word counts with a space. A range is full when the next word would take the sum beyond ``most``; of a range of n words
+    the last max(1, n * overlap // most) are repeated in the next one, whose sum then starts anew from the length of what it holds.
+    The last range counts as one text. A word beyond ``most`` alone stays whole.
     """
-    out: list[str] = []
-    held: list[str] = []
-    fresh = 0
-    for w in text.split():
-        if held and len(" ".join([*held, w])) // 4 > most and fresh:
-            out.append(" ".join(held))
-            back = max(1, len(held) * overlap // most)
-            held, fresh = held[len(held) - back :] if back < len(held) else [], 0
-            if held and len(" ".join([*held, w])) // 4 > most:
-                held = []
-        held.append(w)
-        fresh += 1
-    if fresh:
-        out.append(" ".join(held))
+    out: list[tuple[int, int, int]] = []
+    until = [0]
+    for n in sizes:
+        until.append(until[-1] + n)
+
+    def joined(first: int, last: int) -> int:
+        return (until[last + 1] - until[first] + last - first) // 4
+
+    start, tokens = 0, 0
+    for i, n in enumerate(sizes):
+        own = (n + 1) // 4
+        if i > start and tokens + own > most:
+            out.append((start, i - 1, tokens))
+            start = i - min(i - start, max(1, (i - start) * overlap // most))
+            tokens = joined(start, i)
+        else:
+            tokens += own
+    if sizes:
+        out.append((start, len(sizes) - 1, joined(start, len(sizes) - 1)))
+    return out
+
+
+def text_chunks(sentences: list[str], most: int, overlap: int) -> list[tuple[int, int, str, int, str]]:
+    """(first, last, kind, tokens, chunk) of a text's sentences: kind is packed, or word_split for pieces of an oversize sentence.
+
+    The tokens of a packed chunk are the sum of its sentences', but those of a text's last chunk are counted anew.
+    """
+    tokens = [len(s) // 4 for s in sentences]
+    out: list[tuple[int, int, str, int, str]] = []
+    for lo, hi, oversize in pack_ranges(tokens, most, overlap):
+        if oversize:
+            words = sentences[lo].split()
+            out += [(lo, hi, "word_split", n, " ".join(words[a : b + 1])) for a, b, n in word_ranges([*map(len, words)], most, overlap)]
+        else:
+            chunk = " ".join(sentences[lo : hi + 1])
+            out.append((lo, hi, "packed", len(chunk) // 4 if hi == len(sentences) - 1 else sum(tokens[lo : hi + 1]), chunk))
     return out
 
 
 def packed_chunks(docs: DataFrame, key: str, text: str, most: int = 256, overlap: int = 50) -> DataFrame:
     """(key, chunk_index, first, last, kind, token_count, chunk): sentences of each whole text packed into chunks.
 
-    first and last number the sentences, from 0. kind is packed, or word_split for the pieces of an oversize sentence. Tokens are
-    estimated from length. NULL and empty texts have no chunks. Each row is cut on its own, without a shuffle.
+    first and last number the sentences, from 0; kinds and counts are those of ``text_chunks``. Tokens are estimated from length.
+    NULL and empty texts have no chunks. Each row is cut on its own, without a shuffle.
     """
     kind = docs.select(key).schema[0].dataType.simpleString()
     pre = docs.select(F.col(key), split_sentences(F.col(text)).alias("s")).where(F.size("s") > 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows: list[tuple] = []
-            for i, sentences in enumerate(b.column(1).to_pylist()):
-                n = 0
-                for lo, hi, oversize in pack_ranges([len(s) // 4 for s in sentences], most, overlap):
-                    parts = split_words(sentences[lo], most, overlap) if oversize else [" ".join(sentences[lo : hi + 1])]
-                    for p in parts:
-                        rows.append((i, n, lo, hi, "word_split" if oversize else "packed", len(p) // 4, p))
-                        n += 1
+            rows = [(i, n, *c) for i, sentences in enumerate(b.column(1).to_pylist()) for n, c in enumerate(text_chunks(sentences, most, overlap))]
             c = [*zip(*rows, strict=True)] or [()] * 7
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(c[0], pa.int64())), *(pa.array(x, t) for x, t in zip(c[1:], (pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.string()), strict=True))], names=["key", "chunk_index", "first", "last", "kind", "token_count", "chunk"])
 
     return pre.mapInArrow(run, f"key {kind}, chunk_index int, first int, last int, kind string, token_count bigint, chunk string").withColumnRenamed("key", key)
 
 
+def simple_chunks(sentences: list[str], most: int = 256, overlap: int = 50) -> list[str]:
+    """Chunks of sentences that were cut at '. ', each ended by a full stop again; a chunk repeats the last sentence of the one before
+    it, unless ``overlap`` is 0. A sentence beyond ``most`` stays whole."""
+    out: list[str] = []
+    start = held = 0
+    for i, s in enumerate(sentences):
+        n = len(s) // 4
+        if i > start and held + n > most:
+            out.append(". ".join(sentences[start:i]) + ".")
+            start, held = (i - 1, len(sentences[i - 1]) // 4) if overlap > 0 else (i, 0)
+        held += n
+    if sentences:
+        out.append(". ".join(sentences[start:]) + ".")
+    return out
+
+
+def sentence_pair_chunks(docs: DataFrame, key: str, text: str, most: int = 256, overlap: int = 50) -> DataFrame:
+    """(key, chunk_index, total_chunks, chunk): ``simple_chunks`` of every whole text; NULL and blank texts have none."""
+    kind = docs.select(key).schema[0].dataType.simpleString()
+    parts = F.filter(F.transform(F.split(F.translate(F.col(text), "\n", " "), r"\. "), strip), lambda s: s != "")
+    pre = docs.select(F.col(key), parts.alias("s")).where(F.size("s") > 0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [simple_chunks(s, most, overlap) for s in b.column(1).to_pylist()]
+            rows = [(i, n, len(c), x) for i, c in enumerate(found) for n, x in enumerate(c)]
+            c = [*zip(*rows, strict=True)] or [()] * 4
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(c[0], pa.int64())), pa.array(c[1], pa.int32()), pa.array(c[2], pa.int32()), pa.array(c[3], pa.string())], names=["key", "chunk_index", "total_chunks", "chunk"])
+
+    return pre.mapInArrow(run, f"key {kind}, chunk_index int, total_chunks int, chunk string").withColumnRenamed("key", key)
+
+
 # The head of a section: a keyword and a number.
 SECTION_HEAD = r"(?i)(?:Article|Section|Regulation|§|Chapter|Part|Title|Rule)[ \t\n\r\f]+[0-9]+[.0-9]*[0-9A-Za-z_]*"
 
@@ -171,24 +221,27 @@ def with_section_prefix(chunk: str = "content", number: str = "section_number",
 
 
 def structured_chunks(docs: DataFrame, key: str, text: str, most: int = 256, overlap: int = 50) -> DataFrame:
-    """(key, part, chunk_index, type, token_count, chunk): the structure-aware chunker.
+    """(key, chunk_index, type, token_count, chunk): the structure-aware chunker; chunk_index runs along each document, from 0.
 
-    A text under LEAST_TOKENS is a short_fragment; one with several section heads gives a section each; else blank lines part
-    paragraphs; else it is a text_block. What exceeds ``most`` tokens is packed sentence by sentence, type with _split added.
+    A text under LEAST_TOKENS is a short_fragment; one with several section heads gives a legal_section each, what stands before
+    the first is dropped; else blank lines part paragraphs; else it is a text_block. What exceeds ``most`` tokens is packed sentence
+    by sentence and keeps its type, but pieces of an oversize sentence are word_split. NULL and blank texts have no chunks.
     """
-    held = docs.where(F.length(F.trim(F.col(text))) > 0).select(key, F.col(text).alias("t"))
+    held = docs.where(F.length(strip(F.col(text))) > 0).select(key, F.col(text).alias("t"))
     short = token_count(F.col("t")) < LEAST_TOKENS
     heads = F.regexp_count(F.col("t"), F.lit(SECTION_HEAD)) > 1
-    blank = F.col("t").rlike(r"\n[ \t\r\f]*\n")
-    kind = F.when(short, "short_fragment").when(heads, "section").when(blank, "paragraph").otherwise("text_block")
-    cut = F.when(short, F.array("t")).when(heads, F.slice(F.split("t", f"(?={SECTION_HEAD})"), 1, 1_000_000)).when(blank, F.split("t", r"\n[ \t\r\f]*\n\s*")).otherwise(F.array("t"))
-    parts = held.select(key, kind.alias("type"), F.posexplode(cut).alias("part", "piece")).withColumn("piece", strip(F.col("piece"))).where("piece <> ''")
-    parts = parts.where((F.col("type") != "section") | F.col("piece").rlike(f"^{SECTION_HEAD}"))
+    gap = r"\n[ \t\n\r\f]*\n"
+    blank = F.col("t").rlike(gap)
+    kind = F.when(short, "short_fragment").when(heads, "legal_section").when(blank, "paragraph").otherwise("text_block")
+    cut = F.when(short, F.array("t")).when(heads, F.split("t", f"(?={SECTION_HEAD})")).when(blank, F.split("t", gap)).otherwise(F.array("t"))
+    parts = held.select(key, kind.alias("type"), F.posexplode(cut).alias("part", "piece"))
+    parts = parts.withColumn("piece", F.when(F.col("type").isin("legal_section", "paragraph"), strip(F.col("piece"))).otherwise(F.col("piece"))).where("piece <> ''")
+    parts = parts.where((F.col("type") != "legal_section") | F.col("piece").rlike(f"^{SECTION_HEAD}"))
     n = token_count(F.col("piece"))
-    fits = parts.where(n <= most).select(key, "part", F.lit(0).alias("chunk_index"), "type", n.alias("token_count"), F.col("piece").alias("chunk"))
+    fits = parts.where(n <= most).select(key, "part", F.lit(0).alias("n"), "type", n.alias("token_count"), F.col("piece").alias("chunk"))
     long = parts.where(n > most).select(F.struct(key, "part", "type").alias("k"), "piece")
     ident = long.select(F.to_json("k").alias("j"), "piece")
-    schema = long.schema["k"].dataType
-    packed = packed_chunks(ident, "j", "piece", most, overlap).select(F.from_json("j", schema).alias("k"), "chunk_index", "token_count", "chunk")
-    split = packed.select(f"k.{key}", "k.part", "chunk_index", F.concat("k.type", F.lit("_split")).alias("type"), "token_count", "chunk")
-    return fits.unionByName(split)
+    packed = packed_chunks(ident, "j", "piece", most, overlap).select(F.from_json("j", long.schema["k"].dataType).alias("k"), "chunk_index", "kind", "token_count", "chunk")
+    split = packed.select(f"k.{key}", "k.part", F.col("chunk_index").alias("n"), F.when(F.col("kind") == "word_split", "word_split").otherwise(F.col("k.type")).alias("type"), "token_count", "chunk")
+    along = W.partitionBy(key).orderBy("part", "n")
+    return fits.unionByName(split).withColumn("chunk_index", F.row_number().over(along) - 1).select(key, "chunk_index", "type", "token_count", "chunk")

@@ -9,8 +9,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from juralake.functions.text import lowered, words
+from juralake.session import materialise
 
 #: Keywords that one automaton holds; more are searched for in several passes.
 AUTOMATON_WORDS = 200_000
@@ -19,11 +21,14 @@ AUTOMATON_WORDS = 200_000
 def contains_keywords(texts: DataFrame, keywords: DataFrame, ident: str = "id", text: str = "content", hits: int = 10) -> DataFrame:
     """(keyword, id): for each keyword up to ``hits`` texts that contain it anywhere, by id; both are compared in lower case.
 
-    ``keywords`` has a column keyword; NULL and empty ones find nothing. One automaton finds all keywords in a single pass over
-    each whole text, so neither a join nor a pass per keyword is needed. Keywords come to the driver, AUTOMATON_WORDS at a time.
+    ``keywords`` has a column keyword; NULL and empty ones find nothing. They are written once, with a number; an automaton of
+    AUTOMATON_WORDS of them at a time finds all its keywords in one pass over each whole text, and each task hands on the
+    ``hits`` smallest ids of each keyword alone. The driver holds one automaton's keywords at a time.
     """
     kind = texts.select(ident).schema[0].dataType.simpleString()
-    wanted = sorted({r["keyword"] for r in keywords.select("keyword").where("keyword <> ''").distinct().toLocalIterator()})
+    spark = texts.sparkSession
+    wanted = materialise(keywords.select("keyword").where("keyword <> ''").distinct(), "keywords")
+    slices = max(1, -(-wanted.count() // AUTOMATON_WORDS))
 
     def search(part: list[str]) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -31,46 +36,56 @@ def contains_keywords(texts: DataFrame, keywords: DataFrame, ident: str = "id",
             for i, w in enumerate(part):
                 machine.add_word(w, i)
             machine.make_automaton()
+            held: dict[int, list] = {}
             for b in batches:
-                rows, found = [], []
-                for i, t in enumerate(b.column(1).to_pylist()):
-                    held = {j for _, j in machine.iter(t)}
-                    rows += [i] * len(held)
-                    found += [part[j] for j in held]
-                yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), b.column(0).take(pa.array(rows, pa.int64()))], names=["keyword", "id"])
-
+                ids = b.column(0).to_pylist()
+                for i, t in zip(ids, b.column(1).to_pylist(), strict=True):
+                    for j in {j for _, j in machine.iter(t)}:
+                        own = held.setdefault(j, [])
+                        own.append(i)
+                        if len(own) > 4 * hits:
+                            held[j] = sorted(own)[:hits]
+            rows = [(part[j], i) for j, own in held.items() for i in sorted(own)[:hits]]
+            for at in range(0, len(rows), 10_000):
+                found, own = zip(*rows[at : at + 10_000], strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array(own, to_arrow_type(id_type))], names=["keyword", "id"])
+
+        id_type = texts.schema[ident].dataType
         return texts.where(F.col(text).isNotNull()).select(F.col(ident).alias("id"), lowered(F.col(text)).alias("t")).mapInArrow(run, f"keyword string, id {kind}")
 
-    found = None
-    for i in range(0, len(wanted), AUTOMATON_WORDS):
-        one = search(wanted[i : i + AUTOMATON_WORDS])
-        found = one if found is None else found.unionByName(one)
-    if found is None:
-        return texts.sparkSession.createDataFrame([], f"keyword string, {ident} {kind}")
+    found = spark.createDataFrame([], f"keyword string, id {kind}")
+    for n in range(slices):
+        part = sorted(r["keyword"] for r in wanted.where(F.pmod(F.xxhash64("keyword"), F.lit(slices)) == n).collect())  # about AUTOMATON_WORDS
+        if part:
+            found = search(part) if n == 0 and slices == 1 else found.unionByName(search(part))
     order = W.partitionBy("keyword").orderBy("id")
     return found.withColumn("n", F.row_number().over(order)).where(F.col("n") <= hits).select("keyword", F.col("id").alias(ident))
 
 
-def postings(texts: DataFrame, ident: str = "id", text: str = "content") -> DataFrame:
+def postings(texts: DataFrame, terms: DataFrame | None = None, ident: str = "id", text: str = "content") -> DataFrame:
     """(id, term, tf, size): the inverted index of whole texts; terms are words in lower case, size is the text's number of words.
 
-    NULL texts, and those without words, have no postings.
+    With ``terms`` (term), only of those. The term '' stands once for every text that has words. NULL texts, and those without
+    words, have no postings. Each text is split once.
     """
-    split = texts.select(F.col(ident).alias("id"), words(lowered(F.col(text))).alias("w")).select("id", F.size("w").alias("size"), F.explode("w").alias("term"))
-    return split.groupBy("id", "term", "size").agg(F.count("*").alias("tf")).select("id", "term", "tf", "size")
+    split = texts.select(F.col(ident).alias("id"), words(lowered(F.col(text))).alias("w")).where(F.size("w") > 0)
+    each = split.select("id", F.size("w").alias("size"), F.explode(F.concat(F.array(F.lit("")), "w")).alias("term"))
+    if terms is not None:  # words that none asks for go before the shuffle
+        each = each.join(terms.select("term").unionByName(terms.sparkSession.createDataFrame([("",)], "term string")).distinct(), "term")
+    return each.groupBy("id", "term", "size").agg(F.count("*").alias("tf")).select("id", "term", "tf", "size")
 
 
 def bm25(texts: DataFrame, queries: DataFrame, k: int = 5, k1: float = 1.2, b: float = 0.75, ident: str = "id", text: str = "content") -> DataFrame:
     """(query_id, id, score, rank): each query's ``k`` best texts by BM25; ``queries`` has (query_id, query). Ties go by id.
 
-    Only postings of terms that a query has go on, so a term's frequency is the count of its postings; text numbers and mean
-    sizes are over all texts with words. Repeated terms of a query count once. Scores are rounded to 6 places.
+    The postings of the terms that a query has are made in one pass over the texts and written once; a term's frequency is the
+    count of its postings, and text numbers and mean sizes, over all texts with words, are read off them too. Repeated terms
+    of a query count once. Scores are rounded to 6 places.
     """
-    totals = texts.select(F.size(words(lowered(F.col(text)))).alias("n")).where("n > 0").agg(F.count("*").alias("texts"), F.avg("n").alias("mean"))
     asked = queries.select("query_id", F.explode(F.array_distinct(words(lowered(F.col("query"))))).alias("term"))
-    terms = asked.select("term").distinct()
-    split = texts.select(F.col(ident).alias("id"), words(lowered(F.col(text))).alias("w")).select("id", F.size("w").alias("size"), F.explode("w").alias("term"))
-    held = split.join(terms, "term").groupBy("id", "term", "size").agg(F.count("*").alias("tf"))  # words that none asks for go before the shuffle
+    every = materialise(postings(texts, asked.select("term").distinct(), ident, text), "postings")
+    totals = every.where("term = ''").agg(F.count("*").alias("texts"), F.avg("size").alias("mean"))
+    held = every.where("term <> ''")
     df = held.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.ln(1 + (F.col("texts") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("size") / F.col("mean")))

@@ -13,13 +13,15 @@ from juralake.operators.vector import cosine
 def maxsim(query: Column, sentences: Column) -> Column:
     """Struct (score, best): the largest cosine of a query vector and sentence vectors, and which sentence (from 0, the first of equals).
 
-    A vector without length scores 0; NULL or no sentences give NULL. Rounded to 6 places before the best is chosen.
+    A vector without length scores 0; one of another size, or with items that are NULL, NaN or infinite, none; NULL or no sentences
+    give NULL. Rounded to 6 places before the best is chosen.
     """
-    each = F.transform(sentences, lambda s: F.round(cosine(query, s), 6))
+    sound = lambda s: F.forall(s, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
+    each = F.transform(sentences, lambda s: F.when(F.coalesce(sound(s), F.lit(False)), F.round(cosine(query, s), 6)))
 
     def best(a: Column) -> Column:
         top = F.array_max(a)
-        return F.when(F.size(a) > 0, F.struct(top.alias("score"), (F.array_position(a, top) - 1).cast("int").alias("best")))
+        return F.when(top.isNotNull(), F.struct(top.alias("score"), (F.array_position(a, top) - 1).cast("int").alias("best")))
 
     return F.transform(F.array(each), best)[0]
 

@@ -6,12 +6,13 @@ from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Vectors in a block; a task multiplies one block of queries with one of candidates.
-BLOCK = 4096
+BLOCK = 2048
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -30,66 +31,116 @@ def usable(vector: str, dim: int | None = None) -> Column:
     return F.expr(f"coalesce({vector} IS NOT NULL AND size({vector}) > 0 AND {sound}, false)") & (F.size(vector) == dim if dim else F.lit(True))
 
 
-def _packed(df: DataFrame, ident: str, vector: str, extra: str | None) -> DataFrame:
-    """Blocks of up to BLOCK rows: ids, float64 bytes of unit vectors, and ``extra`` (an INT) of each."""
+def _packed(df: DataFrame, ident: str, vector: str, extra: str | None, within: str | None) -> DataFrame:
+    """Blocks of up to BLOCK rows of one size and one value of ``within``: ids, float32 bytes, and ``extra`` (an INT) of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for s in (b.slice(i, BLOCK) for i in range(0, b.num_rows, BLOCK)):
                 lists = s.column(1)
                 size = np.diff(lists.offsets.to_numpy())
-                flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-                for dim in np.unique(size):  # vectors of different columns or models never meet
-                    own = np.flatnonzero(size == dim)
-                    v = flat[np.cumsum(size)[own][:, None] - dim + np.arange(dim)]
-                    v /= np.linalg.norm(v, axis=1, keepdims=True)
+                flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float32)
+                begin = np.cumsum(size) - size
+                groups = pc.fill_null(s.column(3), "").dictionary_encode()
+                cell = size.astype(np.int64) * len(groups.dictionary) + groups.indices.to_numpy()
+                for c in np.unique(cell):  # vectors of different columns, models or groups never meet
+                    own = np.flatnonzero(cell == c)
+                    dim = int(size[own[0]])
+                    v = flat[begin[own][:, None] + np.arange(dim)]
                     at = pa.array(own)
-                    yield pa.RecordBatch.from_arrays([pa.array([int(dim)], pa.int32()), pa.array([s.column(0).take(at).to_pylist()], pa.list_(s.column(0).type)), pa.array([v.tobytes()], pa.binary()), pa.array([s.column(2).take(at).to_pylist()], pa.list_(pa.int32()))], names=["dim", "ids", "vectors", "extra"])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([dim], pa.int32()), s.column(3).take(at[:1]), pa.array([s.column(0).take(at).to_pylist()], pa.list_(s.column(0).type)), pa.array([v.tobytes()], pa.binary()), pa.array([s.column(2).take(at).to_pylist()], pa.list_(pa.int32()))],
+                        names=["dim", "grp", "ids", "vectors", "extra"],
+                    )
 
     kind = df.select(ident).schema[0].dataType.simpleString()
-    picked = df.where(usable(vector)).select(F.col(ident), F.col(vector), (F.col(extra) if extra else F.lit(None)).cast("int").alias("extra"))
-    return picked.mapInArrow(run, f"dim int, ids array<{kind}>, vectors binary, extra array<int>")
+    held = df.where(usable(vector) & (F.col(within).isNotNull() if within else F.lit(True)))
+    picked = held.select(F.col(ident), F.col(vector), (F.col(extra) if extra else F.lit(None)).cast("int").alias("extra"), (F.col(within).cast("string") if within else F.lit("")).alias("grp"))
+    return picked.mapInArrow(run, f"dim int, grp string, ids array<{kind}>, vectors binary, extra array<int>")
 
 
-def search(base: DataFrame, queries: DataFrame, k: int = 5, threshold: float = 0.0, base_id: str = "id", base_vector: str = "embedding", query_id: str = "query_id", query_vector: str = "embedding", limit: str | None = None, exclude_self: bool = False) -> DataFrame:
+def _block_pairs(base: DataFrame, queries: DataFrame) -> DataFrame:
+    """Every block of candidates beside every block of queries of its size and group, over as many tasks as the session shuffles to.
+
+    Candidates' blocks are dealt out by a salt, and queries' blocks go to every salt, so that one size and one group, which may
+    be all there is, don't make one task.
+    """
+    n = int(base.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    x = base.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(n)).cast("int"))
+    q = queries.select("dim", "grp", F.col("ids").alias("qids"), F.col("vectors").alias("qv"), F.col("extra").alias("qe"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("salt"))
+    return x.join(q, ["dim", "grp", "salt"]).select("dim", "ids", "vectors", "extra", "qids", "qv", "qe")
+
+
+def _similarities(b: pa.RecordBatch, r: int) -> tuple[pa.Array, pa.Array, np.ndarray]:
+    """Ids of queries and candidates of a pair of blocks, and their cosines to 6 places."""
+    of = {n: b.column(i)[r] for i, n in enumerate(b.schema.names)}
+    dim = of["dim"].as_py()
+    unit = []
+    for name in ("qv", "vectors"):
+        v = np.frombuffer(of[name].as_buffer(), np.float32).reshape(-1, dim).astype(np.float64)
+        unit.append(v / np.linalg.norm(v, axis=1, keepdims=True))
+    return of["qids"].values, of["ids"].values, np.round(unit[0] @ unit[1].T, 6)
+
+
+def search(base: DataFrame, queries: DataFrame, k: int = 5, threshold: float = 0.0, base_id: str = "id", base_vector: str = "embedding", query_id: str = "query_id", query_vector: str = "embedding", limit: str | None = None, exclude_self: bool = False, within: str | None = None) -> DataFrame:
     """(query_id, rank, id, similarity): each query's ``k`` most similar rows of cosine above ``threshold`` (strictly).
 
-    ``limit`` names an INT column of ``queries`` with each query's own k (NULL: ``k``). Similarities are rounded to 6 places, ties go
-    by id. Unusable vectors, on either side, match nothing; empty tables give no rows. A query set meets all rows block by
-    block; what leaves a pair of blocks is at most k rows a query, and the final cut limits groups before the shuffle.
+    ``limit`` names an INT column of ``queries`` with each query's own k (NULL: ``k``); ``within`` a column of both, in which a query and
+    its hits must agree (NULL agrees with nothing). Similarities are rounded to 6 places, ties go by id. Unusable vectors, on
+    either side, match nothing; empty tables give no rows. A query set meets all rows block by block; what leaves a pair of
+    blocks is at most k rows a query and their ties, and the final cut limits groups before the shuffle.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for r in b.to_pylist():
-                q = np.frombuffer(r["qv"]).reshape(-1, r["dim"])
-                x = np.frombuffer(r["vectors"]).reshape(-1, r["dim"])
-                sim = np.round(q @ x.T, 6)
-                take = np.array([k if e is None else e for e in r["qe"]])
-                ids = np.array(r["ids"], dtype=object)
-                rows: list[tuple] = []
-                for i, qid in enumerate(r["qids"]):
-                    good = np.flatnonzero((sim[i] > threshold) & ((ids != qid) if exclude_self else True))
-                    if len(good) > take[i]:  # ties at the last place all stay for the final order
-                        least = np.partition(sim[i][good], len(good) - take[i])[len(good) - take[i]] if take[i] > 0 else np.inf
-                        good = good[sim[i][good] >= least]
-                    rows += ((qid, ids[j], float(sim[i][j]), int(take[i])) for j in good)
-                a, i, s, t = zip(*rows, strict=True) if rows else ((), (), (), ())
-                yield pa.RecordBatch.from_arrays([pa.array(a, qtype), pa.array(i, itype), pa.array(s, pa.float64()), pa.array(t, pa.int32())], names=["q", "i", "similarity", "take"])
-
-    from pyspark.sql.pandas.types import to_arrow_type
+            for r in range(b.num_rows):
+                qids, ids, sim = _similarities(b, r)
+                own = b.column(6)[r].values
+                take = pc.fill_null(own, k).to_numpy(zero_copy_only=False).astype(np.int64) if len(own) else np.empty(0, np.int64)
+                good = sim > threshold
+                if exclude_self:
+                    good &= np.array(ids.to_pylist(), object)[None, :] != np.array(qids.to_pylist(), object)[:, None]
+                good[take <= 0] = False
+                for n in np.unique(take[(take > 0) & (take < len(ids))]):  # ties at the last place all stay for the final order
+                    rows = np.flatnonzero(take == n)
+                    held = np.where(good[rows], sim[rows], -np.inf)
+                    good[rows] &= sim[rows] >= np.partition(held, len(ids) - n, axis=1)[:, len(ids) - n, None]
+                i, j = np.nonzero(good)
+                yield pa.RecordBatch.from_arrays([qids.take(pa.array(i)), ids.take(pa.array(j)), pa.array(sim[i, j]), pa.array(take[i].astype(np.int32))], names=["q", "i", "similarity", "take"])
 
     qkind, ikind = queries.select(query_id).schema[0].dataType, base.select(base_id).schema[0].dataType
-    qtype, itype = to_arrow_type(qkind), to_arrow_type(ikind)
-    q = _packed(queries, query_id, query_vector, limit).select(F.col("dim").alias("qdim"), F.col("ids").alias("qids"), F.col("vectors").alias("qv"), F.col("extra").alias("qe"))
-    blocks = _packed(base, base_id, base_vector, None).drop("extra")
-    pairs = blocks.join(q, blocks["dim"] == q["qdim"]).select("dim", "ids", "vectors", "qids", "qv", "qe")
+    pairs = _block_pairs(_packed(base, base_id, base_vector, None, within), _packed(queries, query_id, query_vector, limit, within))
     found = pairs.mapInArrow(run, f"q {qkind.simpleString()}, i {ikind.simpleString()}, similarity double, take int")
     order = W.partitionBy("q").orderBy(F.col("similarity").desc(), "i")
     most = F.lit(k) if limit is None else F.col("take")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most).select(F.col("q").alias(query_id), "rank", F.col("i").alias(base_id), "similarity")
 
 
+def best_of_groups(base: DataFrame, queries: DataFrame, group: str, base_id: str = "id", base_vector: str = "embedding", query_id: str = "query_id", query_vector: str = "embedding") -> DataFrame:
+    """(query_id, group, score, best): the most similar row of each ``group`` (an INT) of ``base`` for each query, the smallest id of equals.
+
+    Late interaction with groups as documents and their rows as sentences. A pair of blocks gives one row per query and group,
+    and these are aggregated before their shuffle; no pair of vectors is a row.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in range(b.num_rows):
+                qids, ids, sim = _similarities(b, r)
+                order = np.array(pc.sort_indices(ids))
+                label = b.column(3)[r].values.to_numpy(zero_copy_only=False)[order]
+                for g in np.unique(label):
+                    own = order[label == g]
+                    at = sim[:, own].argmax(axis=1)
+                    yield pa.RecordBatch.from_arrays([qids, pa.array(np.full(len(qids), g, np.int32)), pa.array(sim[np.arange(len(qids)), own[at]]), ids.take(pa.array(own[at]))], names=["q", "g", "score", "best"])
+
+    qkind, ikind = queries.select(query_id).schema[0].dataType, base.select(base_id).schema[0].dataType
+    held = base.where(F.col(group).isNotNull())
+    pairs = _block_pairs(_packed(held, base_id, base_vector, group, None), _packed(queries, query_id, query_vector, None, None))
+    found = pairs.mapInArrow(run, f"q {qkind.simpleString()}, g int, score double, best {ikind.simpleString()}")
+    return found.groupBy(F.col("q").alias(query_id), F.col("g").alias(group)).agg(F.max("score").alias("score"), F.min_by("best", F.struct(-F.col("score"), F.col("best"))).alias("best"))
+
+
 def matches_conditions(metadata: Mapping[str, Column], conditions: Sequence[Mapping[str, str]] | None) -> Column:
     """Whether a row meets any of ``conditions``, each of which asks for all of its keys; absent keys are wildcards.
 
@@ -133,8 +184,20 @@ FILTERS: dict[str, dict[str, str]] = {
 }
 
 
-def resolve_filters(keys: Sequence[str] | None) -> list[dict[str, str]] | None:
-    """The conditions of filter keys; None, that is no filter, for none, for all of them, or if none is known. Unknown keys are skipped."""
+#: Keys of conditions that a search looks at; the others of FILTERS count only if they are asked for.
+CONDITION_KEYS = ("source_api", "doc_type", "jurisdiction_detail")
+
+
+def resolve_filters(keys: Sequence[str] | None, every_key: bool = False) -> list[dict[str, str]] | None:
+    """The conditions of filter keys; None, that is no filter, for none, for all of them, or if none is known. Unknown keys are skipped.
+
+    Conditions hold CONDITION_KEYS alone unless ``every_key``, so the three constitutions are one condition, and stand once each.
+    """
     if not keys or set(keys) >= set(FILTERS):
         return None
-    return [dict(FILTERS[k]) for k in keys if k in FILTERS] or None
+    out: list[dict[str, str]] = []
+    for k in keys:
+        one = {n: v for n, v in FILTERS.get(k, {}).items() if every_key or n in CONDITION_KEYS}
+        if one and one not in out:
+            out.append(one)
+    return out or None

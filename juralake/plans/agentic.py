@@ -37,6 +37,6 @@ def agentic_search(queries: DataFrame, search: Callable[[DataFrame], DataFrame],
         follow = F.coalesce(F.nullif("next_query", F.lit("")), F.get("planned", F.lit(r + 1)))
         more = ~F.coalesce("sufficient", F.lit(True)) & (F.coalesce("relevance", F.lit(0.5)) < enough) & follow.isNotNull()
         active = judged.where(more).select("query_id", follow.alias("query"), "planned")
-    fused = reciprocal_rank_fusion(lists, key_chars=200, limit=n)
+    fused = reciprocal_rank_fusion(lists, key_chars=200, limit=n, pass_single=False)
     results = with_sources(lists, fused, "query_id", "list_no", "asked", "document", 200)
     return results.withColumn("id", F.concat(F.lit("agentic_"), F.col("place") - 1)), history

@@ -7,16 +7,18 @@ from __future__ import annotations
 
 import random
 import re
+import time
 import zlib
 from collections.abc import Callable, Iterator, Sequence
-from typing import Protocol
+from typing import Protocol, TypeVar
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType, StringType, StructField, StructType
 
+T = TypeVar("T")
 #: Texts in one call.
 BATCH = 64
 # Prices of unknown models, for 1000 tokens in and out.
@@ -71,8 +73,61 @@ def backoff(attempt: int, seed: int = 0, most: float = 60.0) -> float:
     return base + base * 0.25 * (2 * random.Random(seed * 1009 + attempt).random() - 1)
 
 
+class Transient(Exception):
+    """A failure that another attempt may not meet: too many requests, a server's fault, a broken connection."""
+
+
+def retried(call: Callable[[], T], attempts: int = 5, wait: Callable[[float], None] = time.sleep) -> T:
+    """What ``call`` gives, tried anew after each Transient failure, ``attempts`` times at most, with ``backoff`` between."""
+    for n in range(attempts):
+        try:
+            return call()
+        except Transient:
+            if n == attempts - 1:
+                raise
+            wait(backoff(n))
+    raise ValueError("attempts must be at least 1")
+
+
+_MADE: dict[str, object] = {}
+
+
+def once(name: str, make: Callable[[], T]) -> Callable[[], T]:
+    """``make``, called once in each worker process, whatever number of tasks it runs; clients with connections are worth keeping."""
+
+    def kept() -> T:
+        if name not in _MADE:
+            _MADE[name] = make()
+        return _MADE[name]  # type: ignore[return-value]
+
+    return kept
+
+
+#: Texts that one call to each provider may hold.
+PROVIDER_BATCHES = {"openai": 100, "cohere": 96, "isaacus": 50, "voyage": 128, "openrouter": 50}
+
+
+def provider_of(models: Sequence[tuple], model: str) -> str:
+    """The provider that serves ``model`` in a registry of (model, provider, ...) rows; that of the first row for an unknown one."""
+    return next((r[1] for r in models if r[0] == model), models[0][1])
+
+
+def messages(system: Column, history: Column | None, user: Column) -> Column:
+    """A conversation for a model as JSON: the system's text, those of ``history`` (ARRAY<STRUCT<role, content>>) by users and
+    assistants that aren't empty, and the user's."""
+    one = lambda role, text: F.struct(F.lit(role).alias("role"), text.alias("content"))
+    head, tail = F.array(one("system", system)), F.array(one("user", user))
+    if history is None:
+        return F.to_json(F.concat(head, tail))
+    kept = F.transform(F.filter(F.coalesce(history, F.slice(tail, 2, 1)), lambda m: m["role"].isin("user", "assistant") & (F.length(m["content"]) > 0)), lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content")))
+    return F.to_json(F.concat(head, kept, tail))
+
+
 def embedded(df: DataFrame, text: str, make: Callable[[], Embedder], name: str = "embedding", task: str = "document") -> DataFrame:
-    """``df`` with ``name`` (ARRAY<FLOAT>): the vectors of ``text``; NULL texts have NULL. One provider a task, BATCH texts a call."""
+    """``df`` with ``name`` (ARRAY<FLOAT>): the vectors of ``text``; NULL texts have NULL.
+
+    One provider a task; a call holds BATCH texts, or as many as the provider's ``batch``, and is tried anew after Transient failures.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         provider = make()
@@ -80,9 +135,10 @@ def embedded(df: DataFrame, text: str, make: Callable[[], Embedder], name: str =
             texts = b.column(b.num_columns - 1).to_pylist()
             held = [i for i, t in enumerate(texts) if t is not None]
             out: list = [None] * len(texts)
-            for at in range(0, len(held), BATCH):
-                part = held[at : at + BATCH]
-                for i, v in zip(part, provider.embed([texts[i] for i in part], task), strict=True):
+            size = getattr(provider, "batch", BATCH)
+            for at in range(0, len(held), size):
+                part = held[at : at + size]
+                for i, v in zip(part, retried(lambda part=part: provider.embed([texts[i] for i in part], task)), strict=True):
                     out[i] = v
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(out, pa.list_(pa.float32()))], names=[*b.schema.names[:-1], name])
 
@@ -101,7 +157,7 @@ def completed(df: DataFrame, prompt: str, make: Callable[[], Completer], name: s
             out: list = [None] * len(prompts)
             for at in range(0, len(held), BATCH):
                 part = held[at : at + BATCH]
-                for i, r in zip(part, provider.complete([prompts[i] for i in part]), strict=True):
+                for i, r in zip(part, retried(lambda part=part: provider.complete([prompts[i] for i in part])), strict=True):
                     out[i] = r
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(out, pa.string())], names=[*b.schema.names[:-1], name])
 
@@ -109,7 +165,7 @@ def completed(df: DataFrame, prompt: str, make: Callable[[], Completer], name: s
     return plain.mapInArrow(run, StructType([*df.schema.fields, StructField(name, StringType())]))
 
 
-def cost(usage: DataFrame, prices: Sequence[tuple[str, float, float]]) -> DataFrame:
+def cost(usage: DataFrame, prices: Sequence[tuple[str, float, float]] = PRICES) -> DataFrame:
     """(model, calls, tokens_in, tokens_out, cost): usage (model, tokens_in, tokens_out) by model; unknown ones at DEFAULT_PRICE."""
     table = usage.sparkSession.createDataFrame([*prices], "model string, price_in double, price_out double")
     sums = usage.groupBy("model").agg(F.count("*").alias("calls"), F.sum("tokens_in").alias("tokens_in"), F.sum("tokens_out").alias("tokens_out"))
@@ -118,7 +174,17 @@ def cost(usage: DataFrame, prices: Sequence[tuple[str, float, float]]) -> DataFr
     return priced.select("model", "calls", "tokens_in", "tokens_out", F.round(total, 6).alias("cost"))
 
 
-def hypothetical(df: DataFrame, query: str, make: Callable[[], Completer], name: str = "expanded") -> DataFrame:
-    """``df`` with ``name``: a hypothetical passage that answers ``query``; queries under 10 characters stay as they are."""
+def hypothetical(df: DataFrame, query: str, make: Callable[[], Completer], name: str = "expanded", n: int = 1) -> DataFrame:
+    """``df`` with ``name``: a hypothetical passage that answers ``query``; queries under 10 characters stay as they are.
+
+    With ``n`` over 1 also ``name``_all: that many passages, each asked for on its own, of which ``name`` is the first.
+    """
     asked = df.withColumn("__ask", F.when(F.length(query) >= 10, F.col(query)))
-    return completed(asked, "__ask", make, "__reply").withColumn(name, F.coalesce(F.nullif("__reply", F.lit("")), F.col(query))).drop("__ask", "__reply")
+    for i in range(n):
+        prompt = F.col("__ask") if not i else F.concat("__ask", F.lit(f"\n(passage {i + 1})"))
+        asked = completed(asked.withColumn("__one", prompt), "__one", make, f"__reply{i}").drop("__one")
+    every = F.filter(F.array(*(F.nullif(f"__reply{i}", F.lit("")) for i in range(n))), lambda x: x.isNotNull())
+    out = asked.withColumn(name, F.coalesce(F.get(every, F.lit(0)), F.col(query)))
+    if n > 1:
+        out = out.withColumn(f"{name}_all", F.when(F.size(every) > 0, every).otherwise(F.array(query)))
+    return out.drop("__ask", *(f"__reply{i}" for i in range(n)))

@@ -13,7 +13,12 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from juralake.functions.extract import json_or_text
 from juralake.functions.text import fill_template
+from juralake.plans.providers import messages
+
+#: What a node that wants JSON tells its model.
+JSON_ONLY = " Output ONLY valid JSON."
 
 #: A small graph with a router and two branches that meet.
 EXAMPLE = {
@@ -28,9 +33,24 @@ EXAMPLE = {
 }
 
 
+#: A graph whose router stops short texts.
+GUARDED = {
+    "nodes": [
+        {"id": "begin", "type": "start"},
+        {"id": "enough", "type": "router", "data": {"condition": "n_chars > 900"}},
+        {"id": "told", "type": "action", "data": {"template": "{{lang}} text of {{n_chars}}"}},
+    ],
+    "edges": [{"from": "begin", "to": "enough"}, {"from": "enough", "to": "told"}],
+}
+
+
 @dataclass
 class Handlers:
-    """What runs the nodes that need the outside: each takes the frame, the node's data and the name of its output column."""
+    """What runs the nodes that need the outside: each takes the frame, the node's data and the name of its output column.
+
+    ``complete`` gets a prompt, or a conversation as JSON where the node has a system prompt, a history (the column chat_history) or
+    wants JSON; ``retrieve`` serves retrieval nodes and the grounding of actions; ``others`` serve types of their own, such as research.
+    """
 
     complete: Callable[[DataFrame, str, str], DataFrame] | None = None
     retrieve: Callable[[DataFrame, dict, str], DataFrame] | None = None
@@ -108,9 +128,18 @@ def run(graph: dict, requests: DataFrame, handlers: Handlers) -> DataFrame:
             value = F.expr(data["expression"]).cast("string")
         elif kind == "action":
             value = fill_template(F.lit(data["template"]), {c: F.col(f"`{c}`") for c in df.columns if not c.startswith("__on_")})
+            if data.get("grounding") and handlers.retrieve:
+                df = handlers.retrieve(df, data, "__ground")
+                value = F.concat(value, F.coalesce(F.concat(F.lit("\n\nContext:\n"), F.nullif("__ground", F.lit(""))), F.lit("")))
             if handlers.complete:
-                df = handlers.complete(df.withColumn("__prompt", F.when(here, value)), "__prompt", "__reply").drop("__prompt")
+                system = data.get("system_prompt", "") + (JSON_ONLY if data.get("json_mode") else "")
+                past = F.col("chat_history") if data.get("use_chat_history") and "chat_history" in df.columns else None
+                asked = messages(F.lit(system), past, value) if system or past is not None else value
+                df = handlers.complete(df.withColumn("__prompt", F.when(here, asked)), "__prompt", "__reply").drop("__prompt")
                 value = F.col("__reply")
+            if data.get("json_mode"):
+                held = json_or_text(value)
+                value = F.coalesce(F.to_json(held["json"]), held["text"])
         elif kind == "retrieval" and handlers.retrieve:
             df = handlers.retrieve(df, data, "__reply")
             value = F.col("__reply")
@@ -119,7 +148,7 @@ def run(graph: dict, requests: DataFrame, handlers: Handlers) -> DataFrame:
             value = F.col("__reply")
         else:
             raise ValueError(f"unknown node type {kind!r}")
-        df = df.withColumn(f"__on_{name}", active).withColumn(name, F.when(here, value)).drop("__reply")
+        df = df.withColumn(f"__on_{name}", active).withColumn(name, F.when(here, value)).drop("__reply", "__ground")
     ends = [n for n in order if not after[n]]
     ran = F.lit(False)
     for n in ends:

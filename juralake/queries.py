@@ -9,10 +9,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from juralake.functions import classify, extract, text
-from juralake.operators import chunking, fusion, lexical, rerank, vector
-from juralake.plans import workflow
+from juralake.operators import ann, chunking, fusion, lexical, rerank, vector
+from juralake.plans import agentic, providers, retrieve, workflow
 from juralake.sources import store
-from juralake.sources.tables import delivered_once, spread, table
+from juralake.sources.tables import delivered_once, first_deliveries, spread, table
 
 
 def _seeded(docs: DataFrame) -> DataFrame:
@@ -45,6 +45,11 @@ def _chunks(spark: SparkSession, d: str, *columns: str) -> DataFrame:
     return delivered_once(table(spark, d, "chunks"), *columns)
 
 
+def _texts(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """Chunks with their contents, which are too large to be shuffled for the few that come twice."""
+    return first_deliveries(table(spark, d, "chunks"), "content", *columns)
+
+
 # Vectors
 
 
@@ -90,8 +95,100 @@ def maxsim_labels(spark: SparkSession, d: str) -> DataFrame:
     """Late interaction with labels as documents and their vectors as sentences: the best vector of each label for each query."""
     v = table(spark, d, "embeddings")
     q = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
-    every = vector.search(v, q, k=1_000_000_000, threshold=-2.0, base_id="vec_id").join(v.select("vec_id", "label"), "vec_id")
-    return every.groupBy("query_id", "label").agg(F.max("similarity").alias("score"), F.max_by("vec_id", F.struct("similarity", -F.col("vec_id"))).alias("best"))
+    return vector.best_of_groups(v, q, "label", base_id="vec_id")
+
+
+def ivf_topk(spark: SparkSession, d: str) -> DataFrame:
+    """Approximate search: each hundredth vector asks an index of all."""
+    v = table(spark, d, "embeddings")
+    q = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return ann.Index(v, ident="vec_id").search(q, k=5)
+
+
+# Retrieval pipelines
+
+
+def _searchable(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks by the vectors of their first model."""
+    return _texts(spark, d, "collection_id", "embedding_1536", "sentence_embeddings", "sentence_texts").withColumnRenamed("embedding_1536", "embedding")
+
+
+def _asked_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """Each search query with the vector of its candidate of the smallest id that has one of the model's size."""
+    dim = table(spark, d, "embedding_models").where("vector_column = 'embedding_1536'").first()["stored_dims"]
+    held = _chunks(spark, d, "embedding_1536").where(vector.usable("embedding_1536", dim))
+    cands = table(spark, d, "colbert_results").select("query_id", F.col("chunk_id").alias("id")).distinct()
+    own = cands.join(held, "id").groupBy("query_id").agg(F.min_by("embedding_1536", "id").alias("embedding"))
+    return table(spark, d, "search_queries").select("query_id", "query", "collection_id").join(own, "query_id")
+
+
+def query_dataset(spark: SparkSession, d: str) -> DataFrame:
+    """Hybrid retrieval: vector hits, then keyword hits that they lack, reranked in pairs with the query; five of each query."""
+    return retrieve.query_dataset(_searchable(spark, d), _asked_vectors(spark, d))
+
+
+def query_collection(spark: SparkSession, d: str) -> DataFrame:
+    """Vector retrieval within the query's own collection."""
+    return retrieve.query_dataset(_searchable(spark, d), _asked_vectors(spark, d), hybrid=False, within="collection_id").select("query_id", "place", "id", "similarity")
+
+
+def colbert_search(spark: SparkSession, d: str) -> DataFrame:
+    return retrieve.colbert_search(_searchable(spark, d), _asked_vectors(spark, d)).fillna(-1, "best_sentence")
+
+
+def embedding_rerank(spark: SparkSession, d: str) -> DataFrame:
+    """The 20 first candidates of each query by their vectors."""
+    q = _asked_vectors(spark, d)
+    cands = _candidates(spark, d).select("query_id", F.col("chunk_id").alias("id"), "rank")
+    dim = table(spark, d, "embedding_models").where("vector_column = 'embedding_1536'").first()["stored_dims"]
+    held = _chunks(spark, d, "embedding_1536").where(vector.usable("embedding_1536", dim)).withColumnRenamed("embedding_1536", "embedding")
+    return retrieve.embedding_rerank(cands, held, q)
+
+
+#: What a model says of every query that is worth decomposing, in the offline queries below.
+PARTS = ("contract term", "bank guarantee")
+
+
+def _bm25_search(texts: DataFrame, k: int):
+    return lambda queries: lexical.bm25(texts, queries, k=k).select("query_id", "rank", "id")
+
+
+def decomposed_search(spark: SparkSession, d: str) -> DataFrame:
+    texts = _texts(spark, d)
+    reply = '["' + '", "'.join(PARTS) + '"]'
+    return retrieve.decomposed_search(texts, table(spark, d, "search_queries").select("query_id", "query"), lambda: providers.TemplateCompleter(reply), _bm25_search(texts, 10))
+
+
+def agentic_search(spark: SparkSession, d: str) -> DataFrame:
+    """Two rounds at most: a query that finds fewer than five texts goes on with its planned second one."""
+    texts = _texts(spark, d)
+
+    def search(queries: DataFrame) -> DataFrame:
+        return _bm25_search(texts, 5)(queries).join(texts, "id").select("query_id", "rank", F.col("content").alias("document"))
+
+    def judge(active: DataFrame, found: DataFrame) -> DataFrame:
+        n = found.groupBy("query_id").agg(F.count("*").alias("n"))
+        told = active.select("query_id").join(n, "query_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+        return told.select("query_id", (F.col("n") / 10).alias("relevance"), (F.col("n") >= 5).alias("sufficient"), F.lit(None).cast("string").alias("next_query"))
+
+    q = table(spark, d, "search_queries").select("query_id", "query", F.array("query", F.lit(PARTS[1])).alias("planned"))
+    return agentic.agentic_search(q, search, judge, rounds=2)[0]
+
+
+def result_context(spark: SparkSession, d: str) -> DataFrame:
+    """The three best candidates of each query as a model reads them."""
+    c = _candidates(spark, d).where("rank <= 3").select("query_id", F.col("rank").alias("place"), F.col("chunk_id").alias("source"), F.col("document").alias("content"))
+    return retrieve.context(c).select("query_id", F.md5("context").alias("digest"), F.length("context").alias("size"))
+
+
+def result_stats(spark: SparkSession, d: str) -> DataFrame:
+    held = table(spark, d, "colbert_results").where("query_id IS NOT NULL AND colbert_score IS NOT NULL AND NOT isnan(colbert_score)")
+    return fusion.result_stats(held, "query_id", "colbert_score", "sentence_scores")
+
+
+def positional_zip(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "colbert_results").withColumn("sentence_scores", F.transform("sentence_scores", lambda x: F.when(~F.isnan(x), x)))
+    return fusion.positional(rows, "sentence_scores", "matched_sentences", keep=("query_id", "chunk_id"))
 
 
 # Fusion
@@ -114,7 +211,7 @@ def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
 
 def rrf_agentic(spark: SparkSession, d: str) -> DataFrame:
     lists = _ranked_lists(spark, d)
-    fused = fusion.reciprocal_rank_fusion(lists, key_chars=200, limit=8)
+    fused = fusion.reciprocal_rank_fusion(lists, key_chars=200, limit=8, pass_single=False)
     return fusion.with_sources(lists, fused, "query_id", "list_no", "asked", "document", 200)
 
 
@@ -123,7 +220,7 @@ def hybrid_merge(spark: SparkSession, d: str) -> DataFrame:
     q = table(spark, d, "search_queries")
     cands = _candidates(spark, d).select("query_id", F.col("chunk_id").alias("id"), "rank").where("rank <= 30")
     keyed = q.select("query_id", F.posexplode(text.keywords(F.col("query"))).alias("pos", "keyword"))
-    hits = lexical.contains_keywords(_chunks(spark, d, "content"), keyed)
+    hits = lexical.contains_keywords(_texts(spark, d), keyed)
     found = keyed.join(hits, "keyword").groupBy("query_id", "id").agg(F.min("pos").alias("rank"))
     merged = fusion.keep_first_union(cands.select("query_id", "id", F.col("rank").cast("bigint").alias("rank")), found.select("query_id", "id", F.col("rank").cast("bigint").alias("rank")), ["query_id", "id"])
     order = W.partitionBy("query_id").orderBy("origin", "rank", "id")
@@ -156,11 +253,11 @@ def rerank_lexical(spark: SparkSession, d: str) -> DataFrame:
 
 def keyword_search(spark: SparkSession, d: str) -> DataFrame:
     keyed = table(spark, d, "search_queries").select(F.explode(text.keywords(F.col("query"))).alias("keyword"))
-    return lexical.contains_keywords(_chunks(spark, d, "content"), keyed)
+    return lexical.contains_keywords(_texts(spark, d), keyed)
 
 
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    return lexical.bm25(_chunks(spark, d, "content"), table(spark, d, "search_queries").select("query_id", "query"))
+    return lexical.bm25(_texts(spark, d), table(spark, d, "search_queries").select("query_id", "query"))
 
 
 def keywords(spark: SparkSession, d: str) -> DataFrame:
@@ -180,7 +277,7 @@ def sentences_protected(spark: SparkSession, d: str) -> DataFrame:
 
 
 def words(spark: SparkSession, d: str) -> DataFrame:
-    w = _spread(spark, d).where("text IS NOT NULL").select("doc_id", text.words(F.col("text")).alias("w"))
+    w = _spread(spark, d).where("text IS NOT NULL").select("doc_id", text.legal_words(F.col("text")).alias("w"))
     return w.select("doc_id", F.size("w").alias("n"), F.coalesce(F.get("w", F.lit(0)), F.lit("")).alias("first"), F.coalesce(F.element_at("w", F.when(F.size("w") > 0, -1)), F.lit("")).alias("last"))
 
 
@@ -217,19 +314,34 @@ def enhance(spark: SparkSession, d: str) -> DataFrame:
 
 
 def template_fill(spark: SparkSession, d: str) -> DataFrame:
-    t = F.lit("Dear {{query.id}}, on {{query}} in {{collection}}: {{missing}}")
-    return table(spark, d, "search_queries").select("query_id", text.fill_template(t, {"query.id": F.col("query_id"), "query": F.col("query"), "collection": F.col("collection_id")}).alias("filled"))
+    t = F.lit("Dear {{ query.id }}, on {{query.text}} in {{collection}}: {{missing}}{{query.none}} {{collection.name}} {{none.name}}")
+    values = {"query": {"id": F.col("query_id"), "text": F.col("query")}, "collection": F.col("collection_id")}
+    return table(spark, d, "search_queries").select("query_id", text.fill_template(t, values).alias("filled"))
+
+
+def prompt_fill(spark: SparkSession, d: str) -> DataFrame:
+    t = next(t for name, t in store.PROMPTS if name == "summary")
+    return _docs(spark, d).select("doc_id", F.md5(text.fill_template(F.lit(t), {"DOC_TYPE": F.col("doc_type"), "N": F.lit(3), "TEXT": F.col("text")})).alias("digest"))
 
 
 # Chunks
 
 
+def _digested(chunks: DataFrame) -> DataFrame:
+    """Chunks with their text as a digest, which is as good to compare and shorter."""
+    return chunks.withColumn("digest", F.md5("chunk")).drop("chunk")
+
+
 def chunk_pack(spark: SparkSession, d: str) -> DataFrame:
-    return chunking.packed_chunks(_spread(spark, d), "doc_id", "text", 256, 0).where("kind = 'packed'").select("doc_id", "first", "last")
+    return _digested(chunking.packed_chunks(_spread(spark, d), "doc_id", "text", 256, 0))
 
 
 def chunk_overlap(spark: SparkSession, d: str) -> DataFrame:
-    return chunking.packed_chunks(_spread(spark, d), "doc_id", "text", 256, 50).where("kind = 'packed'").select("doc_id", "first", "last")
+    return _digested(chunking.packed_chunks(_spread(spark, d), "doc_id", "text", 256, 50))
+
+
+def simple_chunks(spark: SparkSession, d: str) -> DataFrame:
+    return _digested(chunking.sentence_pair_chunks(_spread(spark, d), "doc_id", "text"))
 
 
 def chunk_sections(spark: SparkSession, d: str) -> DataFrame:
@@ -238,13 +350,13 @@ def chunk_sections(spark: SparkSession, d: str) -> DataFrame:
 
 
 def structured_chunks(spark: SparkSession, d: str) -> DataFrame:
-    out = chunking.structured_chunks(_spread(spark, d), "doc_id", "text")
-    return out.groupBy("type").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("docs"))
+    return _digested(chunking.structured_chunks(_spread(spark, d), "doc_id", "text"))
 
 
 def contract_chunks(spark: SparkSession, d: str) -> DataFrame:
     t = F.concat(F.lit("Between the parties\n1. Scope\n"), F.coalesce("text", F.lit("")), F.lit("\n2.1 - Term\nTwo years.\n\n3. End\nNever."))
-    return chunking.contract_chunks(_docs(spark, d).select("doc_id", t.alias("t")), "doc_id", "t")
+    out = chunking.contract_chunks(_spread(spark, d).select("doc_id", t.alias("t")), "doc_id", "t")
+    return out.withColumn("digest", F.md5("content")).drop("content")
 
 
 # Extraction
@@ -279,7 +391,7 @@ def context_prefix(spark: SparkSession, d: str) -> DataFrame:
 
 
 def metadata_heuristic(spark: SparkSession, d: str) -> DataFrame:
-    return _seeded(_spread(spark, d)).select("doc_id", extract.heuristic_metadata(F.substring("syn", 1, 150)).alias("m")).select("doc_id", "m.*")
+    return _seeded(_spread(spark, d)).select("doc_id", extract.heuristic_metadata(F.col("syn")).alias("m")).select("doc_id", "m.*")
 
 
 def metadata_normal(spark: SparkSession, d: str) -> DataFrame:
@@ -288,6 +400,26 @@ def metadata_normal(spark: SparkSession, d: str) -> DataFrame:
     return docs.select("doc_id", extract.normal_label(F.col("doc_type")).alias("doc_type"), extract.normal_jurisdiction(raw).alias("jurisdiction"))
 
 
+def enabled_metadata(spark: SparkSession, d: str) -> DataFrame:
+    """The document type and jurisdiction that were found, as a collection that wants these alone keeps them."""
+    m = _seeded(_spread(spark, d)).select("doc_id", extract.heuristic_metadata(F.col("syn")).alias("m"))
+    fields = {k: F.col(f"m.{k}") for k in ("document_type", "jurisdiction", "practice_area", "date")}
+    kept = extract.enabled_fields(fields, {"document_type": True, "jurisdiction": True, "practice_area": False})
+    return m.select("doc_id", F.array_join(F.transform(F.map_entries(kept), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";").alias("kept"))
+
+
+def reporters(spark: SparkSession, d: str) -> DataFrame:
+    c = _seeded(_spread(spark, d)).select("doc_id", F.posexplode(extract.citations(F.col("syn"))).alias("pos", "c")).where("c.reporter IS NOT NULL")
+    return c.select("doc_id", "pos", extract.reporter_name(F.col("c.reporter")).alias("reporter"))
+
+
+def json_mode(spark: SparkSession, d: str) -> DataFrame:
+    """The metadata of chunks as a model would reply with it, in a code fence."""
+    held = _chunks(spark, d, "metadata").where("metadata IS NOT NULL")
+    r = held.select("id", extract.json_or_text(F.concat(F.lit("```json\n"), "metadata", F.lit("\n```"))).alias("r"))
+    return r.select("id", F.col("r.json").isNotNull().alias("is_json"), F.try_variant_get("r.json", "$.source", "string").alias("source"), F.coalesce(F.length("r.text"), F.lit(0)).alias("size"))
+
+
 # Classification
 
 
@@ -305,6 +437,14 @@ def query_class(spark: SparkSession, d: str) -> DataFrame:
     return c.select("query_id", "q", "c.kind", F.round("c.confidence", 6).alias("confidence"), "c.n_results", "c.use_reranking")
 
 
+def adaptive_params(spark: SparkSession, d: str) -> DataFrame:
+    """How each query is to be searched for: by its collection's settings, with as many results as its kind asks for."""
+    own = table(spark, d, "collections").select(F.col("id").alias("collection_id"), "retrieval_settings.search_mode", "retrieval_settings.reranking_enabled")
+    q = table(spark, d, "search_queries").join(own, "collection_id", "left")
+    p = classify.adaptive_parameters(F.translate("query", "\u00a0\u3000", "  "), F.col("search_mode"), F.col("reranking_enabled"))
+    return q.select("query_id", p.alias("p")).select("query_id", "p.*")
+
+
 def decompose_gate(spark: SparkSession, d: str) -> DataFrame:
     return _asked(spark, d).select("query_id", "q", classify.should_decompose(F.col("q")).alias("decompose"))
 
@@ -349,8 +489,6 @@ def history_latest(spark: SparkSession, d: str) -> DataFrame:
 
 
 def llm_cost(spark: SparkSession, d: str) -> DataFrame:
-    from juralake.plans import providers
-
     used = _docs(spark, d).select(F.coalesce("doc_type", F.lit("unknown")).alias("model"), text.token_count(F.col("text")).alias("tokens_in"), F.lit(100).alias("tokens_out"))
     return providers.cost(used, [("case_law", 0.0025, 0.01), ("contract", 0.00014, 0.00028)])
 
@@ -367,6 +505,11 @@ def workflow_route(spark: SparkSession, d: str) -> DataFrame:
     return out.select("doc_id", "status", "output")
 
 
+def workflow_halt(spark: SparkSession, d: str) -> DataFrame:
+    """A graph whose router lets only long texts pass."""
+    return workflow.run(workflow.GUARDED, _docs(spark, d).select("doc_id", "lang", "n_chars"), workflow.Handlers()).select("doc_id", "status", "output")
+
+
 def session_count(spark: SparkSession, d: str) -> DataFrame:
     """An extension: sessions of a user are parted by an hour without events."""
     e = table(spark, d, "events")
@@ -375,7 +518,8 @@ def session_count(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    names = """vector_topk vector_topk_batch vector_filtered threshold_gate vector_match_models maxsim_labels rrf_fusion rrf_agentic hybrid_merge colbert_rerank rerank_lexical
+    names = """vector_topk vector_topk_batch vector_filtered threshold_gate vector_match_models maxsim_labels ivf_topk query_dataset query_collection colbert_search embedding_rerank
+        decomposed_search agentic_search result_context result_stats positional_zip prompt_fill simple_chunks enabled_metadata reporters json_mode adaptive_params workflow_halt rrf_fusion rrf_agentic hybrid_merge colbert_rerank rerank_lexical
         keyword_search bm25_topk keywords sentences sentences_protected words abbrev_protect normalize_text sanitize token_stats colbert_sentences previews enhance template_fill
         chunk_pack chunk_overlap chunk_sections structured_chunks contract_chunks legal_refs legal_dates legal_citations legal_entities citations context_prefix metadata_heuristic
         metadata_normal query_class decompose_gate collection_counts settings_merge legal_sources get_documents delete_documents incremental_anti model_registry history_latest

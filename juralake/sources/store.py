@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from juralake.functions.text import sanitize
@@ -108,10 +108,14 @@ def missing(new: DataFrame, held: DataFrame) -> DataFrame:
 
 def insertable(rows: DataFrame, collection_id: str) -> DataFrame:
     """``rows`` (content, optional id and metadata) ready to append: cleaned, with an id that follows from place and content if none is given."""
+    return rows.select(*insertable_columns(rows, collection_id))
+
+
+def insertable_columns(rows: DataFrame, collection_id: str) -> list[Column]:
     ident = F.col("id") if "id" in rows.columns else F.lit(None).cast("string")
     meta = F.col("metadata") if "metadata" in rows.columns else F.lit("{}")
     own = F.sha2(F.concat_ws("\u0001", F.lit(collection_id), meta, F.col("content")), 256)
-    return rows.select(F.coalesce(ident, own).alias("id"), F.lit(collection_id).alias("collection_id"), sanitize(F.col("content")).alias("content"), meta.alias("metadata"))
+    return [F.coalesce(ident, own).alias("id"), F.lit(collection_id).alias("collection_id"), sanitize(F.col("content")).alias("content"), meta.alias("metadata")]
 
 
 def insert_json(spark: SparkSession, payload: str, collection_id: str) -> DataFrame:
@@ -140,3 +144,59 @@ def scan_files(spark: SparkSession, folder: str, pattern: str = "*.txt", parser:
 def base_metadata(source: Column) -> Column:
     """Metadata that a file name gives: title, year and extension, as JSON."""
     return F.to_json(F.struct(F.regexp_replace(source, r"\.[^.]+$", "").alias("title"), F.nullif(F.regexp_extract(source, r"((?:19|20)[0-9]{2})", 1), F.lit("")).alias("year"), F.regexp_extract(source, r"\.([^.]+)$", 1).alias("extension")))
+
+
+def read_jsonl(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """Rows of JSON-lines files; without ``schema`` it is inferred. A line that isn't JSON has NULL in every column of ``schema``."""
+    reader = spark.read.schema(schema) if schema else spark.read
+    return reader.json(path)
+
+
+def insert_with_vectors(rows: DataFrame, collection_id: str, model: str, dims: int | None = None) -> DataFrame:
+    """``insertable`` rows with their vectors in the column of ``model``'s dimensions: embedding_<dimensions>, the others NULL.
+
+    ``rows`` may have embedding (ARRAY<FLOAT>), sentence_embeddings and sentence_texts; what it lacks is NULL. A vector of another
+    size than the model's (``dims`` where vectors are stored narrower) is an error of the row that ``error`` names; it isn't stored.
+    """
+    size = next((m[2] for m in EMBEDDING_MODELS if m[0] == model), EMBEDDING_MODELS[0][2])
+    held = lambda name, kind: (F.col(name) if name in rows.columns else F.lit(None)).cast(kind)
+    vector = held("embedding", "array<float>")
+    wrong = vector.isNotNull() & (F.size(vector) != (dims or size))
+    columns = sorted({m[2] for m in EMBEDDING_MODELS}, reverse=True)
+    parts = [F.when(~wrong, vector).alias(f"embedding_{d}") if d == size else F.lit(None).cast("array<float>").alias(f"embedding_{d}") for d in columns]
+    return rows.select(
+        *insertable_columns(rows, collection_id), *parts,
+        held("sentence_embeddings", "array<array<float>>").alias("sentence_embeddings"), held("sentence_texts", "array<string>").alias("sentence_texts"),
+        F.when(wrong, F.concat(F.lit("vector of "), F.size(vector).cast("string"), F.lit(" items"))).alias("error"),
+    )
+
+
+def insert_outcome(collections: DataFrame, rows: DataFrame, name: str) -> tuple[DataFrame, dict]:
+    """``rows`` for the collection called ``name``, and what came of it: success, inserted_count, error.
+
+    An unknown collection takes nothing and is told as the error.
+    """
+    found = collections.where(F.col("name") == name).select("id").limit(1).collect()
+    if not found:
+        return rows.limit(0), {"success": False, "inserted_count": 0, "error": f"no collection {name!r}"}
+    ready = insertable(rows, found[0]["id"])
+    return ready, {"success": True, "inserted_count": ready.count(), "error": None}
+
+
+def observed(df: DataFrame, name: str, **counters: Column) -> tuple[DataFrame, Observation]:
+    """``df`` with counters of its rows that are read off ``Observation.get`` once it has run; no pass of their own."""
+    seen = Observation(name)
+    return df.observe(seen, *(c.alias(k) for k, c in ({"rows": F.count(F.lit(1))} | counters).items())), seen
+
+
+# Prompts with places for what they are asked about.
+PROMPTS = (
+    ("clause_extraction", "List every {{CLAUSE_TYPE}} clause of the contract below, each with its section.\n\n{{CONTRACT}}"),
+    ("summary", "Summarise the following {{DOC_TYPE}} in {{N}} sentences.\n\n{{TEXT}}"),
+    ("comparison", "Compare the two provisions and say how they differ.\n\nFirst: {{FIRST}}\n\nSecond: {{SECOND}}"),
+)
+
+
+def prompts(spark: SparkSession) -> DataFrame:
+    """(name, template): the prompt templates."""
+    return spark.createDataFrame(PROMPTS, "name string, template string")

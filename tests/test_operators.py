@@ -52,7 +52,8 @@ def test_conditions(spark):
     assert ids(None) == {1, 2, 3} and ids([]) == set() and ids([{"source_api": "x", "doc_type": "d"}, {"source_api": "y"}]) == {1, 2} and ids([{}]) == {1, 2, 3}
     assert vector.resolve_filters(None) is None and vector.resolve_filters(["nope"]) is None and vector.resolve_filters([*vector.FILTERS]) is None
     assert vector.resolve_filters(["lois", "nope"]) == [{"source_api": "legifrance", "doc_type": "loi"}]
-    assert len(vector.FILTERS) == 22
+    assert len(vector.FILTERS) == 22 and len(vector.resolve_filters(["constitution_1946", "constitution_1848"])) == 1
+    assert len(vector.resolve_filters(["constitution_1946", "constitution_1848"], every_key=True)) == 2
 
 
 def test_rrf(spark):
@@ -63,6 +64,13 @@ def test_rrf(spark):
     assert fusion.reciprocal_rank_fusion(lists.limit(0)).count() == 0
 
 
+def test_a_single_list_passes_through(spark):
+    lists = spark.createDataFrame([(1, 0, 1, "B"), (1, 0, 0, "A"), (1, 0, 2, "A"), (2, 0, 0, "C"), (2, 1, 0, "C")], "query_id int, list_no int, rank int, document string")
+    got = {(r.query_id, r.place): (r.key, r.rrf_score) for r in fusion.reciprocal_rank_fusion(lists).collect()}
+    assert got == {(1, 1): ("A", None), (1, 2): ("B", None), (1, 3): ("A", None), (2, 1): ("C", round(2 / 61, 10))}
+    assert fusion.reciprocal_rank_fusion(lists, pass_single=False).where("query_id = 1").count() == 2
+
+
 def test_keep_first_union(spark):
     a, b = (spark.createDataFrame(x, "q int, id string") for x in ([(1, "a"), (1, "b")], [(1, "b"), (2, "b"), (1, None)]))
     got = {(r.q, r.id, r.origin) for r in fusion.keep_first_union(a, b, ["q", "id"]).collect()}
@@ -102,9 +110,35 @@ def test_running_sum_over_a_hot_group(spark):
     assert len(got) == 1000
 
 
+def test_rank_by_range_of_ties(spark):
+    df = spark.range(500).select(F.lit("g").alias("g"), "id", F.lit(1.0).alias("s"))
+    got = {r.id: r.place for r in running.rank_by_range(df, ["g"], [F.col("s").desc(), F.col("id")], "place").collect()}
+    assert got == {i: i + 1 for i in range(500)}
+    assert running.rank_by_range(df.limit(0), ["g"], [F.col("id")], "place").count() == 0
+
+
+def test_keywords_in_slices(spark, monkeypatch):
+    monkeypatch.setattr(lexical, "AUTOMATON_WORDS", 2)
+    texts = spark.createDataFrame([(i, f"word{i % 5} and word{(i + 1) % 5}") for i in range(40)], "id int, content string")
+    words = spark.createDataFrame([(f"word{i}",) for i in range(5)], "keyword string")
+    got = {(r.keyword, r.id) for r in lexical.contains_keywords(texts, words, hits=3).collect()}
+    assert got == {(f"word{k}", i) for k in range(5) for i in sorted(i for i in range(40) if k in (i % 5, (i + 1) % 5))[:3]}
+
+
+def test_first_deliveries(spark, tmp_path):
+    from juralake.sources import tables
+
+    rows = [("a", "x", 1), ("b", "y", 2), ("a", "x", 3), (None, "z", 4), ("c", None, 5), ("a", "x", 6)]
+    spark.createDataFrame(rows, "id string, content string, file int").repartition(3).write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    assert sorted(tables.first_deliveries(df, "content").collect()) == [("a", "x"), ("b", "y"), ("c", None)]
+    assert sorted(tables.first_deliveries(df, "content", "file").select("id").collect()) == [("a",), ("b",), ("c",)]
+    assert "Exchange hashpartitioning(id" not in tables.first_deliveries(df, "content")._jdf.queryExecution().executedPlan().toString()
+
+
 def test_contract_chunks_reads_whole_texts(spark, sf):
     size = {r.doc_id: r.n for r in spark.read.parquet(f"{sf}/documents.parquet").selectExpr("doc_id", "length(trim(text)) AS n").where("n > 1000").collect()}
     held = {}
     for r in queries.contract_chunks(spark, sf).collect():
-        held[r.doc_id] = held.get(r.doc_id, 0) + len(r.content)
+        held[r.doc_id] = held.get(r.doc_id, 0) + r.end_char - r.start_char
     assert size and all(held[k] > 0.8 * n for k, n in size.items())

@@ -41,8 +41,9 @@ def test_colbert_sentences_thin_out(spark):
 
 
 def test_template_and_preview(spark):
-    df = spark.createDataFrame([("x", None)], "a string, b string")
-    assert df.select(text.fill_template(F.lit("{{a}}-{{b}}-{{c}}"), {"a": F.col("a"), "b": F.col("b")})).first()[0] == "x--{{c}}"
+    df = spark.createDataFrame([("x {{b}}", None)], "a string, b string")
+    t = F.lit("{{a}}-{{b}}-{{c}}-{{ n.k }}-{{n.z}}-{{a.k}}-{{z.k}}-{{n.z.k}}")
+    assert df.select(text.fill_template(t, {"a": F.col("a"), "b": F.col("b"), "n": {"k": F.lit(7)}})).first()[0] == "x {{b}}---7--{{a.k}}-{{z.k}}-{{n.z.k}}"
     assert column(spark, ["a" * 501, "b", None], text.preview) == ["a" * 500 + "...", "b", None]
 
 
@@ -125,6 +126,46 @@ def test_packing_against_brute_force(overlap):
         assert all(any(a <= i <= b for a, b in got) for i in range(len(tokens)))
 
 
+def brute_words(words, most, overlap):
+    """Packing words by growing a list of them."""
+    out, held, total = [], [], 0
+    for w in words:
+        own = len(w + " ") // 4
+        if held and total + own > most:
+            out.append((" ".join(held), total))
+            held = held[-max(1, len(held) * overlap // most) :] + [w]
+            total = len(" ".join(held)) // 4
+        else:
+            held.append(w)
+            total += own
+    return [*out, (" ".join(held), len(" ".join(held)) // 4)] if held else out
+
+
+def test_word_pieces_against_brute_force():
+    import random
+
+    rng = random.Random(2)
+    for _ in range(300):
+        words = ["w" * rng.choice([1, 3, 8, 30, 200]) for _ in range(rng.randrange(0, 60))]
+        most, overlap = rng.choice([(20, 5), (20, 0), (256, 50), (5, 4)])
+        got = [(" ".join(words[a : b + 1]), n) for a, b, n in chunking.word_ranges([*map(len, words)], most, overlap)]
+        assert got == brute_words(words, most, overlap)
+
+
+def test_simple_chunks():
+    assert chunking.simple_chunks([]) == [] and chunking.simple_chunks(["a" * 2000]) == ["a" * 2000 + "."]
+    told = chunking.simple_chunks(["a" * 600, "b" * 600, "c" * 40], 256, 0)
+    assert told == ["a" * 600 + ".", "b" * 600 + ". " + "c" * 40 + "."]
+    assert chunking.simple_chunks(["a" * 600, "b" * 600, "c" * 40], 256, 50)[1].startswith("a" * 600 + ". b")
+
+
+def test_legal_words_and_reporters(spark):
+    assert column(spark, ["Acme Corp. pays, no doubt.", None], text.legal_words) == [["Acme", "Corp.", "pays", "no", "doubt"], None]
+    assert column(spark, ["F. Supp.", "U.S.", "Q.B.", None], extract.reporter_name) == ["Federal Supplement", "United States Reports", None, None]
+    fields = {"a": F.lit("x"), "b": F.lit(None).cast("string"), "c": F.lit("y")}
+    assert column(spark, [1], lambda _: extract.enabled_fields(fields, {"a": True, "b": True, "c": False}), "int") == [{"a": "x"}]
+
+
 def test_chunks_of_nothing_and_of_one_long_word(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (3, "x" * 5000), (4, "One. Two."), (5, ("word " * 900).strip())], ONE)
     rows = chunking.packed_chunks(df, "doc_id", "text").collect()
@@ -142,9 +183,12 @@ def test_sections(spark):
 
 def test_structured_chunks(spark):
     long = "A sentence of the block runs on here. " * 60
-    df = spark.createDataFrame([(1, "tiny"), (2, "Section 1 " + "alpha " * 40 + "Section 2 " + "beta " * 40), (3, "para one " * 20 + "\n\n" + "para two " * 20), (4, long), (5, None), (6, " ")], ONE)
+    df = spark.createDataFrame([(1, "tiny"), (2, "Section 1 " + "alpha " * 40 + "Section 2 " + "beta " * 40), (3, "para one " * 20 + "\n\n" + "para two " * 20), (4, long), (5, None), (6, " "), (7, "word " * 900)], ONE)
     got = {(r.doc_id, r.type) for r in chunking.structured_chunks(df, "doc_id", "text").collect()}
-    assert got == {(1, "short_fragment"), (2, "section"), (3, "paragraph"), (4, "text_block_split")}
+    assert got == {(1, "short_fragment"), (2, "legal_section"), (3, "paragraph"), (4, "text_block"), (7, "word_split")}
+    rows = chunking.structured_chunks(df, "doc_id", "text").collect()
+    for i in (3, 4, 7):
+        assert sorted(r.chunk_index for r in rows if r.doc_id == i) == list(range(sum(r.doc_id == i for r in rows)))
 
 
 def test_contract_pieces():
