@@ -27,7 +27,7 @@ def first_deliveries(chunks: DataFrame, *columns: str) -> DataFrame:
 
     A first pass reads ids alone and notes, for each id that came more than once, where its first row stands in the files;
     that small table is written, so that Spark knows its size when it chooses how to join, and broadcasts it only if it is
-    under the session's threshold. What isn't read from files goes through ``delivered_once``.
+    under the session's threshold. A table of few partitions is dealt out over the cores (``spread``). What isn't read from files goes through ``delivered_once``.
     """
     if not chunks.inputFiles():
         return delivered_once(chunks, *columns)
@@ -36,14 +36,15 @@ def first_deliveries(chunks: DataFrame, *columns: str) -> DataFrame:
     twice = placed.groupBy("id").agg(F.min("__at").alias("__first"), F.count("*").alias("__n")).where("__n > 1")
     known = materialise(twice.select(F.col("id").alias("__id"), "__first"), "twice")
     kept = placed.join(known, F.col("id") == F.col("__id"), "left").where("__first IS NULL OR __first = __at")
-    return kept.select("id", *columns)
+    return spread(chunks.select("id"), kept.select("id", *columns))
 
 
-def spread(scan: DataFrame) -> DataFrame:
-    """``scan`` over at least as many partitions as the session has cores, for work that takes long on each row.
+def spread(scan: DataFrame, rows: DataFrame | None = None) -> DataFrame:
+    """``rows``, which come of the plain read ``scan`` (or are it), over at least as many partitions as the session has cores.
 
-    A table of few files, as on one machine, is dealt out anew; one that is large enough comes in many partitions and isn't
-    shuffled. ``scan`` must be a plain read, whose partitions are known without running it.
+    For work that takes long on each row: a table of few files, as on one machine, is dealt out anew; one that is large enough
+    comes in many partitions and isn't shuffled. The partitions of a plain read are known without running it.
     """
     cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan if scan._jdf.queryExecution().toRdd().getNumPartitions() >= cores else scan.repartition(cores)
+    rows = scan if rows is None else rows
+    return rows if scan.rdd.getNumPartitions() >= cores else rows.repartition(cores)
