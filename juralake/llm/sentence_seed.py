@@ -64,3 +64,10 @@ FREQUENT = {
     "es": "el la los las un una unos unas de del al y que en a se no por con su sus para es son fue era como más menos pero o si porque cuando donde quien muy sin sobre entre hasta desde también ya este esta estos estas ese esa eso todo todos toda todas otro otra otros otras ser estar ha han hay hace puede debe antes después durante contra hacia según cada lo le les nos me te él ella ellos nosotros así aún solo aunque mientras",
     "pt": "o a os as um uma uns umas de do da dos das no na nos nas ao à e que em para por com não se seu sua seus suas é são foi era como mais menos mas ou porque quando onde quem muito sem sobre entre até desde também já este esta estes estas esse essa isso todo todos toda todas outro outra outros outras ser estar tem têm há faz pode deve antes depois durante contra segundo cada lhe lhes nós ele ela eles você assim ainda só embora enquanto pelo pela",
 }
+
+#: Everyday sentences without marks, from which the features of unpunctuated scripts are learnt too; a bar parts them.
+EVERYDAY = {
+    "zh": """我昨天买了一本书|他今天没有来上班|她正在厨房里做饭|我们明天一起去看电影|你吃过早饭了吗|他们已经回家了|这件衣服太贵了|那个孩子很聪明|今天天气真不错|昨天晚上下了一场大雨|爸爸每天早上跑步|妈妈给我做了一碗面|弟弟在学校踢足球|老师正在讲课|学生们都很安静|公司决定下个月搬家|经理同意了这个计划|医生说他需要休息|火车马上就要到了|飞机晚点了两个小时|我想喝一杯热茶|请你把门关上|大家都觉得很高兴|孩子们在公园里玩耍|晚上我们吃了火锅|小猫躲在桌子下面|春天来了花都开了|他不知道应该怎么办|她说她明天会来|我们公司有三百名员工|这家饭店的菜很好吃|图书馆九点开门|你能帮我一个忙吗|这是我第一次来北京|他的汉语说得很流利|我找不到我的钥匙了|银行已经批准了贷款|警察找到了丢失的自行车|新的规定从下周开始实行|工人们正在修路|双方签订了一份协议|客户已经付了全部货款|甲方应当按时交货|乙方负责安装设备|法院作出了最后的判决|政府宣布了新的政策|价格上涨了很多|我把文件放在桌子上了|会议推迟到下午三点|他们讨论了很长时间""",
+    "ja": """昨日は本を買いました|今日は仕事を休みます|母は台所で料理をしています|明日一緒に映画を見ましょう|朝ご飯はもう食べましたか|彼らはもう家に帰りました|この服は高すぎます|あの子はとても賢いです|今日は天気がいいですね|昨夜は大雨が降った|父は毎朝走っている|弟は学校でサッカーをする|先生が授業をしている|学生たちは静かだった|会社は来月引っ越すことにした|部長はこの計画に賛成した|医者は休むように言った|電車はまもなく到着します|飛行機は二時間遅れた|熱いお茶が飲みたい|ドアを閉めてください|みんなとても喜んでいる|子供たちは公園で遊んでいる|夜は鍋を食べました|猫が机の下に隠れた|春が来て花が咲いた|彼はどうすればいいか分からない|彼女は明日来ると言っていた|この店の料理はおいしい|図書館は九時に開きます|手伝ってもらえませんか|京都に来るのは初めてです|鍵が見つかりません|銀行は融資を認めた|警察は自転車を見つけた|新しい規則は来週から始まる|両者は契約を結んだ|客は代金を全額払った|裁判所は判決を下した|会議は午後三時に延期された""",
+    "th": """เมื่อวานฉันซื้อหนังสือหนึ่งเล่ม|วันนี้เขาไม่มาทำงาน|แม่กำลังทำอาหารอยู่ในครัว|พรุ่งนี้เราไปดูหนังกันเถอะ|คุณกินข้าวเช้าแล้วหรือยัง|พวกเขากลับบ้านแล้ว|เสื้อตัวนี้แพงเกินไป|เด็กคนนั้นฉลาดมาก|วันนี้อากาศดีจริงๆ|เมื่อคืนฝนตกหนัก|พ่อวิ่งทุกเช้า|น้องชายเตะฟุตบอลที่โรงเรียน|ครูกำลังสอนหนังสือ|นักเรียนทุกคนเงียบมาก|บริษัทจะย้ายเดือนหน้า|ผู้จัดการเห็นด้วยกับแผนนี้|หมอบอกว่าเขาต้องพักผ่อน|รถไฟใกล้จะถึงแล้ว|เครื่องบินช้าสองชั่วโมง|ฉันอยากดื่มชาร้อน|ช่วยปิดประตูหน่อย|ทุกคนดีใจมาก|เด็กๆเล่นอยู่ในสวน|ตอนเย็นเรากินหม้อไฟ|แมวซ่อนอยู่ใต้โต๊ะ|ฤดูร้อนมาถึงแล้ว|เขาไม่รู้จะทำอย่างไร|เธอบอกว่าจะมาพรุ่งนี้|อาหารร้านนี้อร่อยมาก|ห้องสมุดเปิดเก้าโมง|ช่วยฉันหน่อยได้ไหม|ฉันหากุญแจไม่เจอ|ธนาคารอนุมัติเงินกู้แล้ว|ตำรวจพบจักรยานที่หายไป|กฎใหม่เริ่มใช้สัปดาห์หน้า|ทั้งสองฝ่ายลงนามในข้อตกลง|ลูกค้าจ่ายเงินครบแล้ว|ศาลมีคำตัดสินแล้ว|ราคาสินค้าสูงขึ้นมาก|ประชุมเลื่อนไปบ่ายสามโมง""",
+}

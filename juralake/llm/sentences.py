@@ -547,14 +547,15 @@ class Field:
     def fit(self, examples: Iterable[tuple[Places, np.ndarray, np.ndarray]], rounds: int = 100, rate: float = 0.4, decay: float = 0.2) -> None:
         """Maximum likelihood by adaptive gradient steps; an example has places, their paragraphs and whether each is a boundary.
 
-        Equal stretches are counted once with their number.
+        Equal stretches are counted once with their number. Places in text without marks, whose stretches are long and whose
+        boundaries lie far apart, are taken one by one, between neighbours that are inside.
         """
         chains: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}  # by length, filled up to a power of two with slots of -2
         for places, para, told in examples:
             at = places.at
             if not len(at):
                 continue
-            start = np.flatnonzero(np.r_[True, (at[1:] != at[:-1] + 1) | (para[at[1:]] != para[at[:-1]])])
+            start = np.flatnonzero(np.r_[True, (at[1:] != at[:-1] + 1) | (para[at[1:]] != para[at[:-1]])] | places.bare)
             size = np.diff(np.r_[start, len(at)])
             for n in np.unique(size):
                 rows = start[size == n][:, None] + np.arange(n)
@@ -720,6 +721,11 @@ def stripped_documents(units_by_lang: dict[str, list[str]], documents: int = 250
             yield text, ends
 
 
+def _unmarked() -> dict[str, list[str]]:
+    """The package's own units of unpunctuated scripts: filled annotated ones, and everyday ones."""
+    return {k: [_filled(u, k, random.Random(i)) for i in range(2) for u in annotated(k)] + v.split("|") for k, v in seed.EVERYDAY.items()}
+
+
 def examples(documents: Iterable[tuple[str, set[int]]], maybe: np.ndarray) -> tuple[Places, np.ndarray, np.ndarray]:
     """All places of ``documents`` that have features, their paragraphs, and whether each is a boundary."""
     texts, told = zip(*documents, strict=True)
@@ -747,7 +753,7 @@ def trained() -> Field:
         model.maybe[1, f.cls[at[gap]], f.cls[then[gap]]] = True
         beside = then == at + 1
         model.maybe[0, f.cls[at[beside]], f.cls[then[beside]]] = True
-    bare = list(stripped_documents({k: [_filled(u, k, random.Random(i)) for i in range(6) for u in annotated(k)] for k in ("zh", "ja", "th")}))
+    bare = list(stripped_documents(_unmarked(), 700))
     model.fit([examples(documents, model.maybe), examples(bare, model.maybe)])
     return model
 
@@ -767,9 +773,9 @@ def adapted(model: Field, texts: Sequence[str]) -> Field:
         letters = int(count[LETTER].sum())
         if letters and count[[HAN, KANA, THAI]].sum() * 10 >= letters * 8:
             own["th" if count[THAI] else "ja" if count[KANA] else "zh"].append(unit)
-    more = {k: sorted(set(v)) + [_filled(u, k, random.Random(i)) for i in range(3) for u in annotated(k)] for k, v in own.items()}
+    more = {k: sorted(set(own[k])) + v for k, v in _unmarked().items()}
     bare = Field()
-    bare.fit([examples(stripped_documents(more, 600), model.maybe)], rounds=80)
+    bare.fit([examples(stripped_documents(more, 900), model.maybe)], rounds=80)
     return Field(np.concatenate([model.weights[:HALF], bare.weights[HALF:]]), model.pairs, model.maybe)
 
 
