@@ -7,6 +7,7 @@ products. Queries scan the codes of the clusters near their own, and the best by
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -17,10 +18,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from juralake.llm.words import mix
 from juralake.session import materialise
 
-#: Vectors of each column that the index is trained on; every vector is indexed.
+#: Vectors of each column that the index is trained on, at least, or TRAIN_SHARE for each cluster; every vector is indexed.
 TRAIN_ROWS = 16_000
+TRAIN_SHARE = 4
 #: Clusters per square root of the vectors, and the clusters that each cluster's vectors search at least.
 CLUSTERS = 0.5
 PROBES = 20
@@ -29,18 +32,21 @@ PROBES = 20
 RECALL = 0.98
 ASKED = 1000
 #: Clusters whose vectors are searched by one task, for PROBES; they share most of what they search.
-GROUP = 8
+GROUP = 24
+#: Queries, and candidates, of a cell: a group that holds more, as a dense region makes it, is a grid of cells.
+CELL_ROWS = 100_000
 #: Vectors by code that are ranked anew exactly.
 RERANK = 64
 #: Inner products above this share of the norm are the ones whose error counts most.
 THRESHOLD = 0.3
 #: A cluster with this many times its share of the sample is split on.
 SPLIT = 3.0
-MAX_CLUSTERS = 4096
+#: Clusters at most, reached at about a thousand million vectors; beyond, groups are grids of more cells.
+MAX_CLUSTERS = 16_384
 
 
 def usable_vectors(chunks: DataFrame, models: DataFrame) -> DataFrame:
-    """(n, col, id, unit, same): the unit vector (float32 bytes) of every usable vector of every column that ``models`` names.
+    """(n, col, id, unit, same): the unit vector (float32 bytes), and a 128-bit digest of it, of every usable vector of every column that ``models`` names.
 
     Usable are vectors of exactly stored_dims items, none NULL, NaN or infinite, not all zero. ``models`` is the fixed registry of
     vector columns. A vector delivered again comes out again; ``one_each`` sees to that.
@@ -76,6 +82,13 @@ class Index:
     probes: np.ndarray
     group: np.ndarray
     books: np.ndarray  # (subspaces, 16, 2)
+    #: Expected vectors of each cluster.
+    size: np.ndarray
+
+    def cells(self, g: int) -> tuple[np.ndarray, int, int]:
+        """The clusters that group ``g`` searches, and into how many parts its queries and its candidates fall."""
+        searched = np.unique(self.probes[self.group == g])
+        return searched, math.ceil(max(1.0, self.size[self.group == g].sum()) / CELL_ROWS), math.ceil(max(1.0, self.size[searched].sum()) / CELL_ROWS)
 
     @property
     def weight(self) -> float:
@@ -131,9 +144,7 @@ def _k_means(v: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) -
 
 def _probes(v: np.ndarray, centres: np.ndarray, rng: np.random.Generator, k: int = 5) -> np.ndarray:
     """The clusters that each cluster searches, nearest first: so many that the sample's own neighbours are found (RECALL)."""
-    order = np.argsort(-(centres @ centres.T), axis=1, kind="stable")
-    place = np.argsort(order, axis=1)
-    cluster = (v @ centres.T).argmax(axis=1)
+    cluster = np.concatenate([(v[i : i + 4096] @ centres.T).argmax(axis=1) for i in range(0, len(v), 4096)])
     asked = rng.choice(len(v), min(ASKED, len(v)), replace=False)
     need = []
     for i in range(0, len(asked) if len(v) > k else 0, 250):
@@ -141,16 +152,30 @@ def _probes(v: np.ndarray, centres: np.ndarray, rng: np.random.Generator, k: int
         s = v[q] @ v.T
         s[np.arange(len(q)), q] = -np.inf
         near = np.argpartition(-s, k - 1, axis=1)[:, :k]
-        need.append(place[cluster[q][:, None], cluster[near]].ravel())
+        own = centres[cluster[q]] @ centres.T
+        reached = np.take_along_axis(own, cluster[near], axis=1)
+        need += [(own > reached[:, j, None]).sum(axis=1) for j in range(k)]
     most = int(np.quantile(np.concatenate(need), RECALL, method="higher")) + 1 if need else 1
-    return order[:, : max(PROBES, most)]
+    n = min(max(PROBES, most), len(centres))
+    out = []
+    for i in range(0, len(centres), 1024):
+        near = centres[i : i + 1024] @ centres.T
+        near[np.arange(len(near)), np.arange(i, i + len(near))] = np.inf  # a cluster searches itself first
+        top = np.argpartition(-near, n - 1, axis=1)[:, :n]
+        out.append(np.take_along_axis(top, np.argsort(-np.take_along_axis(near, top, 1), axis=1, kind="stable"), 1))
+    return np.concatenate(out)
+
+
+def clusters_for(n: int) -> int:
+    """Clusters of an index of ``n`` vectors."""
+    return int(min(max(1, round(CLUSTERS * math.sqrt(n))), MAX_CLUSTERS))
 
 
 def train(v: np.ndarray, n_vectors: int, seed: int = 7) -> Index:
     """The index of a column from a sample ``v`` of its ``n_vectors`` unit vectors."""
     rng = np.random.default_rng(seed)
     dim = v.shape[1]
-    k = int(min(max(1, round(CLUSTERS * math.sqrt(n_vectors))), MAX_CLUSTERS, max(1, len(v) // 4)))
+    k = min(clusters_for(n_vectors), max(1, len(v) // TRAIN_SHARE))
     centres = _k_means(v, k, rng)
     for _ in range(4):  # dense regions are split on, so that no cluster holds much more than its share
         a = (v @ centres.T).argmax(axis=1)
@@ -169,8 +194,9 @@ def train(v: np.ndarray, n_vectors: int, seed: int = 7) -> Index:
     else:
         group = np.zeros(len(centres), np.int64)
     subspaces = (dim + 1) // 2
-    index = Index(dim, centres, probes, group, np.zeros((subspaces, 16, 2), np.float32))
+    index = Index(dim, centres, probes, group, np.zeros((subspaces, 16, 2), np.float32), np.zeros(len(centres)))
     cluster = index.assign(v)
+    index.size = np.bincount(cluster, minlength=len(centres)) * (n_vectors / max(1, len(v)))
     x = index.pad(v).reshape(len(v), subspaces, 2)
     t = x - index.pad(centres)[cluster].reshape(x.shape)
     books = np.stack([t[rng.choice(len(v), 16), m] for m in range(subspaces)])
@@ -198,14 +224,15 @@ def _unit(column: pa.Array, dim: int) -> np.ndarray:
 
 
 def search(vectors: DataFrame, indexes: dict[str, Index], k: int) -> DataFrame:
-    """(n, m, cosine): for every vector the ``k`` others of its column that the index finds most similar.
+    """(n, m, cosine): for every vector the ``k`` others of its column that the index finds most similar, and those of other cells.
 
     Each vector goes once as a query to the group of its cluster, and with its code to every group that searches its cluster,
-    so a query's candidates are all in one task and only its k best leave it.
+    so a query's candidates are all in one task and only its k best leave it. A group that is too large for a task is a grid of
+    cells, each with a part of its queries and a part of its candidates; then k leave each cell of a query.
     """
 
     def index_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        targets = {c: [np.unique(x.group[np.flatnonzero((x.probes == j).any(axis=1))]) for j in range(len(x.centres))] for c, x in indexes.items()}
+        plans = {c: [(g, *x.cells(g)) for g in np.unique(x.group)] for c, x in indexes.items()}
         for b in batches:
             cols = np.array(b.column(1).to_pylist())
             for col in np.unique(cols):
@@ -216,64 +243,74 @@ def search(vectors: DataFrame, indexes: dict[str, Index], k: int) -> DataFrame:
                 code = x.encode(v, cluster)
                 if code.shape[1] % 2:
                     code = np.pad(code, ((0, 0), (0, 1)))
-                packed = (code[:, ::2] << 4) | code[:, 1::2]
+                packed = pa.array([p.tobytes() for p in (code[:, ::2] << 4) | code[:, 1::2]], pa.binary())
                 n = b.column(0).to_numpy(zero_copy_only=False)[own]
-                to = [targets[col][c] for c in cluster]
-                count = np.array([len(g) for g in to])
-                row = np.repeat(np.arange(len(own)), count)
-                group = np.concatenate(to) if len(to) else np.empty(0, np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([col] * len(row)), pa.array(group.astype(np.int32)), pa.array(n[row]), pa.array(cluster[row].astype(np.int32)),
-                        pa.array([p.tobytes() for p in packed], pa.binary()).take(pa.array(row)), b.column(2).take(pa.array(own[row])),
-                    ],
-                    names=["col", "grp", "n", "cluster", "code", "unit"],
-                )
+                mixed = mix(n.astype(np.uint64))
+                for g, searched, n_q, n_c in plans[col]:
+                    asks, held = np.flatnonzero(x.group[cluster] == g), np.flatnonzero(np.isin(cluster, searched))
+                    if n_q == n_c == 1:  # a query stands among its group's candidates
+                        parts = [(held, np.zeros(len(held), int), np.zeros(len(held), int), np.isin(held, asks), np.ones(len(held), bool))]
+                    else:
+                        q, c = (mixed % np.uint64(n_q)).astype(int), ((mixed >> np.uint64(32)) % np.uint64(n_c)).astype(int)
+                        as_query = np.repeat(asks, n_c)
+                        as_candidate = np.repeat(held, n_q)
+                        parts = [
+                            (as_query, q[as_query], np.tile(np.arange(n_c), len(asks)), np.ones(len(as_query), bool), np.zeros(len(as_query), bool)),
+                            (as_candidate, np.tile(np.arange(n_q), len(held)), c[as_candidate], np.zeros(len(as_candidate), bool), np.ones(len(as_candidate), bool)),
+                        ]
+                    for row, i, j, asking, asked in parts:
+                        if len(row):
+                            at = pa.array(row)
+                            cell = (g * (1 << 40) + i.astype(np.int64) * (1 << 20) + j).astype(np.int64)
+                            yield pa.RecordBatch.from_arrays(
+                                [pa.array([col] * len(row)), pa.array(cell), pa.array(n[row]), pa.array(cluster[row].astype(np.int32)), packed.take(at), b.column(2).take(pa.array(own[row])), pa.array(asking), pa.array(asked)],
+                                names=["col", "cell", "n", "cluster", "code", "unit", "asks", "held"],
+                            )
 
     def scan(table: pa.Table) -> pa.Table:
         x = indexes[table.column("col")[0].as_py()]
-        g = table.column("grp")[0].as_py()
         n = table.column("n").to_numpy()
-        order = np.argsort(n, kind="stable")  # the same result whatever order rows arrive in
-        n = n[order]
+        asks, held = (table.column(c).to_numpy(zero_copy_only=False) for c in ("asks", "held"))
+        order = np.lexsort((~asks, n))  # the same result whatever order rows arrive in
+        n, asks, held = n[order], asks[order], held[order]
         cluster = table.column("cluster").to_numpy()[order]
         v = _unit(table.column("unit"), x.dim)[order]
         packed = np.frombuffer(b"".join(table.column("code").to_pylist()), np.uint8).reshape(len(n), -1)[order]
         code = np.stack([packed >> 4, packed & 15], axis=-1).reshape(len(n), -1)[:, : x.books.shape[0]]
         decoded = x.decode(code, cluster)
         out = []
-        rows_of = {c: np.flatnonzero(cluster == c) for c in np.unique(cluster)}
-        for c in np.flatnonzero(x.group == g):
-            queries = rows_of.get(c)
-            if queries is None:
-                continue
-            data = np.concatenate([rows_of[p] for p in x.probes[c] if p in rows_of])
+        rows_of = {c: np.flatnonzero((cluster == c) & held) for c in np.unique(cluster)}
+        for c in np.unique(cluster[asks]):
+            queries = np.flatnonzero((cluster == c) & asks)
+            data = np.concatenate([rows_of[p] for p in x.probes[c] if p in rows_of] or [np.empty(0, np.int64)])
             for i in range(0, len(queries), 512):
                 q = queries[i : i + 512]
                 by_code = v[q] @ decoded[data].T
-                by_code[q[:, None] == data] = -np.inf
-                r = min(RERANK, len(data) - 1)
+                by_code[n[q][:, None] == n[data]] = -np.inf
+                r = min(RERANK, len(data))
                 if r < 1:
                     continue
                 best = data[np.argpartition(-by_code, r - 1, axis=1)[:, :r]]
                 cosine = np.einsum("qd,qrd->qr", v[q].astype(float), v[best].astype(float))
+                cosine[n[best] == n[q][:, None]] = -np.inf
                 first = np.lexsort((n[best], -cosine), axis=1)[:, :k]
                 out.append((np.repeat(n[q], first.shape[1]), n[np.take_along_axis(best, first, 1)].ravel(), np.take_along_axis(cosine, first, 1).ravel()))
         a, b, c = (np.concatenate(y) if out else np.empty(0, t) for y, t in zip(zip(*out, strict=True) if out else ((),) * 3, (np.int64, np.int64, float), strict=True))
-        return pa.table({"n": a, "m": b, "cosine": c})
+        return pa.table({"n": a[np.isfinite(c)], "m": b[np.isfinite(c)], "cosine": c[np.isfinite(c)]})
 
-    rows = vectors.select("n", "col", "unit").mapInArrow(index_rows, "col string, grp int, n bigint, cluster int, code binary, unit binary")
-    return rows.groupBy("col", "grp").applyInArrow(scan, "n bigint, m bigint, cosine double")
+    rows = vectors.select("n", "col", "unit").mapInArrow(index_rows, "col string, cell bigint, n bigint, cluster int, code binary, unit binary, asks boolean, held boolean")
+    return rows.groupBy("col", "cell").applyInArrow(scan, "n bigint, m bigint, cosine double")
 
 
 def train_all(vectors: DataFrame, dims: dict[str, int], train_rows: int = TRAIN_ROWS) -> dict[str, Index]:
-    """An index per column, from the at most ``train_rows`` vectors with the smallest hashes."""
+    """An index per column, from the vectors with the smallest hashes: ``train_rows``, or TRAIN_SHARE a cluster if those are more."""
     counts = {r["col"]: r["c"] for r in vectors.groupBy("col").agg(F.count("*").alias("c")).collect()}
     out = {}
     for col in sorted(counts):
-        part = 1.0 if counts[col] <= train_rows else train_rows / counts[col]
+        most = max(train_rows, TRAIN_SHARE * clusters_for(counts[col]))
+        part = min(1.0, most / counts[col])
         picked = vectors.where((F.col("col") == col) & (F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < math.ceil(part * (1 << 20))))
-        sample = sorted((bytes(r["unit"]) for r in picked.select("unit").limit(2 * train_rows).collect()))
+        sample = sorted((bytes(r["unit"]) for r in picked.select("unit").limit(2 * most).collect()))
         out[col] = train(np.frombuffer(b"".join(sample), np.float32).reshape(-1, dims[col]), counts[col])
     return out
 

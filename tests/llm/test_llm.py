@@ -259,6 +259,16 @@ def test_nearest_recall_and_copies(spark):
     assert all(abs(c - s[int(a[1:]), int(b[1:])]) < 1e-5 for a, x in got.items() for b, c in x.items() if {a, b} != {"v003", "v007"})
 
 
+def test_cells_of_a_group_give_the_same_neighbours(spark, monkeypatch):
+    rng = np.random.default_rng(15)
+    v = rng.normal(size=(300, 12)).astype(np.float32)
+    df = spark.createDataFrame([(f"v{i:03}", x.tolist()) for i, x in enumerate(v)], "id string, e12 array<float>")
+    models = spark.createDataFrame([("a", "e12", 12)], "model string, vector_column string, stored_dims int")
+    whole = {tuple(r) for r in knn.nearest(df, models).select("id", "rank", "neighbour").collect()}
+    monkeypatch.setattr(knn, "CELL_ROWS", 70)
+    assert {tuple(r) for r in knn.nearest(df, models).select("id", "rank", "neighbour").collect()} >= whole - {x for x in whole if x[1] == 5} and len(whole) == 1500
+
+
 def test_index_has_no_equal_or_empty_centres():
     rng = np.random.default_rng(9)
     v = rng.normal(size=(900, 16)).astype(np.float32)
