@@ -40,7 +40,7 @@ HEADING = 40
 #: A sentence's own language is certain if the next best is larger by so many bytes and by so large a part of the smallest.
 MARGIN_BYTES = 4
 MARGIN_SHARE = 0.07
-#: It must also be smaller, by this part, than with the background dictionary. Of sentences in languages that there is a
+#: It must also be smaller, by this part, than with the background dictionary, or with the least fitting one of its script. Of sentences in languages that there is a
 #: dictionary of, over 99 % save more; of those in kindred languages without one (Ukrainian, Persian, Polish) next to none.
 LEAST_GAIN = 0.12
 #: The margins for a whole text, where none of its sentences is certain on its own.
@@ -58,7 +58,6 @@ LANGUAGES = tuple(sorted({x for v in SCRIPTS.values() for x in v}))
 
 TAG = regex.compile(r"<[^<>]{0,200}>|&\w{2,8};")
 NUMBERS = b"0123456789+/|\\#*=~^_%<>$-"
-MARKS = b" .,;:()'\"!?[]{}@`"
 ENDS = re.compile("[.!?…。！？।؟]+[\"”»’」』）)]*[ \u00a0\u202f]?[»]?|\n\\s*\n")
 FINAL = re.compile("[.!?…。！？।؟;]+[\"”»’」』）)]*\\s*$")
 LETTERS = regex.compile(r"\p{L}+")
@@ -101,30 +100,35 @@ def rough_sentences(text: str) -> Iterator[tuple[int, int]]:
         yield at, n
 
 
-def _count(pattern: regex.Pattern, text: str) -> int:
-    return sum(map(len, pattern.findall(text)))
+@functools.cache
+def _scripts() -> np.ndarray:
+    """The number of each code point's script in SCRIPTS, from 1; for letters of other scripts one more than there are, 0 for no letter."""
+    every = "".join(map(chr, range(0x110000)))
+    out = np.zeros(0x110000, np.uint8)
+    for m in LETTERS.finditer(every):
+        out[m.start() : m.end()] = len(SCRIPTS) + 1
+    for i, r in enumerate(RUNS.values(), 1):
+        for m in r.finditer(every):
+            out[m.start() : m.end()] = i
+    return out
 
 
-def main_script(text: str, raw: bytes) -> tuple[str, int]:
-    """The script of most of a plain text's letters ("" without any), and how many letters it has, about, where they are Latin.
+def main_scripts(parts: list[str]) -> list[tuple[str, int]]:
+    """The script of most letters of each of ``parts`` ("" without any, or where most are of no script that is known), and how many letters it has.
 
-    ``raw`` is what ``compressible`` makes of it. Han with a tenth of kana, or more, is Kana.
+    Han with a tenth of kana, or more, is Kana.
     """
-    try:
-        text.encode("cp1252")  # a quick way to know that all letters are Latin
-    except UnicodeEncodeError:
-        pass
-    else:
-        n = len(raw.translate(None, MARKS))
-        return ("Latin" if n and (n > 40 or LETTERS.search(text)) else ""), n
-    count = {"Latin": _count(RUNS["Latin"], text)}
-    letters = _count(LETTERS, text)
-    if count["Latin"] * 2 <= letters:
-        count |= {s: _count(r, text) for s, r in RUNS.items() if s != "Latin"}
-        if count["Kana"] and count["Kana"] * 10 >= count["Kana"] + count["Han"]:
-            count["Kana"] += count["Han"]
-    best = max(count, key=count.__getitem__)
-    return (best if count[best] else ""), letters
+    size = np.fromiter(map(len, parts), np.int64, len(parts))
+    cp = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    n = len(SCRIPTS) + 2
+    count = np.bincount(np.repeat(np.arange(len(parts)) * n, size) + _scripts()[cp], minlength=n * len(parts)).reshape(-1, n)[:, 1:]
+    letters = count.sum(axis=1)
+    names = [*SCRIPTS, ""]
+    kana, han = names.index("Kana"), names.index("Han")
+    both = (count[:, kana] > 0) & (count[:, kana] * 10 >= count[:, kana] + count[:, han])
+    count[:, kana] += np.where(both, count[:, han], 0)
+    best = count.argmax(axis=1)
+    return [(names[i] if k else "", k) for i, k in zip(best.tolist(), letters.tolist(), strict=True)]
 
 
 class Dictionaries:
@@ -143,7 +147,17 @@ class Dictionaries:
 
     def sizes(self, raw: bytes, langs: tuple[str, ...]) -> dict[str, int]:
         """The compressed size of ``raw`` with each language's dictionary."""
-        return {k: len(self.of[k].compress(raw)) for k in langs if k in self.of}
+        return {k: len(self.of[k].compress(raw)) for k in langs}
+
+
+    def background_size(self, raw: bytes, script: str, sizes: dict[str, int]) -> int:
+        """The size that knowing no language of the script gives: where it has several, that of the least fitting one is as good."""
+        return max(sizes.values()) if len(sizes) > 1 else len(self.background[script].compress(raw))
+
+
+def tells(bare: str, size: int, script: str) -> bool:
+    """Whether a plain text of ``size`` characters is a sentence rather than a heading; Thai has no final marks."""
+    return size >= HEADING or script == "Thai" or FINAL.search(bare) is not None
 
 
 #: A sentence: start, end, sizes by language, size with the background dictionary.
@@ -153,12 +167,14 @@ Sentence = tuple[int, int, dict[str, int], int]
 def sentences(text: str, dicts: Dictionaries, cut: Iterable[tuple[int, int]]) -> list[Sentence]:
     """Those sentences (of ``cut``) that have letters enough, with their compressed sizes in the languages of their script."""
     out = []
-    for start, end in cut:
-        bare = plain(text[start:end])
-        raw = compressible(bare)
-        script, letters = main_script(bare, raw)
-        if script and letters >= LEAST_LETTERS[script] and (end - start >= HEADING or script == "Thai" or FINAL.search(bare)):
-            out.append((start, end, dicts.sizes(raw, SCRIPTS[script]), len(dicts.background[script].compress(raw))))
+    cut = list(cut)
+    for (start, end), (script, letters) in zip(cut, main_scripts([text[a:b] for a, b in cut]), strict=True):
+        if script and letters >= LEAST_LETTERS[script]:
+            bare = plain(text[start:end])
+            if tells(bare, end - start, script):
+                raw = compressible(bare)
+                sizes = dicts.sizes(raw, SCRIPTS[script])
+                out.append((start, end, sizes, dicts.background_size(raw, script, sizes)))
     return out
 
 
@@ -167,36 +183,64 @@ def certain(sizes: dict[str, int], background: int, least_bytes: int = MARGIN_BY
 
     The confidence is the smaller margin, to the next language or to the background, in parts of four times what is asked.
     """
-    best = min(sizes, key=sizes.__getitem__)  # of equals the first by name, but then the margin is narrow anyway
-    a = sizes[best]
+    ranked = sorted(sizes.values())
+    a = ranked[0]
+    best = next(k for k, n in sizes.items() if n == a)  # of equals the first by name, but then the margin is narrow anyway
     gain = 1 - a / max(background, 1)
     sure = gain >= LEAST_GAIN
     confidence = gain / (4 * LEAST_GAIN)
-    if len(sizes) > 1:
-        b = min(n for k, n in sizes.items() if k != best)
+    if len(ranked) > 1:
+        b = ranked[1]
         margin = (b - a) / max(a, 1)
         sure = sure and b - a >= least_bytes and margin >= least_share
         confidence = min(confidence, margin / (4 * MARGIN_SHARE))
     return (best if sure else ""), min(1.0, max(0.0, confidence))
 
 
-def stretches(text: str, dicts: Dictionaries, cut: Iterable[tuple[int, int]]) -> list[tuple[int, int, str, float]]:
-    """(start, end, lang, confidence) of the stretches in one language, in the sentences ``cut`` of ``text``.
+def certain_all(parts: list[bytes], scripts: list[str], dicts: Dictionaries) -> tuple[list[str], list[float]]:
+    """``certain`` for many sentences, by their bytes and scripts: languages ("" where a margin is narrow) and confidences.
+
+    All are compressed with one dictionary before the next one is taken, so that it stays in the processor's cache.
+    """
+    lang, sure = [""] * len(parts), [0.0] * len(parts)
+    of: dict[str, list[int]] = defaultdict(list)
+    for i, s in enumerate(scripts):
+        of[s].append(i)
+    for script, own in of.items():
+        raws = [parts[i] for i in own]
+        size = np.array([[len(x) for x in map(dicts.of[k].compress, raws)] for k in SCRIPTS[script]])
+        ranked = np.sort(size, axis=0)
+        a = ranked[0]
+        several = len(size) > 1
+        background = ranked[-1] if several else np.array([len(x) for x in map(dicts.background[script].compress, raws)])
+        gain = 1 - a / np.maximum(background, 1)
+        good, confidence = gain >= LEAST_GAIN, gain / (4 * LEAST_GAIN)
+        if several:
+            margin = (ranked[1] - a) / np.maximum(a, 1)
+            good &= (ranked[1] - a >= MARGIN_BYTES) & (margin >= MARGIN_SHARE)
+            confidence = np.minimum(confidence, margin / (4 * MARGIN_SHARE))
+        for i, k, g, c in zip(own, size.argmin(axis=0).tolist(), good.tolist(), np.clip(confidence, 0, 1).tolist(), strict=True):
+            lang[i], sure[i] = SCRIPTS[script][k] if g else "", c
+    return lang, sure
+
+
+def stretches(text: str, dicts: Dictionaries, said: list[tuple[int, int, str, float]]) -> list[tuple[int, int, str, float]]:
+    """(start, end, lang, confidence) of the stretches in one language of ``text``, given its sentences' (start, end, lang, confidence).
 
     Sentences with narrow margins go with the certain one before them (the first ones with the one after), and lower the
     confidence. A text without a certain sentence is one stretch, in the language that the whole of it is certain in, or
     REJECTED. A text without words has none.
     """
-    found = sentences(text, dicts, cut)
-    said = [(s, e, *certain(z, g)) for s, e, z, g in found]
     lead = next((x[2] for x in said if x[2]), "")
     if not lead:
-        bare = plain(text)
-        raw = compressible(bare)
-        script, _ = main_script(bare, raw)
-        if not script:
+        script, letters = main_scripts([text])[0]
+        if not letters:
             return []
-        best, sure = certain(dicts.sizes(raw, SCRIPTS[script]), len(dicts.background[script].compress(raw)), WHOLE_BYTES, WHOLE_SHARE)
+        if not script:
+            return [(0, len(text), REJECTED, 0.0)]
+        raw = compressible(plain(text))
+        sizes = dicts.sizes(raw, SCRIPTS[script])
+        best, sure = certain(sizes, dicts.background_size(raw, script, sizes), WHOLE_BYTES, WHOLE_SHARE)
         return [(0, len(text), best or REJECTED, sure)]
     out: list[list] = []
     for s, e, lang, sure in said:
@@ -212,9 +256,19 @@ def stretches(text: str, dicts: Dictionaries, cut: Iterable[tuple[int, int]]) ->
 def every_stretch(texts: list[str], dicts: Dictionaries, model: Field) -> list[list[tuple[int, int, str, float]]]:
     """The stretches of each of ``texts``, which the sentence model cuts all at once."""
     row, start, end = units_of(texts, model)
-    bounds = np.searchsorted(row, np.arange(len(texts) + 1))
-    cuts = list(zip(start.tolist(), end.tolist(), strict=True))
-    return [stretches(t, dicts, cuts[a:b]) for t, a, b in zip(texts, bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+    cuts = list(zip(row.tolist(), start.tolist(), end.tolist(), strict=True))
+    held, parts, scripts = [], [], []
+    for (i, a, b), (script, letters) in zip(cuts, main_scripts([texts[i][a:b] for i, a, b in cuts]), strict=True):
+        if script and letters >= LEAST_LETTERS[script]:
+            bare = plain(texts[i][a:b])
+            if tells(bare, b - a, script):
+                held.append((i, a, b))
+                parts.append(compressible(bare))
+                scripts.append(script)
+    said: list[list[tuple[int, int, str, float]]] = [[] for _ in texts]
+    for (i, a, b), lang, sure in zip(held, *certain_all(parts, scripts, dicts), strict=True):
+        said[i].append((a, b, lang, sure))
+    return [stretches(t, dicts, x) for t, x in zip(texts, said, strict=True)]
 
 
 @functools.cache

@@ -81,6 +81,7 @@ FINAL = _of(STOP, DOTS, ASK, WIDE, DANDA, SEMICOLON)
 CLOSER = _of(CLOSE_QUOTE, QUOTE, APOSTROPHE, CLOSE_BRACKET)
 LETTER = _of(UPPER, LOWER, HAN, KANA, THAI, CASELESS)
 BLANK = _of(SPACE, LINE)
+UNPUNCTUATED = _of(HAN, KANA, THAI)
 #: What may stand in the token before a mark, besides letters and digits.
 TOKEN_SIGNS = ".-_ªº°/%§№&"
 
@@ -467,19 +468,23 @@ def _bare_places(f: Flat) -> Places:
 
     In Thai such a paragraph has no white space between its letters either.
     """
-    script = np.isin(f.cls, (HAN, KANA, THAI))
-    if not script.any():
+    script = UNPUNCTUATED[f.cls]
+    own = np.flatnonzero(script)
+    if not len(own):
         return _no_places()
     p = f.para - f.para[0]
-    n = int(p[-1]) + 1
-    letters = np.bincount(p[script], minlength=n)
-    every = np.bincount(p[~BLANK[f.cls]], minlength=n)
-    marks = np.bincount(p[FINAL[f.cls]], minlength=n)
+    letters = np.bincount(p[own])
+    wide = np.flatnonzero(letters >= BARE_LETTERS)
+    every = np.bincount(p[f.solid], minlength=len(letters))
+    marks = np.bincount(p[np.flatnonzero(FINAL[f.cls])], minlength=len(letters))
+    bare = np.zeros(int(p[-1]) + 1, bool)
+    bare[wide] = (marks[wide] == 0) & (letters[wide] * 10 >= every[wide] * 8)
+    if not bare.any():
+        return _no_places()
     between = np.flatnonzero(f.cls[1:-1] == SPACE) + 1
-    between = between[(f.cls[between - 1] == THAI) | (f.cls[between + 1] == THAI)]
-    marks += np.bincount(p[between], minlength=n)
-    bare = (letters >= BARE_LETTERS) & (marks == 0) & (letters * 10 >= every * 8)
-    at = np.flatnonzero(script[:-1] & script[1:] & bare[p[:-1]] & (p[1:] == p[:-1]))
+    bare[p[between[(f.cls[between - 1] == THAI) | (f.cls[between + 1] == THAI)]]] = False
+    own = own[own + 1 < len(p)]
+    at = own[script[own + 1] & bare[p[own]] & (p[own + 1] == p[own])]
     if not len(at):
         return _no_places()
     c = [np.where(p[np.clip(at + k, 0, len(p) - 1)] == p[at], f.cp[np.clip(at + k, 0, len(p) - 1)], 0).astype(np.int64) for k in (-2, -1, 0, 1, 2, 3)]
