@@ -326,7 +326,8 @@ def nearest(chunks: DataFrame, models: DataFrame, k: int = 5) -> DataFrame:
     v = materialise(usable_vectors(chunks, models), "vectors")
     slim = v.select("n", "col", "id", "same")
     entry = slim.groupBy("col", "same").agg(F.min("n").alias("entry"), F.count("*").alias("c"))
-    copied = slim.join(entry.where("c > 1"), ["col", "same"])
+    # Written, so that Spark knows how few they are, as a rule, and needn't shuffle all vectors to leave them out.
+    copied = materialise(slim.join(entry.where("c > 1"), ["col", "same"]).select("n", "entry", "col", "id"), "copied")
     spare = copied.where("n <> entry").select("n")
     entries = v.join(spare, "n", "left_anti")
     links = materialise(search(entries, train_all(entries, dims), k), "neighbours")
