@@ -156,7 +156,7 @@ def _sound(v: str) -> str:
 FIRST_VECTORS = f"(SELECT id, any_value(collection_id) AS collection_id, any_value(embedding_1536) AS e, any_value(sentence_embeddings) AS se, any_value(sentence_texts) AS st FROM chunks WHERE {{}} AND len(embedding_1536) = (SELECT stored_dims FROM embedding_models WHERE vector_column = 'embedding_1536') GROUP BY id)"
 
 
-def _structured(shielded: str, trim: str) -> str:
+def _structured(shielded: str, trim: str, columns: str = "md5(chunk) AS digest") -> str:
     kind = rf"CASE WHEN length(text) // 4 < 25 THEN 'short_fragment' WHEN len(regexp_extract_all(text, '{HEAD}', 0, 'i')) > 1 THEN 'legal_section' WHEN regexp_matches(text, '\n{S}*\n') THEN 'paragraph' ELSE 'text_block' END"
     base = rf"""
         SELECT d.doc_id, type, part, CASE WHEN type IN ('legal_section', 'paragraph') THEN {trim.format("piece")} ELSE piece END AS s FROM (
@@ -170,19 +170,20 @@ def _structured(shielded: str, trim: str) -> str:
         rows AS (
             SELECT doc_id, part, 0 AS n, type, (length(s) // 4)::BIGINT AS token_count, s AS chunk FROM parts WHERE length(s) // 4 <= 256
             UNION ALL SELECT split_part(key, '|', 1)::BIGINT, split_part(key, '|', 2)::BIGINT, chunk_index, CASE kind WHEN 'word_split' THEN kind ELSE split_part(key, '|', 3) END, token_count, chunk FROM ({split}))
-        SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY part, n) - 1)::INT AS chunk_index, type, token_count, md5(chunk) AS digest FROM rows"""
+        SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY part, n) - 1)::INT AS chunk_index, type, token_count, {columns} FROM rows"""
 
 
-def _contract() -> str:
+def _contract(text: str, columns: str) -> str:
     head = rf"^(\p{{Nd}}+(?:\.\p{{Nd}}+)*){ANY}*[.\-–]{ANY}*([^\n]+)\n"
     bare = lambda c: f"regexp_replace({c}, '^{ANY}+|{ANY}+$', '', 'g')"
     marked = rf"regexp_replace(t, '(?m)({head})', {CUT} || '\1', 'g')"
     return rf"""
-        WITH RECURSIVE x AS (SELECT doc_id, concat('Between the parties', chr(10), '1. Scope', chr(10), text, chr(10), '2.1 - Term', chr(10), 'Two years.', chr(10), chr(10), '3. End', chr(10), 'Never.') AS t FROM documents),
+        WITH RECURSIVE x AS (SELECT doc_id, {text} AS t FROM documents WHERE {text} IS NOT NULL),
         p AS (SELECT doc_id, unnest(a) AS p, generate_subscripts(a, 1) AS k FROM (SELECT doc_id, string_split({marked}, {CUT}) AS a FROM x)),
         o AS (SELECT *, coalesce(sum(length(p)) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM p),
-        s AS (SELECT doc_id, k, CASE WHEN k > 1 THEN regexp_extract(p, '{head}', 1) END AS number, CASE WHEN k > 1 THEN {bare(f"regexp_extract(p, '{head}', 2)")} ELSE 'Preamble' END AS title, CASE WHEN k > 1 THEN start ELSE 0 END AS start, {bare("p")} AS body
+        z AS (SELECT doc_id, k, CASE WHEN k > 1 THEN regexp_extract(p, '{head}', 1) END AS number, CASE WHEN k > 1 THEN {bare(f"regexp_extract(p, '{head}', 2)")} ELSE 'Preamble' END AS title, CASE WHEN k > 1 THEN start ELSE 0 END AS start, {bare("p")} AS body
               FROM o WHERE k > 1 OR {bare("p")} <> ''),
+        s AS (FROM z WHERE doc_id IN (SELECT doc_id FROM o WHERE k > 1) UNION ALL SELECT doc_id, 1, NULL, 'Document', 0, t FROM x WHERE doc_id NOT IN (SELECT doc_id FROM o WHERE k > 1)),
         q AS (SELECT *, regexp_split_to_array(body, '
 {ANY}*
 ') AS blocks FROM s WHERE length(body) > 1000),
@@ -195,7 +196,7 @@ def _contract() -> str:
             SELECT doc_id, k, 0 AS i, body AS content, 'section' AS kind, start AS a, start + length(body) AS b FROM s WHERE length(body) <= 1000
             UNION ALL SELECT doc_id, k, i, content, 'paragraph', a, b FROM walk WHERE content IS NOT NULL
             UNION ALL SELECT walk.doc_id, walk.k, i + 1, {bare("held")}, 'paragraph', at_, at_ + length(held) FROM walk JOIN q ON q.doc_id = walk.doc_id AND q.k = walk.k WHERE i = len(q.blocks) + 1 AND {bare("held")} <> '')
-        SELECT c.doc_id, (row_number() OVER (PARTITION BY c.doc_id ORDER BY c.k, c.i) - 1)::INT AS chunk_index, kind, number AS section_number, title AS section_title, a::INT AS start_char, b::INT AS end_char, md5(content) AS digest
+        SELECT c.doc_id, (row_number() OVER (PARTITION BY c.doc_id ORDER BY c.k, c.i) - 1)::INT AS chunk_index, {columns}
         FROM c JOIN s ON s.doc_id = c.doc_id AND s.k = c.k"""
 
 
@@ -209,6 +210,8 @@ def _colbert_sentences(trim: str) -> str:
     return f"SELECT doc_id, len(b) AS n, sha256(array_to_string(b, '|')) AS digest FROM (SELECT doc_id, CASE WHEN len(a) > 8 THEN list_transform({at}, lambda i: a[i + 1]) ELSE a END AS b FROM (SELECT doc_id, {held} AS a FROM documents WHERE text IS NOT NULL))"
 
 
+#: Search queries as messages.
+MESSAGES = "(SELECT collection_id AS conv_id, query_id AS turn, ['user', 'assistant', 'tool'][query_id % 3 + 1] AS role, CASE WHEN query_id % 2 = 0 THEN 'FINAL CLASSIFICATION: ' || query ELSE query END AS content FROM search_queries WHERE collection_id IS NOT NULL)"
 #: The columns of packed chunks.
 PACKED = "key AS doc_id, chunk_index, first::INT AS first, last::INT AS last, kind, token_count, md5(chunk) AS digest"
 
@@ -265,6 +268,25 @@ def _retrieval() -> dict[str, str]:
             FROM ({_query_class("(SELECT query_id, query AS raw FROM search_queries)")}) JOIN (SELECT query_id, collection_id FROM search_queries) USING (query_id) LEFT JOIN collections c ON c.id = collection_id""",
         "json_mode": "SELECT id, json_valid(m) AS is_json, CASE WHEN json_valid(m) THEN m->>'$.source' END AS source, CASE WHEN NOT json_valid(m) THEN length(m)::INT + 12 ELSE 0 END AS size FROM (SELECT id, any_value(metadata) AS m FROM chunks WHERE id IS NOT NULL AND metadata IS NOT NULL GROUP BY id)",
         "prompt_fill": "SELECT doc_id, md5(concat('Summarise the following ', doc_type, ' in 3 sentences.', chr(10), chr(10), text)) AS digest FROM documents",
+        "collection_lookup": "SELECT id, name FROM collections WHERE name = (SELECT min(name) FROM collections)",
+        "cascade_delete": """
+            WITH t AS (SELECT c.id FROM collections c LEFT JOIN chunks k ON k.collection_id = c.id GROUP BY c.id, c.name ORDER BY count(DISTINCT k.id) DESC, c.name LIMIT 1)
+            SELECT 'collections' AS what, count(*) AS n FROM collections WHERE id NOT IN (FROM t) UNION ALL SELECT 'chunks', count(*) FROM chunks WHERE collection_id IS NULL OR collection_id NOT IN (FROM t)""",
+        "tenant_rows": "SELECT id, user_id FROM collections WHERE user_id = (SELECT min(user_id) FROM collections)",
+        "new_collections": """
+            SELECT name, coalesce(retrieval_settings.search_mode, 'hybrid') AS search_mode, coalesce(retrieval_settings.sac_enabled, false) AS sac_enabled FROM collections WHERE name = (SELECT min(name) FROM collections)
+            UNION ALL SELECT 'a new one', 'hybrid', true""",
+        "insert_rows": r"""
+            SELECT sha256(concat_ws(chr(1), 'c1', '{}', text)) AS id, 'c1' AS collection_id, md5(regexp_replace(text, '[\x00-\x08\x0B\x0C\x0E-\x1F\x{FFFD}\x{FEFF}\x{FFFE}\x{E000}-\x{F8FF}]', '', 'g')) AS digest FROM documents WHERE text IS NOT NULL""",
+        "sentence_vectors_of": "SELECT id, coalesce(len(any_value(sentence_embeddings)), -1)::INT AS vectors, coalesce(len(any_value(sentence_texts)), -1)::INT AS texts FROM chunks WHERE id IN (SELECT chunk_id FROM colbert_results) GROUP BY id",
+        "chunk_config": """
+            SELECT query_id, model, dimensions, chunk_size, chunk_overlap FROM search_queries JOIN (VALUES (0, 'voyage-3-large', 1024, 384, 75), (1, 'embed-v3', 1024, 384, 75), (2, 'text-embedding-3-small', 1536, 256, 50)) m(k, model, dimensions, chunk_size, chunk_overlap) ON k = query_id % 3""",
+        "json_replies": """
+            SELECT query_id, unnest(range(0, len(q)))::INT AS pos, unnest(q) AS question FROM (
+                SELECT query_id, CASE query_id % 3 WHEN 0 THEN ['first ', query_id::VARCHAR] WHEN 1 THEN ['a longer question ' || query_id, 'another long question'] ELSE ['asked ' || query_id] END AS q FROM search_queries)""",
+        "hyde_expand": "SELECT query_id, CASE WHEN length(query) >= 10 THEN 'Answer to ' || query ELSE query END AS expanded FROM search_queries",
+        "chat_history": f"SELECT * FROM {MESSAGES} WHERE role <> 'tool' AND content <> '' QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 3",
+        "latest_classification": f"SELECT conv_id, arg_max(content, turn) AS classification FROM {MESSAGES} WHERE role = 'assistant' AND regexp_matches(content, 'FINAL CLASSIFICATION|❌|🔴|🟡|🟢') GROUP BY 1",
         "workflow_halt": "SELECT doc_id, CASE WHEN n_chars > 900 THEN 'completed' ELSE 'halted' END AS status, CASE WHEN n_chars > 900 THEN coalesce(lang, '') || ' text of ' || n_chars END AS output FROM documents",
     }
 
@@ -347,7 +369,24 @@ def oracle_sql() -> dict[str, str]:
             r AS (SELECT doc_id, out_first AS first, out_last AS last FROM walk WHERE out_first >= 0 UNION ALL SELECT doc_id, start, i - 1 FROM walk WHERE i = len(n))
             SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY last) - 1)::INT AS chunk_index, (count(*) OVER (PARTITION BY doc_id))::INT AS total_chunks, md5(array_to_string(a[first + 1:last + 1], '. ') || '.') AS digest FROM r JOIN t USING (doc_id)""",
         "structured_chunks": _structured(shielded, trim),
-        "contract_chunks": _contract(),
+        "index_chunks": f"""
+            SELECT doc_id, chunk_index, type, token_count, md5(chunk) AS digest, md5(CASE WHEN p <> '' THEN '[' || p || '] ' ELSE '' END || chunk) AS context_digest FROM (
+                SELECT *, concat_ws(' | ', CASE WHEN docket <> '' THEN 'Document: ' || translate(replace(docket, '.pdf', ''), '_-', '  ') END, CASE WHEN type = 'legal_section' THEN 'Type: Legal provision' END,
+                    CASE WHEN len(r) > 0 THEN 'References: ' || array_to_string(r[1:3], ', ') END, CASE WHEN len(e) > 0 THEN 'Entities: ' || array_to_string(e[1:3], ', ') END,
+                    CASE WHEN len(d) > 0 THEN 'Dates: ' || d[1] END, CASE WHEN len(c) > 0 THEN 'Cites: ' || c[1] END) AS p
+                FROM (SELECT *, {refs.replace("syn", "chunk")} AS r, {entities.replace("syn", "chunk")} AS e, {dates.replace("syn", "chunk")} AS d, {cites.replace("syn", "chunk")} AS c
+                      FROM ({_structured(shielded, trim, "chunk")}) JOIN (SELECT doc_id, docket FROM documents) USING (doc_id) WHERE token_count >= 25))""",
+        "contract_chunks": _contract(
+            "concat('Between the parties', chr(10), '1. Scope', chr(10), text, chr(10), '2.1 - Term', chr(10), 'Two years.', chr(10), chr(10), '3. End', chr(10), 'Never.')",
+            "kind, number AS section_number, title AS section_title, a::INT AS start_char, b::INT AS end_char, md5(content) AS digest",
+        ),
+        "contract_prefix": _contract("text", "md5('[' || concat_ws(' - ', 'Section ' || nullif(number, ''), nullif(title, '')) || ']' || chr(10) || chr(10) || content) AS digest"),
+        "sentence_vector_counts": f"SELECT doc_id, n::INT AS num_sentences, n::INT AS vectors, digest FROM ({_colbert_sentences(trim)})",
+        "metadata_fallback": f"""
+            SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'case_law' ELSE {_first(extract.DOCUMENT_TYPES)} END AS document_type, CASE WHEN doc_id % 2 = 0 THEN 'EU' ELSE {_first(extract.JURISDICTIONS)} END AS jurisdiction,
+                   CASE WHEN doc_id % 2 = 0 THEN '2020-05-06' WHEN iso <> '' THEN iso WHEN dmy <> '' THEN strftime(try_strptime(regexp_replace(dmy, '{S}+', '-', 'g'), '%d-%B-%Y'), '%Y-%m-%d') END AS date
+            FROM (SELECT doc_id, lower(left(syn, 3000)) AS h, regexp_extract(left(syn, 3000), '([0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}})', 1) AS iso, regexp_extract(left(syn, 3000), {date_day}, 1) AS dmy FROM {SEEDED})""",
+        "summaries": f"SELECT doc_id, CASE WHEN l THEN 'of a text' ELSE '' END AS summary, md5(CASE WHEN l THEN '[CONTEXT: of a text]' || chr(10) || chr(10) || text ELSE text END) AS digest FROM (SELECT doc_id, text, coalesce(length({trim.format('text')}) >= 50, false) AS l FROM documents)",
         "colbert_sentences": _colbert_sentences(trim),
         **_retrieval(),
         "chunk_sections": f"""

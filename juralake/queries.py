@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from juralake.functions import classify, extract, text
 from juralake.operators import ann, chunking, fusion, lexical, rerank, vector
-from juralake.plans import agentic, providers, retrieve, workflow
+from juralake.plans import agentic, assist, index, providers, retrieve, workflow
 from juralake.sources import store
 from juralake.sources.tables import delivered_once, first_deliveries, spread, table
 
@@ -353,6 +353,12 @@ def structured_chunks(spark: SparkSession, d: str) -> DataFrame:
     return _digested(chunking.structured_chunks(_spread(spark, d), "doc_id", "text"))
 
 
+def index_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks of the documents as an index holds them: what is stored, and what its vector is made of."""
+    out = index.chunks_in_context(_spread(spark, d), "doc_id", "docket", "text")
+    return out.select("doc_id", "chunk_index", "type", "token_count", F.md5("chunk").alias("digest"), F.md5("text_with_context").alias("context_digest"))
+
+
 def contract_chunks(spark: SparkSession, d: str) -> DataFrame:
     t = F.concat(F.lit("Between the parties\n1. Scope\n"), F.coalesce("text", F.lit("")), F.lit("\n2.1 - Term\nTwo years.\n\n3. End\nNever."))
     out = chunking.contract_chunks(_spread(spark, d).select("doc_id", t.alias("t")), "doc_id", "t")
@@ -493,6 +499,104 @@ def llm_cost(spark: SparkSession, d: str) -> DataFrame:
     return providers.cost(used, [("case_law", 0.0025, 0.01), ("contract", 0.00014, 0.00028)])
 
 
+def collection_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """The collection of the smallest name, by its name."""
+    colls = table(spark, d, "collections")
+    return store.by_name(colls, colls.agg(F.min("name")).first()[0]).select("id", "name")
+
+
+def cascade_delete(spark: SparkSession, d: str) -> DataFrame:
+    """What is left of collections and their chunks when the collection with the most chunks goes."""
+    colls, chunks = table(spark, d, "collections"), table(spark, d, "chunks")
+    top = store.counts(colls, chunks).orderBy(F.col("n_chunks").desc(), "name").first()
+    left, rest = store.delete_collection(colls, chunks, top["name"])
+    return left.agg(F.count("*").alias("n")).select(F.lit("collections").alias("what"), "n").unionByName(rest.agg(F.count("*").alias("n")).select(F.lit("chunks").alias("what"), "n"))
+
+
+def tenant_rows(spark: SparkSession, d: str) -> DataFrame:
+    colls = table(spark, d, "collections")
+    return store.for_tenant(colls, colls.agg(F.min("user_id")).first()[0]).select("id", "user_id")
+
+
+def new_collections(spark: SparkSession, d: str) -> DataFrame:
+    """A collection that is there already and one that isn't, got or made: the names that match and their settings."""
+    colls = store.with_settings(table(spark, d, "collections")).select("id", "name", "user_id", "metadata", F.col("settings").alias("retrieval_settings"), "created_at")
+    held = colls.agg(F.min("name")).first()[0]
+    every = store.get_or_create(colls, store.create_collection(spark, held).unionByName(store.create_collection(spark, "a new one", settings={"sac_enabled": True})))
+    return every.where(F.col("name").isin(held, "a new one")).select("name", "retrieval_settings.search_mode", "retrieval_settings.sac_enabled")
+
+
+def insert_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as rows to insert, with ids that follow from their content."""
+    return store.insertable(_docs(spark, d).where("text IS NOT NULL").select(F.col("text").alias("content")), "c1").select("id", "collection_id", F.md5("content").alias("digest"))
+
+
+def sentence_vectors_of(spark: SparkSession, d: str) -> DataFrame:
+    """How many sentence vectors, and texts, the candidates of all queries have."""
+    found = store.get(table(spark, d, "chunks"), table(spark, d, "colbert_results").select(F.col("chunk_id").alias("id")))
+    return found.select("id", F.coalesce(F.size("sentence_embeddings"), F.lit(-1)).alias("vectors"), F.coalesce(F.size("sentence_texts"), F.lit(-1)).alias("texts"))
+
+
+def sentence_vector_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Sentences of each document and their vectors, as late interaction stores them."""
+    out = index.sentence_vectors(_spread(spark, d).where("text IS NOT NULL"), providers.HashedWords, "doc_id", "text")
+    return out.select("doc_id", "num_sentences", F.size("sentence_embeddings").alias("vectors"), F.sha2(F.array_join("sentences", "|"), 256).alias("digest"))
+
+
+def chunk_config(spark: SparkSession, d: str) -> DataFrame:
+    """How to chunk for each provider's models, and for one that nobody knows."""
+    asked = table(spark, d, "search_queries").select("query_id", F.element_at(F.array(*(F.lit(x) for x in ("voyage-3-large", "embed-v3", "unheard-of"))), (F.col("query_id") % 3 + 1).cast("int")).alias("model"))
+    return store.with_model(asked, store.embedding_models(spark), "text-embedding-3-small").select("query_id", "model", "dimensions", "chunk_size", "chunk_overlap")
+
+
+def contract_prefix(spark: SparkSession, d: str) -> DataFrame:
+    out = chunking.contract_chunks(_spread(spark, d), "doc_id", "text")
+    return out.select("doc_id", "chunk_index", F.md5(chunking.with_section_prefix()).alias("digest"))
+
+
+def json_replies(spark: SparkSession, d: str) -> DataFrame:
+    """Questions in a model's replies: as a JSON array, as lines, or none but the one asked."""
+    i = F.col("query_id").cast("string")
+    reply = F.when(F.col("query_id") % 3 == 0, F.concat(F.lit('So: ["first ", '), F.lit('"'), i, F.lit('"] done'))).when(F.col("query_id") % 3 == 1, F.concat(F.lit("- a longer question "), i, F.lit("\n2. \"another long question\"\nshort"))).otherwise(F.lit(""))
+    q = table(spark, d, "search_queries").select("query_id", F.posexplode(extract.json_array_in(reply, F.concat(F.lit("asked "), i))).alias("pos", "question"))
+    return q
+
+
+def hyde_expand(spark: SparkSession, d: str) -> DataFrame:
+    q = table(spark, d, "search_queries").select("query_id", "query")
+    return providers.hypothetical(q, "query", lambda: providers.TemplateCompleter("Answer to {prompt}")).select("query_id", "expanded")
+
+
+def metadata_fallback(spark: SparkSession, d: str) -> DataFrame:
+    """Metadata as a model tells it for some documents, by heuristics where it tells nothing."""
+    docs = _seeded(_spread(spark, d)).select("doc_id", F.col("syn").alias("content"))
+    told = docs.withColumn("content", F.when(F.col("doc_id") % 2 == 0, F.col("content")))
+    some = assist.with_metadata(told, lambda: providers.TemplateCompleter('{"document_type": "Case Law", "jurisdiction": "european union", "date": "2020-05-06T10:00"}')).where("content IS NOT NULL")
+    none = assist.with_metadata(docs.where("doc_id % 2 = 1"), lambda: providers.TemplateCompleter("I can't say."))
+    return some.unionByName(none).select("doc_id", "metadata.document_type", "metadata.jurisdiction", "metadata.date")
+
+
+def summaries(spark: SparkSession, d: str) -> DataFrame:
+    """Documents under their summaries, those that are long enough for one."""
+    docs = _docs(spark, d).select("doc_id", F.lit(0).alias("chunk_index"), "source", F.col("text").alias("content"))
+    return assist.summarised(docs, lambda: providers.TemplateCompleter("of a text")).select("doc_id", F.coalesce("summary", F.lit("")).alias("summary"), F.md5("enhanced").alias("digest"))
+
+
+def _messages(spark: SparkSession, d: str) -> DataFrame:
+    """Search queries as messages of conversations, one a collection."""
+    role = F.element_at(F.array(*(F.lit(x) for x in ("user", "assistant", "tool"))), (F.col("query_id") % 3 + 1).cast("int"))
+    said = F.when(F.col("query_id") % 2 == 0, F.concat(F.lit("FINAL CLASSIFICATION: "), "query")).otherwise(F.col("query"))
+    return table(spark, d, "search_queries").where("collection_id IS NOT NULL").select(F.col("collection_id").alias("conv_id"), F.col("query_id").alias("turn"), role.alias("role"), said.alias("content"))
+
+
+def chat_history(spark: SparkSession, d: str) -> DataFrame:
+    return assist.history(_messages(spark, d), last=3)
+
+
+def latest_classification(spark: SparkSession, d: str) -> DataFrame:
+    return assist.latest_classification(_messages(spark, d))
+
+
 # Workflows and streams
 
 
@@ -519,7 +623,8 @@ def session_count(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     names = """vector_topk vector_topk_batch vector_filtered threshold_gate vector_match_models maxsim_labels ivf_topk query_dataset query_collection colbert_search embedding_rerank
-        decomposed_search agentic_search result_context result_stats positional_zip prompt_fill simple_chunks enabled_metadata reporters json_mode adaptive_params workflow_halt rrf_fusion rrf_agentic hybrid_merge colbert_rerank rerank_lexical
+        decomposed_search agentic_search result_context result_stats positional_zip prompt_fill simple_chunks index_chunks enabled_metadata reporters json_mode adaptive_params workflow_halt collection_lookup cascade_delete tenant_rows new_collections insert_rows
+        sentence_vectors_of sentence_vector_counts chunk_config contract_prefix json_replies hyde_expand metadata_fallback summaries chat_history latest_classification rrf_fusion rrf_agentic hybrid_merge colbert_rerank rerank_lexical
         keyword_search bm25_topk keywords sentences sentences_protected words abbrev_protect normalize_text sanitize token_stats colbert_sentences previews enhance template_fill
         chunk_pack chunk_overlap chunk_sections structured_chunks contract_chunks legal_refs legal_dates legal_citations legal_entities citations context_prefix metadata_heuristic
         metadata_normal query_class decompose_gate collection_counts settings_merge legal_sources get_documents delete_documents incremental_anti model_registry history_latest
