@@ -68,10 +68,12 @@ def postings(texts: DataFrame, terms: DataFrame | None = None, ident: str = "id"
     With ``terms`` (term), only of those. The term '' stands once for every text that has words. NULL texts, and those without
     words, have no postings. Each text is split once.
     """
-    split = texts.select(F.col(ident).alias("id"), words(lowered(F.col(text))).alias("w")).where(F.size("w") > 0)
-    each = split.select("id", F.size("w").alias("size"), F.explode(F.concat(F.array(F.lit("")), "w")).alias("term"))
-    if terms is not None:  # words that none asks for go before the shuffle
-        each = each.join(terms.select("term").unionByName(terms.sparkSession.createDataFrame([("",)], "term string")).distinct(), "term")
+    split = texts.select(F.col(ident).alias("id"), words(lowered(F.col(text))).alias("w"))
+    every = F.concat(F.when(F.size("w") > 0, F.array(F.lit(""))).otherwise(F.expr("cast(array() AS array<string>)")), "w")  # a filter would split texts once more
+    each = split.select("id", F.size("w").alias("size"), F.explode(every).alias("term"))
+    if terms is not None:  # words that none asks for go before the shuffle; written, terms are broadcast if they are few
+        asked = terms.select("term").unionByName(terms.sparkSession.createDataFrame([("",)], "term string")).distinct()
+        each = each.join(materialise(asked, "terms"), "term")
     return each.groupBy("id", "term", "size").agg(F.count("*").alias("tf")).select("id", "term", "tf", "size")
 
 
