@@ -237,6 +237,10 @@ def _retrieval() -> dict[str, str]:
             p AS (SELECT query_id, id, origin, similarity, original, CASE WHEN n > 5 THEN coalesce(s, 0) END AS rerank_score FROM {overlap.replace("@", "j")})
             SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC NULLS LAST, original, id) AS place, id, origin, similarity, rerank_score FROM p QUALIFY place <= 5""",
         "query_collection": f"WITH v AS {first}, {asked}, {hits(5, ' AND v.collection_id = s.collection_id')} SELECT query_id, rank AS place, id, similarity FROM h",
+        "match_filtered": f"""
+            WITH v AS {first}, {asked}, m AS (SELECT id, any_value(metadata) AS m FROM chunks GROUP BY id),
+            k AS (SELECT id FROM m WHERE json_valid(m) AND (m->>'$.language' = 'en' OR (m->>'$.language' = 'de' AND m->>'$.domain' = 'tax') OR m->>'$.domain' = 'contract')),
+            {hits(10, " AND v.collection_id IN (SELECT id FROM collections WHERE user_id IS NOT NULL) AND v.id IN (FROM k)")} SELECT query_id, rank, id, similarity FROM h""",
         "colbert_search": f"""
             WITH v AS {first}, {asked}, {hits(20)}, e AS (SELECT query_id, id, rank, similarity, st, list_transform(se, lambda s: {each}) AS m FROM h JOIN a USING (query_id) JOIN v USING (id)),
             b AS (SELECT *, {best} AS top, round(coalesce({best}::DECIMAL(9, 6), CASE WHEN similarity < 1 THEN 1 - similarity::DECIMAL(9, 6) ELSE 0.5 END), 4)::DOUBLE AS colbert_score FROM e)

@@ -9,7 +9,7 @@ import random
 import re
 import time
 import zlib
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from typing import Protocol, TypeVar
 
 import numpy as np
@@ -103,13 +103,35 @@ def once(name: str, make: Callable[[], T]) -> Callable[[], T]:
     return kept
 
 
-#: Texts that one call to each provider may hold.
-PROVIDER_BATCHES = {"openai": 100, "cohere": 96, "isaacus": 50, "voyage": 128, "openrouter": 50}
+#: Texts that one call to a provider may hold; others take any number.
+PROVIDER_BATCHES = {"openai": 100, "cohere": 96, "isaacus": 50}
+#: The model that each configured key stands for, the first that is set counts; without any, that of DEFAULT_MODEL.
+MODEL_KEYS = (("MISTRAL_API_KEY", "open-mistral-nemo"), ("DEEPSEEK_API_KEY", "deepseek-chat"), ("OPENAI_API_KEY", "gpt-4o-mini"), ("OPENROUTER_API_KEY", "openai/gpt-4o-mini"))
+DEFAULT_MODEL = "gpt-4o-mini"
 
 
-def provider_of(models: Sequence[tuple], model: str) -> str:
-    """The provider that serves ``model`` in a registry of (model, provider, ...) rows; that of the first row for an unknown one."""
-    return next((r[1] for r in models if r[0] == model), models[0][1])
+def preferred_model(keys: Mapping[str, str]) -> str:
+    """The model to complete with, by which of MODEL_KEYS are set in ``keys`` (such as the environment)."""
+    return next((model for key, model in MODEL_KEYS if keys.get(key)), DEFAULT_MODEL)
+
+
+def routed(model: str, models: Sequence[tuple], makes: Mapping[str, Callable[[], Embedder]]) -> Callable[[], Embedder]:
+    """A maker of the embedder that serves ``model``, by its provider in a registry of (model, provider, ...) rows.
+
+    It sends as many texts in a call as the provider takes. An unknown model, or a provider without a maker, is refused.
+    """
+    provider = next((r[1] for r in models if r[0] == model), None)
+    if provider not in makes:
+        raise ValueError(f"no embedder for model {model!r}")
+    make = makes[provider]
+
+    def made() -> Embedder:
+        out = make()
+        if provider in PROVIDER_BATCHES:
+            out.batch = PROVIDER_BATCHES[provider]
+        return out
+
+    return made
 
 
 def messages(system: Column, history: Column | None, user: Column) -> Column:

@@ -132,6 +132,15 @@ def query_collection(spark: SparkSession, d: str) -> DataFrame:
     return retrieve.query_dataset(_searchable(spark, d), _asked_vectors(spark, d), hybrid=False, within="collection_id").select("query_id", "place", "id", "similarity")
 
 
+def match_filtered(spark: SparkSession, d: str) -> DataFrame:
+    """Vector retrieval in the collections of users who have any, under conditions on the chunks' metadata; ten of each query."""
+    own = table(spark, d, "collections").where("user_id IS NOT NULL").select(F.col("id").alias("collection_id"))
+    held = _chunks(spark, d, "collection_id", "metadata", "embedding_1536").join(own, "collection_id", "left_semi").withColumn("__m", F.try_parse_json("metadata"))
+    meta = {k: F.try_variant_get("__m", f"$.{k}", "string") for k in ("language", "domain")}
+    base = held.where(vector.matches_conditions(meta, [{"language": "en"}, {"language": "de", "domain": "tax"}, {"domain": "contract"}]))
+    return vector.search(base.select("id", F.col("embedding_1536").alias("embedding")), _asked_vectors(spark, d), k=10)
+
+
 def colbert_search(spark: SparkSession, d: str) -> DataFrame:
     return retrieve.colbert_search(_searchable(spark, d), _asked_vectors(spark, d)).fillna(-1, "best_sentence")
 
@@ -622,7 +631,7 @@ def session_count(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    names = """vector_topk vector_topk_batch vector_filtered threshold_gate vector_match_models maxsim_labels ivf_topk query_dataset query_collection colbert_search embedding_rerank
+    names = """vector_topk vector_topk_batch vector_filtered threshold_gate vector_match_models maxsim_labels ivf_topk query_dataset query_collection match_filtered colbert_search embedding_rerank
         decomposed_search agentic_search result_context result_stats positional_zip prompt_fill simple_chunks index_chunks enabled_metadata reporters json_mode adaptive_params workflow_halt collection_lookup cascade_delete tenant_rows new_collections insert_rows
         sentence_vectors_of sentence_vector_counts chunk_config contract_prefix json_replies hyde_expand metadata_fallback summaries chat_history latest_classification rrf_fusion rrf_agentic hybrid_merge colbert_rerank rerank_lexical
         keyword_search bm25_topk keywords sentences sentences_protected words abbrev_protect normalize_text sanitize token_stats colbert_sentences previews enhance template_fill

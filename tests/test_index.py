@@ -61,3 +61,16 @@ def test_nodes_of_a_workflow(spark):
     got = {r.rid: r for r in workflow.run(graph, asked, seen).collect()}
     assert got[1].r == "[Source: law.txt]\ncarriers owe damages" and got[2].r is None and got[3].r is None
     assert "[Source: law.txt]" in got[1].l and got[1].output == got[1].l
+
+
+def test_streamed_index_is_the_batch_one(spark, tmp_path):
+    from juralake.streaming import ingest
+
+    docs = spark.createDataFrame(DOCS, "doc_id int, title string, text string")
+    folder, out = str(tmp_path / "in"), str(tmp_path / "out")
+    docs.write.parquet(folder)
+    for _ in range(2):
+        ingest.ingest_index(ingest.read_documents(spark, folder, docs.schema), out, str(tmp_path / "cp"), "doc_id", "title", "text", providers.HashedWords).awaitTermination()
+    told = {(r.id, r.content) for r in index.build(docs, "doc_id", "title", "text", providers.HashedWords).collect()}
+    rows = spark.read.parquet(out).collect()
+    assert {(r.id, r.content) for r in rows} == told and len(rows) == len(told) == 2

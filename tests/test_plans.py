@@ -211,7 +211,12 @@ def test_provider_manners(spark):
         providers.retried(lambda: (_ for _ in ()).throw(providers.Transient()), attempts=2, wait=waited.append)
     make = providers.once("test", lambda: object())
     assert make() is make()
-    assert providers.provider_of(store.EMBEDDING_MODELS, "embed-v3") == "cohere" and providers.provider_of(store.EMBEDDING_MODELS, "?") == "openai"
+    makes = {"cohere": lambda: providers.HashedWords(8), "voyage": providers.HashedWords}
+    assert providers.routed("embed-v3", store.EMBEDDING_MODELS, makes)().batch == 96 and not hasattr(providers.routed("voyage-3-large", store.EMBEDDING_MODELS, makes)(), "batch")
+    for unknown in ("?", "kanon-2-embedder"):
+        with pytest.raises(ValueError):
+            providers.routed(unknown, store.EMBEDDING_MODELS, makes)
+    assert providers.preferred_model({}) == "gpt-4o-mini" and providers.preferred_model({"OPENAI_API_KEY": "x", "DEEPSEEK_API_KEY": "y"}) == "deepseek-chat"
     df = spark.createDataFrame([(1, [("user", "hi"), ("tool", "x"), ("assistant", "")], "now")], "i int, h array<struct<role:string,content:string>>, u string")
     assert df.select(providers.messages(F.lit("be kind"), F.col("h"), F.col("u"))).first()[0] == '[{"role":"system","content":"be kind"},{"role":"user","content":"hi"},{"role":"user","content":"now"}]'
     many = providers.hypothetical(spark.createDataFrame([("a long question",), ("short",)], "q string"), "q", lambda: providers.TemplateCompleter("H {prompt}"), n=2).collect()
