@@ -1,11 +1,11 @@
 """Sentence boundaries across languages and scripts.
 
 Every character is tagged as a boundary (the last of its unit) or inside by a linear-chain conditional random field, decoded
-by Viterbi. Whole batches are worked on as flat arrays: each character gets its class, and the pair of its class and the
-next ones' a learned table; where that table never saw a boundary the tag is inside with certainty, so the chain falls into
-stretches that can be decoded one by one and still give the best sequence of the whole text. Characters that may be
-boundaries get features of their context. The field is trained here, on annotated sentences joined at random. Text of
-unpunctuated scripts is tagged by features of the characters around each place, trained on text stripped of its marks.
+by Viterbi. Whole batches are worked on as flat arrays. Each character has a class; where training never saw a boundary
+between a character's class and the next one's, the tag is inside with certainty, so the chain falls into stretches that
+can be decoded one by one and still give the best sequence of the whole text. The other characters get features of their
+context. The field is trained here, on annotated sentences joined at random. Text of unpunctuated scripts is tagged by
+features of the characters around each place, trained on text stripped of its marks.
 """
 
 from __future__ import annotations
@@ -375,7 +375,8 @@ def _context(f: Flat, maybe: np.ndarray) -> Places:
         token, prior, known = np.where(plain, T_NONE, token), np.where(plain, P_WORD, prior), np.where(plain, 0, known)
         if (first_cls == SEMICOLON).any():  # a question mark where Greek stands before it
             seen = np.r_[0, np.cumsum(_greek()[f.cp])]
-            first_cls = np.where((first_cls == SEMICOLON) & (seen[s] > seen[np.maximum(s - GREEK_REACH, 0)]), NONE, first_cls)
+            since = np.maximum(s - GREEK_REACH, np.searchsorted(f.para, f.para[s]))  # no further back than its paragraph
+            first_cls = np.where((first_cls == SEMICOLON) & (seen[s] > seen[since]), NONE, first_cls)
         state = np.zeros(len(s), np.int64)
         if quotes:
             state = _quote_states(f, quotes, closing, s, e)

@@ -227,6 +227,15 @@ def test_long_paragraphs_cost_in_proportion():
     assert seconds(20_000) < 25 * max(seconds(2000), 0.02)  # a paragraph of a million characters
 
 
+def test_units_dont_depend_on_neighbouring_texts():
+    rng = random.Random(21)
+    texts = [" ".join(rng.sample(u, 2)) for u in HELD_OUT for _ in range(3)] + ["Ο Νίκος", "one; two", "", " ", "“open", "” closed. )"]
+    model = sentences.trained()
+    row, start, end = sentences.units_of(texts, model)
+    together = list(zip(row.tolist(), start.tolist(), end.tolist(), strict=True))
+    assert together == [(i, a, b) for i, t in enumerate(texts) for a, b in sentences.units(t, model)]
+
+
 def test_sentences_cover_whole_texts(spark):
     long = "A sentence of some length stands here. " * 5000
     df = spark.createDataFrame([("a", long, 1), ("b", None, 1), ("c", "", 1), ("d", "x" * 100_000, 1)], "id string, content string, start_pos int")
