@@ -332,7 +332,8 @@ class NearDuplicates:
         one = every.groupBy(own.alias("same")).agg(F.first("shingles").alias("shingles"), F.min("key").alias("rep"))
         self.classes = materialise(one.select(F.monotonically_increasing_id().alias("n"), "same", "rep", "shingles"), "classes")
         named = self.classes.select("same", "n", "rep", (F.size("shingles") > 0).alias("full"))
-        self.members = every.select(own.alias("same"), "key").distinct().join(named, "same").select("n", "key", "rep", "full")
+        self.members = materialise(every.select(own.alias("same"), "key").distinct().join(named, "same").select("n", "key", "rep", "full"), "members")
+        discard(every)  # the classes hold all that is still needed of the texts
         self.full = self.classes.where(F.size("shingles") > 0).select("n", "shingles")
         n_texts = self.full.count()
         self.weights = Weights(n_texts, *common_shingles(self.full, n_texts))
