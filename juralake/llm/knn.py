@@ -224,11 +224,13 @@ def _unit(column: pa.Array, dim: int) -> np.ndarray:
 
 
 def search(vectors: DataFrame, indexes: dict[str, Index], k: int) -> DataFrame:
-    """(n, m, cosine): for every vector the ``k`` others of its column that the index finds most similar, and those of other cells.
+    """(col, n, id, m, neighbour, cosine, rank): for every vector the ``k`` others of its column that the index finds most similar.
+
+    n and m are the numbers of id and neighbour; equal cosines go by neighbour. ``vectors`` are all different.
 
     Each vector goes once as a query to the group of its cluster, and with its code to every group that searches its cluster,
     so a query's candidates are all in one task and only its k best leave it. A group that is too large for a task is a grid of
-    cells, each with a part of its queries and a part of its candidates; then k leave each cell of a query.
+    cells, each with a part of its queries and a part of its candidates; then k leave each cell of a query, and are ranked anew.
     """
 
     def index_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,8 +265,8 @@ def search(vectors: DataFrame, indexes: dict[str, Index], k: int) -> DataFrame:
                             at = pa.array(row)
                             cell = (g * (1 << 40) + i.astype(np.int64) * (1 << 20) + j).astype(np.int64)
                             yield pa.RecordBatch.from_arrays(
-                                [pa.array([col] * len(row)), pa.array(cell), pa.array(n[row]), pa.array(cluster[row].astype(np.int32)), packed.take(at), b.column(2).take(pa.array(own[row])), pa.array(asking), pa.array(asked)],
-                                names=["col", "cell", "n", "cluster", "code", "unit", "asks", "held"],
+                                [pa.array([col] * len(row)), pa.array(cell), pa.array(n[row]), pa.array(cluster[row].astype(np.int32)), packed.take(at), b.column(2).take(pa.array(own[row])), pa.array(asking), pa.array(asked), b.column(3).take(pa.array(own[row]))],
+                                names=["col", "cell", "n", "cluster", "code", "unit", "asks", "held", "id"],
                             )
 
     def scan(table: pa.Table) -> pa.Table:
@@ -273,6 +275,8 @@ def search(vectors: DataFrame, indexes: dict[str, Index], k: int) -> DataFrame:
         asks, held = (table.column(c).to_numpy(zero_copy_only=False) for c in ("asks", "held"))
         order = np.lexsort((~asks, n))  # the same result whatever order rows arrive in
         n, asks, held = n[order], asks[order], held[order]
+        ids = np.array(table.column("id").to_pylist())[order]
+        by_id = np.argsort(np.argsort(ids, kind="stable"), kind="stable")
         cluster = table.column("cluster").to_numpy()[order]
         v = _unit(table.column("unit"), x.dim)[order]
         packed = np.frombuffer(b"".join(table.column("code").to_pylist()), np.uint8).reshape(len(n), -1)[order]
@@ -293,13 +297,21 @@ def search(vectors: DataFrame, indexes: dict[str, Index], k: int) -> DataFrame:
                 best = data[np.argpartition(-by_code, r - 1, axis=1)[:, :r]]
                 cosine = np.einsum("qd,qrd->qr", v[q].astype(float), v[best].astype(float))
                 cosine[n[best] == n[q][:, None]] = -np.inf
-                first = np.lexsort((n[best], -cosine), axis=1)[:, :k]
-                out.append((np.repeat(n[q], first.shape[1]), n[np.take_along_axis(best, first, 1)].ravel(), np.take_along_axis(cosine, first, 1).ravel()))
-        a, b, c = (np.concatenate(y) if out else np.empty(0, t) for y, t in zip(zip(*out, strict=True) if out else ((),) * 3, (np.int64, np.int64, float), strict=True))
-        return pa.table({"n": a[np.isfinite(c)], "m": b[np.isfinite(c)], "cosine": c[np.isfinite(c)]})
-
-    rows = vectors.select("n", "col", "unit").mapInArrow(index_rows, "col string, cell bigint, n bigint, cluster int, code binary, unit binary, asks boolean, held boolean")
-    return rows.groupBy("col", "cell").applyInArrow(scan, "n bigint, m bigint, cosine double")
+                first = np.lexsort((by_id[best], -cosine), axis=1)[:, :k]
+                rank = np.broadcast_to(np.arange(1, first.shape[1] + 1), first.shape)
+                out.append((np.repeat(q, first.shape[1]), np.take_along_axis(best, first, 1).ravel(), np.take_along_axis(cosine, first, 1).ravel(), rank.ravel()))
+        a, b, c, r = (np.concatenate(y) if out else np.empty(0, t) for y, t in zip(zip(*out, strict=True) if out else ((),) * 4, (np.int64, np.int64, float, np.int64), strict=True))
+        good = np.isfinite(c)
+        a, b, c, r = a[good], b[good], c[good], r[good]
+        text = pa.array(ids.astype(object), pa.string())
+        return pa.table({"col": pa.array([table.column("col")[0].as_py()] * len(a), pa.string()), "n": n[a], "id": text.take(pa.array(a)), "m": n[b], "neighbour": text.take(pa.array(b)), "cosine": c, "rank": pa.array(r, pa.int32())})
+
+    rows = vectors.select("n", "col", "unit", "id").mapInArrow(index_rows, "col string, cell bigint, n bigint, cluster int, code binary, unit binary, asks boolean, held boolean, id string")
+    found = rows.groupBy("col", "cell").applyInArrow(scan, "col string, n bigint, id string, m bigint, neighbour string, cosine double, rank int")
+    if all(x.cells(g)[1:] == (1, 1) for x in indexes.values() for g in np.unique(x.group)):
+        return found
+    ranked = W.partitionBy("n").orderBy(F.col("cosine").desc(), "neighbour")
+    return found.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k)
 
 
 def train_all(vectors: DataFrame, dims: dict[str, int], train_rows: int = TRAIN_ROWS) -> dict[str, Index]:
@@ -331,20 +343,22 @@ def nearest(chunks: DataFrame, models: DataFrame, k: int = 5) -> DataFrame:
     spare = copied.where("n <> entry").select("n")
     entries = v.join(spare, "n", "left_anti")
     links = materialise(search(entries, train_all(entries, dims), k), "neighbours")
+    # Entries that stand for copies, and those that have such a neighbour, are ranked anew; the others' ranks stand.
     copies = copied.select("entry", "col", "id").distinct()
+    many = copies.select(F.col("entry").alias("m")).distinct()
+    touched = materialise(links.join(many, "m", "left_semi").select("n").union(many.select("m")).distinct(), "touched")
+    plain = links.join(touched, "n", "left_anti").select("col", "id", "rank", "neighbour", "cosine")
     first = W.partitionBy("entry").orderBy("id")
-    some = copies.withColumn("r", F.row_number().over(first)).where(F.col("r") <= k + 1).select("entry", F.col("id").alias("neighbour"))
-    # Entries' ids, with the first copies of an entry that has any.
-    names = slim.join(spare, "n", "left_anti").select(F.col("n").alias("entry"), "col", "id")
-    as_target = names.select("entry", F.col("id").alias("neighbour")).unionByName(some).distinct()
-    reached = links.select(F.col("n").alias("entry"), F.col("m"), "cosine")
-    to_names = reached.join(as_target.select(F.col("entry").alias("m"), "neighbour"), "m").select("entry", "neighbour", "cosine")
-    singles = names.join(to_names, "entry").select("col", "id", "neighbour", "cosine")
-    others = copies.join(names.select("entry", F.col("id").alias("own")), "entry").where("id <> own").join(to_names, "entry").select("col", "id", "neighbour", "cosine")
-    fellows = copies.join(some, "entry").where("id <> neighbour").select("col", "id", "neighbour", F.lit(1.0).alias("cosine"))
-    every = singles.unionByName(others).unionByName(fellows).where("id <> neighbour")
+    some = copies.withColumn("r", F.row_number().over(first)).where(F.col("r") <= k + 1).select("entry", F.col("id").alias("other"))
+    reached = links.join(touched, "n", "left_semi").join(some.withColumnRenamed("entry", "m"), "m", "left")
+    named = reached.select("n", "col", "id", F.coalesce("other", "neighbour").alias("neighbour"), "cosine")
+    best = W.partitionBy("n").orderBy(F.col("cosine").desc(), "neighbour")
+    few = named.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k)
+    own = few.join(copies.select(F.col("entry").alias("n"), F.col("id").alias("copy")), "n", "left").select("col", F.coalesce("copy", "id").alias("id"), "neighbour", "cosine")
+    fellows = copies.join(some, "entry").select("col", "id", F.col("other").alias("neighbour"), F.lit(1.0).alias("cosine"))
     ranked = W.partitionBy("col", "id").orderBy(F.col("cosine").desc(), "neighbour")
-    return every.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k).select("col", "id", "rank", "neighbour", "cosine")
+    again = own.unionByName(fellows).where("id <> neighbour").withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k)
+    return plain.unionByName(again.select(*plain.columns))
 
 
 def similar_pairs(near: DataFrame, least: float) -> DataFrame:
