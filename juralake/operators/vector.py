@@ -32,14 +32,16 @@ def usable(vector: str, dim: int | None = None) -> Column:
 
 
 def _packed(df: DataFrame, ident: str, vector: str, extra: str | None, within: str | None) -> DataFrame:
-    """Blocks of up to BLOCK rows of one size and one value of ``within``: ids, float32 bytes, and ``extra`` (an INT) of each."""
+    """Blocks of up to BLOCK rows of one size and one value of ``within``: ids, bytes of the vectors as they come (floats or doubles), and
+    ``extra`` (an INT) of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for s in (b.slice(i, BLOCK) for i in range(0, b.num_rows, BLOCK)):
                 lists = s.column(1)
                 size = np.diff(lists.offsets.to_numpy())
-                flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float32)
+                flat = lists.flatten().to_numpy(zero_copy_only=False)
+                flat = flat if flat.dtype in (np.float32, np.float64) else flat.astype(np.float64)
                 begin = np.cumsum(size) - size
                 groups = pc.fill_null(s.column(3), "").dictionary_encode()
                 cell = size.astype(np.int64) * len(groups.dictionary) + groups.indices.to_numpy()
@@ -76,8 +78,9 @@ def _similarities(b: pa.RecordBatch, r: int) -> tuple[pa.Array, pa.Array, np.nda
     of = {n: b.column(i)[r] for i, n in enumerate(b.schema.names)}
     dim = of["dim"].as_py()
     unit = []
-    for name in ("qv", "vectors"):
-        v = np.frombuffer(of[name].as_buffer(), np.float32).reshape(-1, dim).astype(np.float64)
+    for name, rows in (("qv", len(of["qids"].values)), ("vectors", len(of["ids"].values))):
+        raw = of[name].as_buffer()
+        v = np.frombuffer(raw, np.float64 if len(raw) == 8 * rows * dim else np.float32).reshape(-1, dim).astype(np.float64)
         unit.append(v / np.linalg.norm(v, axis=1, keepdims=True))
     return of["qids"].values, of["ids"].values, np.round(unit[0] @ unit[1].T, 6)
 

@@ -39,6 +39,13 @@ def test_search_ties_bad_vectors_and_empty(spark):
     assert vector.search(base.limit(0), q).count() == 0 and vector.search(base, q.limit(0)).count() == 0
 
 
+def test_search_keeps_doubles(spark):
+    base = spark.createDataFrame([("a", [1.0, 1e-9]), ("b", [1.0, 0.5])], "id string, embedding array<double>")
+    q = spark.createDataFrame([(1, [1.0, 0.5])], "query_id int, embedding array<float>")
+    got = vector.search(base, q, k=2).orderBy("rank").collect()
+    assert [(r.id, r.similarity) for r in got] == [("b", 1.0), ("a", round(1 / math.sqrt(1.25), 6))]
+
+
 def test_cosine_column(spark):
     df = spark.createDataFrame([([1.0, 0.0], [1.0, 1.0]), ([0.0, 0.0], [1.0, 1.0]), (None, [1.0]), ([1.0], [1.0, 2.0])], "a array<float>, b array<float>")
     got = [r[0] for r in df.select(vector.cosine(F.col("a"), F.col("b"))).collect()]
