@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from juralake.functions import classify, extract, text
+from juralake import oracle_patterns as fixed
+from juralake.functions import text
 
 #: White space that patterns mean.
 S = r"[ \t\n\r\f]"
@@ -18,7 +19,7 @@ def _re(pattern: str) -> str:
 
 
 def _keywords(c: str) -> str:
-    stop = ", ".join(f"'{w}'" for w in text.KEYWORD_STOPWORDS)
+    stop = ", ".join(f"'{w}'" for w in fixed.STOPWORDS)
     return f"list_filter(regexp_extract_all({LOW.format(c)}, '{W}+'), lambda w: length(w) > 3 AND NOT list_contains([{stop}], w))[1:3]"
 
 
@@ -77,9 +78,9 @@ def _query_class(asked: str = ASKED) -> str:
     return f"""
         WITH t AS (SELECT query_id, raw, regexp_replace(lower(translate(raw, chr(160) || chr(12288), '  ')), '^[ \t\n\r\f\x0b]+|[ \t\n\r\f\x0b]+$', '', 'g') AS q FROM {asked}),
         n AS (SELECT *, {N_WORDS.format("q")} AS w FROM t),
-        s AS (SELECT *, {_scores(classify.FACTUAL)} + CASE WHEN w <= 6 THEN 0.5 ELSE 0 END AS f, {_scores(classify.KEYWORD)} + CASE WHEN w <= 3 THEN 1.5 ELSE 0 END + CASE WHEN w = 1 THEN 1 ELSE 0 END AS k,
-                {_scores(classify.COMPLEX)} + CASE WHEN w > 15 THEN 1 ELSE 0 END + CASE WHEN w > 25 THEN 1 ELSE 0 END AS x,
-                {_scores(classify.CONCEPTUAL)} + CASE WHEN w BETWEEN 5 AND 15 AND regexp_matches(q, '^(how|why)') THEN 0.5 ELSE 0 END AS c, least(1.0, {_scores(classify.LEGAL, 0.3)}) AS boost FROM n),
+        s AS (SELECT *, {_scores(fixed.FACTUAL)} + CASE WHEN w <= 6 THEN 0.5 ELSE 0 END AS f, {_scores(fixed.KEYWORD)} + CASE WHEN w <= 3 THEN 1.5 ELSE 0 END + CASE WHEN w = 1 THEN 1 ELSE 0 END AS k,
+                {_scores(fixed.COMPLEX)} + CASE WHEN w > 15 THEN 1 ELSE 0 END + CASE WHEN w > 25 THEN 1 ELSE 0 END AS x,
+                {_scores(fixed.CONCEPTUAL)} + CASE WHEN w BETWEEN 5 AND 15 AND regexp_matches(q, '^(how|why)') THEN 0.5 ELSE 0 END AS c, least(1.0, {_scores(fixed.LEGAL, 0.3)}) AS boost FROM n),
         b AS (SELECT *, CASE WHEN coalesce(q, '') = '' THEN 'factual' ELSE list_extract(['factual', 'keyword', 'complex', 'conceptual'], list_position([f, k, x, c], greatest(f, k, x, c))) END AS kind FROM s),
         r AS (SELECT *, CASE kind WHEN 'factual' THEN 5 WHEN 'keyword' THEN 3 WHEN 'complex' THEN 10 ELSE 8 END AS base, coalesce(q, '') <> '' AND boost > 0.5 AS legal FROM b)
         SELECT query_id, raw AS q, kind, CASE WHEN coalesce(q, '') = '' THEN 0.5 ELSE round(least(0.95, greatest(f, k, x, c)::DOUBLE / CASE WHEN f + k + x + c > 0 THEN f + k + x + c ELSE 1 END + 0.1), 6) END AS confidence,
@@ -224,7 +225,7 @@ def _retrieval() -> dict[str, str]:
     hits = lambda k, more="": f"h AS (SELECT query_id, v.id, {cos} AS similarity, row_number() OVER (PARTITION BY query_id ORDER BY {cos} DESC, v.id) AS rank FROM a JOIN search_queries s USING (query_id), v WHERE {cos} > 0{more} QUALIFY rank <= {k})"
     overlap = f"""(SELECT *, CASE WHEN len(x) + len(y) > 0 THEN round(len(list_intersect(x, y)) / (len(x) + len(y) - len(list_intersect(x, y))), 6) ELSE 0 END AS s
         FROM (SELECT *, list_distinct(regexp_extract_all({LOW.format("query")}, '{W}+')) AS x, list_distinct(regexp_extract_all({LOW.format("content")}, '{W}+')) AS y FROM @))"""
-    split = f"coalesce(length(query) >= 20 AND ({' OR '.join(f'regexp_matches(query, {_re("(?i)" + p)})' for p in classify.DECOMPOSE)} OR {N_WORDS.format('query')} > 20), false)"
+    split = f"coalesce(length(query) >= 20 AND ({' OR '.join(f'regexp_matches(query, {_re("(?i)" + p)})' for p in fixed.DECOMPOSE)} OR {N_WORDS.format('query')} > 20), false)"
     best = "list_max(m)"
     each = f"CASE WHEN {_sound('s')} AND len(s) = len(q) THEN CASE WHEN len(list_filter(s, lambda x: x <> 0)) = 0 THEN 0 ELSE {COS.format('s', 'q')} END END"
     return {
@@ -310,11 +311,11 @@ def oracle_sql() -> dict[str, str]:
     def group(pattern: str, i: int) -> str:
         return f"regexp_extract_all(syn, {_re(pattern)}, {i})"
 
-    date_day = _re(r"(?i)([0-9]{1,2}[ \t\n\r\f]+(?:" + extract.MONTH + r")[ \t\n\r\f]+[0-9]{4})")
-    refs = f"list_transform(list_zip({group(extract.ARTICLE_REF, 1)}, {group(extract.ARTICLE_REF, 2)}), lambda m: m[1] || ' ' || m[2])[1:5]"
-    dates = f"list_transform(list_zip({group(extract.DATE, 1)}, {group(extract.DATE, 2)}), lambda m: m[1] || ', ' || m[2])[1:3]"
-    cites = f"list_transform(list_zip({', '.join(group(extract.REPORT_CITATION, i) for i in range(1, 5))}), lambda m: '(' || m[1] || ') ' || m[2] || ' ' || m[3] || ' ' || m[4])[1:3]"
-    found = f"list_transform({group(extract.ENTITY, 1)}, lambda x: lower(x))"
+    date_day = _re(r"(?i)([0-9]{1,2}[ \t\n\r\f]+(?:" + fixed.MONTH + r")[ \t\n\r\f]+[0-9]{4})")
+    refs = f"list_transform(list_zip({group(fixed.ARTICLE_REF, 1)}, {group(fixed.ARTICLE_REF, 2)}), lambda m: m[1] || ' ' || m[2])[1:5]"
+    dates = f"list_transform(list_zip({group(fixed.DATE, 1)}, {group(fixed.DATE, 2)}), lambda m: m[1] || ', ' || m[2])[1:3]"
+    cites = f"list_transform(list_zip({', '.join(group(fixed.REPORT_CITATION, i) for i in range(1, 5))}), lambda m: '(' || m[1] || ') ' || m[2] || ' ' || m[3] || ' ' || m[4])[1:3]"
+    found = f"list_transform({group(fixed.ENTITY, 1)}, lambda x: lower(x))"
     entities = f"list_transform(list_filter(list_zip({found}, range(1, len({found}) + 1)), lambda m: list_position({found}, m[1]) = m[2]), lambda m: m[1])[1:5]"
     defaults = {"search_mode": "'hybrid'", "reranking_enabled": "true", "legal_tokenization": "true", "sac_enabled": "false", "hyde_enabled": "false", "query_decomposition_enabled": "false", "agentic_enabled": "false", "colbert_enabled": "false"}
     return {
@@ -387,7 +388,7 @@ def oracle_sql() -> dict[str, str]:
         "contract_prefix": _contract("text", "md5('[' || concat_ws(' - ', 'Section ' || nullif(number, ''), nullif(title, '')) || ']' || chr(10) || chr(10) || content) AS digest"),
         "sentence_vector_counts": f"SELECT doc_id, n::INT AS num_sentences, n::INT AS vectors, digest FROM ({_colbert_sentences(trim)})",
         "metadata_fallback": f"""
-            SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'case_law' ELSE {_first(extract.DOCUMENT_TYPES)} END AS document_type, CASE WHEN doc_id % 2 = 0 THEN 'EU' ELSE {_first(extract.JURISDICTIONS)} END AS jurisdiction,
+            SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'case_law' ELSE {_first(fixed.DOCUMENT_TYPES)} END AS document_type, CASE WHEN doc_id % 2 = 0 THEN 'EU' ELSE {_first(fixed.JURISDICTIONS)} END AS jurisdiction,
                    CASE WHEN doc_id % 2 = 0 THEN '2020-05-06' WHEN iso <> '' THEN iso WHEN dmy <> '' THEN strftime(try_strptime(regexp_replace(dmy, '{S}+', '-', 'g'), '%d-%B-%Y'), '%Y-%m-%d') END AS date
             FROM (SELECT doc_id, lower(left(syn, 3000)) AS h, regexp_extract(left(syn, 3000), '([0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}})', 1) AS iso, regexp_extract(left(syn, 3000), {date_day}, 1) AS dmy FROM {SEEDED})""",
         "summaries": f"SELECT doc_id, CASE WHEN l THEN 'of a text' ELSE '' END AS summary, md5(CASE WHEN l THEN '[CONTEXT: of a text]' || chr(10) || chr(10) || text ELSE text END) AS digest FROM (SELECT doc_id, text, coalesce(length({trim.format('text')}) >= 50, false) AS l FROM documents)",
@@ -402,7 +403,7 @@ def oracle_sql() -> dict[str, str]:
         "legal_citations": f"SELECT doc_id, array_to_string({cites}, ' ; ') AS cites FROM {SEEDED}",
         "legal_entities": f"SELECT doc_id, array_to_string({entities}, ' ; ') AS entities FROM {SEEDED}",
         "citations": f"""
-            WITH c AS (SELECT doc_id, list_zip({", ".join(group(extract.CASE_CITATION, i) for i in range(1, 7))}) AS a, list_zip({group(extract.STATUTE, 1)}, {group(extract.STATUTE, 2)}) AS b FROM {SEEDED}),
+            WITH c AS (SELECT doc_id, list_zip({", ".join(group(fixed.CASE_CITATION, i) for i in range(1, 7))}) AS a, list_zip({group(fixed.STATUTE, 1)}, {group(fixed.STATUTE, 2)}) AS b FROM {SEEDED}),
             e AS (SELECT doc_id, unnest(range(0, len(a)))::INT AS pos, 'case' AS kind, unnest(a) AS m, NULL AS s FROM c UNION ALL SELECT doc_id, (len(a) + unnest(range(0, len(b))))::INT, 'statute', NULL, unnest(b) FROM c)
             SELECT doc_id, pos, kind, coalesce(m[1], s[1]) AS volume, coalesce(m[3], s[2]) AS page, m[6] AS year,
                    CASE kind WHEN 'case' THEN m[1] || ' ' || m[2] || ' ' || m[3] || CASE WHEN m[4] <> '' THEN ', ' || m[4] ELSE '' END || ' (' || m[5] || ' ' || m[6] || ')' ELSE s[1] || ' U.S.C. § ' || s[2] END AS normal FROM e""",
@@ -414,17 +415,17 @@ def oracle_sql() -> dict[str, str]:
         "metadata_heuristic": f"""
             WITH x AS (SELECT doc_id, left(syn, 3000) AS t, lower(left(syn, 3000)) AS h FROM {SEEDED}),
             y AS (SELECT *, regexp_extract(t, '([0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}})', 1) AS iso, regexp_extract(t, {date_day}, 1) AS dmy FROM x)
-            SELECT doc_id, {_first(extract.DOCUMENT_TYPES)} AS document_type, {_first(extract.JURISDICTIONS)} AS jurisdiction, {_first(extract.PRACTICE_AREAS)} AS practice_area,
+            SELECT doc_id, {_first(fixed.DOCUMENT_TYPES)} AS document_type, {_first(fixed.JURISDICTIONS)} AS jurisdiction, {_first(fixed.PRACTICE_AREAS)} AS practice_area,
                    CASE WHEN iso <> '' THEN iso WHEN dmy <> '' THEN regexp_replace(dmy, '{S}+', '-', 'g') END AS date,
                    CASE WHEN iso <> '' THEN iso WHEN dmy <> '' THEN strftime(try_strptime(regexp_replace(dmy, '{S}+', '-', 'g'), '%d-%B-%Y'), '%Y-%m-%d') END AS date_iso FROM y""",
         "enabled_metadata": f"""
-            SELECT doc_id, concat_ws(';', 'document_type=' || {_first(extract.DOCUMENT_TYPES)}, 'jurisdiction=' || {_first(extract.JURISDICTIONS)}) AS kept FROM (SELECT doc_id, lower(left(syn, 3000)) AS h FROM {SEEDED})""",
+            SELECT doc_id, concat_ws(';', 'document_type=' || {_first(fixed.DOCUMENT_TYPES)}, 'jurisdiction=' || {_first(fixed.JURISDICTIONS)}) AS kept FROM (SELECT doc_id, lower(left(syn, 3000)) AS h FROM {SEEDED})""",
         "reporters": f"""
-            SELECT doc_id, pos, CASE regexp_replace(r, '{S}', '', 'g') {" ".join(f"WHEN {_re(k)} THEN {_re(v)}" for k, v in extract.REPORTERS.items())} END AS reporter
-            FROM (SELECT doc_id, unnest(range(0, len(a)))::INT AS pos, unnest(a) AS r FROM (SELECT doc_id, {group(extract.CASE_CITATION, 2)} AS a FROM {SEEDED}))""",
+            SELECT doc_id, pos, CASE regexp_replace(r, '{S}', '', 'g') {" ".join(f"WHEN {_re(k)} THEN {_re(v)}" for k, v in fixed.REPORTERS.items())} END AS reporter
+            FROM (SELECT doc_id, unnest(range(0, len(a)))::INT AS pos, unnest(a) AS r FROM (SELECT doc_id, {group(fixed.CASE_CITATION, 2)} AS a FROM {SEEDED}))""",
         "metadata_normal": "SELECT doc_id, replace(lower(doc_type), ' ', '_') AS doc_type, CASE WHEN doc_id % 2 = 0 THEN 'EU' ELSE jurisdiction END AS jurisdiction FROM documents",
         "query_class": _query_class(),
-        "decompose_gate": f"SELECT query_id, raw AS q, coalesce(length(raw) >= 20 AND ({' OR '.join(f'regexp_matches(raw, {_re("(?i)" + p)})' for p in classify.DECOMPOSE)} OR {N_WORDS.format('raw')} > 20), false) AS decompose FROM {ASKED}",
+        "decompose_gate": f"SELECT query_id, raw AS q, coalesce(length(raw) >= 20 AND ({' OR '.join(f'regexp_matches(raw, {_re("(?i)" + p)})' for p in fixed.DECOMPOSE)} OR {N_WORDS.format('raw')} > 20), false) AS decompose FROM {ASKED}",
         "collection_counts": "SELECT c.id, c.name, count(DISTINCT k.id) AS n_chunks FROM collections c LEFT JOIN chunks k ON k.collection_id = c.id GROUP BY 1, 2",
         "settings_merge": "SELECT id, " + ", ".join(f"coalesce(retrieval_settings.{k}, {v}) AS {k}" for k, v in defaults.items()) + " FROM collections",
         "legal_sources": "SELECT id, name FROM collections WHERE json_valid(metadata) AND metadata->>'$.source_type' = 'legal_source'",
