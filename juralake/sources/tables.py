@@ -39,6 +39,21 @@ def first_deliveries(chunks: DataFrame, *columns: str) -> DataFrame:
     return spread(chunks.select("id"), kept.select("id", *columns))
 
 
+def rows_of_sample(table: DataFrame, chosen: DataFrame, key: str, *columns: str) -> DataFrame:
+    """``key``, ``columns`` and the other columns of ``chosen``: the rows of a plain scan that a bounded sample has chosen by ``key``.
+
+    ``chosen`` has as few rows as can be sent to all. A pass over the keys finds the files that hold them, and only those are read
+    for ``columns``, so a sample of a large table costs the texts of as many files as it has rows at most.
+    """
+    held = F.broadcast(chosen)
+    paths = table.inputFiles()
+    if len(paths) > 1:
+        found = table.select(key, F.col("_metadata.file_path").alias("__path")).join(F.broadcast(chosen.select(key)), key, "left_semi")
+        paths = [r[0] for r in found.select("__path").distinct().collect()]
+        table = table.sparkSession.read.schema(table.schema).parquet(*paths) if paths else table.limit(0)
+    return table.select(key, *columns).join(held, key)
+
+
 def spread(scan: DataFrame, rows: DataFrame | None = None) -> DataFrame:
     """``rows``, which come of the plain read ``scan`` (or are it), over at least as many partitions as the session has cores.
 

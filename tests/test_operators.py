@@ -143,6 +143,18 @@ def test_first_deliveries(spark, tmp_path):
     assert "Exchange hashpartitioning(id" not in tables.first_deliveries(df, "content")._jdf.queryExecution().executedPlan().toString()
 
 
+def test_rows_of_a_sample(spark, tmp_path):
+    from juralake.sources import tables
+
+    spark.range(0, 100, 1, 5).select(F.col("id").cast("string").alias("id"), F.concat(F.lit("t"), "id").alias("content")).write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    chosen = spark.createDataFrame([("3", "a"), ("97", "b"), ("x", "c")], "id string, label string")
+    assert sorted(map(tuple, tables.rows_of_sample(df, chosen, "id", "content").collect())) == [("3", "t3", "a"), ("97", "t97", "b")]
+    assert len(tables.rows_of_sample(df, chosen, "id", "content").inputFiles()) == 2
+    assert tables.rows_of_sample(df, chosen.limit(0), "id", "content").count() == 0
+    assert tables.rows_of_sample(spark.createDataFrame([("3", "z")], "id string, content string"), chosen, "id", "content").count() == 1
+
+
 def test_contract_chunks_reads_whole_texts(spark, sf):
     size = {r.doc_id: r.n for r in spark.read.parquet(f"{sf}/documents.parquet").selectExpr("doc_id", "length(trim(text)) AS n").where("n > 1000").collect()}
     held = {}
