@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 
 from juralake.functions.labels import resolve
 from juralake.llm.bpe import count_tokens
-from juralake.sources.tables import delivered_once, first_deliveries
+from juralake.session import materialise
+from juralake.sources.tables import delivered_once, first_deliveries, rows_of_sample
 
 #: Rows of each language that are tokenized to fit its model, those held out to correct its bias, and those that tell its error.
 FIT_ROWS = 300
@@ -115,7 +116,7 @@ def fit(chunks: DataFrame, aliases: DataFrame, vocab: str, fit_rows: int = FIT_R
     w = W.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
     chosen = labelled_chunks(chunks, aliases).select("id", "lang", F.row_number().over(w).alias("n")).where(F.col("n") <= fit_rows + holdout_rows + test_rows)
     # As many rows as the alias table has languages, and one more, times the rows of each: small enough to be sent to all.
-    once = delivered_once(chunks.select("id", "content").join(F.broadcast(chosen), "id"), "content", "lang", "n").where(F.length("content") > 0)
+    once = delivered_once(rows_of_sample(chunks, materialise(chosen, "chosen"), "id", "content"), "content", "lang", "n").where(F.length("content") > 0)
     sample = once.select("lang", "n", F.col("content").alias("t1"), F.col("content").alias("t2"))
     rows = with_features(count_tokens(sample, "t1", vocab), "t2").collect()
     return fit_rows_of([(r["lang"], int(r["n"] > fit_rows) + int(r["n"] > fit_rows + holdout_rows), [r[f] for f in FEATURES], r["n_tokens"]) for r in rows])

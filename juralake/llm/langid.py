@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 from juralake.functions.labels import resolve
 from juralake.llm import sentence_seed
 from juralake.llm.sentences import Field, trained, units_of
+from juralake.session import materialise
+from juralake.sources.tables import rows_of_sample, spread
 
 #: Labelled documents of each language that dictionaries are made from, at most, and bytes of a dictionary.
 FIT_DOCS = 160
@@ -326,14 +328,16 @@ def fit(documents: DataFrame, aliases: DataFrame, fit_docs: int = FIT_DOCS) -> D
     labelled = resolve(documents.select("doc_id", "lang"), aliases, "lang", "lang", "label").where(F.col("label").isin(*LANGUAGES))
     w = W.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id")
     chosen = labelled.select("doc_id", "label", F.row_number().over(w).alias("n")).where(F.col("n") <= fit_docs)
-    rows = documents.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(chosen), "doc_id").select("label", "text").collect()  # fit_docs rows a language at most
+    held = rows_of_sample(documents, materialise(chosen.select("doc_id", "label"), "chosen"), "doc_id", "text")
+    rows = held.where("text IS NOT NULL").select("label", "text").collect()  # fit_docs rows a language at most
     return make([(r["label"], r["text"]) for r in rows])
 
 
 def language_stretches(documents: DataFrame, dicts: Dictionaries) -> DataFrame:
     """(doc_id, raw, stretches): one row per document; ``raw`` is its label as given, ``stretches`` an array of (start, end, lang, confidence).
 
-    The whole text is read. NULL, empty and wordless texts have an empty array. Documents are independent: no shuffle.
+    The whole text is read. NULL, empty and wordless texts have an empty array. Documents are independent: no shuffle but that
+    of ``spread``, which ``documents``, a plain read, needs where it has few partitions.
     """
     content, model = dicts.content, trained()
     kind = "array<struct<start:bigint,end:bigint,lang:string,confidence:double>>"
@@ -346,7 +350,7 @@ def language_stretches(documents: DataFrame, dicts: Dictionaries) -> DataFrame:
             found = [[dict(zip(("start", "end", "lang", "confidence"), x, strict=True)) for x in own] for own in every_stretch(one.dictionary.to_pylist(), d, model)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, t).take(one.indices)], names=["doc_id", "raw", "stretches"])
 
-    return documents.select("doc_id", F.col("lang").alias("raw"), "text").mapInArrow(run, f"doc_id bigint, raw string, stretches {kind}")
+    return spread(documents).select("doc_id", F.col("lang").alias("raw"), "text").mapInArrow(run, f"doc_id bigint, raw string, stretches {kind}")
 
 
 def language_segments(documents: DataFrame, aliases: DataFrame) -> DataFrame:

@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 
 from juralake.llm import sentence_seed as seed
 from juralake.llm.words import mix
+from juralake.session import materialise
+from juralake.sources.tables import rows_of_sample
 
 #: Classes of characters.
 (OTHER, SPACE, LINE, DIGIT, UPPER, LOWER, HAN, KANA, THAI, CASELESS, STOP, DOTS, ASK, WIDE, DANDA, SEMICOLON, OPEN_QUOTE, CLOSE_QUOTE, QUOTE, APOSTROPHE, OPEN_BRACKET, CLOSE_BRACKET, DASH, COMMA, NONE) = range(25)
@@ -787,9 +789,9 @@ def adapted(model: Field, texts: Sequence[str]) -> Field:
 
 def fit_texts(texts: DataFrame, n: int = FIT_TEXTS) -> list[str]:
     """At most ``n`` contents, those of the smallest hashes of id; they are chosen by id alone, and only then read."""
-    chosen = texts.select("id").orderBy(F.xxhash64("id"), "id").limit(n)
-    rows = texts.select("id", "content").where("content IS NOT NULL").join(F.broadcast(chosen), "id", "left_semi").collect()  # n rows at most
-    return [r["content"] for r in sorted(rows, key=lambda r: r["id"])]
+    chosen = materialise(texts.select("id").where("id IS NOT NULL").distinct().orderBy(F.xxhash64("id"), "id").limit(n), "chosen")
+    rows = rows_of_sample(texts, chosen, "id", "content").where("content IS NOT NULL").collect()  # n ids at most
+    return [c for _, c in sorted({(r["id"], r["content"]) for r in rows})]
 
 
 def sentence_units(texts: DataFrame, model: Field | None = None) -> DataFrame:
