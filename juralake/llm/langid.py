@@ -42,8 +42,8 @@ HEADING = 40
 #: A sentence's own language is certain if the next best is larger by so many bytes and by so large a part of the smallest.
 MARGIN_BYTES = 4
 MARGIN_SHARE = 0.07
-#: It must also be smaller, by this part, than with the background dictionary, or with the least fitting one of its script. Of sentences in languages that there is a
-#: dictionary of, over 99 % save more; of those in kindred languages without one (Ukrainian, Persian, Polish) next to none.
+#: It must also be smaller, by this part, than with the background dictionary, or with the least fitting one of its script. Nearly all
+#: sentences in languages that there is a dictionary of save more, but for headings; those tried in Ukrainian, Persian and Polish less.
 LEAST_GAIN = 0.12
 #: The margins for a whole text, where none of its sentences is certain on its own.
 WHOLE_BYTES = 2
