@@ -310,6 +310,29 @@ def test_probes_grow_with_the_clusters():
     assert len(index.centres) > 150 and found >= 0.96
 
 
+def test_vectors_search_by_their_own_place():
+    rng = np.random.default_rng(12)
+    v = (rng.normal(size=(40, 48))[rng.integers(0, 40, 6000)] + 1.5 * rng.normal(size=(6000, 48))).astype(np.float32)
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    index = knn.train(v, 1_000_000)
+    cluster, searched = index.near(v)
+    size = np.bincount(cluster, minlength=len(index.centres)) / len(v)
+    s = v[:400] @ v.T
+    s[np.arange(400), np.arange(400)] = -2
+    near = np.argsort(-s, axis=1)[:, :5]
+    assert (searched[:400, None, :] == cluster[near][:, :, None]).any(axis=2).mean() >= 0.96
+    assert size[searched].sum(axis=1).mean() < 0.2 < 0.5 < size[index.probes[cluster]].sum(axis=1).mean()  # what whole clusters would search
+    assert index.n_cells >= 10 and (index.parts == 1).all()  # each vector is a candidate in one cell
+
+
+def test_equal_cosines_go_by_neighbour_across_cells(spark, monkeypatch):
+    monkeypatch.setattr(knn, "CELL_ROWS", 10)
+    df = spark.createDataFrame([(f"v{i:02}", np.eye(32)[(i * 7) % 32].tolist()) for i in range(32)], "id string, e32 array<float>")
+    models = spark.createDataFrame([("a", "e32", 32)], "model string, vector_column string, stored_dims int")
+    got = {(r.id, r["rank"]): r.neighbour for r in knn.nearest(df, models).collect()}
+    assert len(got) == 160 and all(got[f"v{i:02}", j + 1] == f"v{[x for x in range(32) if x != i][j]:02}" for i in range(32) for j in range(5))
+
+
 def test_nearest_of_nothing(spark):
     models = spark.createDataFrame([("b", "e2", 2)], "model string, vector_column string, stored_dims int")
     assert knn.nearest(spark.createDataFrame([], "id string, e2 array<float>"), models).count() == 0
