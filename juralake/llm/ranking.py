@@ -21,6 +21,8 @@ MAD_TO_SIGMA = 1.4826
 MEAN_TO_SIGMA = 1.2533
 #: percentile_approx keeps every value up to about this many per group: medians are exact there and bounded in memory beyond.
 ACCURACY = 10_000
+#: Scores beyond this may overflow where they are centred and scaled.
+HUGE = 1e100
 
 
 def usable(c: Column) -> Column:
@@ -93,12 +95,27 @@ def ranked(fused: DataFrame, group: str, key: str) -> DataFrame:
     return rank_by_range(fused, [group], [score.desc(), F.col(key)], "place")
 
 
-def best_in_each(cands: DataFrame, group: str, key: str, scores: Sequence[str], k: int) -> DataFrame:
-    """Rows among their group's ``k`` best in every one of ``scores``; a row that lacks a score isn't among them.
+def leading(ranking: DataFrame, group: str, scores: Sequence[str], k: int) -> DataFrame:
+    """Rows of a ranking, high enough in it to be among their group's ``k`` best in every one of ``scores``; a row that lacks a score isn't.
+
+    A row that comes before another, with all scores and not just equal, is better in one of them, and only k - 1 are in each. So
+    what is among the best in every score has a fused score no lower than the row at place (k - 1) * scores + 1 of those with all.
+    Bounding keeps the order of scores but of infinite ones: rows with scores beyond HUGE neither count for that place nor are left out.
+    """
+    every = ranking.where(" AND ".join(f"{s} IS NOT NULL" for s in scores))
+    tame = F.greatest(*(F.abs(s) for s in scores)) <= HUGE
+    last = (k - 1) * len(scores) + 1
+    counted = every.where(tame).select(group, "fused", F.row_number().over(W.partitionBy(group).orderBy("place")).alias("r"))
+    least = counted.where(F.col("r") <= last).groupBy(group).agg(F.min(F.when(F.col("r") == last, F.col("fused"))).alias("least"))
+    return every.join(least, group, "left").where(~tame | F.col("least").isNull() | (F.col("fused") >= F.col("least"))).drop("least")
+
+
+def best_in_each(cands: DataFrame, group: str, key: str, scores: Sequence[str], k: int, among: DataFrame | None = None) -> DataFrame:
+    """Rows (of ``among``, if given) among their group's ``k`` best in every one of ``scores``; a row that lacks a score isn't among them.
 
     Equal scores share a rank. Each rank is cut at k, so Spark limits every group before it shuffles.
     """
-    out = cands
+    out = cands if among is None else among
     for s in scores:
         w = W.partitionBy(group).orderBy(F.col(s).desc())
         top = cands.where(F.col(s).isNotNull()).select(group, key, F.rank().over(w).alias("r")).where(F.col("r") <= k)

@@ -488,6 +488,27 @@ def test_p6_found_takes_its_rows_from_the_ranking(spark, sf, monkeypatch):
     assert out not in {tuple(r) for r in queries.p6_found(spark, sf).collect()}
 
 
+def test_p6_found_follows_the_ranking(spark, sf, monkeypatch):
+    every = {tuple(r) for r in queries.p6_found(spark, sf).collect()}
+    whole = ranking.fuse
+    monkeypatch.setattr(ranking, "fuse", lambda b, w: whole(b, w).withColumn("fused", 1 - F.col("fused")))  # the worst first
+    got = {tuple(r) for r in queries.p6_found(spark, sf).collect()}
+    assert got < every
+
+
+def test_leading_rows_hold_all_that_are_best_in_each(spark):
+    rng, inf = random.Random(31), float("inf")
+    pick = lambda q, x: None if rng.random() < 0.2 else rng.choice([inf, -inf, 1e308, -1e308, 0.0, 1.0]) if q % 3 == 0 and rng.random() < 0.7 else round(x) if q % 3 == 1 else rng.gauss(x, 0.3)
+    rows = [(q, f"c{i:03}", *(None if y is None else float(y) for y in (pick(q, x), pick(q, x))), [float(y) if (y := pick(q, x)) is not None else None]) for q in range(12) for i in range(4 if q == 11 else 60) for x in [rng.gauss(0, 1)]]
+    ranks = ranking.one_ranking(results(spark, rows))
+    scores = list(ranking.WEIGHTS)
+    lead = ranking.leading(ranks, "query_id", scores, 5)
+    true = {(r.query_id, r.chunk_id) for r in ranking.best_in_each(ranking.candidates(results(spark, rows)), "query_id", "chunk_id", scores, 5).collect()}
+    got = {(r.query_id, r.chunk_id) for r in ranking.best_in_each(ranks, "query_id", "chunk_id", scores, 5, lead).collect()}
+    assert got == true and len(true) > 10
+    assert lead.where("query_id = 2").count() == 13 < ranks.where("query_id = 2 AND original IS NOT NULL AND colbert IS NOT NULL AND sentence IS NOT NULL").count()
+
+
 # Encoding
 
 
