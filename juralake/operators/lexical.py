@@ -5,17 +5,24 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from juralake.functions.text import lowered, words
-from juralake.session import materialise
+from juralake.operators.running import rank_by_range
+from juralake.session import discard, materialise
 
 #: Keywords that one automaton holds; more are searched for in several passes.
 AUTOMATON_WORDS = 200_000
+#: Terms that texts are searched for in one pass, and postings of the texts that a task holds.
+TERMS, BLOCK_POSTINGS = 500_000, 6_000_000
+#: Sums of scores that differ by more than this differ in the 6 places that they are rounded to.
+MARGIN = 2e-6
 
 
 def contains_keywords(texts: DataFrame, keywords: DataFrame, ident: str = "id", text: str = "content", hits: int = 10) -> DataFrame:
@@ -62,36 +69,169 @@ def contains_keywords(texts: DataFrame, keywords: DataFrame, ident: str = "id",
     return found.withColumn("n", F.row_number().over(order)).where(F.col("n") <= hits).select("keyword", F.col("id").alias(ident))
 
 
-def postings(texts: DataFrame, terms: DataFrame | None = None, ident: str = "id", text: str = "content") -> DataFrame:
-    """(id, term, tf, size): the inverted index of whole texts; terms are words in lower case, size is the text's number of words.
+def postings(texts: DataFrame, terms: DataFrame, ident: str = "id", text: str = "content") -> DataFrame:
+    """(pass, id, size, terms, tfs): a row for each text that has words, with the numbers and counts of those of ``terms`` that stand in it.
 
-    With ``terms`` (term), only of those. The term '' stands once for every text that has words. NULL texts, and those without
-    words, have no postings. Each text is split once.
+    ``terms`` is a written table (term, n INT) of words in lower case, numbered from 1; size is the text's number of words. NULL texts, and
+    those without words, have no row. Nothing is shuffled. The driver and the tasks hold TERMS of them at a time: beyond that the texts are split
+    once more for each, and a text has a row in each ``pass``.
     """
-    split = texts.select(F.col(ident).alias("id"), words(lowered(F.col(text))).alias("w"))
-    every = F.concat(F.when(F.size("w") > 0, F.array(F.lit(""))).otherwise(F.expr("cast(array() AS array<string>)")), "w")  # a filter would split texts once more
-    each = split.select("id", F.size("w").alias("size"), F.explode(every).alias("term"))
-    if terms is not None:  # words that none asks for go before the shuffle; written, terms are broadcast if they are few
-        asked = terms.select("term").unionByName(terms.sparkSession.createDataFrame([("",)], "term string")).distinct()
-        each = each.join(materialise(asked, "terms"), "term")
-    return each.groupBy("id", "term", "size").agg(F.count("*").alias("tf")).select("id", "term", "tf", "size")
+    kind = texts.schema[ident].dataType
+    split = texts.where(F.col(text).isNotNull()).select(F.col(ident).alias("id"), words(lowered(F.col(text))).alias("w"))
+
+    def run_of(number: int, held: pa.Array, first: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                lists = b.column(1)
+                size = np.diff(lists.offsets.to_numpy())
+                at = pc.index_in(lists.flatten(), value_set=held)
+                hit = at.is_valid().to_numpy(zero_copy_only=False)
+                cell = np.repeat(np.arange(len(size)), size)[hit] * max(len(held), 1) + at.drop_null().to_numpy()
+                cell, tf = np.unique(cell, return_counts=True)
+                row, term = np.divmod(cell, max(len(held), 1))
+                ends = pa.array(np.searchsorted(row, np.arange(len(size) + 1)).astype(np.int32))
+                lists_of = lambda v: pa.ListArray.from_arrays(ends, pa.array(v.astype(np.int32)))  # noqa: B023, E731
+                out = [pa.array(np.full(len(size), number, np.int32)), b.column(0), pa.array(size.astype(np.int32)), lists_of(term + first), lists_of(tf)]
+                yield pa.RecordBatch.from_arrays(out, names=["pass", "id", "size", "terms", "tfs"]).filter(pa.array(size > 0))
+
+        return split.mapInArrow(run, f"pass int, id {kind.simpleString()}, size int, terms array<int>, tfs array<int>")
+
+    out = None
+    for number in range(max(1, -(-terms.count() // TERMS))):
+        first = number * TERMS + 1
+        part = [r["term"] for r in terms.where(F.col("n").between(first, first + TERMS - 1)).orderBy("n").collect()]
+        one = run_of(number, pa.array(part, pa.string()), first)
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+class _Block:
+    """The postings of a task's texts by term, and the ``k`` best of them for each query."""
+
+    def __init__(self, texts: list[pa.RecordBatch], k: int, k1: float):
+        table = pa.Table.from_batches(texts).combine_chunks()
+        ids, norm, terms, tfs = (table.column(n).chunk(0) for n in ("id", "norm", "terms", "tfs"))
+        new = np.ones(len(ids), bool)
+        new[1:] = pc.fill_null(pc.not_equal(ids[1:], ids[:-1]), True).to_numpy(zero_copy_only=False)  # rows of one text stand together
+        self.k, self.ids = k, ids.filter(pa.array(new))
+        size = np.diff(terms.offsets.to_numpy())
+        doc = np.repeat((np.cumsum(new) - 1).astype(np.int32), size)
+        tf = tfs.flatten().to_numpy().astype(np.float64)
+        part = tf * (k1 + 1) / (tf + np.repeat(norm.to_numpy(), size))
+        flat = terms.flatten().to_numpy()
+        order = np.argsort(flat, kind="stable")
+        self.doc, self.part = doc[order], part[order]
+        self.terms, begin = np.unique(flat[order], return_index=True)
+        self.ends = np.append(begin, len(flat))
+        self.most = np.maximum.reduceat(self.part, begin) if len(flat) else np.empty(0)
+        self.sums = np.zeros(len(self.ids))
+
+    def best(self, own: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The texts, in the order of ids, and the scores in millionths, of the ``k`` best for the terms at ``own``.
+
+        Terms are added by what they can give at most. Once the ``k``-th best so far can't be reached by what the others give, these are
+        looked up for the texts alone that can still be among the best. Scores that are equal to 6 places are never told apart here.
+        """
+        gain = idf * self.most[own]
+        order = np.argsort(-gain)
+        rest = np.append(np.cumsum(gain[order][::-1])[::-1][1:], 0.0)
+        length = self.ends[own + 1] - self.ends[own]
+        ahead = np.append(np.cumsum(length[order][::-1])[::-1][1:], 0)
+        seen: list[np.ndarray] = []
+        held, narrow = 0, None
+        for i, j in enumerate(order):
+            at = slice(self.ends[own[j]], self.ends[own[j] + 1])
+            if narrow is None:
+                self.sums[self.doc[at]] += idf[j] * self.part[at]
+                seen.append(self.doc[at])
+                held += length[j]
+                if held >= self.k and ahead[i] > held:
+                    found = self._found(seen, held)
+                    if len(found) >= self.k:
+                        sums = self.sums[found]
+                        least = np.partition(sums, len(sums) - self.k)[len(sums) - self.k] - MARGIN
+                        if least > rest[i]:
+                            narrow = found[sums >= least - rest[i]]
+            else:
+                place = np.searchsorted(self.doc[at], narrow)
+                place[place == length[j]] = 0
+                there = self.doc[at][place] == narrow
+                self.sums[narrow[there]] += idf[j] * self.part[at][place[there]]
+        found = self._found(seen, held) if narrow is None else narrow
+        score = np.floor(self.sums[found] * 1e6 + 0.5).astype(np.int64)
+        for d in seen:
+            self.sums[d] = 0
+        if len(found) > self.k:
+            least = np.partition(score, len(score) - self.k)[len(score) - self.k]
+            above = np.flatnonzero(score > least)
+            keep = np.concatenate([above, np.flatnonzero(score == least)[: self.k - len(above)]])
+            found, score = found[keep], score[keep]
+        return found, score
+
+    def _found(self, seen: list[np.ndarray], held: int) -> np.ndarray:
+        if len(seen) == 1:
+            return seen[0]
+        return np.unique(np.concatenate(seen)) if 16 * held < len(self.sums) else np.flatnonzero(self.sums).astype(np.int32)
+
+    def search(self, queries: pa.RecordBatch) -> pa.RecordBatch:
+        """(no, id, score) of the best texts of each query (no, terms, idfs)."""
+        terms, idfs = queries.column("terms"), queries.column("idfs").flatten().to_numpy()
+        flat, ends = terms.flatten().to_numpy(), np.append(0, np.cumsum(np.diff(terms.offsets.to_numpy())))
+        at = np.searchsorted(self.terms, flat)
+        there = np.append(self.terms, -1)[at] == flat
+        rows, docs, scores = [], [], []
+        for r in range(queries.num_rows):
+            own = slice(ends[r], ends[r + 1])
+            use = there[own]
+            if use.any():
+                found, score = self.best(at[own][use], idfs[own][use])
+                rows.append(np.full(len(found), r))
+                docs.append(found)
+                scores.append(score)
+        row, doc, score = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (rows, docs, scores))
+        return pa.RecordBatch.from_arrays([queries.column("no").take(pa.array(row)), self.ids.take(pa.array(doc)), pa.array(score / 1e6)], names=["no", "id", "score"])
 
 
 def bm25(texts: DataFrame, queries: DataFrame, k: int = 5, k1: float = 1.2, b: float = 0.75, ident: str = "id", text: str = "content") -> DataFrame:
-    """(query_id, id, score, rank): each query's ``k`` best texts by BM25; ``queries`` has (query_id, query). Ties go by id.
+    """(query_id, id, score, rank): each query's ``k`` best texts by BM25; ``queries`` has (query_id, query), ``texts`` one row per id. Ties go by id.
 
-    The postings of the terms that a query has are made in one pass over the texts and written once; a term's frequency is the
-    count of its postings, and text numbers and mean sizes, over all texts with words, are read off them too. Repeated terms
-    of a query count once. Scores are rounded to 6 places.
+    Each text is split once, into one written row of the terms that a query has; a term's frequency is counted in them, and text
+    numbers and mean sizes are over all texts with words. Texts are dealt out in blocks of about BLOCK_POSTINGS postings; a task holds one and
+    takes all queries in a stream, equal ones once, so that no pair of query and text is a row: what leaves a block is at most k rows a query.
+    Repeated terms of a query count once. Scores are rounded to 6 places. The result is written once.
     """
     asked = queries.select("query_id", F.explode(F.array_distinct(words(lowered(F.col("query"))))).alias("term"))
-    every = materialise(postings(texts, asked.select("term").distinct(), ident, text), "postings")
-    totals = every.where("term = ''").agg(F.count("*").alias("texts"), F.avg("size").alias("mean"))
-    held = every.where("term <> ''")
-    df = held.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.ln(1 + (F.col("texts") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("size") / F.col("mean")))
-    weighted = held.join(df, "term").crossJoin(totals).select("term", "id", part.alias("part"))  # totals is one row
-    scored = asked.join(weighted, "term").groupBy("query_id", "id").agg(F.round(F.sum("part"), 6).alias("score"))
-    order = W.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("id").alias(ident), "score", "rank")
+    terms = materialise(rank_by_range(asked.select("term").distinct(), [], [F.col("term")], "n").select("term", F.col("n").cast("int").alias("n")), "terms")
+    every = materialise(postings(texts, terms, ident, text), "postings")
+    of = F.when(F.col("pass") == 0, F.col("size"))
+    total = every.agg(F.count(of).alias("texts"), F.avg(of).alias("mean"), F.sum(F.size("terms")).alias("postings")).first()
+    df = every.select(F.explode("terms").alias("n")).groupBy("n").agg(F.count("*").alias("df"))
+    idf = F.ln(1 + (F.lit(total["texts"]) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weighed = asked.join(terms, "term").join(df, "n").select("query_id", F.struct("n", idf.alias("idf")).alias("t"))
+    each = materialise(weighed.groupBy("query_id").agg(F.array_sort(F.collect_list("t")).alias("t")), "asked")
+    sets = materialise(each.select("t").distinct().withColumn("no", F.monotonically_increasing_id()), "sets")
+
+    blocks = max(texts.sparkSession.sparkContext.defaultParallelism, -(-(total["postings"] or 0) // BLOCK_POSTINGS))
+    norm = F.lit(k1) * (1 - b + b * F.col("size") / F.lit(total["mean"]))
+    held = every.where(F.size("terms") > 0).select(F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), "id", norm.cast("double").alias("norm"), "terms", "tfs")
+    wanted = sets.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "no", F.col("t.n").alias("terms"), F.col("t.idf").alias("idfs"))
+    both = held.unionByName(wanted, allowMissingColumns=True).repartitionById(blocks, F.col("block")).sortWithinPartitions(F.col("no").isNotNull(), "id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: list[pa.RecordBatch] = []
+        block = None
+        for x in batches:
+            n = x.column("no").null_count  # texts come before queries
+            if n:
+                own.append(x.slice(0, n))
+            if n < x.num_rows and own:
+                block = block or _Block(own, k, k1)
+                yield block.search(x.slice(n))
+
+    found = both.select("no", "id", "norm", "terms", "tfs", "idfs").mapInArrow(run, f"no bigint, id {texts.schema[ident].dataType.simpleString()}, score double")
+    order = W.partitionBy("no").orderBy(F.col("score").desc(), "id")
+    best = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    out = materialise(each.join(sets, "t").join(best, "no").select("query_id", F.col("id").alias(ident), "score", "rank"), "best")
+    for stage in (terms, every, each, sets):
+        discard(stage)
+    return out

@@ -1,4 +1,6 @@
 import math
+import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -96,6 +98,46 @@ def test_keywords_and_bm25(spark):
     assert [(r.query_id, r.id, r.score) for r in got] == [(1, "1", round(idf * 2 * 2.2 / (2 + 1.2 * (0.25 + 0.75 * 4 / 2.5)), 6))]
 
 
+def shuffled(spark, run):
+    """The bytes that ``run`` writes into shuffles."""
+    total = lambda: sum(e.totalShuffleWrite() for e in map(held().apply, range(held().size())))
+    held = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(False)
+    before = total()
+    run()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    return total() - before
+
+
+def test_bm25_makes_no_row_of_a_query_and_a_text(spark):
+    texts = spark.range(1000).select(F.col("id").cast("string").alias("id"), F.concat(F.lit("the law of contract number "), F.col("id") % 50).alias("content"))
+    q = spark.range(300).select(F.col("id").alias("query_id"), F.concat(F.lit("the law of number "), F.col("id")).alias("query"))
+    wrote = shuffled(spark, lambda: lexical.bm25(texts, q).collect())
+    assert 0 < wrote < 1_000_000, wrote  # there are 300,000 pairs
+
+
+def test_bm25_by_blocks_equals_brute_force(spark, monkeypatch):
+    rng = random.Random(3)
+    common, rare = [f"c{i}" for i in range(12)], [f"r{i}" for i in range(300)]
+    rows = [(f"t{i:04d}", " ".join(rng.choices(common, k=rng.randint(1, 30)) + rng.choices(rare, k=rng.randint(0, 3)))) for i in range(600)]
+    rows += [(f"u{i}", rows[i][1]) for i in range(50)] + [("e", ""), ("n", None), ("z", "?")]
+    asked = [(i, " ".join(rng.sample(common, rng.randint(0, 6)) + rng.sample(rare, rng.randint(0, 2)) + ["absent"])) for i in range(80)] + [(900, "c1"), (901, "c1 C1"), (902, None)]
+    sizes = {i: len(t.split()) for i, t in rows if t and t != "?"}
+    counts = {i: Counter(t.split()) for i, t in rows if i in sizes}
+    df, mean = Counter(w for c in counts.values() for w in c), sum(sizes.values()) / len(sizes)
+    told = set()
+    for q, words in asked:
+        terms = sorted({w.lower() for w in (words or "").split()})
+        scores = {i: sum(math.log(1 + (len(sizes) - df[w] + 0.5) / (df[w] + 0.5)) * c[w] * 2.2 / (c[w] + 1.2 * (0.25 + 0.75 * sizes[i] / mean)) for w in terms if c[w]) for i, c in counts.items()}
+        best = sorted((-round(s, 6), i) for i, s in scores.items() if s > 0)[:5]
+        told |= {(q, i, -s, n + 1) for n, (s, i) in enumerate(best)}
+    monkeypatch.setattr(lexical, "BLOCK_POSTINGS", 700, raising=False)
+    monkeypatch.setattr(lexical, "TERMS", 100, raising=False)
+    texts, queries = spark.createDataFrame(rows, "id string, content string"), spark.createDataFrame(asked, "query_id int, query string")
+    got = lexical.bm25(texts, queries).collect()
+    assert {(r.query_id, r.id, r.score, r["rank"]) for r in got} == told and len(got) == len(told)
+    assert lexical.bm25(texts.limit(0), queries).count() == lexical.bm25(texts, queries.limit(0)).count() == 0
+
+
 def test_maxsim_and_rerank(spark):
     df = spark.createDataFrame([([1.0, 0.0], [[0.0, 1.0], [1.0, 0.0], [2.0, 0.0]]), ([0.0, 0.0], [[1.0, 0.0]]), ([1.0, 0.0], []), ([1.0, 0.0], None)], "q array<float>, s array<array<float>>")
     got = [r[0] for r in df.select(rerank.maxsim(F.col("q"), F.col("s"))).collect()]
