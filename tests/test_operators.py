@@ -115,6 +115,15 @@ def test_bm25_makes_no_row_of_a_query_and_a_text(spark):
     assert 0 < wrote < 1_000_000, wrote  # there are 300,000 pairs
 
 
+@pytest.mark.parametrize("name", ["agentic_search"])
+def test_searches_make_no_row_of_a_query_and_a_text(spark, tmp_path, name):
+    text = F.concat(F.lit("the law of contract number "), F.col("id") % 50)
+    spark.range(1000).select(F.col("id").cast("string").alias("id"), text.alias("content")).write.parquet(f"{tmp_path}/chunks.parquet")
+    spark.range(300).select(F.col("id").alias("query_id"), F.concat(F.lit("the law of number "), F.col("id")).alias("query")).write.parquet(f"{tmp_path}/search_queries.parquet")
+    wrote = shuffled(spark, lambda: queries.queries()[name](spark, str(tmp_path)).collect())
+    assert 0 < wrote < 1_000_000, wrote  # there are 300,000 pairs
+
+
 def test_bm25_by_blocks_equals_brute_force(spark, monkeypatch):
     rng = random.Random(3)
     common, rare = [f"c{i}" for i in range(12)], [f"r{i}" for i in range(300)]
