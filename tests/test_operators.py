@@ -115,7 +115,7 @@ def test_bm25_makes_no_row_of_a_query_and_a_text(spark):
     assert 0 < wrote < 1_000_000, wrote  # there are 300,000 pairs
 
 
-@pytest.mark.parametrize("name", ["agentic_search"])
+@pytest.mark.parametrize("name", ["agentic_search", "decomposed_search"])
 def test_searches_make_no_row_of_a_query_and_a_text(spark, tmp_path, name):
     text = F.concat(F.lit("the law of contract number "), F.col("id") % 50)
     spark.range(1000).select(F.col("id").cast("string").alias("id"), text.alias("content")).write.parquet(f"{tmp_path}/chunks.parquet")
