@@ -23,6 +23,8 @@ AUTOMATON_WORDS = 200_000
 TERMS, BLOCK_POSTINGS = 500_000, 6_000_000
 #: Sums of scores that differ by more than this differ in the 6 places that they are rounded to.
 MARGIN = 2e-6
+#: Times that a query's best texts so far are scored whole, to know early what the best reach.
+TRIES = 3
 
 
 def contains_keywords(texts: DataFrame, keywords: DataFrame, ident: str = "id", text: str = "content", hits: int = 10) -> DataFrame:
@@ -120,58 +122,72 @@ class _Block:
         part = tf * (k1 + 1) / (tf + np.repeat(norm.to_numpy(), size))
         flat = terms.flatten().to_numpy()
         order = np.argsort(flat, kind="stable")
-        self.doc, self.part = doc[order], part[order]
-        self.terms, begin = np.unique(flat[order], return_index=True)
-        self.ends = np.append(begin, len(flat))
-        self.most = np.maximum.reduceat(self.part, begin) if len(flat) else np.empty(0)
+        term, doc = flat[order], doc[order]
+        once = np.append(True, (term[1:] != term[:-1]) | (doc[1:] != doc[:-1]))  # of a text that comes twice the first
+        self.doc, self.part = doc[once], part[order][once]
+        self.terms, begin = np.unique(term[once], return_index=True)
+        self.ends = np.append(begin, len(self.doc))
+        self.most = np.maximum.reduceat(self.part, begin)
         self.sums = np.zeros(len(self.ids))
 
     def best(self, own: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The texts, in the order of ids, and the scores in millionths, of the ``k`` best for the terms at ``own``.
 
-        Terms are added by what they can give at most. Once the ``k``-th best so far can't be reached by what the others give, these are
-        looked up for the texts alone that can still be among the best. Scores that are equal to 6 places are never told apart here.
+        Terms are added by what they can give at most. The whole scores of ``k`` texts that look best tell early what the ``k`` best reach at
+        least; once the others' terms can't give as much, these are looked up for the texts alone that can still be among the best.
+        Scores that are equal to 6 places are never told apart here.
         """
-        gain = idf * self.most[own]
-        order = np.argsort(-gain)
-        rest = np.append(np.cumsum(gain[order][::-1])[::-1][1:], 0.0)
-        length = self.ends[own + 1] - self.ends[own]
-        ahead = np.append(np.cumsum(length[order][::-1])[::-1][1:], 0)
+        order = np.argsort(-idf * self.most[own])
+        own, idf = own[order], idf[order]
+        rest = np.append(np.cumsum((idf * self.most[own])[::-1])[::-1][1:], 0.0)
+        begin, end = self.ends[own], self.ends[own + 1]
         seen: list[np.ndarray] = []
-        held, narrow = 0, None
-        for i, j in enumerate(order):
-            at = slice(self.ends[own[j]], self.ends[own[j] + 1])
-            if narrow is None:
-                self.sums[self.doc[at]] += idf[j] * self.part[at]
-                seen.append(self.doc[at])
-                held += length[j]
-                if held >= self.k and ahead[i] > held:
-                    found = self._found(seen, held)
-                    if len(found) >= self.k:
-                        sums = self.sums[found]
-                        least = np.partition(sums, len(sums) - self.k)[len(sums) - self.k] - MARGIN
-                        if least > rest[i]:
-                            narrow = found[sums >= least - rest[i]]
+        least, tries, narrow = -1.0, 0, None
+        for i in range(len(own)):
+            docs, parts = self.doc[begin[i] : end[i]], self.part[begin[i] : end[i]]
+            if narrow is not None and 3 * len(narrow) < len(docs):
+                self.sums[narrow] += idf[i] * self._parts(docs, parts, narrow)
             else:
-                place = np.searchsorted(self.doc[at], narrow)
-                place[place == length[j]] = 0
-                there = self.doc[at][place] == narrow
-                self.sums[narrow[there]] += idf[j] * self.part[at][place[there]]
-        found = self._found(seen, held) if narrow is None else narrow
+                self.sums[docs] += idf[i] * parts
+                seen.append(docs)
+            if narrow is None:
+                if tries < TRIES and len(docs) >= self.k and i + 1 < len(own):
+                    tries += 1
+                    sums = self.sums[docs]
+                    top = np.argpartition(sums, len(sums) - self.k)[len(sums) - self.k :]
+                    whole = sums[top]
+                    for j in range(i + 1, len(own)):
+                        whole = whole + idf[j] * self._parts(self.doc[begin[j] : end[j]], self.part[begin[j] : end[j]], docs[top])
+                    least = max(least, whole.min() - MARGIN)
+                if least > rest[i]:
+                    found = self._found(seen)
+                    narrow = found[self.sums[found] >= least - rest[i]]
+            elif len(narrow) > self.k:
+                sums = self.sums[narrow]
+                least = max(least, np.partition(sums, len(sums) - self.k)[len(sums) - self.k] - MARGIN)
+                narrow = narrow[sums >= least - rest[i]]
+        found = self._found(seen) if narrow is None else narrow
         score = np.floor(self.sums[found] * 1e6 + 0.5).astype(np.int64)
         for d in seen:
             self.sums[d] = 0
         if len(found) > self.k:
-            least = np.partition(score, len(score) - self.k)[len(score) - self.k]
-            above = np.flatnonzero(score > least)
-            keep = np.concatenate([above, np.flatnonzero(score == least)[: self.k - len(above)]])
+            last = np.partition(score, len(score) - self.k)[len(score) - self.k]
+            above = np.flatnonzero(score > last)
+            keep = np.concatenate([above, np.flatnonzero(score == last)[: self.k - len(above)]])
             found, score = found[keep], score[keep]
         return found, score
 
-    def _found(self, seen: list[np.ndarray], held: int) -> np.ndarray:
+    @staticmethod
+    def _parts(docs: np.ndarray, parts: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+        """What a term with ``docs`` gives to the texts ``wanted``."""
+        at = np.minimum(np.searchsorted(docs, wanted), len(docs) - 1)
+        return np.where(docs[at] == wanted, parts[at], 0.0)
+
+    def _found(self, seen: list[np.ndarray]) -> np.ndarray:
+        """The texts of ``seen``, each once, in order."""
         if len(seen) == 1:
             return seen[0]
-        return np.unique(np.concatenate(seen)) if 16 * held < len(self.sums) else np.flatnonzero(self.sums).astype(np.int32)
+        return np.unique(np.concatenate(seen)) if 32 * sum(map(len, seen)) < len(self.sums) else np.flatnonzero(self.sums).astype(np.int32)
 
     def search(self, queries: pa.RecordBatch) -> pa.RecordBatch:
         """(no, id, score) of the best texts of each query (no, terms, idfs)."""
